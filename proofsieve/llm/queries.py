@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofsieve.llm import rules, simhash
+from proofsieve.llm import bpe, rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +18,18 @@ def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lexicon = bpe.build_lexicon(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digests(bpe.decode(bpe.encode(docs, lexicon), lexicon))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_anchors, op5_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash_anchors, op3_bpe_lexicon, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
