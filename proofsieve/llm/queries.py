@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofsieve.llm import bpe, rules, simhash
+from proofsieve.llm import bpe, decontam, rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +28,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op8_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_anchors, op3_bpe_lexicon, op5_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash_anchors, op3_bpe_lexicon, op5_quality_rules, op8_edit_matching)}
 
 
 def oracle_sql() -> dict[str, str]:
