@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsieve.session import checkpointed
@@ -35,3 +35,19 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             return now.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node").unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
         before = state
+
+
+def numbered(df: DataFrame, group: str, by: list[str], name: str = "slot") -> DataFrame:
+    """df with gapless numbers from 0 in each group, in the order of the columns `by`, which tell all rows apart.
+
+    Rows are dealt by ranges of (group, by) and numbered where they lie; what lies before each range is a sum over a
+    table with a row for each range and group, so that no group has to fit in one task. The result is checkpointed.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, group, *by).sortWithinPartitions(group, *by)
+    placed = checkpointed(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    counts = placed.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = checkpointed(counts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset")))
+    same = placed[group].eqNullSafe(offsets["_group"]) & (placed["_part"] == offsets["_of"])
+    return placed.join(F.broadcast(offsets), same).withColumn(name, F.col("_at") + F.col("_offset")).drop("_part", "_at", "_group", "_of", "_offset")
