@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofsieve.llm import bpe, decontam, rules, simhash
+from proofsieve.llm import bpe, chat, decontam, ngram, pii, rules, shards, simhash, toxic, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
@@ -24,16 +28,37 @@ def op3_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, lexicon), lexicon))
 
 
+def op4_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(_table(spark, sf_dir, "documents"))
+
+
+def op7_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op8_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_anchors, op3_bpe_lexicon, op5_quality_rules, op8_edit_matching)}
+    own = (op1_kneser_ney, op2_simhash_anchors, op3_bpe_lexicon, op4_html_wrappers, op5_quality_rules, op6_label_propagation, op7_role_repair, op8_edit_matching, op9_toxic_cnn, op10_disclosure)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
