@@ -19,6 +19,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -36,6 +37,8 @@ SPLIT = regex.compile(f"[^{SPACES}]+")
 #: Python's own split() also cuts at these four.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 END = "</w>"
+#: Bytes of the words that merge by scanning, and a rank above all others.
+SHORT, NEVER = 48, 1 << 40
 #: Rows that are in Python at once.
 SLICE = 256
 #: Chunks of text that a worker remembers the ids of, and the longest one that it remembers.
@@ -61,6 +64,10 @@ class Vocabulary:
     last: list[int]
     merges: dict[tuple[int, int], tuple[int, int]] = field(repr=False)
 
+    def __post_init__(self) -> None:
+        self.ranks = {a << 20 | b: rank for (a, b), (rank, _) in self.merges.items()}
+        self.made = {rank: new for rank, new in self.merges.values()}
+
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
@@ -76,7 +83,24 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word: of the pairs that merge, always the one of least rank and then the leftmost."""
-        ids = [self.inner[b] for b in word[:-1]] + [self.last[b] for b in word[-1:]]
+        inner, get = self.inner, self.ranks.get
+        ids = [inner[b] for b in word[:-1]] + [self.last[b] for b in word[-1:]]
+        n = len(ids)
+        if n > SHORT:
+            return self._merge_long(ids)
+        ranks = [get(ids[k] << 20 | ids[k + 1], NEVER) for k in range(n - 1)]
+        while ranks and (rank := min(ranks)) != NEVER:
+            k = ranks.index(rank)
+            ids[k : k + 2] = [self.made[rank]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] << 20 | ids[k], NEVER)
+            if k < len(ranks):
+                ranks[k] = get(ids[k] << 20 | ids[k + 1], NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a queue of pairs, for words whose length would tell."""
         n, get = len(ids), self.merges.get
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         queue = [(found[0], k, ids[k], ids[k + 1], found[1]) for k in range(n - 1) if (found := get((ids[k], ids[k + 1])))]
@@ -185,17 +209,20 @@ class Automaton:
         self.first, self.labels, self.targets, self.skips, self.final, self.starts = views
         self.ids = x[at:]
         self.root = states - 1
+        self.arcs: dict[int, dict[int, tuple[int, int]]] = {}  # of the states that were visited
 
     def get(self, word: bytes) -> list[int] | None:
         state, number = self.root, 0
         for b in word:
-            for k in range(self.first[state], self.first[state + 1]):
-                if self.labels[k] == b:
-                    number += self.skips[k]
-                    state = self.targets[k]
-                    break
-            else:
+            arcs = self.arcs.get(state)
+            if arcs is None:
+                own = range(self.first[state], self.first[state + 1])
+                arcs = self.arcs[state] = {self.labels[k]: (self.targets[k], self.skips[k]) for k in own}
+            arc = arcs.get(b)
+            if arc is None:
                 return None
+            state = arc[0]
+            number += arc[1]
         return [*self.ids[self.starts[number] : self.starts[number + 1]]] if self.final[state] else None
 
 
@@ -295,7 +322,7 @@ def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 part = batch.slice(k, SLICE)
                 lists = [encoder(t) for t in part.column(1).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                flat = np.fromiter((i for x in lists for i in x), np.int32, int(ends[-1]))
+                flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id long, ids array<int>")
@@ -311,11 +338,19 @@ def decode(tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
     vocabulary = lexicon.vocabulary
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = vocabulary.value.tokens
+        tokens = vocabulary.value.tokens
+        names = [tokens.get(i) for i in range(max(tokens) + 1)]
+
+        def text(ids: list[int] | None) -> str:
+            try:
+                return " ".join([names[i] for i in ids or ()])
+            except (IndexError, TypeError):
+                return " ".join([tokens[i] for i in ids if i in tokens])
+
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                texts = [" ".join([names[i] for i in ids or () if i in names]) for ids in part.column(1).to_pylist()]
+                texts = [text(ids) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, ids array<int>, decoded string")

@@ -50,3 +50,18 @@ def test_documents_match_the_library(spark):
         assert own.decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     empty = bpe.build_lexicon(docs.limit(0), PATH)
     assert bpe.encode(docs.limit(0), empty).count() == 0
+
+
+def test_both_ways_of_merging_agree():
+    rng = random.Random(9)
+    for _ in range(400):
+        word = "".join(rng.choices(["the", "ing", "er", "on", "é", "x", "ation", "1"], k=rng.randint(1, 12))).encode()
+        ids = [VOCABULARY.inner[b] for b in word[:-1]] + [VOCABULARY.last[word[-1]]]
+        assert VOCABULARY._merge_long(ids) == (VOCABULARY.merge(word) if len(word) <= bpe.SHORT else VOCABULARY._merge_long(ids))
+
+
+def test_ids_without_a_token_are_passed_over(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    lexicon = bpe.build_lexicon(docs, PATH, size=1)
+    tokens = spark.createDataFrame([(1, [320, 10**6, -1]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in bpe.decode(tokens, lexicon).collect()} == {1: "a</w>", 2: "", 3: ""}
