@@ -1,0 +1,123 @@
+"""Identifiers and phrases in text, as arrays of structs in the order of the text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# What stands for a digit in misread text, schemes of registration numbers and their categories.
+DIGITISH, DIGITS = "OoDQIl|iSsBZzG", "00001111558226"
+SCHEMES = {"INH": "SEBI_RA", "INA": "SEBI_IA", "INZ": "SEBI_BROKER", "INB": "SEBI_BROKER", "INF": "SEBI_BROKER", "INE": "SEBI_BROKER", "INP": "SEBI_PMS", "INM": "SEBI_MB", "INR": "SEBI_RTA", "IND": "SEBI_DT"}
+CATEGORIES = {"SEBI_RA": "RA", "SEBI_IA": "IA", "SEBI_BROKER": "BROKER", "SEBI_PMS": "PMS", "SEBI_MB": "MB", "SEBI_RTA": "RTA", "SEBI_DT": "DT"}
+UPI_SUFFIXES = {"RA": "ra", "IA": "ia", "BROKER": "brk", "PMS": "pms", "MF": "mf"}
+FREE_MAIL = ("gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "rediffmail.com", "protonmail.com")
+SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "cutt.ly", "rb.gy", "is.gd")
+PERIODS = {"day": "daily|per day|a day|every day", "week": "weekly|per week|a week|every week", "month": "monthly|per month|a month|every month", "year": "yearly|annually|annual|per year|per annum|a year"}
+PER_YEAR = {"day": 365, "week": 52, "month": 12, "year": 1}
+#: Kinds of wording, each with what they are found by; negation is looked for before promises only.
+PHRASES = {
+    "guaranteed": r"guaranteed (?:returns?|profits?|income)",
+    "risk_free": r"(?:risk[ -]?free|zero risk|no risk)",
+    "no_loss": r"(?:no loss|zero loss)",
+    "registered": r"sebi[ -]registered",
+    "urgency": r"(?:limited (?:time|seats)|hurry|act now|last chance)",
+    "secrecy": r"(?:do not share|keep (?:this )?secret|confidential)",
+    "remote_access": r"(?:anydesk|teamviewer|share (?:the )?otp)",
+    "app_install": r"(?:install|download) (?:our|the|this) app",
+}
+NEGATABLE = ("guaranteed", "risk_free", "no_loss")
+
+
+def dimension(values: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+
+
+def registration_numbers(text: Column) -> Column:
+    """Structs (normalized, scheme, format_valid, reinterpreted) of numbers of a letter and nine digits, each once."""
+    body = r"[0-9OoDQIl|iSsBZzG]"
+    found = F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9])([I1l][Nn][HAZPMhazpm][ \t:.\-]{{0,3}}(?:{body}[ \t\-]?){{8}}{body})(?![A-Za-z0-9])"), F.lit(1))
+
+    def read(raw: Column) -> Column:
+        tail = F.regexp_replace(F.substring(raw, F.lit(4), F.length(raw)), r"[ \t:.\-]", "")
+        digits = F.translate(tail, DIGITISH, DIGITS)
+        prefix = F.concat(F.lit("IN"), F.upper(F.substring(raw, 3, 1)))
+        number = F.concat(prefix, digits)
+        return F.struct(number.alias("normalized"), dimension(SCHEMES)[prefix].alias("scheme"), number.rlike(r"^IN[A-Z]\d{9}$").alias("format_valid"), ((tail != digits) | (F.substring(raw, 1, 1) != "I")).alias("reinterpreted"))
+
+    every = F.transform(found, read)
+    return F.filter(every, lambda x, i: F.forall(F.slice(F.transform(every, lambda y: y["normalized"]), F.lit(1), i), lambda y: y != x["normalized"]))
+
+
+def confusable_variants(number: Column) -> Column:
+    """Numbers that differ in one digit which is easily misread, from left to right, twelve at most by definition."""
+    # Digits that are read for each other.
+    swaps = F.create_map(*(F.lit(x) for pair in {"0": "8", "1": "7", "5": "6", "6": "5", "7": "1", "8": "0"}.items() for x in pair))
+    at = F.sequence(F.lit(4), F.length(number))
+    changed = F.transform(at, lambda i: F.concat(F.substring(number, F.lit(1), i - 1), swaps[F.substring(number, i, F.lit(1))], F.substring(number, i + 1, F.length(number))))
+    return F.slice(F.filter(changed, lambda v: v.isNotNull()), 1, 12)
+
+
+def phones(text: Column) -> Column:
+    """Indian mobile numbers as +91 and ten digits, each once."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<![0-9A-Za-z@.+])(?:\+91[ -]?)?([6-9][0-9]{4}[ -]?[0-9]{5})(?![0-9@])"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.concat(F.lit("+91"), F.regexp_replace(x, r"[ -]", ""))))
+
+
+def upi_ids(text: Column) -> Column:
+    """Structs (value, username, psp, category_suffix, mobile_based); the suffix is there for validated handles only."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9._@-])([A-Za-z0-9._-]{2,}@[A-Za-z]{2,})(?![A-Za-z0-9.@-])"), F.lit(1)), F.lower))
+
+    def analysed(v: Column) -> Column:
+        user = F.split_part(v, F.lit("@"), F.lit(1))
+        suffix = F.regexp_extract(v, r"^[a-z0-9._-]+\.([a-z]{2,6})@valid[a-z]+$", 1)
+        return F.struct(v.alias("value"), user.alias("username"), F.split_part(v, F.lit("@"), F.lit(2)).alias("psp"), F.nullif(suffix, F.lit("")).alias("category_suffix"), user.rlike(r"^(\+?91)?[6-9]\d{9}(-\d)?$").alias("mobile_based"))
+
+    return F.transform(found, analysed)
+
+
+def emails(text: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_.%+-])([A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})(?![A-Za-z0-9_-])"), F.lit(1))
+    return F.transform(F.array_distinct(F.transform(found, F.lower)), lambda a: F.struct(a.alias("address"), F.split_part(a, F.lit("@"), F.lit(2)).alias("domain"), F.split_part(a, F.lit("@"), F.lit(2)).isin(*FREE_MAIL).alias("free_mail")))
+
+
+def urls(text: Column) -> Column:
+    """Structs (url, host, shortener, apk, ip_host) of addresses with a scheme, without punctuation that follows them."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\"]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:!?)]+$", ""))
+
+    def analysed(u: Column) -> Column:
+        host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^https?://([^/?#:]+)", 1)), r"^www\.", "")
+        return F.struct(u.alias("url"), host.alias("host"), host.isin(*SHORTENERS).alias("shortener"), F.lower(u).rlike(r"\.apk(?:$|[?#])").alias("apk"), host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$").alias("ip_host"))
+
+    return F.transform(F.array_distinct(found), analysed)
+
+
+def bank_accounts(text: Column) -> Column:
+    """Account numbers after account wording as XXXX and their last four digits, each once."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i)(?:a/c|account|acct)\s*(?:no\.?|number)?\s*[:-]?\s*([0-9][0-9 -]{7,20}[0-9])"), F.lit(1))
+    digits = F.transform(found, lambda x: F.regexp_replace(x, "[^0-9]", ""))
+    return F.array_distinct(F.transform(F.filter(digits, lambda d: F.length(d).between(9, 18)), lambda d: F.concat(F.lit("XXXX"), F.right(d, F.lit(4)))))
+
+
+def rates(text: Column) -> Column:
+    """Structs (period, percent, annual_percent) of percentages before a period."""
+
+    def of(period: str, words: str) -> Column:
+        found = F.regexp_extract_all(F.lower(text), F.lit(rf"([0-9]{{1,5}}(?:\.[0-9]{{1,2}})?) ?% (?:returns? |profits? )?(?:{words})\b"), F.lit(1))
+        return F.transform(found, lambda x: F.struct(F.lit(period).alias("period"), x.cast("double").alias("percent"), F.round(x.cast("double") * PER_YEAR[period]).cast("long").alias("annual_percent")))
+
+    return F.filter(F.concat(*(of(p, w) for p, w in PERIODS.items())), lambda r: r["percent"] > 0)
+
+
+def product_context(text: Column) -> Column:
+    low = F.lower(text)
+    return F.when(low.rlike(r"\b(stocks?|shares?|trading|ipo|crypto|forex|nifty)\b"), "market").when(low.rlike(r"\b(fd|fixed deposits?|recurring deposits?|ppf)\b"), "deposit").otherwise("unknown")
+
+
+def phrase_kinds(text: Column) -> Column:
+    """The kinds of wording that the text has, in the order of PHRASES; promises that are negated don't count."""
+    low = F.lower(text)
+    kinds = []
+    for kind, words in PHRASES.items():
+        before = r"(?<!\bno )(?<!\bnot )(?<!\bnever )" if kind in NEGATABLE else ""
+        kinds.append(F.when(low.rlike(rf"{before}\b{words}\b"), kind))
+    return F.array_compact(F.array(*kinds))
