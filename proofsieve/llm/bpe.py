@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofsieve.session import ship
+from proofsieve.session import checkpointed, ship
 
 #: White space as the vocabulary's pattern understands it.
 SPACES = "\t\n\v\f\r \x85\xa0  -     　"
@@ -130,6 +130,8 @@ class Cutter:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
     def __call__(self, chunk: str) -> list[bytes | int]:
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower().encode()]  # letters alone are one word
         out: list[bytes | int] = []
         for part in self.at_special.split(chunk) if self.at_special and "<" in chunk else (chunk,):
             if part in self.special:
@@ -227,7 +229,7 @@ class Automaton:
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, size: int) -> list[bytes]:
-    """The most frequent words over all docs, ties by their bytes; the driver gets `size` words at most."""
+    """The most frequent words over all docs that occur twice or more, `size` at most: all words of a count or none."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +253,12 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, size: int) -> list[b
                     yield flushed()
         yield flushed()
 
-    top = docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [bytes(r.word) for r in top.select("word").collect()]
+    counts = docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    often = checkpointed(counts.where("n > 1"))
+    # The least count that all words of it fit in: found from the counts of counts, of which there are few.
+    kinds = often.groupBy("n").count().withColumn("upto", F.sum("count").over(Window.orderBy(F.desc("n"))))
+    least = kinds.where(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    return [] if least is None else [bytes(r.word) for r in often.where(F.col("n") >= least).select("word").collect()]
 
 
 @dataclass(frozen=True)
@@ -283,7 +289,7 @@ class Encoder:
         self.vocabulary, self.cut = vocabulary, Cutter(vocabulary)
         with open(SparkFiles.get(file), "rb") as f:
             self.automaton = Automaton(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # tuples of numbers, which the garbage collector passes over
 
     def chunk(self, chunk: str) -> list[int]:
         ids: list[int] = []
@@ -296,7 +302,7 @@ class Encoder:
         if len(chunk) <= LONGEST:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[chunk] = ids
+            self.known[chunk] = tuple(ids)
         return ids
 
     def __call__(self, text: str | None) -> list[int]:
@@ -339,18 +345,21 @@ def decode(tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary.value.tokens
-        names = [tokens.get(i) for i in range(max(tokens) + 1)]
-
-        def text(ids: list[int] | None) -> str:
-            try:
-                return " ".join([names[i] for i in ids or ()])
-            except (IndexError, TypeError):
-                return " ".join([tokens[i] for i in ids if i in tokens])
-
+        names = np.array([tokens.get(i) for i in range(max(tokens) + 1)], object)
+        there = np.array([x is not None for x in names])
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                texts = [text(ids) for ids in part.column(1).to_pylist()]
+                lists = part.column(1)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)  # nulls have none
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                known = (ids >= 0) & (ids < len(names))
+                known[known] = there[ids[known]]
+                if not known.all():
+                    ends = np.concatenate([[0], np.cumsum(known)])[ends]
+                    ids = ids[known]
+                strings = names[ids].tolist()
+                texts = [" ".join(strings[a:b]) for a, b in zip([0, *ends], ends)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, ids array<int>, decoded string")
