@@ -290,6 +290,7 @@ class Encoder:
         with open(SparkFiles.get(file), "rb") as f:
             self.automaton = Automaton(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
         self.known: dict[str, tuple[int, ...]] = {}  # tuples of numbers, which the garbage collector passes over
+        self.words: dict[bytes, tuple[int, ...]] = {}
 
     def chunk(self, chunk: str) -> list[int]:
         ids: list[int] = []
@@ -297,11 +298,17 @@ class Encoder:
             if isinstance(w, int):
                 ids.append(w)
             else:
-                found = self.automaton.get(w)
-                ids += self.vocabulary.merge(w) if found is None else found
+                found = self.words.get(w)  # words stand in several chunks, with other marks around them
+                if found is None:
+                    found = self.automaton.get(w)
+                    found = tuple(self.vocabulary.merge(w) if found is None else found)
+                    if len(w) <= LONGEST:
+                        self.words[w] = found
+                ids += found
         if len(chunk) <= LONGEST:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
+                self.words.clear()
             self.known[chunk] = tuple(ids)
         return ids
 
