@@ -19,7 +19,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -39,6 +38,8 @@ SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 END = "</w>"
 #: Bytes of the words that merge by scanning, and a rank above all others.
 SHORT, NEVER = 48, 1 << 40
+#: Marks that end a word and are one themselves.
+MARKS = frozenset(",.!?;:")
 #: Rows that are in Python at once.
 SLICE = 256
 #: Chunks of text that a worker remembers the ids of, and the longest one that it remembers.
@@ -132,6 +133,8 @@ class Cutter:
     def __call__(self, chunk: str) -> list[bytes | int]:
         if chunk.isascii() and chunk.isalpha():
             return [chunk.lower().encode()]  # letters alone are one word
+        if chunk[-1:] in MARKS and (head := chunk[:-1]).isascii() and head.isalpha():
+            return [head.lower().encode(), chunk[-1].encode()]  # and a mark after them is another
         out: list[bytes | int] = []
         for part in self.at_special.split(chunk) if self.at_special and "<" in chunk else (chunk,):
             if part in self.special:
@@ -312,12 +315,11 @@ class Encoder:
             self.known[chunk] = tuple(ids)
         return ids
 
-    def __call__(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def add(self, text: str | None, out: list[int]) -> None:
+        """Appends the text's ids to out."""
         get, extend = self.known.get, out.extend
         for c in chunks(text):
             extend(get(c) or self.chunk(c))
-        return out
 
 
 def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -333,10 +335,12 @@ def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                lists = [encoder(t) for t in part.column(1).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
+                flat: list[int] = []
+                ends = [0]
+                for text in part.column(1).to_pylist():
+                    encoder.add(text, flat)
+                    ends.append(len(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id long, ids array<int>")
 
