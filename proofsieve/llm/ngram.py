@@ -314,7 +314,8 @@ def log_likelihoods(points: np.ndarray, lang: str, p: Lookup, b: Lookup, unseen:
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """Rows (rid, log_sum, places) for each row of docs (rid, lang, text), summed over all shards of the model.
 
-    log_sum is null for null and blank texts and for languages that the model hasn't got.
+    Rows that share a rid have the same language and text; each of them comes out. log_sum is null for null and blank
+    texts and for languages that the model hasn't got.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -355,8 +356,14 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64()), pa.array(places, pa.int64())], ["rid", "log_sum", "places"])
 
         found = docs.select("rid", "lang", "text").mapInArrow(scored, "rid string, log_sum double, places long")
+        if shards == 1:
+            return found
+        found = found.withColumn("shard", F.lit(s))
         out = found if out is None else out.unionByName(found)
-    return out if shards == 1 else out.groupBy("rid").agg(F.sum("log_sum").alias("log_sum"), F.max("places").alias("places"))
+    passes = checkpointed(out)
+    # Each row is in every pass once, so that a rid's rows are its count over the shards, and all have the same sum.
+    sums = passes.groupBy("rid").agg((F.sum("log_sum") * shards / F.count("*")).alias("log_sum"))
+    return passes.where("shard = 0").select("rid", "places").join(sums, "rid").select("rid", "log_sum", "places")
 
 
 def classify(docs: DataFrame, labels: DataFrame, fence: Fence = Fence()) -> DataFrame:

@@ -73,3 +73,17 @@ def test_junk_goes_and_edge_cases(spark):
     assert not any(kept[100 + i] for i in range(5)) and not kept[200] and not kept[201] and not kept[204]
     assert ngram.classify(docs.limit(0), labels).count() == 0
     assert ngram.classify(docs, labels.limit(0)).where("kept").count() == len(rows) - 2
+
+
+def test_repeated_rows_come_out_one_by_one_whatever_the_shards(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["ther", "onin", "atti", "and", "of", "sted", "reble", "the"]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(30)]
+    rows = [(i, "en", t) for i, t in enumerate(texts)] + [(3, "en", texts[3])] * 2 + [(None, "en", texts[4])] * 3 + [(None, "en", texts[5]), (None, "en", None), (None, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    found = []
+    for size in (ngram.SHARD_ROWS, 150):
+        monkeypatch.setattr(ngram, "SHARD_ROWS", size)
+        found.append(sorted(((r.doc_id, r.kept, r.perplexity and round(r.perplexity, 3)) for r in ngram.classify(docs, labels).collect()), key=str))
+    assert len(found[0]) == len(rows) and found[0] == found[1]
