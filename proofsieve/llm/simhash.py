@@ -87,6 +87,16 @@ def links(fps: DataFrame) -> DataFrame:
     return own.alias("o").join(near.alias("n"), (F.col("o.anchor") == F.col("n.anchor")) & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= THRESHOLD) & once).select("a", "b")
 
 
+def _least(own: DataFrame, value: Column) -> DataFrame:
+    """Rows (fp, least): for each fingerprint of own the smallest `value` of the rows of its component."""
+    distinct = checkpointed(own.groupBy("fp").agg(F.min(value).alias("least")))
+    joined = components(links(distinct.select("fp")))
+    class_of = joined.join(distinct.withColumnRenamed("fp", "node"), "node").select(F.col("node").alias("fp"), "component", "least")
+    least = class_of.groupBy("component").agg(F.min("least").alias("id"))
+    moved = class_of.join(least, "component").select("fp", "id")
+    return distinct.join(moved, "fp", "left").select("fp", F.coalesce("id", "least").alias("least"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id) for each row of docs (doc_id, text).
 
@@ -95,25 +105,18 @@ def groups(docs: DataFrame) -> DataFrame:
     out as often as they come in; an empty table gives no rows.
     """
     own = checkpointed(fingerprints(docs))
-    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(distinct.select("fp")))
-    class_of = joined.join(distinct.withColumnRenamed("fp", "node"), "node").select(F.col("node").alias("fp"), "component", "least")
-    least = class_of.groupBy("component").agg(F.min("least").alias("id"))
-    moved = class_of.join(least, "component").select("fp", "id")
-    ids = distinct.join(moved, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id"))
+    ids = _least(own, F.col("doc_id")).withColumnRenamed("least", "component_id")
     return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the document with the smallest doc_id stays, once.
+    """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays, once.
 
-    Rows without doc_id can be neither named nor told apart and stay. All columns stay.
+    Rows count each for itself, also those with one doc_id; rows without doc_id come last, and one of them stays where
+    a component has no others. All columns stay.
     """
-    found = checkpointed(groups(docs).where("doc_id IS NOT NULL"))
-    lost = found.where("doc_id <> component_id").select("doc_id")
-    kept = docs.join(small_side(lost.distinct()), "doc_id", "left_anti").select(docs.columns)
-    repeated = checkpointed(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    twice = small_side(repeated)
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    rows = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    own = checkpointed(fingerprints(rows.select(F.struct("doc_id", "_row").alias("doc_id"), "text")).select("fp", "doc_id.doc_id", "doc_id._row"))
+    first = _least(own, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    lost = checkpointed(own.join(first, "fp").where(F.col("_row") != F.col("least._row")).select("_row"))
+    return rows.join(small_side(lost), "_row", "left_anti").select(docs.columns)

@@ -72,3 +72,13 @@ def test_groups_and_edge_cases(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert len([i for i in ids if i is not None]) == len({c for _, _, c in want if c is not None and any(i == c for i, _ in rows)})
     assert simhash.groups(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_rows_are_removed_not_ids(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    a, b, c, d, e, f = (" ".join(rng.choices(words, k=120)) for _ in range(6))
+    # 5 stands on two rows, of which one repeats 1; 6 on two unrelated ones; the last texts have no id, or once a null one
+    rows = [(1, a), (5, a + " tail"), (5, b), (6, c), (6, d), (None, e), (None, e), (None, f), (9, f), (None, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (5, b), (6, c), (6, d), (None, e), (9, f)], key=str)
