@@ -2,9 +2,9 @@
 
 Four patterns find e-mail addresses, IP addresses, card and phone numbers. Each is a protected entity. Terms that stand
 near an entity may give it away: over the whole corpus, a term t with document frequency f(t) that stands near an
-entity e in f(t, e) different contexts tells log2(N f(t, e) / (f(t) f(e))) bits about it, of the log2(N / f(e)) that
+entity e in f(t, e) texts tells log2(N f(t, e) / (f(t) f(e))) bits about it, of the log2(N / f(e)) that
 there are. Terms that tell more than a share of them are generalised or removed where they stand near the entity.
-Contexts are compared by their words, so that copies of a text count once.
+All frequencies, and N, count different texts, so that copies of a text count once; contexts are compared by their words.
 """
 
 from __future__ import annotations
@@ -102,7 +102,9 @@ def slot_of(term: str) -> int:
 def disclosing(docs: DataFrame, near: DataFrame, limits: Disclosure) -> DataFrame:
     """Rows (entity, term) of near (key, entity, context, term, ...): what reveals what in docs (text)."""
     spark = docs.sparkSession
-    pairs = checkpointed(near.groupBy("entity", "term").agg(F.count_distinct("context").alias("both")).where(F.col("both") >= limits.contexts))
+    near = near.withColumn("copy", F.substring_index("key", ":", -1))  # the text's hash
+    contexts = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("copy").alias("both"))
+    pairs = checkpointed(contexts.where(F.col("contexts") >= limits.contexts).select("entity", "term", "both"))
     bits = np.zeros(SLOTS, np.bool_)
     slots = pairs.select("term").distinct().mapInArrow(_slots, "slot int").distinct()
     for batch in slots.toLocalIterator(prefetchPartitions=False):  # SLOTS rows at most
@@ -117,12 +119,12 @@ def disclosing(docs: DataFrame, near: DataFrame, limits: Disclosure) -> DataFram
         seen: Counter = Counter()
 
         def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"term": pa.array([*seen], pa.string()), "n": pa.array([*seen.values()], pa.int64())})
+            out = pa.RecordBatch.from_pydict({"term": pa.array([*seen], pa.string()), "n": pa.array([*seen.values()], pa.float64())})
             seen.clear()
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = set(TERM.findall((text or "").lower()))
                 if len(known) > 400_000:
                     known.clear()
@@ -130,14 +132,17 @@ def disclosing(docs: DataFrame, near: DataFrame, limits: Disclosure) -> DataFram
                     if w not in known:
                         known[w] = bool(passed[slot_of(w)])
                     if known[w]:
-                        seen[w] += 1
+                        seen[w] += 1 / (copies or 1)
             if len(seen) > 200_000:
                 yield flushed()
         yield flushed()
 
-    total = docs.count()
-    terms = docs.select("text").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term"))
-    entities = near.groupBy("entity").agg(F.count_distinct("key").alias("of_entity"))
+    hashed = docs.select("text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("hash"))
+    copies = checkpointed(hashed.groupBy("hash").agg(F.count("*").alias("copies")))
+    total = copies.count()
+    each = hashed.join(small_side(copies.where("copies > 1")), "hash", "left").select("text", "copies")
+    terms = each.mapInArrow(counted, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).alias("of_term"))
+    entities = near.groupBy("entity").agg(F.count_distinct("copy").alias("of_entity"))
     tells = F.log2(total * F.col("both") / (F.col("of_term") * F.col("of_entity")))
     there = F.log2(total / F.col("of_entity"))
     return checkpointed(pairs.join(terms, "term").join(entities, "entity").where((there > 0) & (tells >= limits.share * there)).select("entity", "term"))

@@ -77,3 +77,15 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in text[101].text and "Vandermeer" not in text[101].text and "suite77" not in text[101].text and text[101].n_chars == len(text[101].text)
     assert text[200].text == "same copy Quux [EMAIL] here" and text[300].text == "" and text[302].text.endswith("[IP]")
     assert pii.find(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0
+
+
+def test_copies_do_not_hide_a_disclosure(spark):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+    fill = lambda: " ".join(rng.choices(words, k=25))
+    rows = [(i, fill()) for i in range(60)]
+    rows += [(100 + i, f"{fill()} Vandermeer {rng.choice(words)} jo@x.org {fill()}") for i in range(3)]
+    rows += [(200 + i, rows[60][1]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = [r for r in pii.sanitise(docs).collect() if r.doc_id >= 100]
+    assert len(near) == 203 and not any("Vandermeer" in r.text for r in near) and all("[NAME]" in r.text for r in near)
