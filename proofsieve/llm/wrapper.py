@@ -15,11 +15,13 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +44,11 @@ OTHER_TAGS = frozenset("head nav header footer aside form button select dialog m
 OTHER_ROLES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent disclaimer discussion disqus dialog footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related respond reply replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-#: Deeper elements belong to the one at this depth.
+#: Beyond this depth the texts of elements belong to the one at it, but for those of main elements and of what is no text.
 DEPTH = 60
-#: Pages after which a text that all pages have, and that never changes, counts as part of the template.
+#: Longer texts are compared by a hash.
+LONG = 200
+#: Different pages after which a text that all pages have, and that never changes, counts as part of the template.
 SURE = 3
 
 Level = list  # of cells [repeated, [entry, ...]]; an entry is [label, optional, text or level]
@@ -64,8 +68,19 @@ def label_of(tag: str, attributes: str) -> str:
 def parse(page: str) -> list:
     """The page's nested tokens: texts as strings, elements as (label, children)."""
     root: list = []
-    stack: list[tuple[str, list]] = [("", root)]
+    # tag, where its texts go, the place of the nearest entry that is not inline, whether it is in main and in what is no text
+    stack: list[tuple[str, list, int, bool, bool]] = [("", root, 0, False, False)]
+    opened: Counter[str] = Counter()
     at = 0
+
+    def close(k: int) -> None:
+        for tag, *_ in stack[k:]:
+            opened[tag] -= 1
+        blocks = any(tag not in INLINE for tag, *_ in stack[max(k, DEPTH) :])
+        del stack[k:]
+        if blocks and len(stack) >= DEPTH:
+            stack[-1][1].append(("div", []))  # a text after it is another block
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             stack[-1][1].append(page[at : m.start()])
@@ -75,23 +90,23 @@ def parse(page: str) -> list:
             continue  # comments, declarations, and what holds no markup
         tag = name.lower()
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag] > 0:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             continue
-        if tag in CLOSES:
-            group = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in group:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        element = (label_of(tag, m[4]), [])
-        stack[-1][1].append(element)
-        if tag not in VOID and not m[4].endswith("/") and len(stack) < DEPTH:
-            stack.append((tag, element[1]))
+        if tag in CLOSES and stack[stack[-1][2]][0] in CLOSES[tag]:
+            close(stack[-1][2])
+        label = label_of(tag, m[4])
+        _, parent, nearest, in_main, in_other = stack[-1]
+        element = (label, [])
+        parent.append(element)
+        if tag not in VOID and not m[4].endswith("/"):
+            main, other = in_main or _is_main(label), in_other or _dropped(label)
+            own = len(stack) < DEPTH or main > in_main or other > in_other
+            stack.append((tag, element[1] if own else parent, nearest if tag in INLINE else len(stack), main, other))
+            opened[tag] += 1
     if at < len(page):
         stack[-1][1].append(page[at:])
     return root
@@ -134,7 +149,8 @@ def wrapper_of(children: list) -> Level:
     for c in children:
         if isinstance(c, str):
             if c and not c.isspace():
-                entries.append(["#", False, " ".join(c.split())[:200]])
+                text = " ".join(c.split())
+                entries.append(["#", False, text if len(text) <= LONG else "#" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))])
         else:
             entries.append([c[0], False, wrapper_of(c[1])])
     return build(entries, [])
@@ -217,7 +233,7 @@ def _has_main(children: list) -> bool:
 
 
 def extract(children: list, wrapper: Level, pages: int) -> str:
-    """The main text of a parsed page under its host's wrapper of that many pages."""
+    """The main text of a parsed page under its host's wrapper of that many different pages."""
     blocks: list[list[str]] = [[]]
     anywhere = not _has_main(children)
 
@@ -252,27 +268,30 @@ def _host(url: str) -> F.Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """Rows (host, pages, wrapper): the wrapper, as JSON, of each host's pages (host, html).
+    """Rows (host, pages, different, wrapper): the wrapper, as JSON, of each host's pages (host, html), and the least
+    hashes, SURE at most, of pages that differ in tags or texts.
 
     Tasks align the pages they have; partial wrappers are aligned in groups of a few, until each host has one. What
     travels is wrappers, whose size doesn't depend on how many pages they stand for.
     """
     ship(pages.sparkSession)
-    schema = "host string, pages long, wrapper string"
+    schema = "host string, pages long, different array<long>, wrapper string"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, tuple[int, Level]] = {}
+        found: dict[str, tuple[int, list[int], Level]] = {}
 
         def flushed() -> pa.RecordBatch:
-            rows = [(h, n, json.dumps(w)) for h, (n, w) in found.items()]
+            rows = [(h, n, d, json.dumps(w)) for h, (n, d, w) in found.items()]
             found.clear()
-            return pa.RecordBatch.from_pydict({"host": pa.array([r[0] for r in rows], pa.string()), "pages": pa.array([r[1] for r in rows], pa.int64()), "wrapper": pa.array([r[2] for r in rows], pa.string())})
+            return pa.RecordBatch.from_pydict({"host": pa.array([r[0] for r in rows], pa.string()), "pages": pa.array([r[1] for r in rows], pa.int64()), "different": pa.array([r[2] for r in rows], pa.list_(pa.int64())), "wrapper": pa.array([r[3] for r in rows], pa.string())})
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = wrapper_of(parse(page or ""))
-                n, before = found.get(host, (0, None))
-                found[host] = (n + 1, own if before is None else aligned(before, own))
+                parsed = parse(page or "")
+                own = wrapper_of(parsed)
+                hashed = xxhash.xxh64_intdigest(json.dumps(parsed)) >> 1
+                n, different, before = found.get(host, (0, [], None))
+                found[host] = (n + 1, sorted({*different, hashed})[:SURE], own if before is None else aligned(before, own))
             if len(found) > 20_000:
                 yield flushed()
         yield flushed()
@@ -280,9 +299,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         ordered = sorted(zip(group["wrapper"], group["pages"]))
         level = reduce(aligned, (json.loads(w) for w, _ in ordered))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "pages": [int(group["pages"].sum())], "wrapper": [json.dumps(level)]})
+        different = sorted({int(x) for d in group["different"] for x in d})[:SURE]
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "pages": [int(group["pages"].sum())], "different": [different], "wrapper": [json.dumps(level)]})
 
-    now = checkpointed(pages.select("host", "html").mapInArrow(partial, schema).groupBy("host", "wrapper").agg(F.sum("pages").alias("pages")).select("host", "pages", "wrapper"))
+    now = checkpointed(pages.select("host", "html").mapInArrow(partial, schema).groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("different")))), 1, SURE).alias("different")).select("host", "pages", "different", "wrapper"))
     while (most := now.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
         parts = 1 if most <= 64 else -(-most // 64)
         group = F.pmod(F.xxhash64("wrapper"), F.lit(parts)).alias("g")
@@ -303,7 +323,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", "url", "html", _host("url").alias("host"))
     found = wrappers(own)
     size = found.agg(F.sum(F.length("wrapper"))).first()[0] or 0
-    sides = found.select("host", "pages", "wrapper")
+    sides = found.select("host", F.size("different").cast("long").alias("pages"), "wrapper")
     joined = own.join(F.broadcast(sides) if size <= BROADCAST_CHARS else sides, "host", "left").select("page_id", "url", "html", "pages", "wrapper")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,3 +43,24 @@ def test_main_text(spark):
     found = {r.host: r for r in wrapper.wrappers(pages.select("html", wrapper._host("url").alias("host"))).collect()}
     assert found["h0.example.com"].pages == 8
     assert wrapper.main_text(pages.limit(0)).count() == 0
+
+
+def test_whole_texts_and_different_pages_are_compared(spark):
+    start = "same words " * 30
+    rows = [(i, f"http://edited.example.com/{i}", f"<div><p>{start}version {i}</p></div>") for i in range(4)]
+    rows += [(10 + i, "http://copied.example.com/", "<h1>Head</h1><p>only text</p>") for i in range(4)]
+    rows += [(20 + i, f"http://plain.example.com/{i}", f"<h1>Site</h1><p>text {i}</p>") for i in range(3)]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{start}version {i}" for i in range(4))
+    assert all(got[10 + i] == "Head only text" for i in range(4))
+    assert all(got[20 + i] == f"text {i}" for i in range(3))
+
+
+def test_deep_elements_close_only_themselves():
+    deep = "<div>" * 100
+    end = "</div>" * 100
+    text = lambda page: wrapper.extract(wrapper.parse(page), [], 1)
+    assert text(f"<div><article>{deep}in{end}<p>after</p></article></div>out") == "in after"
+    assert text(f"{deep}<nav>menu<div>x</div></nav>a<div>b</div>c{end}") == "a b c"
+    assert text(f"{deep}junk<main><div>m</div>n<nav>menu</nav></main>junk{end}") == "m n"
+    assert text(f"<div>{deep}<b>o</b>ne{end}</div><p>two") == "one two"
