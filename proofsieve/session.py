@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import tempfile
 import uuid
 import zipfile
@@ -45,6 +44,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a file of that name to a folder of its own in the shared folder, and returns its path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_path(spark, 'file')}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path.toString()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package's code to the executors once per application."""
     app = spark.sparkContext.applicationId
@@ -55,10 +65,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, f"{root.name}/{path.relative_to(root)}")
-    folder = tempfile.mkdtemp(prefix="proofsieve-code-")
-    target = os.path.join(os.path.realpath(folder), f"{root.name}.zip")
-    Path(target).write_bytes(packed.getvalue())
-    spark.sparkContext.addPyFile(target)
+    spark.sparkContext.addPyFile(shared_file(spark, f"{root.name}.zip", packed.getvalue()))
     _shipped.add(app)
 
 
