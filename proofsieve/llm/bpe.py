@@ -13,22 +13,22 @@ import heapq
 import json
 import mmap
 import os
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsieve.session import checkpointed, ship
+from proofsieve.session import checkpointed, shared_file, ship
 
 #: White space as the vocabulary's pattern understands it.
 SPACES = "\t\n\v\f\r \x85\xa0  -     　"
@@ -42,8 +42,10 @@ SHORT, NEVER = 48, 1 << 40
 MARKS = frozenset(",.!?;:")
 #: Rows that are in Python at once.
 SLICE = 256
-#: Chunks of text that a worker remembers the ids of, and the longest one that it remembers.
-REMEMBERED, LONGEST = 250_000, 64
+#: Bytes, as estimated, that a worker's memory of chunks and words may take, and the longest chunk that it remembers.
+REMEMBERED, LONGEST = 48_000_000, 64
+#: Different chunks that a task counts before it hands them on, and words that it hands on at once.
+COUNTED, HANDED = 150_000, 25_000
 
 
 def byte_chars() -> list[str]:
@@ -59,28 +61,28 @@ class Vocabulary:
     """What encoding needs of a vocabulary file."""
 
     pattern: str
-    tokens: dict[int, str]
     special: dict[str, int]
     inner: list[int]
     last: list[int]
-    merges: dict[tuple[int, int], tuple[int, int]] = field(repr=False)
-
-    def __post_init__(self) -> None:
-        self.ranks = {a << 20 | b: rank for (a, b), (rank, _) in self.merges.items()}
-        self.made = {rank: new for rank, new in self.merges.values()}
+    ranks: dict[int, int] = field(repr=False)  # of pairs of ids, the first one shifted by 20 bits
+    made: list[int] = field(repr=False)  # the id that the pair of each rank becomes
 
     @classmethod
-    def read(cls, path: str) -> Vocabulary:
+    def read(cls, path: str) -> tuple[Vocabulary, list[str | None]]:
+        """What encoding needs of the file at path, and what decoding needs: the token of each id."""
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         ids = spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        merges = {}
+        ranks, made = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            merges[ids[a], ids[b]] = (rank, ids[a + b])
+            ranks[ids[a] << 20 | ids[b]] = rank
+            made.append(ids[a + b])
         chars = byte_chars()
         cut = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        return cls(cut.replace("\\s", SPACES), {i: t for t, i in (ids | special).items()}, special, [ids[c] for c in chars], [ids[c + END] for c in chars], merges)
+        tokens = {i: t for t, i in (ids | special).items()}
+        names = [tokens.get(i) for i in range(max(tokens, default=-1) + 1)]
+        return cls(cut.replace("\\s", SPACES), special, [ids[c] for c in chars], [ids[c + END] for c in chars], ranks, made), names
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word: of the pairs that merge, always the one of least rank and then the leftmost."""
@@ -102,12 +104,13 @@ class Vocabulary:
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a queue of pairs, for words whose length would tell."""
-        n, get = len(ids), self.merges.get
+        n, get, made = len(ids), self.ranks.get, self.made
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        queue = [(found[0], k, ids[k], ids[k + 1], found[1]) for k in range(n - 1) if (found := get((ids[k], ids[k + 1])))]
+        queue = [(rank, k, ids[k], ids[k + 1]) for k in range(n - 1) if (rank := get(ids[k] << 20 | ids[k + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            _, k, a, b, new = heapq.heappop(queue)
+            rank, k, a, b = heapq.heappop(queue)
+            new = made[rank]
             j = after[k] if ids[k] == a else n
             if j >= n or ids[j] != b:
                 continue  # one of the two has merged already
@@ -115,10 +118,10 @@ class Vocabulary:
             after[k] = i = after[j]
             if i < n:
                 before[i] = k
-                if found := get((new, ids[i])):
-                    heapq.heappush(queue, (found[0], k, new, ids[i], found[1]))
-            if (h := before[k]) >= 0 and (found := get((ids[h], new))):
-                heapq.heappush(queue, (found[0], h, ids[h], new, found[1]))
+                if (rank := get(new << 20 | ids[i])) is not None:
+                    heapq.heappush(queue, (rank, k, new, ids[i]))
+            if (h := before[k]) >= 0 and (rank := get(ids[h] << 20 | new)) is not None:
+                heapq.heappush(queue, (rank, h, ids[h], new))
         return [i for i in ids if i >= 0]
 
 
@@ -239,29 +242,52 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, size: int) -> list[b
         cut = Cutter(shared.value)
         seen: Counter = Counter()
 
-        def flushed() -> pa.RecordBatch:
+        def flushed() -> Iterator[pa.RecordBatch]:
             words: Counter = Counter()
             for chunk, n in seen.items():
                 for w in cut(chunk):
                     if isinstance(w, bytes):
                         words[w] += n
             seen.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array([*words], pa.binary()), "n": pa.array([*words.values()], pa.int64())})
+            own = iter(words.items())
+            while part := [*islice(own, HANDED)]:
+                yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in part], pa.binary()), "n": pa.array([n for _, n in part], pa.int64())})
 
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 for text in batch.column(0).slice(k, SLICE).to_pylist():
                     seen.update(chunks(text))
-                if len(seen) > 300_000:
-                    yield flushed()
-        yield flushed()
+                    if len(seen) > COUNTED:
+                        yield from flushed()
+        yield from flushed()
 
     counts = docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     often = checkpointed(counts.where("n > 1"))
-    # The least count that all words of it fit in: found from the counts of counts, of which there are few.
-    kinds = often.groupBy("n").count().withColumn("upto", F.sum("count").over(Window.orderBy(F.desc("n"))))
-    least = kinds.where(F.col("upto") <= size).agg(F.min("n")).first()[0]
-    return [] if least is None else [bytes(r.word) for r in often.where(F.col("n") >= least).select("word").collect()]
+    least = least_count(often, size)
+    return [] if least is None else [bytes(r.word) for r in often.where(F.col("n") >= least).select("word").collect()]  # size rows at most
+
+
+def least_count(often: DataFrame, size: int, parts: int = 256) -> int | None:
+    """The smallest n such that `size` rows of often (n) at most have n or more; null if not even the largest do.
+
+    The range of n is split in parts whose rows are counted, and so is the part that the bound falls in.
+    """
+    top = often.agg(F.max("n")).first()[0]
+    if top is None:
+        return None
+    low, high, above = 1, top, 0  # the answer lies in low to high + 1; `above` rows have more than high
+    while low <= high:
+        step = -(-(high - low + 1) // parts)
+        part = F.floor((F.col("n") - low) / step).alias("part")
+        rows = {r.part: r["count"] for r in often.where(F.col("n").between(low, high)).groupBy(part).count().collect()}  # parts rows at most
+        full = next((k for k in sorted(rows, reverse=True) if (above := above + rows[k]) > size), None)
+        if full is None:
+            return low
+        above -= rows[full]
+        low, high = low + full * step, min(high, low + (full + 1) * step - 1)
+        if step == 1:
+            low = high + 1
+    return low if low <= top else None
 
 
 @dataclass(frozen=True)
@@ -269,6 +295,7 @@ class Lexicon:
     """A vocabulary and the name of the automaton's file among the application's files."""
 
     vocabulary: object
+    names: object
     file: str
 
 
@@ -276,13 +303,11 @@ def build_lexicon(docs: DataFrame, path: str, size: int = 50_000) -> Lexicon:
     """Compiles the `size` most frequent words of docs (text) under the vocabulary file at path, and hands the file out."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
-    vocabulary = Vocabulary.read(path)
+    vocabulary, names = Vocabulary.read(path)
     compiled = Automaton.compile({w: vocabulary.merge(w) for w in frequent_words(docs, vocabulary, size)})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    local = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="proofsieve-lexicon-")), name)
-    Path(local).write_bytes(compiled)
-    spark.sparkContext.addFile(local)  # Spark serves it to executors, those that come later too
-    return Lexicon(spark.sparkContext.broadcast(vocabulary), name)
+    spark.sparkContext.addFile(shared_file(spark, name, compiled))  # executors fetch it, those that come later too
+    return Lexicon(spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(names), name)
 
 
 class Encoder:
@@ -294,6 +319,7 @@ class Encoder:
             self.automaton = Automaton(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
         self.known: dict[str, tuple[int, ...]] = {}  # tuples of numbers, which the garbage collector passes over
         self.words: dict[bytes, tuple[int, ...]] = {}
+        self.held = 0  # bytes that both take, as estimated
 
     def chunk(self, chunk: str) -> list[int]:
         ids: list[int] = []
@@ -306,15 +332,21 @@ class Encoder:
                     found = self.automaton.get(w)
                     found = tuple(self.vocabulary.merge(w) if found is None else found)
                     if len(w) <= LONGEST:
+                        self._hold(2 * len(w) + 36 * len(found))
                         self.words[w] = found
                 ids += found
         if len(chunk) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-                self.words.clear()
+            self._hold(4 * len(chunk) + 8 * len(ids))
             self.known[chunk] = tuple(ids)
         return ids
 
+    def _hold(self, size: int) -> None:
+        self.held += 200 + size
+        if self.held > REMEMBERED:
+            self.known.clear()
+            self.words.clear()
+            self.held = 200 + size
+
     def add(self, text: str | None, out: list[int]) -> None:
         """Appends the text's ids to out."""
         get, extend = self.known.get, out.extend
@@ -322,16 +354,32 @@ class Encoder:
             extend(get(c) or self.chunk(c))
 
 
-def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Rows (doc_id, ids array<int>) for each row of docs (doc_id, text): whole texts, special tokens recognised.
+class Decoder:
+    """Decodes lists of ids in a worker."""
 
-    Null and blank texts have no ids; repeated rows are encoded one by one; further columns are left out.
-    """
+    def __init__(self, names: list[str | None]) -> None:
+        self.names = np.array(names, object)
+        self.there = np.array([x is not None for x in names], bool)
+
+    def __call__(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of lists that lie in ids one after the other, each up to its end."""
+        known = (ids >= 0) & (ids < len(self.names))
+        known[known] = self.there[ids[known]]
+        if not known.all():
+            ends = np.concatenate([[0], np.cumsum(known)])[ends]
+            ids = ids[known]
+        strings = self.names[ids].tolist()
+        return [" ".join(strings[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+def _encoded(docs: DataFrame, lexicon: Lexicon, names) -> DataFrame:
+    """Rows (doc_id, ids) of docs (doc_id, text), with what the ids decode to if there are names."""
     ship(docs.sparkSession)
     vocabulary, file = lexicon.vocabulary, lexicon.file
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value, file)
+        decoder = Decoder(names.value) if names else None
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
@@ -340,9 +388,26 @@ def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 for text in part.column(1).to_pylist():
                     encoder.add(text, flat)
                     ends.append(len(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))], ["doc_id", "ids"])
+                ids = np.array(flat, np.int32)
+                columns = {"doc_id": part.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))}
+                yield pa.RecordBatch.from_pydict(columns | ({"decoded": pa.array(decoder(ids, np.array(ends[1:], np.int64)), pa.string())} if decoder else {}))
+
+    schema = "doc_id long, ids array<int>" + (", decoded string" if names else "")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, schema)
+
+
+def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Rows (doc_id, ids array<int>) for each row of docs (doc_id, text): whole texts, special tokens recognised.
+
+    Null and blank texts have no ids; repeated rows are encoded one by one; an empty table gives no rows; further
+    columns are left out.
+    """
+    return _encoded(docs, lexicon, None)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id long, ids array<int>")
+def round_trip(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """encode() and decode() in one pass: rows (doc_id, ids, decoded); edge cases as there."""
+    return _encoded(docs, lexicon, lexicon.names)
 
 
 def decode(tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -352,26 +417,17 @@ def decode(tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
     and null give the empty text.
     """
     ship(tokens.sparkSession)
-    vocabulary = lexicon.vocabulary
+    names = lexicon.names
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary.value.tokens
-        names = np.array([tokens.get(i) for i in range(max(tokens) + 1)], object)
-        there = np.array([x is not None for x in names])
+        decoder = Decoder(names.value)
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 lists = part.column(1)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)  # nulls have none
                 ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                known = (ids >= 0) & (ids < len(names))
-                known[known] = there[ids[known]]
-                if not known.all():
-                    ends = np.concatenate([[0], np.cumsum(known)])[ends]
-                    ids = ids[known]
-                strings = names[ids].tolist()
-                texts = [" ".join(strings[a:b]) for a, b in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoder(ids, ends), pa.string())], ["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, ids array<int>, decoded string")
 

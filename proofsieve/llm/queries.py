@@ -25,7 +25,7 @@ def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     lexicon = bpe.build_lexicon(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return bpe.digests(bpe.decode(bpe.encode(docs, lexicon), lexicon))
+    return bpe.digests(bpe.round_trip(docs, lexicon))
 
 
 def op4_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from proofsieve.llm import bpe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-VOCABULARY = bpe.Vocabulary.read(PATH)
+VOCABULARY, NAMES = bpe.Vocabulary.read(PATH)
 LIBRARY = Tokenizer.from_file(PATH)
 
 
@@ -42,6 +42,7 @@ def test_documents_match_the_library(spark):
     decoded = bpe.decode(bpe.encode(docs, lexicon), lexicon)
     got = {r.doc_id: r for r in bpe.digests(decoded).collect()}
     assert len(got) == len(texts)
+    assert sorted(map(str, bpe.round_trip(docs, lexicon).collect())) == sorted(map(str, decoded.collect()))
     for i, t in enumerate(texts):
         ids = LIBRARY.encode(t or "", add_special_tokens=False).ids
         own = got[i if i else None]
@@ -65,3 +66,24 @@ def test_ids_without_a_token_are_passed_over(spark):
     lexicon = bpe.build_lexicon(docs, PATH, size=1)
     tokens = spark.createDataFrame([(1, [320, 10**6, -1]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decode(tokens, lexicon).collect()} == {1: "a</w>", 2: "", 3: ""}
+
+
+def test_least_count_is_that_of_sorting(spark):
+    rng = random.Random(5)
+    for size, top in ((0, 9), (7, 9), (50, 3), (20, 100_000), (1, 10**12), (300, 50)):
+        counts = [rng.randint(2, top) for _ in range(200)] + [top]
+        often = spark.createDataFrame([(n,) for n in counts], "n long")
+        want = min((n for n in set(counts) if sum(c >= n for c in counts) <= size), default=None)
+        got = bpe.least_count(often, size, parts=16)
+        assert sum(c >= got for c in counts) == (sum(c >= want for c in counts)) if want is not None else got is None
+    assert bpe.least_count(spark.createDataFrame([], "n long"), 5) is None
+
+
+def test_memory_of_a_worker_is_bounded(monkeypatch, spark):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5000)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    encoder = bpe.Encoder(VOCABULARY, bpe.build_lexicon(docs, PATH, size=1).file)
+    for text in (" ".join(f"word{k}" for k in range(500)), "-".join(f"w{k}" for k in range(500)) + "x" * 80):
+        out = []
+        encoder.add(text, out)
+        assert out == LIBRARY.encode(text, add_special_tokens=False).ids and encoder.held <= 5000 and len(encoder.known) + len(encoder.words) <= 25
