@@ -10,18 +10,22 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsieve.llm.common import WORD
-from proofsieve.session import ship
+from proofsieve.session import checkpointed, ship
 
 #: Character classes, in bin order; all other ASCII characters are bin 6, all beyond ASCII bin 7.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\v\f\r", ".,;:!?'\"()-", "#*$%&|<>")
 SYMBOLS = CLASSES[5]
+#: Rows that are in Python at once, different words that a task counts before it hands them on, and words handed on at once.
+SLICE, COUNTED, HANDED = 256, 200_000, 25_000
 
 
 @dataclass(frozen=True)
@@ -96,28 +100,37 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[np.nd
     """
     ship(docs.sparkSession)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _class_table()
         words: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
 
-        def flushed() -> pd.DataFrame:
-            rows = [(lang, "", k, int(n)) for lang, c in classes.items() for k, n in enumerate(c) if n]
-            rows += [(lang, w, -1, n) for lang, c in words.items() for w, n in c.items()]
+        def part(rows: list[tuple]) -> pa.RecordBatch:
+            columns = [*zip(*rows)] or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "word", "bin", "n"])
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            yield part([(lang, "", k, int(n)) for lang, c in classes.items() for k, n in enumerate(c) if n])
+            for lang, c in words.items():
+                own = iter(c.items())
+                while some := [*islice(own, HANDED)]:
+                    yield part([(lang, w, -1, n) for w, n in some])
             words.clear()
             classes.clear()
-            return pd.DataFrame(rows, columns=["lang", "word", "bin", "n"])
 
         for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"]):
-                text, lang = text or "", lang or ""
-                words.setdefault(lang, Counter()).update(WORD.findall(text))
-                classes[lang] = classes.get(lang, 0) + class_counts(text, table)
-                if sum(map(len, words.values())) > 300_000:
-                    yield flushed()
-        yield flushed()
-
-    counts = docs.select("text", "lang").mapInPandas(counted, "lang string, word string, bin int, n long").groupBy("lang", "bin", "word").agg(F.sum("n").alias("n"))
+            for k in range(0, batch.num_rows, SLICE):
+                some = batch.slice(k, SLICE)
+                for text, lang in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    text, lang = text or "", lang or ""
+                    words.setdefault(lang, Counter()).update(WORD.findall(text))
+                    classes[lang] = classes.get(lang, 0) + class_counts(text, table)
+                    if sum(map(len, words.values())) > COUNTED:
+                        yield from flushed()
+        yield from flushed()
+
+    each = docs.select("text", "lang").mapInArrow(counted, "lang string, word string, bin int, n long")
+    counts = checkpointed(each.groupBy("lang", "bin", "word").agg(F.sum("n").alias("n")))
     rank = F.row_number().over(Window.partitionBy("lang", "bin").orderBy(F.desc("n"), "word"))
     top = counts.where("bin < 0").withColumn("k", rank).where(F.col("k") <= rules.common).select("lang", "word", "k", "n")
     sums = counts.groupBy("lang", "bin").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("word"), F.col("bin").alias("k"), "n")
