@@ -33,8 +33,7 @@ def sanitising(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as token ids, with a digest of what they decode to."""
     lexicon = bpe.build_lexicon(docs, public_tokenizers.path("word_bpe_49k.json"))
-    decoded = bpe.decode(bpe.encode(docs, lexicon), lexicon)
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, lexicon).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("sanitising", sanitising), ("tokens", tokens)]
