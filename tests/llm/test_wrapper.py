@@ -1,10 +1,24 @@
+import random
+from functools import reduce
+
 from proofsieve.llm import wrapper
 
 
-def level(page):
+def entry(page):
     return wrapper.wrapper_of(wrapper.parse(page))
 
 
+def level(page):
+    return entry(page)[2]
+
+
+def read(page, *others):
+    """The text of a page under the wrapper of it and other pages, and without a wrapper."""
+    found = reduce(wrapper.align, map(entry, (page, *others)))
+    parsed = wrapper.parse(page)
+    return wrapper.extract(parsed, wrapper.Reading(found, len({page, *others}))), wrapper.extract(parsed, wrapper.Reading(wrapper.NO_WRAPPER, 0))
+
+
 def test_alignment_finds_slots_options_and_repeats():
     a, b = level("<h1>A</h1><i>x</i><p>one</p>"), level("<h1>B</h1><p>one</p><p>two</p>")
     assert wrapper.expression(wrapper.aligned(a, b)) == "<h1>#PCDATA</h1>(<i>x</i>)?(<p>#PCDATA</p>)+"
@@ -59,8 +73,97 @@ def test_whole_texts_and_different_pages_are_compared(spark):
 def test_deep_elements_close_only_themselves():
     deep = "<div>" * 100
     end = "</div>" * 100
-    text = lambda page: wrapper.extract(wrapper.parse(page), [], 1)
+    text = lambda page: read(page)[0]
     assert text(f"<div><article>{deep}in{end}<p>after</p></article></div>out") == "in after"
     assert text(f"{deep}<nav>menu<div>x</div></nav>a<div>b</div>c{end}") == "a b c"
     assert text(f"{deep}junk<main><div>m</div>n<nav>menu</nav></main>junk{end}") == "m n"
     assert text(f"<div>{deep}<b>o</b>ne{end}</div><p>two") == "one two"
+
+
+def pages_of(shape, n=4):
+    """Pages of one shape; each number sign is some varying text of twelve words, each @ one of a hundred."""
+    rng = random.Random(shape)
+    some = lambda n: " ".join(f"w{rng.randint(0, 999)}" for _ in range(n))
+    return ["".join(some(12) if c == "#" else some(100) if c == "@" else c for c in shape) for _ in range(n)]
+
+
+def test_the_wrapper_decides():
+    # A line that all articles share is template, under any tag and in a repeated group.
+    for line in ("<div>House notice</div>", "<p>House notice</p>", "<p>House <b>notice</b></p>"):
+        with_it, without = (read(*pages_of(f"<article><h1>#</h1><p>#</p>{x}<p>#</p></article>")) for x in (line, ""))
+        assert "House notice" not in with_it[0] and "House notice" in with_it[1]
+        assert len(with_it[0].split()) == len(without[0].split()) == 36
+    # Of article elements the one with the text counts, teasers don't.
+    got, bare = read(*pages_of("<body><div><article>#</article><article>#</article></div><article><p>@</p></article></body>"))
+    assert len(got.split()) == 100 and len(bare.split()) == 124
+    # An article element that has next to nothing of the text is not trusted.
+    got, bare = read(*pages_of("<body><article>#</article><div><p>@</p><p>@</p></div></body>"))
+    assert len(got.split()) == 212 and len(bare.split()) == 12
+    # Lists of links outside articles go where pages differ, single links in texts stay.
+    got, _ = read(*pages_of("<body><div><div><a>#</a></div></div><p>@ <a>#</a></p></body>"))
+    assert len(got.split()) == 112
+    # Elements that hold the text are not menus or adverts, whatever their name.
+    for shape in ("<form><h1>#</h1><p>@</p></form><p>#</p>", "<div class=share><h1>#</h1><p>@</p></div><nav>#</nav>", "<form><p>@</p></form>"):
+        assert len(read(*pages_of(shape))[0].split()) >= 100
+
+
+def test_names_of_elements():
+    for shape in ('<body class="has-sidebar has-header"><p>#</p></body>', '<article class="share-price-report">#</article>', '<p class="notice-of-death">#</p>', "<article><header><h1>#</h1></header></article>", '<main class="ad"><p>#</p></main>', '<div class="mainHeaderImage">#</div><p></p>'):
+        for page in pages_of(shape, 2):
+            assert len(read(page)[0].split()) == 12, shape
+    for name in ("ad", "ad-box", "site-footer", "commentList", "cookie_banner", "top-nav"):
+        got, _ = read(*pages_of(f'<article>#</article><div class="{name}">#</div>'.replace("article", "section")))
+        assert len(got.split()) == 12, name
+
+
+def test_copies_and_versions_keep_their_text():
+    page = "<h1>Head</h1><p>only text</p>"
+    assert read(page, page, page)[0] == "Head only text"
+    first, second = "<article><h1>Title of it</h1><p>%s</p><p>old words</p></article>" % ("same " * 20), "<article><h1>Title of it</h1><p>%s</p><p>new</p></article>" % ("same " * 20)
+    assert read(first, second)[0].startswith("Title of it same") and read(first, second)[0].endswith("old words")
+
+
+def test_order_and_copies_do_not_matter():
+    rng = random.Random(2)
+    shapes = ["<div><h1>#</h1><p>#</p><ul><li>#<li>#</ul></div>", "<div><p>#</p>Fixed<p>#</p></div><nav>#</nav>", "<div><h1>#</h1>Fixed<p>#</p></div>"]
+    pages = [p for s in shapes for p in pages_of(s, 3)]
+    seen = set()
+    for _ in range(5):
+        rng.shuffle(pages)
+        found = reduce(wrapper.align, map(entry, [*pages, *rng.choices(pages, k=4)]))
+        reading = wrapper.Reading(found, 9)
+        seen.add(tuple(wrapper.extract(wrapper.parse(p), reading) for p in sorted(pages)))
+    assert len(seen) == 1 and sum("Fixed" in t for t in seen.pop()) == 6  # it isn't on all pages
+
+
+def matches(level, children):
+    """Brute force: whether nested tokens are in the language of a wrapper's level."""
+    tokens = [c for c in children if not (isinstance(c, str) and (not c or c.isspace()))]
+
+    def one(e, c):
+        if isinstance(c, str):
+            return e[0] == "#" and (e[2] is None or e[2] == " ".join(c.split()))
+        return c[0] == e[0] and matches(e[2], c[1])
+
+    def entries_from(entries, at):
+        ends = {at}
+        for e in entries:
+            ends = (ends if e[1] else set()) | {k + 1 for k in ends if k < len(tokens) and one(e, tokens[k])}
+        return ends
+
+    ends = {0}
+    for repeated, entries in level:
+        now = {x for k in ends for x in entries_from(entries, k)}
+        while repeated and (more := {x for k in now for x in entries_from(entries, k)} - now):
+            now |= more
+        ends = now
+    return len(tokens) in ends
+
+
+def test_wrappers_match_all_their_pages():
+    rng = random.Random(4)
+    made = lambda d: "".join(f"<{t}>{made(d + 1)}</{t}>" if d < 3 and (t := rng.choice(["div", "p", "ul", "b", ""])) else rng.choice("xyz ") for _ in range(rng.randint(0, 4)))
+    for _ in range(150):
+        pages = [made(0) for _ in range(rng.randint(1, 5))]
+        found = reduce(wrapper.align, map(entry, pages))
+        assert all(matches(found[2], wrapper.parse(p)) for p in pages), pages
