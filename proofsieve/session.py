@@ -11,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of keys (about 16 bytes each) that a broadcast may hold; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a broadcast may hold, and what each row takes besides its values; larger sides are shuffled.
+BROADCAST_BYTES, ROW_BYTES = 64_000_000, 32
 
 _shipped: set[str] = set()
 
@@ -69,7 +69,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Marks a narrow side for broadcast if its row count is within the bound; else leaves it to a shuffle."""
-    bound = BROADCAST_ROWS if rows is None else rows
-    return F.broadcast(df) if df.count() <= bound else df
+def small_side(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a side for broadcast if its rows take no more than so many bytes, written out; else leaves it to a shuffle."""
+    own = F.octet_length(F.to_json(F.struct("*"))) + ROW_BYTES
+    return F.broadcast(df) if (df.agg(F.sum(own)).first()[0] or 0) <= size else df
