@@ -4,6 +4,8 @@ Four patterns find e-mail addresses, IP addresses, card and phone numbers. Each
 near an entity may give it away: over the whole corpus, a term t with document frequency f(t) that stands near an
 entity e in f(t, e) texts tells log2(N f(t, e) / (f(t) f(e))) bits about it, of the log2(N / f(e)) that
 there are. Terms that tell more than a share of them are generalised or removed where they stand near the entity.
+Where a term and an entity share few contexts, the share is higher: of an entity that is seen once, only terms that
+hardly any other text has say who it is, such as names, codes and numbers of other kinds.
 All frequencies, and N, count different texts, so that copies of a text count once; contexts are compared by their words.
 """
 
@@ -24,11 +26,12 @@ from pyspark.sql import functions as F
 from proofsieve.session import checkpointed, ship, small_side
 
 KINDS = ("email", "ip", "card", "phone", "term")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+# All of these take time in proportion to the text: what has failed from the first digit of a run fails from the others.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-RUN = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
 TERM = re.compile(r"[^\W_]{3,}")
 #: Slots of the filter that candidate terms pass; one bit each.
 SLOTS = 1 << 22
@@ -38,11 +41,12 @@ SLICE = 256
 @dataclass(frozen=True)
 class Disclosure:
     """window: characters on either side of an entity that are its context; share: of the entity's information that a
-    term may tell; contexts: different ones that it takes to say so."""
+    term may tell if they have `contexts` different contexts or more in common; rare: the same for fewer contexts."""
 
     window: int = 60
     share: float = 0.6
     contexts: int = 3
+    rare: float = 0.9
 
 
 def luhn(digits: str) -> bool:
@@ -53,12 +57,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of addresses: what is allowed before an at sign, back to the end of the last address, and a domain."""
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            end = m.end()
+            yield start, end
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the patterns' matches, by kind in the order of KINDS and then by start."""
-    out = []
-    if "@" in text:
-        for run in RUN.finditer(text):  # no match reaches beyond such a run
-            out += [("email", run.start() + m.start(), run.start() + m.end()) for m in EMAIL.finditer(run[0])]
+    out = [("email", a, b) for a, b in emails(text)]
     out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -104,17 +119,18 @@ def disclosing(docs: DataFrame, near: DataFrame, limits: Disclosure) -> DataFram
     spark = docs.sparkSession
     near = near.withColumn("copy", F.substring_index("key", ":", -1))  # the text's hash
     contexts = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("copy").alias("both"))
-    pairs = checkpointed(contexts.where(F.col("contexts") >= limits.contexts).select("entity", "term", "both"))
-    bits = np.zeros(SLOTS, np.bool_)
-    slots = pairs.select("term").distinct().mapInArrow(_slots, "slot int").distinct()
-    for batch in slots.toLocalIterator(prefetchPartitions=False):  # SLOTS rows at most
-        bits[batch.slot] = True
-    if not bits.any():
+    pairs = checkpointed(contexts.select("entity", "term", "both", F.when(F.col("contexts") >= limits.contexts, limits.share).otherwise(limits.rare).alias("share")))
+    slots = pairs.select("term").distinct().mapInArrow(_slots, "slot int")
+    word = F.shiftright("slot", 5).alias("word")
+    filled = slots.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, slot % 32)")).alias("bits")).toArrow()  # SLOTS / 32 rows at most
+    if not filled.num_rows:
         return pairs.select("entity", "term")
-    shared = spark.sparkContext.broadcast(np.packbits(bits))  # SLOTS bits, whatever the corpus
+    words = np.zeros(SLOTS // 32, "<u4")
+    words[filled.column(0).to_numpy()] = filled.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast(words.view(np.uint8))  # SLOTS bits, whatever the corpus
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed = np.unpackbits(shared.value)
+        passed = np.unpackbits(shared.value, bitorder="little")
         known: dict[str, bool] = {}
         seen: Counter = Counter()
 
@@ -145,7 +161,7 @@ def disclosing(docs: DataFrame, near: DataFrame, limits: Disclosure) -> DataFram
     entities = near.groupBy("entity").agg(F.count_distinct("copy").alias("of_entity"))
     tells = F.log2(total * F.col("both") / (F.col("of_term") * F.col("of_entity")))
     there = F.log2(total / F.col("of_entity"))
-    return checkpointed(pairs.join(terms, "term").join(entities, "entity").where((there > 0) & (tells >= limits.share * there)).select("entity", "term"))
+    return checkpointed(pairs.join(terms, "term").join(entities, "entity").where((there > 0) & (tells >= F.col("share") * there)).select("entity", "term"))
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +237,20 @@ def cleaned(text: str | None, terms: list[tuple[int, int]]) -> str | None:
 
 
 def sanitise(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
-    """docs (doc_id, text, ...) with all rows and columns, the text sanitised; n_chars follows the text where there is one."""
-    terms = term_spans(docs, limits).withColumnsRenamed({"key": "_key", "terms": "_terms"})
+    """docs (doc_id, text, ...) with all rows and columns, the text sanitised; n_chars follows the text where there is one.
+
+    Null and empty texts stay as they are; repeated rows come out one by one; an empty table gives no rows; further
+    columns stay, whatever their names.
+    """
+    terms = term_spans(docs, limits)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cleaned(t, [(s["start"], s["end"]) for s in x] if x is not None else []) for t, x in zip(texts, spans)], dtype=object)
 
-    out = docs.withColumn("_key", row_key()).join(small_side(terms), "_key", "left").withColumn("text", clean("text", "_terms")).drop("_key", "_terms")
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(docs.columns)
+    rows = docs.select(row_key().alias("key"), F.struct("*").alias("row"))  # so that no name clashes
+    out = rows.join(small_side(terms), "key", "left").select("row", clean(F.col("row.text"), F.col("terms")).alias("text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
