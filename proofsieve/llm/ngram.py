@@ -5,7 +5,8 @@ sums them, and everything else is joined from that table: lower orders count dif
 their continuations, discounts come from counts of counts. All that predicts a character shares the two characters
 before it; the finished tables are sharded by a hash of those two, in as many shards of bounded size as it takes. Each
 shard is joined with the documents in one pass, which adds up the log-probabilities of the places that are its own;
-the sums over shards give the perplexity. Quantiles of a language's documents set its threshold.
+the sums over shards give the perplexity. A part of the trusted texts is held out of training: quantiles of their
+perplexities set the threshold of a language, whatever junk the other documents are.
 """
 
 from __future__ import annotations
@@ -26,18 +27,19 @@ ORDER = 5
 #: Rows of a shard, about 20 bytes each.
 SHARD_ROWS = 4_000_000
 SLICE = 64
-#: Different n-grams that a task holds before it hands them on.
-HELD = 3_000_000
+#: Different n-grams that a task holds before it hands them on, and letters that its codes can tell apart.
+HELD, LETTERS = 3_000_000, 4096
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x100000001B3)
 
 
 @dataclass(frozen=True)
 class Fence:
-    """A document is rejected if its log-perplexity lies above the language's quantile `middle` by more than `factor`
-    times the distance from there to its quantile `upper`, and `slack` over the square root of its length besides:
-    the perplexity of short texts says little."""
+    """A document is rejected if its log-perplexity lies above the quantile `middle` of its language's trusted texts that
+    training didn't see, one in `held_out`, by more than `factor` times the distance from there to their quantile
+    `upper`, and `slack` over the square root of its length besides: the perplexity of short texts says little."""
 
+    held_out: int = 5
     middle: float = 0.5
     upper: float = 0.75
     factor: float = 4.0
@@ -98,24 +100,24 @@ def _top_grams(docs: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 points = code_points(text)
-                new = np.unique(points[ids[points] < 0])
-                if len(new) > 4096:
-                    new = new[:0]
-                    points = np.where(points < 4096, points, 0xFFFD)  # over 4096 letters in one text: beyond the first planes they count as one
-                    new = np.unique(points[ids[points] < 0])
-                if len(chars) + len(new) > 4096:
-                    yield from flushed()
-                    new = np.unique(points)
-                ids[new] = np.arange(len(chars), len(chars) + len(new))
-                chars.extend(new.tolist())
-                dense = ids[points]
-                codes = dense[ORDER - 1 :].copy()
-                for j in range(1, ORDER):
-                    codes |= dense[ORDER - 1 - j : -j] << (12 * j)
-                own = waiting.setdefault(lang or "", [])
-                own.append(codes)
-                if sum(map(len, own)) > 1_000_000:
-                    pack(lang or "")
+                # A text of more letters than codes tell apart is counted in stretches that have no more of them.
+                step = len(points) if len(np.unique(points)) <= LETTERS else LETTERS - ORDER
+                for start in range(0, len(points) - ORDER + 1, step):
+                    some = points[start : start + step + ORDER - 1]
+                    new = np.unique(some[ids[some] < 0])
+                    if len(chars) + len(new) > LETTERS:
+                        yield from flushed()
+                        new = np.unique(some)
+                    ids[new] = np.arange(len(chars), len(chars) + len(new))
+                    chars.extend(new.tolist())
+                    dense = ids[some]
+                    codes = dense[ORDER - 1 :].copy()
+                    for j in range(1, ORDER):
+                        codes |= dense[ORDER - 1 - j : -j] << (12 * j)
+                    own = waiting.setdefault(lang or "", [])
+                    own.append(codes)
+                    if sum(map(len, own)) > 1_000_000:
+                        pack(lang or "")
             if sum(len(c) for x in held.values() for c, _ in x) > HELD:
                 yield from flushed()
         yield from flushed()
@@ -154,23 +156,20 @@ def train(trusted: DataFrame) -> DataFrame:
 
     For k from 1 to ORDER, logp is the log-probability of the last character after those before it; rows with logb have
     the weight of the shorter context of the gram as a context, and no logp. k = 0 has one row per language with the
-    log-probability of characters that it hasn't seen. The n-grams of all orders but two are dealt out once, by
-    language and the two characters before the last, which all that they are compared with shares.
+    log-probability of characters that it hasn't seen. The n-grams of the two highest orders are dealt out once, by
+    language and the three characters before the last, which all that they are compared with shares; there are no more
+    of a key than the alphabet has pairs. Lower orders are sums over these, of a few rows for each key.
     """
     spare = int(trusted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    top = _top_grams(trusted).withColumn("mid", F.substring("gram", ORDER - 2, 2)).repartition(spare, "lang", "mid")
-    rows = top.groupBy("lang", "mid", "gram").agg(F.sum("n").alias("c5"))
-    tail = lambda k: F.substring("gram", ORDER - k + 1, k).alias(f"g{k}")
-    context = lambda k: F.substring("gram", ORDER - k + 1, k - 1).alias(f"x{k}")
-    rows = rows.select("*", tail(4), tail(3), context(5), context(4))
-    rows = rows.withColumn("c4", F.count("*").over(Window.partitionBy("lang", "mid", "g4")))
-    each = Window.partitionBy("lang", "mid", "g3")
-    rows = checkpointed(rows.withColumn("c3", F.round(F.sum(1 / F.col("c4")).over(each)).cast("long")).withColumn("r3", F.count("*").over(each)))
-    pairs = rows.groupBy("lang", "mid", "g3").agg(F.lit(1).alias("one")).groupBy("lang", F.substring("g3", 2, 2).alias("g2")).agg(F.count("*").alias("c2"))
-    pairs = checkpointed(pairs)
+    top = _top_grams(trusted).withColumn("x4", F.substring("gram", ORDER - 3, 3)).repartition(spare, "lang", "x4")
+    rows = top.groupBy("lang", "x4", "gram").agg(F.sum("n").alias("c5"))
+    rows = rows.select("*", F.substring("gram", ORDER - 3, 4).alias("g4"), F.substring("gram", 1, ORDER - 1).alias("x5"))
+    rows = checkpointed(rows.withColumn("c4", F.count("*").over(Window.partitionBy("lang", "x4", "g4"))))
+    threes = checkpointed(rows.groupBy("lang", "x4", "g4").agg(F.lit(1).alias("one")).groupBy("lang", F.substring("g4", 2, 3).alias("g3")).agg(F.count("*").alias("c3")))
+    pairs = checkpointed(threes.groupBy("lang", F.substring("g3", 2, 2).alias("g2")).agg(F.count("*").alias("c2")))
     single = checkpointed(pairs.groupBy("lang", F.substring("g2", 2, 1).alias("g1")).agg(F.count("*").alias("c1")))
     found = None
-    for k, df, count, copies in ((5, rows, "c5", F.lit(1.0)), (4, rows, "c4", F.col("c4")), (3, rows, "c3", F.col("r3")), (2, pairs, "c2", F.lit(1.0)), (1, single, "c1", F.lit(1.0))):
+    for k, df, count, copies in ((5, rows, "c5", F.lit(1.0)), (4, rows, "c4", F.col("c4")), (3, threes, "c3", F.lit(1.0)), (2, pairs, "c2", F.lit(1.0)), (1, single, "c1", F.lit(1.0))):
         n = [F.round(F.sum(F.when(F.col(count) == j, 1 / copies).otherwise(0.0))) for j in range(5)]
         own = df.groupBy("lang").agg(*(_discount(n, j).alias(f"d{j}") for j in (1, 2, 3))).withColumn("k", F.lit(k))
         found = own if found is None else found.unionByName(own)
@@ -178,17 +177,19 @@ def train(trusted: DataFrame) -> DataFrame:
     one = checkpointed(_estimate(single, 1, "c1", F.lit(1.0), ["lang"], discounts).withColumn("p1", F.col("kept1") + F.col("b1") / (F.col("kinds") + 1)))
     two = _estimate(pairs.withColumn("x2", F.substring("g2", 1, 1)).withColumn("g1", F.substring("g2", 2, 1)), 2, "c2", F.lit(1.0), ["lang", "x2"], discounts)
     two = checkpointed(two.join(small_side(one.select("lang", "g1", "p1")), ["lang", "g1"]).withColumn("p2", F.col("kept2") + F.col("b2") * F.col("p1")))
-    rows = _estimate(rows, 5, "c5", F.lit(1.0), ["lang", "mid", "x5"], discounts)
-    rows = _estimate(rows, 4, "c4", F.col("c4"), ["lang", "mid", "x4"], discounts)
-    rows = _estimate(rows, 3, "c3", F.col("r3"), ["lang", "mid"], discounts)
-    rows = rows.withColumn("g2", F.substring("g3", 2, 2)).join(small_side(two.select("lang", "g2", "p2")), ["lang", "g2"])
-    rows = rows.withColumn("p3", F.col("kept3") + F.col("b3") * F.col("p2")).withColumn("p4", F.col("kept4") + F.col("b4") * F.col("p3")).withColumn("p5", F.col("kept5") + F.col("b5") * F.col("p4"))
+    three = _estimate(threes.withColumn("x3", F.substring("g3", 1, 2)).withColumn("g2", F.substring("g3", 2, 2)), 3, "c3", F.lit(1.0), ["lang", "x3"], discounts)
+    three = checkpointed(three.join(small_side(two.select("lang", "g2", "p2")), ["lang", "g2"]).withColumn("p3", F.col("kept3") + F.col("b3") * F.col("p2")))
+    rows = _estimate(rows, 5, "c5", F.lit(1.0), ["lang", "x4", "x5"], discounts)
+    rows = _estimate(rows, 4, "c4", F.col("c4"), ["lang", "x4"], discounts)
+    rows = rows.withColumn("g3", F.substring("g4", 2, 3)).join(small_side(three.select("lang", "g3", "p3")), ["lang", "g3"])
+    rows = rows.withColumn("p4", F.col("kept4") + F.col("b4") * F.col("p3")).withColumn("p5", F.col("kept5") + F.col("b5") * F.col("p4"))
     least, none = F.lit(1e-9), F.lit(None).cast("double")
     p = lambda k, gram, x: F.struct(F.lit(k).alias("k"), F.col(gram).alias("gram"), F.log(x).alias("logp"), none.alias("logb"))
     b = lambda k, gram, x: F.struct(F.lit(k).alias("k"), F.col(gram).alias("gram"), none.alias("logp"), F.log(F.greatest(F.col(x), least)).alias("logb"))
-    entries = F.explode(F.array(p(5, "gram", "p5"), p(4, "g4", "p4"), p(3, "g3", "p3"), b(4, "x5", "b5"), b(3, "x4", "b4"), b(2, "mid", "b3")))
-    wide = rows.select("lang", "mid", entries.alias("e")).groupBy("lang", "mid", "e.k", "e.gram", F.col("e.logb").isNull()).agg(F.max("e.logp").alias("logp"), F.max("e.logb").alias("logb"))
-    narrow = two.select("lang", p(2, "g2", "p2").alias("e")).unionByName(two.select("lang", b(1, "x2", "b2").alias("e")).distinct()).unionByName(one.select("lang", p(1, "g1", "p1").alias("e")))
+    entries = F.explode(F.array(p(5, "gram", "p5"), p(4, "g4", "p4"), b(4, "x5", "b5"), b(3, "x4", "b4")))
+    wide = rows.select("lang", "x4", entries.alias("e")).groupBy("lang", "x4", "e.k", "e.gram", F.col("e.logb").isNull()).agg(F.max("e.logp").alias("logp"), F.max("e.logb").alias("logb"))
+    narrow = three.select("lang", p(3, "g3", "p3").alias("e")).unionByName(three.select("lang", b(2, "x3", "b3").alias("e")).distinct())
+    narrow = narrow.unionByName(two.select("lang", p(2, "g2", "p2").alias("e"))).unionByName(two.select("lang", b(1, "x2", "b2").alias("e")).distinct()).unionByName(one.select("lang", p(1, "g1", "p1").alias("e")))
     unseen = one.groupBy("lang").agg(F.max(F.log(F.greatest(F.col("b1"), least) / (F.col("kinds") + 1))).alias("logp")).select("lang", F.lit(0).alias("k"), F.lit("").alias("gram"), "logp", none.alias("logb"))
     columns = ["lang", "k", "gram", "logp", "logb"]
     return wide.select(columns).unionByName(narrow.select("lang", "e.*").select(columns)).unionByName(unseen.select(columns))
@@ -369,18 +370,20 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, fence: Fence = Fence()) -> DataFrame:
     """Rows (doc_id, lang, perplexity, threshold, kept) for each row of docs (doc_id, lang, text).
 
-    Trusted text is that of documents whose labels (doc_id, quality) all say 1. Perplexity is per character. A document
-    is kept unless its perplexity lies beyond the fence around its language's quantiles over all documents. Null and
-    blank texts have no perplexity and are not kept; a language without trusted text has no model: perplexity is null
-    and nothing speaks against its documents; a null language is a language of its own. Repeated rows are scored one
-    by one, an empty table gives no rows, further columns are left out.
+    Trusted text is that of documents whose labels (doc_id, quality) all say 1; a part of the texts, by their hashes, is
+    not trained on and sets the language's threshold. Perplexity is per character. Null and blank texts have no
+    perplexity and are not kept; a language without trusted text has no model, one without such text held out no
+    threshold: nothing speaks against its documents; a null language is a language of its own. Repeated rows are scored
+    one by one, an empty table gives no rows, further columns are left out.
     """
     trusted = small_side(labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1").select("doc_id"))
-    model = checkpointed(train(docs.select("doc_id", "lang", "text").join(trusted, "doc_id", "left_semi")))
+    held = lambda h: F.pmod(h, F.lit(fence.held_out)) == 0
+    model = checkpointed(train(docs.select("doc_id", "lang", "text").where(~held(F.xxhash64("text"))).join(trusted, "doc_id", "left_semi")))
     rows = docs.select(F.to_json(F.struct(F.col("doc_id").cast("long").alias("d"), F.coalesce("lang", F.lit("")).alias("l"), F.xxhash64("text").alias("h"))).alias("rid"), "lang", "text")
     sums = score(rows, model).select(F.from_json("rid", "d long, l string, h long").alias("r"), "log_sum", "places")
-    scored = checkpointed(sums.select(F.col("r.d").alias("doc_id"), F.col("r.l").alias("lang"), (-F.col("log_sum") / F.greatest("places", F.lit(1))).alias("x"), "places"))
-    q = scored.where("x IS NOT NULL").groupBy("lang").agg(F.percentile_approx("x", [fence.middle, fence.upper], fence.accuracy).alias("q"))
+    scored = checkpointed(sums.select(F.col("r.d").alias("doc_id"), F.col("r.l").alias("lang"), F.col("r.h").alias("hash"), (-F.col("log_sum") / F.greatest("places", F.lit(1))).alias("x"), "places"))
+    apart = scored.where("x IS NOT NULL").where(held(F.col("hash"))).join(trusted, "doc_id", "left_semi").groupBy("lang", "hash").agg(F.min("x").alias("x"))  # each text once
+    q = apart.groupBy("lang").agg(F.percentile_approx("x", [fence.middle, fence.upper], fence.accuracy).alias("q"))
     limits = q.select("lang", (F.col("q")[0] + fence.factor * (F.col("q")[1] - F.col("q")[0])).alias("high"))
     joined = scored.join(F.broadcast(limits), "lang", "left")  # a row for each language
     high = F.col("high") + fence.slack / F.sqrt(F.greatest("places", F.lit(1)))

@@ -87,3 +87,21 @@ def test_repeated_rows_come_out_one_by_one_whatever_the_shards(spark, monkeypatc
         monkeypatch.setattr(ngram, "SHARD_ROWS", size)
         found.append(sorted(((r.doc_id, r.kept, r.perplexity and round(r.perplexity, 3)) for r in ngram.classify(docs, labels).collect()), key=str))
     assert len(found[0]) == len(rows) and found[0] == found[1]
+
+
+def test_texts_of_many_letters_match_the_definition(spark, monkeypatch):
+    letters = [chr(0x4E00 + k) for k in range(5000)]
+    rng = random.Random(4)
+    texts = ["".join(rng.sample(letters, 5000)), "".join(letters[:300]) * 2, "的一 是不了"]
+    trusted = spark.createDataFrame([("zh", t) for t in texts], "lang string, text string")
+    model = ngram.checkpointed(ngram.train(trusted))
+    probes = [texts[0][2000:2030], "".join(letters[100:120]), "的一 是x"]
+    docs = spark.createDataFrame([(str(i), "zh", t) for i, t in enumerate(probes)] + [("0", "zh", probes[0])], "rid string, lang string, text string")
+    p = brute_model(texts)
+    monkeypatch.setattr(ngram, "SHARD_ROWS", 2000)
+    got = ngram.score(docs, model).collect()
+    assert len(got) == 4
+    for r in got:
+        s = "".join(map(chr, ngram.code_points(probes[int(r.rid)])))
+        want = sum(math.log(p(s[j : j + N - 1], s[j + N - 1])) for j in range(len(s) - N + 1))
+        assert abs(r.log_sum - want) < 1e-3 * abs(want)
