@@ -59,17 +59,29 @@ def myers(pattern: str, text: str) -> list[int]:
     return out
 
 
-def place(pattern: str, text: str, budget: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best place of the pattern in text within the budget: least edits, then first end."""
-    if not text:
-        return None
+def places(pattern: str, text: str, budget: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of places of the pattern in text within the budget, from left to right and apart.
+
+    Of ends that lie within half a pattern's length, that with the least edits counts, then the first; the next place
+    ends a pattern less its budget and a space behind it, or later.
+    """
     scores = myers(pattern, text)
-    least = min(scores)
-    if least > budget:
-        return None
-    end = scores.index(least) + 1
-    back = myers(pattern[::-1], text[:end][::-1])
-    return least, end - back.index(min(back)) - 1, end
+    ends = [k for k, n in enumerate(scores) if n <= budget]
+    m, reverse = len(pattern), pattern[::-1]
+    found: list[tuple[int, int, int]] = []
+    k = free = 0
+    while k < len(ends):
+        near = [e for e in ends[k : k + m] if e < ends[k] + max(1, m // 2)]
+        best = min(near, key=scores.__getitem__)
+        low = max(0, free - 1, best + 1 - m - budget)  # neighbours share the space between them
+        back = myers(reverse, text[low : best + 1][::-1])
+        least = min(back)
+        if least <= budget:
+            free = best + 1
+            found.append((least, best - back.index(least), free))
+            near = [e for e in ends[k : k + 2 * m] if e < best + max(1, m - 1 - budget)]
+        k += len(near)
+    return found
 
 
 class Search:
@@ -89,7 +101,7 @@ class Search:
             self.automaton.make_automaton()
 
     def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of each place, the best one where windows around hits overlap."""
+        """(item, edits, start, end) of each place."""
         if not self.items or not text:
             return []
         windows: dict[int, list[list[int]]] = defaultdict(list)
@@ -108,8 +120,7 @@ class Search:
             pattern, budget = self.items[item]
             for start, end in spans:
                 start = max(0, start)
-                if got := place(pattern, text[start:end], budget):
-                    found.append((item, got[0], start + got[1], start + got[2]))
+                found += [(item, n, start + a, start + b) for n, a, b in places(pattern, text[start:end], budget)]
         return sorted(found)
 
 
@@ -134,6 +145,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     start and end are code points of the plain text, see plain(). Items without letters and digits and null ids or
     texts are not searched for; of equal items the least item_id is reported, for item_id repeated with different texts
     the last in order of its texts; null and empty documents have no places; repeated rows are searched one by one.
+    Items of any length are searched for: those of less than 1 / rate characters without edits, single words too.
     """
     ship(docs.sparkSession)
     schema = "doc_id long, item_id long, edits int, start int, end int"

@@ -51,3 +51,20 @@ def test_leaks_match_brute_force(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, t in rows if not any(brute(p, decontam.plain(t)) <= int((len(p) - 2) * decontam.RATE) for p in plain.values())), key=str)
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.clean(docs, bench.limit(0)).count() == len(rows)
     assert decontam.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_all_places_are_found():
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "of", "the", "in", "zeta", "eta", "theta"]
+    item = " ".join(rng.choices(words, k=25))
+    pattern = decontam.plain(item)
+    search = decontam.Search([(1, pattern)], decontam.RATE)
+    budget = int((len(pattern) - 2) * decontam.RATE)
+    for apart in (" ", " x ", " " + "y " * 300):
+        text = decontam.plain(apart.join([item, edited(rng, item, 2), item]))
+        got = sorted(search(text), key=lambda r: r[2])
+        assert len(got) == 3 and all(brute(pattern, text[a:b]) == n <= budget for _, n, a, b in got)
+        assert all(x[3] <= y[2] + 1 for x, y in zip(got, got[1:]))
+    many = search(decontam.plain(" ".join([item] * 200)))
+    assert len(many) == 200 and not any(n for _, n, *_ in many)
+    assert [(n, a, b) for _, n, a, b in decontam.Search([(1, " aa ")], 0.06)(" aa aa ")] == [(0, 0, 4), (0, 3, 7)]
