@@ -43,9 +43,9 @@ MARKS = frozenset(",.!?;:")
 #: Rows that are in Python at once.
 SLICE = 256
 #: Bytes, as estimated, that a worker's memory of chunks and words may take, and the longest chunk that it remembers.
-REMEMBERED, LONGEST = 48_000_000, 64
+REMEMBERED, LONGEST = 96_000_000, 64
 #: Different chunks that a task counts before it hands them on, and words that it hands on at once.
-COUNTED, HANDED = 150_000, 25_000
+COUNTED, HANDED = 300_000, 25_000
 
 
 def byte_chars() -> list[str]:
