@@ -1,0 +1,6 @@
+"""The library's queries, each with the same in SQL where SQL can express it."""
+
+from proofsieve.plans import queries, sources, state
+from proofsieve.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "queries", "sources", "state"]

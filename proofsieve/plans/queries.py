@@ -6,13 +6,12 @@ the other tables. What makes them is written once, in SQL that either engine rea
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofsieve.functions import extract, text
 from proofsieve.operators import adjudicate, registry
+from proofsieve.plans.base import NOW, QUERIES, SQL, made, now, query, table
 from proofsieve.streaming import inbound
 
 LINE = """CASE doc_id % 8
@@ -28,36 +27,6 @@ MESSAGES = f"SELECT doc_id AS msg_id, coalesce(text, '') || chr(10) || {LINE} AS
 CATEGORY = "CASE s_suppkey % 4 WHEN 0 THEN 'RA' WHEN 1 THEN 'IA' WHEN 2 THEN 'BROKER' ELSE 'PMS' END AS category"
 NUMBER = "CASE s_suppkey % 4 WHEN 0 THEN 'INH' WHEN 1 THEN 'INA' WHEN 2 THEN 'INZ' ELSE 'INP' END || lpad(CAST(s_suppkey AS STRING), 9, '0') AS registration_no"
 REGISTRY = f"SELECT {NUMBER}, {CATEGORY}, s_name AS name, CASE WHEN s_suppkey % 5 = 0 THEN DATE '2021-12-31' WHEN s_suppkey % 3 = 0 THEN NULL ELSE DATE '2027-06-30' END AS valid_to FROM supplier"
-NOW = "TIMESTAMP '2026-10-04 04:30:00'"
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of a SELECT over one of the tables."""
-    columns, name = sql.removeprefix("SELECT ").rsplit(" FROM ", 1)
-    return spark.sql(f"SELECT {columns} FROM {{t}}", t=table(spark, sf_dir, name))
-
-
-def now() -> Column:
-    return F.expr(NOW)
-
-
 M = f"WITH m AS ({MESSAGES}) "
 
 

@@ -10,8 +10,8 @@ def each_once(events: DataFrame, key: str, at: str, keep: str = "14 days") -> Da
     """The events, repeated keys dropped: within the watermark `keep` on a stream, the earliest ones on a batch."""
     if events.isStreaming:
         return events.withWatermark(at, keep).dropDuplicatesWithinWatermark([key])
-    first = F.row_number().over(Window.partitionBy(key).orderBy(at, F.hash(*events.columns)))
-    return events.withColumn("_n", first).where("_n = 1").drop("_n")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(at, F.to_json(F.struct("*"))))
+    return events.select(F.struct("*").alias("row"), first.alias("n")).where("n = 1").select("row.*")
 
 
 def sessions(events: DataFrame, user: str, at: str, gap: str = "5 seconds", late: str = "20 seconds") -> DataFrame:
@@ -33,10 +33,24 @@ def rate_counts(events: DataFrame, user: str, at: str, every: str = "1 minute",
     return watermarked.groupBy(user, F.window(at, every).alias("w")).agg(F.count("*").alias("n")).select(user, F.col("w.start").alias("start"), "n")
 
 
+# What each command is written as.
+COMMANDS = {
+    "help": "hi hello hey help start menu namaste namaskar नमस्ते नमस्कार मदद हेल्प".split(),
+    "hindi": "hindi हिंदी हिन्दी".split(),
+    "english": "english angrezi इंग्लिश अंग्रेज़ी अंग्रेजी".split(),
+    "paid": ["paid", "i paid", "already paid", "i already paid", "payment done", "maine paise bhej diye", "paise bhej diye", "पेमेंट कर दिया", "पैसे भेज दिए", "भुगतान कर दिया"],
+    "delete": ["delete", "forget", "forget me", "delete my data", "डिलीट", "मिटाओ", "मिटा दो"],
+    "report": ["report", "link", "full report", "रिपोर्ट"],
+}
+
+
 def command(text: Column) -> Column:
-    """The command that a message is, or null: one word or two, whatever their case, with punctuation after them."""
-    word = F.regexp_replace(F.lower(F.trim(text)), "[.!?।,]+$", "")
-    return F.when(F.length(word) > 40, None).when(word.isin("stop", "delete", "delete my data"), "delete").when(word.isin("help", "start", "hi", "hello"), "help").when(word.isin("hindi", "english"), "language")
+    """The command that a message is, or null: all of it, whatever its case, with punctuation after it."""
+    word = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[!.?।\s]+$", ""), r"\s+", " ")
+    found = F.when(F.length(word) > 40, None).when(word.rlike("^join [a-z]+(-[a-z]+)*$"), "join")
+    for name, words in COMMANDS.items():
+        found = found.when(word.isin(*words), name)
+    return found
 
 
 def queue_state(log: DataFrame, now: Column, lease_seconds: int = 300, max_attempts: int = 3) -> DataFrame:
