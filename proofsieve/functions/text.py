@@ -51,8 +51,8 @@ def clean_text(c: Column) -> Column:
     c = F.translate(indic_digits_to_ascii(_normal("NFKC")(c)), INVISIBLE, "")
     c = F.regexp_replace(c, "\r\n?", "\n")
     c = F.regexp_replace(c, r"[\t\x0B\f   -   　]", " ")
-    c = F.regexp_replace(F.regexp_replace(c, " {2,}", " "), " ?\n ?", "\n")
-    return F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
+    c = F.regexp_replace(F.regexp_replace(c, " {2,}", " "), "\n{3,}", "\n\n")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def fold_for_match(c: Column) -> Column:

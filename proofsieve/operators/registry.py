@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofsieve.functions import extract, text
+from proofsieve.functions import identifiers, text
 from proofsieve.session import small_side
 
 
@@ -56,7 +56,7 @@ def variant_hits(numbers: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows (msg_id, normalized, hits): the registered numbers that an unregistered one may be a misreading of."""
     known = small_side(registry.select(F.col("registration_no").alias("variant")).distinct())
     missing = numbers.join(known, F.col("normalized") == F.col("variant"), "left_anti")
-    tried = missing.select("msg_id", "normalized", F.explode(extract.confusable_variants(F.col("normalized"))).alias("variant"))
+    tried = missing.select("msg_id", "normalized", F.explode(identifiers.confusable_variants(F.col("normalized"))).alias("variant"))
     return tried.join(known, "variant").groupBy("msg_id", "normalized").agg(F.array_sort(F.collect_set("variant")).alias("hits"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsieve.functions import extract, text
+from proofsieve.functions import identifiers, phrases, text
 from proofsieve.operators import adjudicate, registry
 from proofsieve.plans.base import NOW, QUERIES, SQL, made, now, query, table
 from proofsieve.streaming import inbound
@@ -30,72 +30,107 @@ REGISTRY = f"SELECT {NUMBER}, {CATEGORY}, s_name AS name, CASE WHEN s_suppkey %
 M = f"WITH m AS ({MESSAGES}) "
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made(spark, sf_dir, MESSAGES)
+
+
+def alone(words: str) -> str:
+    """A pattern with look-arounds in the dialect without them: ends of words as characters that it takes in."""
+    ends = r"[^\p{L}\p{M}\p{N}]"
+    return words.replace(phrases.L, f"(?:^|{ends})").replace(phrases.R, f"(?:{ends}|$)")
+
+
+def quoted(words: str) -> str:
+    return "'" + words.replace("'", "''") + "'"
+
+
 @query(M + r"""SELECT DISTINCT msg_id, 'IN' || upper(substring(x, 3, 1)) || translate(regexp_replace(substring(x, 4), '[ \t:.\-]', '', 'g'), 'OoDQIl|iSsBZzG', '00001111558226') AS normalized,
- CASE upper(substring(x, 3, 1)) WHEN 'H' THEN 'SEBI_RA' WHEN 'A' THEN 'SEBI_IA' WHEN 'Z' THEN 'SEBI_BROKER' WHEN 'P' THEN 'SEBI_PMS' ELSE 'SEBI_MB' END AS scheme, true AS format_valid,
- regexp_matches(substring(x, 4), '[A-Za-z|]') AS reinterpreted
- FROM (SELECT msg_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([I1l][Nn][HAZPMhazpm][ \t:.\-]{0,3}(?:[0-9OoDQIl|iSsBZzG][ \t\-]?){8}[0-9OoDQIl|iSsBZzG])(?:[^A-Za-z0-9]|$)', 1)) AS x FROM m)""")
+ CASE upper(substring(x, 3, 1)) WHEN 'H' THEN 'SEBI_RA' WHEN 'A' THEN 'SEBI_IA' WHEN 'Z' THEN 'SEBI_BROKER' WHEN 'P' THEN 'SEBI_PMS' ELSE 'SEBI_MB' END AS scheme, length(regexp_replace(substring(x, 4), '[ \t:.\-]', '', 'g')) = 9 AS format_valid,
+ regexp_matches(substring(x, 4), '[A-Za-z|]') OR x[1:2] <> 'IN' AS reinterpreted
+ FROM (SELECT msg_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([I1l][Nn][HAZPMhazpm][ \t:.\-–]{0,3}(?:[0-9OoDQIl|iSsBZzG][ \t\-]?){8,10}[0-9OoDQIl|iSsBZzG])(?:[^A-Za-z0-9]|$)', 1)) AS x FROM m)""")
 def extract_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return made(spark, sf_dir, MESSAGES).select("msg_id", F.inline(extract.registration_numbers(F.col("text"))))
+    return messages(spark, sf_dir).select("msg_id", F.inline(identifiers.registration_numbers(F.col("text")))).select("msg_id", "normalized", "scheme", "format_valid", "reinterpreted")
 
 
-@query(M + r"""SELECT msg_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^0-9A-Za-z@.+])(?:\+91[ -]?)?([6-9][0-9]{4}[ -]?[0-9]{5})(?:[^0-9@]|$)', 1), lambda x: '+91' || replace(replace(x, ' ', ''), '-', '')))), ',') AS phones,
- array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_.%+-])([A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})(?:[^A-Za-z0-9_-]|$)', 1), lambda x: lower(x)))), ',') AS emails,
- array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9._@-])([A-Za-z0-9._-]{2,}@[A-Za-z]{2,})(?:[^A-Za-z0-9.@-]|$)', 1), lambda x: lower(x)))), ',') AS upis,
- array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(text, '(?i)(?:a/c|account|acct)\s*(?:no\.?|number)?\s*[:-]?\s*([0-9][0-9 -]{7,20}[0-9])', 1), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 9 AND 18), lambda d: 'XXXX' || right(d, 4)))), ',') AS accounts FROM m""")
+@query(M + r"""SELECT msg_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(list_filter(regexp_extract_all(text, '(?:^|[^\w.@])(\+[0-9][0-9() .-]{6,18}[0-9])', 1), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 8 AND 15 AND (x[1:3] <> '+91' OR regexp_matches(regexp_replace(x, '[^0-9]', '', 'g'), '^91[6-9][0-9]{9}$'))), lambda x: '+' || regexp_replace(x, '[^0-9]', '', 'g')),
+   list_transform(regexp_extract_all(regexp_replace(text, '\+[0-9][0-9() .-]{6,18}[0-9]', ' ', 'g'), '(?:^|[^\w.@+])((?:0|91[ -]?)?[6-9][0-9]{4}[ -]?[0-9]{5})(?:[^0-9@]|$)', 1), lambda x: '+91' || right(regexp_replace(x, '[^0-9]', '', 'g'), 10))))), ',') AS phones,
+ array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_.-])([A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})(?:[^A-Za-z0-9_-]|$)', 1), lambda x: lower(x)))), ',') AS emails,
+ array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_.@-])([A-Za-z0-9][A-Za-z0-9._-]{1,255}@(?:ybl|validhdfc))(?:[^A-Za-z0-9_.@]|$)', 1), lambda x: lower(x)))), ',') AS upis,
+ array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(text, '(?i)(?:a/c|acc(?:ount)?\.?|acct)\s*(?:no\.?|number|num|#)?\s*[:-]?\s*([0-9][0-9\s-]{7,20}[0-9])', 1), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 9 AND 18), lambda d: 'XXXX' || right(d, 4)))), ',') AS accounts FROM m""")
 def extract_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    flat = lambda a: F.array_join(F.array_sort(a), ",")
-    return made(spark, sf_dir, MESSAGES).select("msg_id", flat(extract.phones(t)).alias("phones"), flat(extract.emails(t)["address"]).alias("emails"), flat(extract.upi_ids(t)["value"]).alias("upis"), flat(extract.bank_accounts(t)).alias("accounts"))
+    flat = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    return messages(spark, sf_dir).select("msg_id", flat(identifiers.phones(t)["e164"]).alias("phones"), flat(identifiers.emails(t)["address"]).alias("emails"), flat(identifiers.upi_ids(t)["value"]).alias("upis"), flat(identifiers.bank_accounts(t)["masked"]).alias("accounts"))
 
 
-@query(M + r"""SELECT DISTINCT msg_id, url, host, host IN ('bit.ly', 'tinyurl.com', 't.co', 'cutt.ly', 'rb.gy', 'is.gd') AS shortener, regexp_matches(lower(url), '\.apk(?:$|[?#])') AS apk, regexp_full_match(host, '[0-9]{1,3}(\.[0-9]{1,3}){3}') AS ip_host
+@query(M + r"""SELECT DISTINCT msg_id, regexp_replace(url, '^(https?://[^/?#]+)$', '\1/') AS href, host, host IN ('bit.ly') AS shortener, regexp_matches(lower(url), '\.apk(?:$|[?#])') AS apk, regexp_full_match(host, '[0-9]{1,3}(\.[0-9]{1,3}){3}') AS ip_host
  FROM (SELECT msg_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '') AS host FROM (SELECT msg_id, regexp_replace(unnest(regexp_extract_all(text, '(https?://[^\s<>"]+)', 1)), '[.,;:!?)]+$', '') AS url FROM m))""")
 def extract_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return made(spark, sf_dir, MESSAGES).select("msg_id", F.inline(extract.urls(F.col("text"))))
+    return identifiers.urls(messages(spark, sf_dir)).where("raw LIKE 'http%'").select("msg_id", "href", "host", "shortener", "apk", "ip_host")
 
 
-@query(M + " UNION ALL ".join(f"""SELECT msg_id, '{p}' AS period, CAST(x AS DOUBLE) AS percent, CAST(round(CAST(x AS DOUBLE) * {extract.PER_YEAR[p]}) AS BIGINT) AS annual_percent FROM (SELECT msg_id, unnest(regexp_extract_all(lower(text), '([0-9]{{1,5}}(?:\\.[0-9]{{1,2}})?) ?% (?:returns? |profits? )?(?:{w})\\b', 1)) AS x FROM m) WHERE CAST(x AS DOUBLE) > 0""" for p, w in extract.PERIODS.items()))
+@query(M + "SELECT DISTINCT msg_id, period, percent, CAST(round(percent * CASE period WHEN 'day' THEN 365 WHEN 'week' THEN 52 WHEN 'month' THEN 12 WHEN 'year' THEN 1 END) AS BIGINT) AS annual_percent FROM (" + " UNION ALL ".join(f"SELECT msg_id, '{attr}' AS period, CAST(unnest(regexp_extract_all(text, {quoted('(?i)' + alone(words))}, 1)) AS DOUBLE) AS percent FROM m" for kind, attr, _, words in phrases.RULES if kind == "RETURN_RATE") + ") WHERE percent > 0")
 def extract_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return made(spark, sf_dir, MESSAGES).select("msg_id", F.inline(extract.rates(F.col("text"))))
+    p = messages(spark, sf_dir).select("msg_id", F.inline(phrases.phrases(F.col("text")))).where("kind = 'RETURN_RATE'")
+    return p.select("msg_id", F.col("attr").alias("period"), "percent", phrases.annual_percent(F.col("percent"), F.col("attr")).alias("annual_percent")).distinct()
 
 
-@query(M + "SELECT msg_id, kind FROM (" + " UNION ALL ".join(f"""SELECT msg_id, '{k}' AS kind FROM m WHERE regexp_matches(regexp_replace(lower(text), '\\b(?:no|not|never) (?:guaranteed|risk)', '', 'g'), '\\b{w}\\b')""" for k, w in extract.PHRASES.items()) + ")")
+def _kinds_sql() -> str:
+    """Kinds of phrases: each rule as it stands, negatable ones in texts from which what is negated has been cut."""
+    negated = r"(?i)(?:^|[^A-Za-z0-9])(?:not|no|never|nor|cannot|can't|cant|isn't|aren't|don't|doesn't|won't|neither|without\s+any)[^A-Za-z0-9.\n][^.\n]{0,23}"
+    each = []
+    for kind, attr, negatable, words in phrases.RULES:
+        bare = words.replace(phrases.L, "").replace(phrases.R, "")
+        where = f"regexp_replace(text, {quoted(negated + bare)}, ' ', 'g')" if negatable else "text"
+        if kind != "RETURN_RATE":
+            each.append(f"SELECT msg_id, '{kind}' AS kind, {quoted(attr) if attr else 'NULL'} AS attr FROM m WHERE regexp_matches({where}, {quoted('(?i)' + alone(words))})")
+    return M + "SELECT DISTINCT msg_id, kind, attr FROM (" + " UNION ALL ".join(each) + ")"
+
+
+@query(_kinds_sql())
 def phrase_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return made(spark, sf_dir, MESSAGES).select("msg_id", F.explode(extract.phrase_kinds(F.col("text"))).alias("kind"))
+    p = messages(spark, sf_dir).select("msg_id", F.inline(phrases.phrases(F.col("text"))))
+    return p.where("kind <> 'RETURN_RATE'").select("msg_id", "kind", "attr").distinct()
 
 
-@query(M + r"""SELECT msg_id, length(c) AS n_chars, CASE WHEN regexp_matches(lower(c), '\b(stocks?|shares?|trading|ipo|crypto|forex|nifty)\b') THEN 'market' WHEN regexp_matches(lower(c), '\b(fd|fixed deposits?|recurring deposits?|ppf)\b') THEN 'deposit' ELSE 'unknown' END AS context
- FROM (SELECT msg_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' 1٠', '٠', '२', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g').regexp_replace('^[ \n]+|[ \n]+$', '', 'g') AS c FROM m)""")
+@query(M + f"""SELECT msg_id, md5(c) AS cleaned, CASE WHEN regexp_matches(c, {quoted('(?i)' + alone(phrases.MARKET))}) THEN 'market' WHEN regexp_matches(c, {quoted('(?i)' + alone(phrases.DEPOSIT))}) THEN 'deposit' ELSE 'unknown' END AS context
+ FROM (SELECT msg_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfkc_text || ' 12', '[\\t ]', ' ', 'g'), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS c FROM (SELECT msg_id, text AS nfkc_text FROM m))""")
 def clean_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = text.clean_text(F.concat("text", F.lit("​ 1२")))
-    return made(spark, sf_dir, MESSAGES).select("msg_id", F.length(c).alias("n_chars"), extract.product_context(c).alias("context"))
+    return messages(spark, sf_dir).select("msg_id", c.alias("c")).select("msg_id", F.md5("c").alias("cleaned"), phrases.product_context(F.col("c")).alias("context"))
 
 
-REGISTRATION = "SELECT msg_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])(IN[HZP][-]?[0-9]{9})(?:[^A-Za-z0-9]|$)', 1)) AS raw, regexp_extract(text, 'by (Supplier#[0-9]{9})', 1) AS holder FROM m WHERE msg_id % 8 IN (0, 5)"
+#: Numbers of all messages, misread ones too, and the firm that the message names.
+REGISTRATION = r"SELECT msg_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([I1l]N[HAZP][ \t:.\-–]{0,3}(?:[0-9OoDQIl|iSsBZzG][ \t\-]?){8,10}[0-9OoDQIl|iSsBZzG])(?:[^A-Za-z0-9]|$)', 1)) AS raw, regexp_extract(text, '(?:by|of) (Sup+lier#[0-9]{9})', 1) AS holder FROM m"
 
 
-@query(M + f""", r AS ({REGISTRY}), n AS (SELECT DISTINCT msg_id, replace(raw, '-', '') AS normalized, holder FROM ({REGISTRATION})),
+@query(M + f""", r AS ({REGISTRY}), n AS (SELECT DISTINCT msg_id, upper(raw[1:3]) || translate(regexp_replace(raw[4:], '[ \\t:.\\-]', '', 'g'), 'OoDQIl|iSsBZzG', '00001111558226') AS normalized, regexp_matches(raw[4:], '[A-Za-z|]') AS unclear, holder FROM ({REGISTRATION})),
  j AS (SELECT n.*, r.name, r.valid_to, r.registration_no FROM n LEFT JOIN r ON normalized = registration_no)
- SELECT msg_id, normalized, CASE WHEN registration_no IS NULL THEN 'NOT_FOUND' WHEN valid_to < DATE '2026-10-04' THEN 'CONTRADICTED' WHEN lower(name) = lower(holder) THEN 'MATCHES' WHEN len(list_filter(string_split_regex(lower(holder), '[^a-z0-9]+'), lambda t: len(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda u: t = u OR jaro_winkler_similarity(t, u) >= 0.92)) > 0)) = 2 THEN 'MATCHES' WHEN true THEN 'CANT_CHECK' END AS verdict FROM j""")
+ SELECT msg_id, normalized, CASE WHEN registration_no IS NULL AND unclear THEN 'CANT_CHECK' WHEN registration_no IS NULL THEN 'NOT_FOUND' WHEN valid_to < DATE '2026-10-04' THEN 'CONTRADICTED' WHEN len(list_filter(string_split_regex(lower(holder), '[^a-z0-9]+'), lambda t: len(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda u: t = u OR jaro_winkler_similarity(t, u) >= 0.92)) > 0)) = 2 THEN 'MATCHES' WHEN true THEN 'CANT_CHECK' END AS verdict FROM j""")
 def registration_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = made(spark, sf_dir, MESSAGES).where("msg_id % 8 IN (0, 5)").withColumn("holder", F.regexp_extract("text", "by (Supplier#[0-9]{9})", 1))
-    numbers = messages.select("msg_id", "holder", F.inline(extract.registration_numbers(F.col("text"))))
+    named = messages(spark, sf_dir).withColumn("holder", F.regexp_extract("text", "(?:by|of) (Sup+lier#[0-9]{9})", 1))
+    numbers = named.select("msg_id", "holder", F.inline(identifiers.registration_numbers(F.col("text"))))
     joined = registry.lookup_numbers(numbers, made(spark, sf_dir, REGISTRY))
     found = F.col("registration_no").isNotNull()
     same = text.compare_tokens(text.name_tokens(F.col("holder")), text.name_tokens(F.coalesce("name", F.lit(""))))
     joined = joined.withColumn("comparison", same)
-    covered = extract.dimension(extract.CATEGORIES)[F.col("scheme")].isNotNull()
-    reason = adjudicate.registration_reason(covered, F.col("format_valid"), ~F.col("reinterpreted"), F.lit(True), found, F.lit(False), registry.is_active(F.col("valid_to"), now()), F.lit("inferred"), F.col("comparison"), F.col("valid_to").isNull())
+    covered = identifiers.dimension(identifiers.CATEGORY)[F.col("scheme")].isNotNull()
+    reason = adjudicate.registration_reason(covered, F.col("format_valid"), ~F.col("reinterpreted"), F.lit(True), found, F.lit(False), registry.is_active(F.col("valid_to"), now()), F.when(F.col("holder") == "", "none").otherwise("inferred"), F.col("comparison"), F.col("valid_to").isNull())
     return joined.select("msg_id", "normalized", adjudicate.verdict_of(reason).alias("verdict"))
 
 
-@query(f"""WITH r AS ({REGISTRY}), q AS (SELECT s_suppkey AS msg_id, 'INH' || lpad(CAST(s_suppkey + 80 AS STRING), 9, '0') AS normalized FROM supplier),
- p AS (SELECT q.*, i, CASE substring(normalized, i, 1) WHEN '0' THEN '8' WHEN '1' THEN '7' WHEN '5' THEN '6' WHEN '6' THEN '5' WHEN '7' THEN '1' WHEN '8' THEN '0' END AS d FROM q, (SELECT unnest(range(4, 13)) AS i)),
- v AS (SELECT msg_id, normalized, substring(normalized, 1, i - 1) || d || substring(normalized, i + 1) AS variant FROM p WHERE d IS NOT NULL)
- SELECT msg_id, normalized, string_agg(DISTINCT variant, ',' ORDER BY variant) AS hits FROM v JOIN r ON variant = registration_no WHERE normalized NOT IN (SELECT registration_no FROM r) GROUP BY ALL""")
+SWAPS = "CASE substring(normalized, i, 1) " + " ".join(f"WHEN '{d}' THEN {[*alts]}" for d, alts in identifiers.SWAPS.items()) + " END"
+
+
+@query(f"""WITH r AS ({REGISTRY}), q AS (SELECT s_suppkey AS msg_id, 'INH' || lpad(CAST(s_suppkey * 37 + 80 AS STRING), 9, '0') AS normalized FROM supplier),
+ p AS (SELECT q.*, i, unnest({SWAPS}) AS d, generate_subscripts({SWAPS}, 1) AS k FROM q, (SELECT unnest(range(4, 13)) AS i)),
+ v AS (SELECT msg_id, normalized, substring(normalized, 1, i - 1) || d || substring(normalized, i + 1) AS variant FROM p QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY i, k) <= 12)
+ SELECT msg_id, normalized, string_agg(DISTINCT variant, ',' ORDER BY variant) AS hits FROM v JOIN (SELECT DISTINCT 'INH8' || right(registration_no, 8) AS registration_no FROM r UNION SELECT registration_no FROM r) ON variant = registration_no WHERE normalized NOT IN (SELECT registration_no FROM r) GROUP BY ALL""")
 def number_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbers = made(spark, sf_dir, "SELECT s_suppkey AS msg_id, 'INH' || lpad(CAST(s_suppkey + 80 AS STRING), 9, '0') AS normalized FROM supplier")
-    return registry.variant_hits(numbers, made(spark, sf_dir, REGISTRY)).withColumn("hits", F.array_join("hits", ","))
+    numbers = made(spark, sf_dir, "SELECT s_suppkey AS msg_id, 'INH' || lpad(CAST(s_suppkey * 37 + 80 AS STRING), 9, '0') AS normalized FROM supplier")
+    known = made(spark, sf_dir, REGISTRY).select("registration_no")
+    known = known.unionByName(known.select(F.concat(F.lit("INH8"), F.right("registration_no", F.lit(8))).alias("registration_no")))
+    return registry.variant_hits(numbers, known).withColumn("hits", F.array_join("hits", ","))
 
 
 GRAMS = "list_distinct(list_transform(range(1, length('  ' || lower({c}) || ' ') - 1), lambda i: substring('  ' || lower({c}) || ' ', i, 3)))"
@@ -111,11 +146,11 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.search_names(asked, made(spark, sf_dir, REGISTRY).select("registration_no", "name"))
 
 
-@query("""WITH a AS (SELECT s_name AS alert, lower(s_name) AS p FROM supplier WHERE s_suppkey % 3 = 0), n AS (SELECT c_custkey AS msg_id, 'The Supplier#' || lpad(CAST(c_custkey % 200 AS STRING), 9, '0') || ' Trading Desk' AS name FROM customer)
+@query("""WITH a AS (SELECT s_name AS alert, lower(s_name) AS p FROM supplier WHERE s_acctbal > 3000), n AS (SELECT c_custkey AS msg_id, 'The Supplier#' || lpad(CAST(c_custkey % 200 AS STRING), 9, '0') || ' Trading Desk' AS name FROM customer)
  SELECT DISTINCT msg_id, name, alert FROM n JOIN a ON contains(' ' || lower(name) || ' ', ' ' || p || ' ')""")
 def alert_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = made(spark, sf_dir, "SELECT c_custkey AS msg_id, 'The Supplier#' || lpad(CAST(c_custkey % 200 AS STRING), 9, '0') || ' Trading Desk' AS name FROM customer")
-    return registry.match_alerts(names, table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("name")))
+    return registry.match_alerts(names, table(spark, sf_dir, "supplier").where("s_acctbal > 3000").select(F.col("s_name").alias("name")))
 
 
 LOOKUPS = "SELECT l_orderkey AS msg_id, l_returnflag AS source, l_partkey AS ord, CASE WHEN l_linestatus = 'O' THEN 'ok' ELSE 'failed' END AS status, CASE WHEN l_linenumber > 3 THEN 'live' ELSE 'snapshot' END AS mode, l_quantity AS ms, CASE WHEN l_linenumber > 1 THEN CAST(l_shipdate AS DATE) END AS as_of, l_discount > 0.05 AS stale, l_tax > 0.07 AS fixture FROM lineitem"
@@ -152,11 +187,11 @@ def register_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.freshness(registry.latest_per_scope(made(spark, sf_dir, SNAPSHOTS)), now()).drop("retrieved_at")
 
 
-@query("""WITH o AS (SELECT c_custkey AS key, c_mktsegment AS payload FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS payload FROM customer WHERE c_custkey % 5 <> 0)
+@query("""WITH o AS (SELECT c_custkey AS key, c_mktsegment AS payload FROM customer WHERE c_acctbal > 2000), n AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS payload FROM customer WHERE c_acctbal < 8000)
  SELECT coalesce(o.key, n.key) AS key, o.payload AS before, n.payload AS after, CASE WHEN o.key IS NULL THEN 'inserted' WHEN n.key IS NULL THEN 'removed' WHEN o.payload IS NOT DISTINCT FROM n.payload THEN 'kept' ELSE 'updated' END AS change FROM o FULL JOIN n ON o.key = n.key""")
 def category_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = made(spark, sf_dir, "SELECT c_custkey AS key, c_mktsegment AS payload FROM customer").where("key % 3 <> 0")
-    new = made(spark, sf_dir, "SELECT c_custkey AS key, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS payload FROM customer").where("key % 5 <> 0")
+    old = made(spark, sf_dir, "SELECT c_custkey AS key, c_mktsegment AS payload FROM customer WHERE c_acctbal > 2000")
+    new = made(spark, sf_dir, "SELECT c_custkey AS key, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS payload FROM customer WHERE c_acctbal < 8000")
     return registry.replace_category(old, new)
 
 
@@ -250,9 +285,3 @@ JOBS = "SELECT user_id AS job_id, ts, CASE event_type WHEN 'view' THEN 'enqueue'
  SELECT job_id, attempts, CASE WHEN last = 'done' THEN 'done' WHEN last = 'fail' AND attempts >= 3 THEN 'failed' WHEN last = 'start' AND seen > TIMESTAMP '2024-06-01 00:00:00' - INTERVAL 300 SECONDS THEN 'running' ELSE 'pending' END AS status FROM s""")
 def queue_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inbound.queue_state(made(spark, sf_dir, JOBS), F.expr("TIMESTAMP '2024-06-01 00:00:00'")).select("job_id", "attempts", "status")
-
-
-@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")
-def webhook_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = F.from_json("props", "k long")["k"]
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(parsed).alias("k"))
