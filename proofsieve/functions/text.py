@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from proofsieve.functions import domains
 from proofsieve.session import ship
 
 # First code points of nine blocks of digits; invisible characters; look-alikes of Latin letters.
@@ -74,9 +76,33 @@ def has_devanagari(c: Column) -> Column:
     return c.rlike("[\\x{0900}-\\x{097F}]")
 
 
+# Devanagari letters in Latin ones.
+CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलळवशषसह", "k kh g gh n ch chh j jh n t th d dh n t th d dh n p ph b bh m y r l l v sh sh s h".split()))
+NUKTAS = dict(zip("कखगजडढफ", "q kh gh z r rh f".split()))
+VOWELS = dict(zip("अआइईउऊऋएऐओऔऑऍ", "a a i i u u ri e ai o au o e".split()))
+MATRAS = dict(zip("ािीुूृेैोौॉॅ", "a i i u u ri e ai o au o e".split()))
+COMPOSED = dict(zip("\u0958\u0959\u095a\u095b\u095c\u095d\u095e\u095f", "कखगजडढफय"))
+
+
+def transliterate(c: Column) -> Column:
+    """Devanagari as Latin letters, to compare names: consonants have an `a` but before vowel signs, the sign that takes
+    it away, and the ends of words; nasals are m before labials, else n."""
+    each = lambda c, pairs: reduce(lambda a, kv: F.replace(a, F.lit(kv[0]), F.lit(kv[1])), pairs.items(), c)
+    c = each(c, {k: v + "़" for k, v in COMPOSED.items()})
+    letters = "".join(CONSONANTS)
+    c = F.regexp_replace(c, f"([{letters}]़?)(?![़्{''.join(MATRAS)}])(?=[\u0900-\u097f])", "$1a")
+    c = F.regexp_replace(F.regexp_replace(c, "[ंँ](?=[पफबभम])", "m"), "[ंँ]", "n")
+    c = F.translate(each(c, {k + "़": v for k, v in NUKTAS.items()}), "ः़्", "h")
+    return each(c, CONSONANTS | VOWELS | MATRAS)
+
+
+def name_to_latin(c: Column) -> Column:
+    return F.when(has_devanagari(c), transliterate(c)).otherwise(c)
+
+
 def name_tokens(c: Column) -> Column:
     """Struct of a name's distinctive and generic words, each once, in their order."""
-    folded = F.regexp_replace(fold_for_match(c), "&", " and ")
+    folded = F.regexp_replace(fold_for_match(name_to_latin(c)), "&", " and ")
     words = F.array_distinct(F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(LEGAL_FORMS)))
     return F.struct(F.filter(words, lambda w: ~w.isin(GENERIC_WORDS)).alias("distinctive"), F.filter(words, lambda w: w.isin(GENERIC_WORDS)).alias("generic"))
 
@@ -138,13 +164,18 @@ def domain_skeleton(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "rn", "m"), "vv", "w"), "[^a-z]", "")
 
 
-def is_lookalike(candidate: Column, official: Column) -> Column:
-    """Whether one registrable domain imitates the other; labels are what stands before the first dot."""
-    c, o = F.split_part(candidate, F.lit("."), F.lit(1)), F.split_part(official, F.lit("."), F.lit(1))
-    parts = F.split(F.regexp_replace(c, r"(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", "-"), r"[-_.]")
+def imitates(c: Column, o: Column) -> Column:
+    """Whether the label of a domain is like that of an official one, of four letters or more."""
+    parts = F.split(F.regexp_replace(c, r"(?<=[^0-9])(?=[0-9])|(?<=[0-9])(?=[^0-9])", "-"), r"[-_.]")
     skeletons = domain_skeleton(c), domain_skeleton(o)
-    alike = (c == o) | (skeletons[0] == skeletons[1]) | ((F.length(o) >= 5) & (F.levenshtein(c, o) <= 2)) | F.array_contains(parts, o) | ((F.length(skeletons[1]) >= 5) & F.contains(skeletons[0], skeletons[1]))
-    return (candidate != official) & (F.length(o) >= 4) & alike
+    alike = (c == o) | (skeletons[0] == skeletons[1]) | ((F.length(o) >= 5) & (F.levenshtein(c, o) <= 2)) | F.array_contains(parts, o) | ((F.length(o) >= 5) & F.contains(skeletons[0], skeletons[1]))
+    return (F.length(o) >= 4) & alike
+
+
+def is_lookalike(candidate: Column, official: Column) -> Column:
+    """Whether one registrable domain imitates the other, by their labels before the public suffix."""
+    label = lambda d: domains.domain_parts(d)["label"]
+    return F.coalesce((candidate != official) & imitates(label(candidate), label(official)), F.lit(False))
 
 
 def redact_number(text: Column, digits: Column, mark: str = "[your number]") -> Column:

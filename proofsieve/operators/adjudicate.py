@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofsieve.functions import identifiers
+
 VERDICTS = ("CONTRADICTED", "MATCHES", "NOT_FOUND", "CANT_CHECK")
 
 
 def verdict_of(reason: Column) -> Column:
     """The verdict that a reason stands for."""
     # Reasons by verdict.
-    contradicted = ("REG_EXPIRED", "REG_INACTIVE", "REG_BELONGS_TO_OTHER", "UPI_NOT_VALIDATED", "RETURNS_BY_REGISTERED", "ENDORSE_SEBI", "ENDORSE_EXCHANGE", "ID_SEBI_EMAIL_MISMATCH", "ACCESS_FPI")
+    contradicted = ("REG_EXPIRED", "REG_INACTIVE", "REG_BELONGS_TO_OTHER", "UPI_NOT_VALIDATED", "RETURNS_BY_REGISTERED", "ENDORSE_SEBI_DOES_NOT_APPROVE", "ENDORSE_EXCHANGES_DO_NOT_ENDORSE", "ID_SEBI_EMAIL_MISMATCH", "ACCESS_FPI_NOT_FOR_RESIDENTS")
     matches = ("REG_MATCH", "REG_MATCH_PERPETUAL", "REG_NAME_FOUND", "ID_CONTACTS_MATCH")
     missing = ("REG_FORMAT_INVALID", "REG_NOT_IN_REGISTER", "REG_NAME_NOT_FOUND", "ID_NOT_IN_REGISTER")
     return F.when(reason.isin(*contradicted), "CONTRADICTED").when(reason.isin(*matches), "MATCHES").when(reason.isin(*missing), "NOT_FOUND").otherwise("CANT_CHECK")
@@ -65,19 +67,78 @@ def identity_reason(is_sebi: Column, foreign_email: Column, is_regulator: Column
 
 
 def payment_reason(method: Column, validated: Column, category: Column, day: Column, clear: Column) -> Column:
-    """The reason for a payment claim; validated handles are due from a fixed day on for some categories."""
+    """The reason for a payment claim; validated handles are due from a fixed day on for some categories, and for a
+    registration of unknown category."""
     # The categories and the day.
-    due = category.isin("RA", "IA", "BROKER", "PMS", "MF") & (day >= F.lit("2025-12-08").cast("date")) & clear
-    other = F.concat(F.lit("PAYMENT_"), F.upper(method))
+    due = mandated(category) & (day >= F.lit("2025-12-08").cast("date")) & clear
+    other = F.when(method == "bank", "BANK_OWNER_UNKNOWN").when(method == "qr", "PAYMENT_QR").when(method == "crypto", "PAYMENT_CRYPTO").otherwise("PAYMENT_OTHER")
     return F.when(method != "upi", other).when(validated, "UPI_VALIDATED_CHECK").when(F.coalesce(due, F.lit(False)), "UPI_NOT_VALIDATED").otherwise("UPI_OWNER_UNKNOWN")
 
 
+def mandated(category: Column) -> Column:
+    return F.coalesce(category.isin(*identifiers.UPI_SUFFIXES, "UNKNOWN"), F.lit(False))
+
+
+def suffix_differs(suffix: Column, category: Column) -> Column:
+    """Whether a validated handle's suffix is another than the claimed category's."""
+    return F.coalesce(suffix != identifiers.dimension(identifiers.UPI_SUFFIXES)[category], F.lit(False))
+
+
 def returns_reason(context: Column, category: Column, origin: Column) -> Column:
     return F.when(context == "deposit", "RETURNS_DEPOSIT").when(category.isNotNull() & (origin != "model"), "RETURNS_BY_REGISTERED").otherwise("RETURNS_UNVERIFIABLE")
 
 
+def returns_rules(reason: Column, category: Column) -> Column:
+    """Rules that a result on promised returns cites."""
+    rules = lambda *names: F.array(*map(F.lit, names))
+    own = F.when(category == "BROKER", rules("BROKER_NO_GUARANTEED_RETURN_SCHEMES")).when(category.isin("RA", "IA"), rules("RA_IA_NO_ASSURED_RETURNS")).otherwise(rules("RA_IA_NO_ASSURED_RETURNS", "BROKER_NO_GUARANTEED_RETURN_SCHEMES"))
+    return F.when(reason == "RETURNS_BY_REGISTERED", own).when(reason == "RETURNS_UNVERIFIABLE", rules("ASSURED_RETURN_SCHEMES_PROHIBITED")).otherwise(F.array().cast("array<string>"))
+
+
 def endorsement_reason(authority: Column, object_: Column, origin: Column) -> Column:
-    return F.when(object_.isin("app", "group"), "ENDORSE_APP_OR_GROUP").when(origin == "model", "ENDORSE_NOT_CHECKABLE").when(authority == "SEBI", "ENDORSE_SEBI").when(authority.isin("NSE", "BSE"), "ENDORSE_EXCHANGE").otherwise("ENDORSE_OTHER")
+    return F.when(object_.isin("app", "group"), "ENDORSE_APP_OR_GROUP").when(origin == "model", "ENDORSE_NOT_CHECKABLE").when(authority == "SEBI", "ENDORSE_SEBI_DOES_NOT_APPROVE").when(authority.isin("NSE", "BSE"), "ENDORSE_EXCHANGES_DO_NOT_ENDORSE").otherwise("ENDORSE_NOT_CHECKABLE")
+
+
+def app_reason(store: Column, sideload: Column, linked: Column) -> Column:
+    """The reason for an app to install: from a store, from elsewhere, or without a link."""
+    return F.when(store.isNotNull(), "APP_STORE_CHECK_DEVELOPER").when(sideload & linked, "APP_SIDELOAD").otherwise("APP_NO_LINK")
+
+
+def access_rules(kind: Column, origin: Column) -> Column:
+    """Rules that an offer of special access comes under."""
+    rules = lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    return F.when((kind == "fpi_account") & (origin != "model"), rules("FPI_ROUTE_NOT_FOR_RESIDENTS")).when(kind == "vip_group", rules("CAUTION_VIP_GROUPS")).when(kind == "otc", rules()).when(kind.isin("institutional_account", "fpi_account"), rules("CAUTION_FAKE_INSTITUTIONAL_ACCOUNTS", "CAUTION_SOCIAL_MEDIA_LURES")).otherwise(rules("CAUTION_SOCIAL_MEDIA_LURES"))
+
+
+def access_reason(kind: Column, origin: Column) -> Column:
+    return F.when((kind == "fpi_account") & (origin != "model"), "ACCESS_FPI_NOT_FOR_RESIDENTS").when(F.size(access_rules(kind, origin)) > 0, "ACCESS_CAUTIONED").otherwise("ACCESS_UNVERIFIABLE")
+
+
+def access_severity(kind: Column) -> Column:
+    return F.when(kind.isin("vip_group", "otc"), "medium").otherwise("high")
+
+
+def claimed_category(claims: DataFrame) -> DataFrame:
+    """Rows (msg_id, category) of registration claims (msg_id, seq_no, category, record_category): the first that a claim
+    names, or else that its record has; UNKNOWN if none does."""
+    own = F.coalesce(F.when(F.col("category") != "OTHER", F.col("category")), "record_category")
+    return claims.groupBy("msg_id").agg(F.coalesce(F.min_by(own, F.when(own.isNotNull(), F.col("seq_no"))), F.lit("UNKNOWN")).alias("category"))
+
+
+def stale_caveats(fixture: Column, stale: Column, as_of: Column) -> Column:
+    """Array of caveats on what a source says: that it is made up for tests, or old."""
+    return F.array_compact(F.array(F.when(fixture, "CAVEAT_FIXTURE"), F.when(stale, F.concat_ws(":", F.lit("CAVEAT_SNAPSHOT_STALE"), as_of.cast("string")))))
+
+
+def registers_param(searched: Column, every: int = 12) -> Column:
+    """How a report names the registers that were searched: all of them, a list of references, or nothing."""
+    own = F.array_distinct(searched)
+    return F.when(F.size(own) == every, "@word.all_registers").when(F.size(own) > 0, F.concat(F.lit("@@"), F.array_join(F.transform(own, lambda c: F.concat(F.lit("cat."), c)), ",")))
+
+
+def ordered_results(results: DataFrame, claims: DataFrame) -> DataFrame:
+    """results (msg_id, claim_id, ...) with their place in the order of claims (msg_id, claim_id, seq_no)."""
+    return results.join(claims.select("msg_id", "claim_id", F.col("seq_no").alias("place")), ["msg_id", "claim_id"])
 
 
 def age_in_days(since: Column, now: Column) -> Column:
@@ -110,11 +171,6 @@ def headlines(results: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key; unlike dropDuplicates it says which."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def graph(claims: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (msg_id, node, kind) and edges (msg_id, source, target, kind) of claims (msg_id, claim_id) and their
     results (msg_id, claim_id, verdict, evidence array<string>)."""

@@ -12,7 +12,8 @@ from proofsieve.session import small_side
 def latest_per_scope(snapshots: DataFrame) -> DataFrame:
     """The last successful row of each scope of snapshots (id, scope, status, completed_at, ...)."""
     newest = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("completed_at"), F.desc("id")))
-    return snapshots.where("status = 'succeeded'").withColumn("_n", newest).where("_n = 1").drop("_n")
+    ranked = snapshots.where("status = 'succeeded'").select(F.struct("*").alias("row"), newest.alias("n"))
+    return ranked.where("n = 1").select("row.*")
 
 
 def freshness(latest: DataFrame, now: Column, hours: int = 72) -> DataFrame:
@@ -68,34 +69,41 @@ def trigrams(c: Column) -> Column:
 def search_names(queries: DataFrame, registry: DataFrame, least: float = 0.6, top: int = 5) -> DataFrame:
     """Rows (query, registration_no, similarity, place): the `top` names of registry (registration_no, name) like each query.
 
-    Similarity is the share of the query's trigrams that the name has; at least `least`. Pairs come from the query's
-    rarest trigrams, as many as a match can't do without, so that no match is lost and common ones pair nothing.
+    Both are folded and compared by trigrams; similarity is the share of the query's that the name has, at least `least`,
+    or one if the name holds the query. Pairs come from the query's rarest trigrams, as many as a match can't do without,
+    so that no match is lost and common ones pair nothing; what is joined are names that differ, by a number for each.
+    Queries of less than three letters find nothing.
     """
-    names = registry.select("registration_no", F.lower("name").alias("name")).withColumn("grams", trigrams(F.col("name")))
-    grams = names.select("registration_no", "grams", F.explode("grams").alias("gram"))
+    folded = registry.select("registration_no", text.fold_for_match(F.col("name")).alias("name"))
+    names = folded.select("name").distinct().withColumn("id", F.xxhash64("name"))
+    grams = names.select("id", F.explode(trigrams(F.col("name"))).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("of"))
-    asked = queries.select(F.lower("query").alias("query")).distinct().withColumn("wanted", trigrams(F.col("query")))
-    each = asked.select("query", "wanted", F.explode("wanted").alias("gram")).join(counts, "gram", "left")
+    asked = queries.select(text.fold_for_match(F.col("query")).alias("query")).where(F.length("query") >= 3).distinct().withColumn("wanted", trigrams(F.col("query")))
+    each = asked.select("query", F.size("wanted").alias("size"), F.explode("wanted").alias("gram")).join(counts, "gram", "left")
     rare = F.row_number().over(Window.partitionBy("query").orderBy(F.coalesce("of", F.lit(0)), "gram"))
-    need = F.size("wanted") - F.ceil(F.size("wanted") * least) + 1
-    probes = each.withColumn("_n", rare).where(F.col("_n") <= need).select("query", "wanted", "gram")
-    pairs = probes.join(grams, "gram").dropDuplicates(["query", "registration_no"])
-    share = F.size(F.array_intersect("wanted", "grams")) / F.size("wanted")
+    need = F.col("size") - F.ceil(F.col("size") * least) + 1
+    # A name that holds the query lacks two trigrams at its start and one at its end at most.
+    probes = each.withColumn("n", rare).where(F.col("n") <= F.greatest(need, F.lit(4))).select("query", "gram")
+    pairs = probes.join(grams, "gram").select("query", "id").distinct()
+    pairs = pairs.join(asked, "query").join(names.select("id", "name", trigrams(F.col("name")).alias("grams")), "id")
+    share = F.when(F.contains("name", "query"), 1.0).otherwise(F.size(F.array_intersect("wanted", "grams")) / F.size("wanted"))
+    like = pairs.select("query", "name", share.alias("similarity")).where(F.col("similarity") >= least)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "registration_no"))
-    return pairs.select("query", "registration_no", share.alias("similarity")).where(F.col("similarity") >= least).withColumn("place", place).where(F.col("place") <= top)
+    return like.join(folded, "name").select("query", "registration_no", "similarity").withColumn("place", place).where(F.col("place") <= top)
 
 
 def match_alerts(names: DataFrame, alerts: DataFrame) -> DataFrame:
     """Rows (msg_id, name, alert): names (msg_id, name) that are an alert's name, or hold it as whole words.
 
-    Every run of words of a name is a key, so that phrases are found by an equi-join; alerts of one word of less than
-    eight letters match whole names only.
+    Names are folded, and all but letters and digits are blanks. Every run of words of a name is a key, so that phrases
+    are found by an equi-join; alerts of one word of less than eight letters match whole names only.
     """
-    folded = names.withColumn("words", F.filter(F.split(text.fold_for_match(F.col("name")), r"\s+"), lambda w: w != ""))
+    plain = lambda c: F.trim(F.regexp_replace(text.fold_for_match(c), r"[^\p{L}\p{N}]+", " "))
+    folded = names.select("msg_id", "name", plain(F.col("name")).alias("plain")).select("msg_id", "name", F.filter(F.split("plain", " "), lambda w: w != "").alias("words"))
     n = F.size("words")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.struct(F.array_join(F.slice("words", i, k), " ").alias("phrase"), (k == n).alias("whole")))))
     phrases = folded.where(n > 0).select("msg_id", "name", F.explode(spans).alias("s")).select("msg_id", "name", "s.phrase", "s.whole")
-    own = alerts.select(F.col("name").alias("alert"), text.fold_for_match(F.col("name")).alias("phrase"))
+    own = alerts.select(F.col("name").alias("alert"), plain(F.col("name")).alias("phrase"))
     found = phrases.join(small_side(own), "phrase")
     return found.where(F.col("whole") | (F.size(F.split("phrase", " ")) >= 2) | (F.length("phrase") >= 8)).select("msg_id", "name", "alert").distinct()
 

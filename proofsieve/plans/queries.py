@@ -230,7 +230,7 @@ def evidence_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAYMENTS = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'upi' WHEN 'O' THEN 'upi' ELSE 'bank' END AS method, o_orderkey % 3 = 0 AS validated, CASE o_orderkey % 4 WHEN 0 THEN 'RA' WHEN 1 THEN 'OTHER' WHEN 2 THEN 'PMS' END AS category, CASE WHEN o_custkey % 2 = 0 THEN DATE '2026-01-01' ELSE DATE '2025-01-01' END AS day, CASE o_custkey % 3 WHEN 0 THEN 'deposit' WHEN 1 THEN 'market' ELSE 'unknown' END AS context FROM orders"
 
 
-@query(f"""WITH p AS ({PAYMENTS}) SELECT id, CASE WHEN method <> 'upi' THEN 'PAYMENT_BANK' WHEN validated THEN 'UPI_VALIDATED_CHECK' WHEN category IN ('RA', 'PMS') AND day >= DATE '2025-12-08' THEN 'UPI_NOT_VALIDATED' ELSE 'UPI_OWNER_UNKNOWN' END AS payment,
+@query(f"""WITH p AS ({PAYMENTS}) SELECT id, CASE WHEN method <> 'upi' THEN 'BANK_OWNER_UNKNOWN' WHEN validated THEN 'UPI_VALIDATED_CHECK' WHEN category IN ('RA', 'PMS') AND day >= DATE '2025-12-08' THEN 'UPI_NOT_VALIDATED' ELSE 'UPI_OWNER_UNKNOWN' END AS payment,
  CASE WHEN context = 'deposit' THEN 'RETURNS_DEPOSIT' WHEN category IS NOT NULL THEN 'RETURNS_BY_REGISTERED' ELSE 'RETURNS_UNVERIFIABLE' END AS returns FROM p""")
 def payment_and_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col

@@ -34,3 +34,9 @@ def test_domains_and_numbers(spark):
     got = values(spark, text.redact_number, ("call +91 98765-43210 now", "919876543210"), ("9876543210 98765 43210", "+91 98765 43210"), ("12345", "12345"))
     assert got == ["call [your number] now", "[your number] [your number]", "12345"]
     assert values(spark, text.sha256_base64url, "abc") == ["ungWv48Bz-pBQUDeXa4iI7ADYaOWF3qctBD_YfIAFa0"]
+
+
+def test_devanagari_names(spark):
+    assert values(spark, text.transliterate, "शर्मा", "राम", "संजय", "ज़फ़र ज़", "कंपनी अं", "दुःख", "abc", None) == ["sharma", "ram", "sanjay", "zafar z", "kampani an", "duhkh", "abc", None]
+    same = lambda a, b: text.compare_tokens(text.name_tokens(a), text.name_tokens(b))
+    assert values(spark, same, ("राहुल शर्मा", "RAHUL KUMAR SHARMA"), ("Zerodha", "ZERODHA BROKING LIMITED"), ("Groww", "GROWW INVEST TECH PRIVATE LIMITED"), ("Sharma", "RAHUL KUMAR SHARMA"), ("Research Desk", "ABC RESEARCH PRIVATE LIMITED")) == ["same", "same", "same", "similar", "inconclusive"]
