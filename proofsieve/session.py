@@ -55,6 +55,12 @@ def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     return path.toString()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that shared_path() has named."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package's code to the executors once per application."""
     app = spark.sparkContext.applicationId
