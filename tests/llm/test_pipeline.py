@@ -42,3 +42,19 @@ def test_stages_match_brute_force(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
     assert pii.KINDS[:4] == ("email", "ip", "card", "phone")
+
+
+def test_stages_stand_odd_rows_and_columns(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, None, None, None, None, 1, "a"), (None, text, None, "s", 1, 1, "a"), (1, "", "en", "s", 0, 1, "a"), (2, text + " ten more", "en", "s", 9, 1, "a"), (2, text + " ten more", "en", "s", 9, 1, "a"), (3, "x" * 300_000, "en", "s", 9, 1, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row int, _terms string")
+    spark.createDataFrame([(None, None), (1, "the benchmark has these words in it and some more of them")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    groups = brute_components([*range(len(rows))], [brute_fingerprint(r[1] or "") for r in rows])
+    want = {"quality_rules": 1, "near_duplicates": len({*groups}), "decontamination": 6, "sanitising": 6, "tokens": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.count() == want[name], name
+        assert name == "tokens" or got.columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
