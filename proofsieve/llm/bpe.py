@@ -13,7 +13,6 @@ import heapq
 import json
 import mmap
 import os
-import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -27,11 +26,14 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import normalizers
 
 from proofsieve.session import checkpointed, shared_file, ship
 
 #: White space as the vocabulary's pattern understands it.
 SPACES = "\t\n\v\f\r \x85\xa0  -     　"
+#: Composition as the vocabularies' makers have it: by an older table of marks than that of Python.
+NFC = normalizers.NFC().normalize_str
 SPLIT = regex.compile(f"[^{SPACES}]+")
 #: Python's own split() also cuts at these four.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -42,8 +44,10 @@ SHORT, NEVER = 48, 1 << 40
 MARKS = frozenset(",.!?;:")
 #: Rows that are in Python at once.
 SLICE = 256
-#: Bytes, as estimated, that a worker's memory of chunks and words may take, and the longest chunk that it remembers.
-REMEMBERED, LONGEST = 96_000_000, 64
+#: Bytes, as estimated, that a worker's memories of chunks and of words may take each, and the longest that they remember.
+REMEMBERED, LONGEST = 48_000_000, 64
+#: Letters below this one are composed, keep their number in lower case but for one of them, and don't depend on others.
+SIMPLE, NOT_SIMPLE = "\u0250", "\u0130"
 #: Different chunks that a task counts before it hands them on, and words that it hands on at once.
 COUNTED, HANDED = 300_000, 25_000
 
@@ -134,21 +138,25 @@ class Cutter:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
     def __call__(self, chunk: str) -> list[bytes | int]:
-        if chunk.isascii() and chunk.isalpha():
+        if chunk.isalpha() and (chunk.isascii() or _simple(chunk)):
             return [chunk.lower().encode()]  # letters alone are one word
-        if chunk[-1:] in MARKS and (head := chunk[:-1]).isascii() and head.isalpha():
+        if chunk[-1:] in MARKS and (head := chunk[:-1]).isalpha() and (head.isascii() or _simple(head)):
             return [head.lower().encode(), chunk[-1].encode()]  # and a mark after them is another
         out: list[bytes | int] = []
         for part in self.at_special.split(chunk) if self.at_special and "<" in chunk else (chunk,):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                composed = part if part.isascii() else unicodedata.normalize("NFC", part)
+                composed = part if part.isascii() else NFC(part)
                 lowered = composed.lower() if composed.isascii() else "".join(map(str.lower, composed))
                 out.extend(w.encode("utf-8", "surrogatepass") for w in self.words.findall(lowered))
         return out
 
 
+def _simple(letters: str) -> bool:
+    return max(letters) < SIMPLE and NOT_SIMPLE not in letters
+
+
 def chunks(text: str | None) -> list[str]:
     if not text:
         return []
@@ -310,50 +318,79 @@ def build_lexicon(docs: DataFrame, path: str, size: int = 50_000) -> Lexicon:
     return Lexicon(spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(names), name)
 
 
+class Memory:
+    """What a worker remembers, in two generations: when the young one is full it becomes the old one, which goes.
+
+    What is still asked for comes back to the young one. Sizes are estimates in bytes.
+    """
+
+    def __init__(self, size: int) -> None:
+        self.size, self.held = size // 2, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key) -> tuple[int, ...] | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, ids: tuple[int, ...]) -> None:
+        if len(key) <= LONGEST:
+            self.held += 200 + 2 * len(key) + 8 * len(ids)
+            if self.held > self.size:
+                self.old = self.young.copy()
+                self.young.clear()  # the same dictionary, which others look up in
+                self.held = 200 + 2 * len(key) + 8 * len(ids)
+            self.young[key] = ids
+
+
 class Encoder:
-    """Encodes texts in a worker; what it remembers of chunks is bounded."""
+    """Encodes texts in a worker; what it remembers of chunks and words is bounded."""
 
     def __init__(self, vocabulary: Vocabulary, file: str) -> None:
         self.vocabulary, self.cut = vocabulary, Cutter(vocabulary)
         with open(SparkFiles.get(file), "rb") as f:
             self.automaton = Automaton(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-        self.known: dict[str, tuple[int, ...]] = {}  # tuples of numbers, which the garbage collector passes over
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.held = 0  # bytes that both take, as estimated
-
-    def chunk(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for w in self.cut(chunk):
-            if isinstance(w, int):
-                ids.append(w)
+        self.known, self.words = Memory(REMEMBERED), Memory(REMEMBERED)  # of tuples, which the garbage collector passes over
+
+    def word(self, word: bytes) -> tuple[int, ...]:
+        found = self.words.get(word)  # words stand in several chunks, with other marks around them
+        if found is None:
+            found = self.automaton.get(word)
+            found = tuple(self.vocabulary.merge(word) if found is None else found)
+            self.words.put(word, found)
+        return found
+
+    def chunk(self, chunk: str) -> tuple[int, ...]:
+        ids = self.known.get(chunk)
+        if ids is None:
+            parts = self.cut(chunk)
+            if len(parts) == 1 and isinstance(parts[0], bytes):
+                ids = self.word(parts[0])
             else:
-                found = self.words.get(w)  # words stand in several chunks, with other marks around them
-                if found is None:
-                    found = self.automaton.get(w)
-                    found = tuple(self.vocabulary.merge(w) if found is None else found)
-                    if len(w) <= LONGEST:
-                        self._hold(2 * len(w) + 36 * len(found))
-                        self.words[w] = found
-                ids += found
-        if len(chunk) <= LONGEST:
-            self._hold(4 * len(chunk) + 8 * len(ids))
-            self.known[chunk] = tuple(ids)
+                ids = tuple(i for w in parts for i in ((w,) if isinstance(w, int) else self.word(w)))
+            self.known.put(chunk, ids)
         return ids
 
-    def _hold(self, size: int) -> None:
-        self.held += 200 + size
-        if self.held > REMEMBERED:
-            self.known.clear()
-            self.words.clear()
-            self.held = 200 + size
-
     def add(self, text: str | None, out: list[int]) -> None:
         """Appends the text's ids to out."""
-        get, extend = self.known.get, out.extend
+        get, extend = self.known.young.get, out.extend
         for c in chunks(text):
             extend(get(c) or self.chunk(c))
 
 
+_own: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary, file: str) -> Encoder:
+    """The worker's encoder for a lexicon, which remembers words from task to task."""
+    if file not in _own:
+        _own.clear()
+        _own[file] = Encoder(vocabulary.value, file)
+    return _own[file]
+
+
 class Decoder:
     """Decodes lists of ids in a worker."""
 
@@ -378,7 +415,7 @@ def _encoded(docs: DataFrame, lexicon: Lexicon, names) -> DataFrame:
     vocabulary, file = lexicon.vocabulary, lexicon.file
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value, file)
+        encoder = encoder_of(vocabulary, file)
         decoder = Decoder(names.value) if names else None
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):

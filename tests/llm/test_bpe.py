@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -20,10 +20,17 @@ def by_merging(text):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x2FFF, exclude_categories=("Cs", "Cn")), st.sampled_from("abe'stdlmrv 012\n<|>éÉİΣſK\x1c\x85́")), max_size=60))
+@example("\u0300\u1df6 e\u0301\u07fd\u0300")
 def test_merging_is_the_librarys(text):
     assert by_merging(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_of_simple_words_are_the_librarys():
+    for k in range(0x250):
+        for text in (f"a{chr(k)}b", f"{chr(k)}.", chr(k), f"É{chr(k)}Ü,"):
+            assert by_merging(text) == LIBRARY.encode(text, add_special_tokens=False).ids, hex(k)
+
+
 def test_automaton_returns_what_it_was_given():
     rng = random.Random(3)
     words = {bytes(rng.choices(b"abcxyz", k=rng.randint(1, 7))): [rng.randint(0, 99) for _ in range(rng.randint(0, 4))] for _ in range(3000)}
@@ -86,4 +93,7 @@ def test_memory_of_a_worker_is_bounded(monkeypatch, spark):
     for text in (" ".join(f"word{k}" for k in range(500)), "-".join(f"w{k}" for k in range(500)) + "x" * 80):
         out = []
         encoder.add(text, out)
-        assert out == LIBRARY.encode(text, add_special_tokens=False).ids and encoder.held <= 5000 and len(encoder.known) + len(encoder.words) <= 25
+        assert out == LIBRARY.encode(text, add_special_tokens=False).ids
+        for memory in (encoder.known, encoder.words):
+            assert memory.held <= 2500 and len(memory.young) + len(memory.old) <= 25
+    assert encoder.word(b"word499") == encoder.word(b"word499") == tuple(VOCABULARY.merge(b"word499"))
