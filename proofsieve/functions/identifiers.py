@@ -187,11 +187,16 @@ def analyse_upi(v: Column) -> Column:
     return F.struct(low.alias("value"), user.alias("username"), F.split_part(low, F.lit("@"), F.lit(2)).alias("psp"), F.nullif(suffix, F.lit("")).alias("category_suffix"), user.rlike(r"^(\+?91)?[6-9]\d{9}(-\d)?$").alias("mobile_based"))
 
 
-def _found(t: Column, *rules: int) -> Column:
-    return F.filter(spans.matches(t, OTHER_FINDER), lambda m: m["rule"].isin(*rules))
+def others(t: Column) -> Column:
+    """Matches that upi_ids(), emails(), handles() and bank_accounts() are told by, for those who ask for several."""
+    return spans.matches(t, OTHER_FINDER)
 
 
-def upi_ids(t: Column) -> Column:
+def _found(t: Column, found: Column | None, *rules: int) -> Column:
+    return F.filter(others(t) if found is None else found, lambda m: m["rule"].isin(*rules))
+
+
+def upi_ids(t: Column, found: Column | None = None) -> Column:
     """Array of structs (value, username, psp, category_suffix, mobile_based, start, end), each once: of known services,
     or of any if the text speaks of paying."""
 
@@ -200,10 +205,10 @@ def upi_ids(t: Column) -> Column:
         known = u["psp"].isin(SERVICES) | u["psp"].startswith("valid") | u["psp"].startswith("ok") | t.rlike(PAYING)
         return u.withField("start", m["start"]).withField("end", m["end"]).withField("is", known)
 
-    return _told(_found(t, 0), told, "value")
+    return _told(_found(t, found, 0), told, "value")
 
 
-def emails(t: Column) -> Column:
+def emails(t: Column, found: Column | None = None) -> Column:
     """Array of structs (address, domain, free_mail, start, end), each once; domains whose suffix is one are left to emails_of()."""
 
     def told(m: Column) -> Column:
@@ -211,10 +216,10 @@ def emails(t: Column) -> Column:
         domain = F.split_part(address, F.lit("@"), F.lit(2))
         return F.struct(address.alias("address"), domain.alias("domain"), domain.isin(FREE_MAIL).alias("free_mail"), m["start"].alias("start"), m["end"].alias("end"), F.lit(True).alias("is"))
 
-    return _told(_found(t, 1), told, "address")
+    return _told(_found(t, found, 1), told, "address")
 
 
-def handles(t: Column) -> Column:
+def handles(t: Column, found: Column | None = None) -> Column:
     """Array of structs (platform, value, start, end) of handles beside a platform's name, each once."""
 
     def told(m: Column) -> Column:
@@ -222,10 +227,10 @@ def handles(t: Column) -> Column:
         start = m["start"] + F.locate("@", spans.piece(t, m["start"], m["end"])) - 1
         return F.struct(F.lit("telegram").alias("platform"), F.lower(at).alias("value"), start.alias("start"), (start + F.length(at)).alias("end"), F.lit(True).alias("is"))
 
-    return _told(_found(t, 2, 3), told, "value", lambda ms: F.concat(F.filter(ms, lambda m: m["rule"] == 2), F.filter(ms, lambda m: m["rule"] == 3)))
+    return _told(_found(t, found, 2, 3), told, "value", lambda ms: F.concat(F.filter(ms, lambda m: m["rule"] == 2), F.filter(ms, lambda m: m["rule"] == 3)))
 
 
-def bank_accounts(t: Column) -> Column:
+def bank_accounts(t: Column, found: Column | None = None) -> Column:
     """Array of structs (masked, ifsc, start, end) of account numbers after wording that says so; the code is the first
     that stands within 200 characters."""
 
@@ -237,7 +242,7 @@ def bank_accounts(t: Column) -> Column:
 
         return F.transform(F.filter(F.transform(F.filter(ms, lambda m: m["rule"] == 4), told), lambda x: x["is"]), lambda x: x.dropFields("is"))
 
-    return spans.let(_found(t, 4, 5), all_of)
+    return spans.let(_found(t, found, 4, 5), all_of)
 
 
 def analyse_url(raw: Column) -> Column:
@@ -327,22 +332,22 @@ def entities(segments: DataFrame) -> DataFrame:
     What several segments have is one entity with several spans; it is numbered among its kind by where it stands first.
     A registration number that is clear in one segment is clear; other kinds are as clear as their first reading.
     """
-    t = F.col("text")
-    s = segments.select("msg_id", "seq", "text", "origin", "quality", "unclear")
+    t, m = F.col("text"), F.col("found")
+    s = segments.select("msg_id", "seq", "text", "origin", "quality", "unclear", others(t).alias("found"))
     put = lambda **own: F.map_filter(F.create_map(*(x for k, v in own.items() for x in (F.lit(k), v.cast("string")))), lambda k, v: v.isNotNull())
     item = lambda kind, key, raw, attrs, x, read=None: F.struct(F.lit(kind).alias("kind"), key.alias("key"), raw.alias("raw"), attrs.alias("attrs"), (F.lit(False) if read is None else read).alias("read"), x["start"].alias("start"), x["end"].alias("end"))
     found = [
         F.transform(registration_numbers(t), lambda x: item("reg", x["normalized"], x["raw"], put(normalized=x["normalized"], scheme=x["scheme"], format_valid=x["format_valid"]), x, x["reinterpreted"])),
         F.transform(phones(t), lambda x: item("phone", x["e164"], x["raw"], put(e164=x["e164"], indian=x["indian"]), x)),
-        F.transform(upi_ids(t), lambda x: item("upi", x["value"], x["value"], put(value=x["value"], psp=x["psp"], category_suffix=x["category_suffix"], mobile_based=x["mobile_based"]), x)),
-        F.transform(emails(t), lambda x: item("email", x["address"], x["address"], put(address=x["address"], domain=x["domain"], free_mail=x["free_mail"]), x)),
-        F.transform(handles(t), lambda x: item("handle", x["value"], x["value"], put(platform=x["platform"], value=x["value"]), x)),
-        F.transform(bank_accounts(t), lambda x: item("bank", F.concat_ws(":", x["masked"], F.coalesce(x["ifsc"], F.lit(""))), x["masked"], put(masked=x["masked"], ifsc=x["ifsc"]), x)),
+        F.transform(upi_ids(t, m), lambda x: item("upi", x["value"], x["value"], put(value=x["value"], psp=x["psp"], category_suffix=x["category_suffix"], mobile_based=x["mobile_based"]), x)),
+        F.transform(emails(t, m), lambda x: item("email", x["address"], x["address"], put(address=x["address"], domain=x["domain"], free_mail=x["free_mail"]), x)),
+        F.transform(handles(t, m), lambda x: item("handle", x["value"], x["value"], put(platform=x["platform"], value=x["value"]), x)),
+        F.transform(bank_accounts(t, m), lambda x: item("bank", F.concat_ws(":", x["masked"], F.coalesce(x["ifsc"], F.lit(""))), x["masked"], put(masked=x["masked"], ifsc=x["ifsc"]), x)),
     ]
     base = ["msg_id", "seq", "origin", "quality", "unclear"]
     rows = s.select(*base, F.explode(F.concat(*found)).alias("x")).select(*base, "x.*")
     rows = rows.withColumn("suffix", F.when(F.col("kind") == "email", domains.registrable_domain(F.col("attrs")["domain"]))).where("kind <> 'email' OR suffix IS NOT NULL").drop("suffix")
-    u = urls(s)
+    u = urls(s.drop("found"))
     pages = u.select(*base, F.lit("url").alias("kind"), F.col("href").alias("key"), "raw", put(**{c: F.col(c) for c in ("href", "host", "domain", "shortener", "apk", "ip_host", "app_store", "app_store_id", "invite")}).alias("attrs"), F.lit(False).alias("read"), "start", "end")
     rows = rows.unionByName(pages).withColumn("legible", legibility(F.col("origin"), F.col("quality"), F.col("unclear"), F.col("raw"), F.col("read")))
     first = lambda c: F.min_by(c, F.struct("seq", "start")).alias(c)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofsieve.functions import text
+from proofsieve.operators.adjudicate import registers_param
 from proofsieve.operators.claims import first_by
 
 # Findings that behaviour raises, with severity and rules; official places and numbers.
@@ -277,3 +278,126 @@ def hmac_base64url(key: bytes, value: Column) -> Column:
     pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in block).hex()))
     inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(value, "utf-8")), 256))
     return F.translate(F.base64(F.unhex(F.sha2(F.concat(pad(0x5C), inner), 256))), "+/=", "-_")
+
+
+# The rules that results cite, with the authority and what of it says so.
+RULES = {
+    "RA_IA_NO_ASSURED_RETURNS": ("SEBI", "HO/38/12/11(1)2026-MIRSD-POD/I/4360/2026"),
+    "BROKER_NO_GUARANTEED_RETURN_SCHEMES": ("SEBI", "SEBI/LAD-NRO/GN/2026/291"),
+    "ASSURED_RETURN_SCHEMES_PROHIBITED": ("SEBI", "PR No. 22/2025"),
+    "RA_IA_NO_ACCURACY_CLAIMS": ("SEBI", "HO/38/12/11(1)2026-MIRSD-POD/I/4360/2026"),
+    "REGISTRATION_DETAILS_IN_COMMUNICATIONS": ("SEBI", "HO/38/12/11(1)2026-MIRSD-POD/I/4360/2026"),
+    "SEBI_DOES_NOT_APPROVE_SECURITIES": ("SEBI", "Schedule VI, Part A — General Risk statement"),
+    "EXCHANGES_SEBI_DO_NOT_ENDORSE": ("SEBI", "SEBI/HO/MIRSD/MIRSD-PoD/P/CIR/2025/90"),
+    "VALIDATED_UPI_FOR_INTERMEDIARIES": ("SEBI", "SEBI/HO/DEPA-II/DEPA-II_SRG/P/CIR/2025/86"),
+    "RA_IA_NEVER_ASK_OTP": ("SEBI", "HO/38/12/11(1)2026-MIRSD-POD/I/4360/2026"),
+    "RA_IA_NO_CLIENT_FUNDS": ("SEBI", "HO/38/12/11(2)2026-MIRSD-POD/I/4300/2026"),
+    "FPI_ROUTE_NOT_FOR_RESIDENTS": ("SEBI", "PR No. 53/2025"),
+    "CAUTION_SOCIAL_MEDIA_LURES": ("SEBI", "PR No. 22/2025"),
+    "CAUTION_VIP_GROUPS": ("SEBI", "PR No. 27/2025"),
+    "CAUTION_FAKE_INSTITUTIONAL_ACCOUNTS": ("NSE/BSE", "Joint release, NSE/BSE"),
+    "SEBI_EMAIL_DOMAIN": ("SEBI", "PR No. 60/2025"),
+}
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    """The dimension of rules (rule_id, authority, reference)."""
+    return spark.createDataFrame([(k, *v) for k, v in RULES.items()], "rule_id string, authority string, reference string")
+
+
+def rule_evidence(results: DataFrame) -> DataFrame:
+    """Evidence rows (msg_id, seq, key, kind, title, authority, reference) of the rules that results (msg_id, seq, rules)
+    cite, each once for a message; rules that are not known are left out."""
+    cited = results.select("msg_id", "seq", F.posexplode("rules").alias("k", "rule_id")).join(F.broadcast(rules(results.sparkSession)), "rule_id")  # fifteen rows
+    first = first_by(cited, ["msg_id", "rule_id"], ["seq", "k"])
+    return first.select("msg_id", "seq", F.concat(F.lit("rule:"), "rule_id").alias("key"), F.lit("rule").alias("kind"), F.concat(F.lit("RULE_"), "rule_id").alias("title"), "authority", "reference")
+
+
+def params(**values: Column) -> Column:
+    """A map of what templates are filled with, without what is null."""
+    return F.map_filter(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("string")))), lambda k, v: v.isNotNull())
+
+
+def ref(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(f"@{kind}."), value)
+
+
+def record_evidence(records: DataFrame) -> DataFrame:
+    """records with evidence rows (key, kind, title, fields map): what a register says about a number."""
+    joined = lambda c, by: F.nullif(F.array_join(c, by), F.lit(""))
+    span = F.concat_ws(" – ", F.coalesce(F.col("valid_from").cast("string"), F.lit("?")), F.coalesce(F.col("valid_to").cast("string"), F.lit("Perpetual")))
+    fields = params(name=joined("names", " / "), trade_name=joined("trade_names", " / "), registration_no=F.col("registration_no"), category=F.col("category"), validity=span, email=joined("emails", ", "), telephone=joined("phones", ", "), address=F.col("address"), contact_person=F.col("contact_person"), exchange=joined("exchanges", ", "))
+    return records.select("registration_no", F.concat(F.lit("sebi:"), "registration_no").alias("key"), F.lit("registry_record").alias("kind"), F.lit("EV_SEBI_RECORD").alias("title"), fields.alias("fields"))
+
+
+def absence_evidence(searches: DataFrame) -> DataFrame:
+    """Evidence rows of searches (query, searched array, as_of, mode) that found nothing."""
+    return searches.select("query", F.concat(F.lit("sebi-absent:"), "query").alias("key"), F.lit("registry_absence").alias("kind"), F.lit("EV_SEBI_ABSENT").alias("title"), params(searched=registers_param(F.col("searched")), as_on=F.col("as_of"), mode=F.col("mode")).alias("fields"))
+
+
+def shown_fields(fields: Column, labels: Column) -> Column:
+    """Array of structs (key, label, value) of an evidence's fields that have a value, labels from a map."""
+    return F.transform(F.map_entries(F.map_filter(fields, lambda k, v: F.coalesce(v, F.lit("")) != "")), lambda e: F.struct(e["key"].alias("key"), F.coalesce(labels[e["key"]], e["key"]).alias("label"), e["value"].alias("value")))
+
+
+def claim_statements(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """Rows (msg_id, claim_id, code, params map): what each claim asserts, as the code of a template and what fills it."""
+    of = lambda kind, id_, value, name: entities.where(F.col("kind") == kind).select("msg_id", F.col("entity_id").alias(id_), value.alias(name))
+    a = F.col("attrs")
+    j = claims.join(of("reg", "reg_id", F.col("key"), "number"), ["msg_id", "reg_id"], "left").join(of("upi", "upi_id", F.col("key"), "handle"), ["msg_id", "upi_id"], "left")
+    j = j.join(of("bank", "bank_id", a["masked"], "account"), ["msg_id", "bank_id"], "left").join(of("url", "url_id", a["host"], "host"), ["msg_id", "url_id"], "left")
+    c, there = F.col, lambda x: F.col(x).isNotNull()
+    category = ref("cat", F.coalesce("category", F.lit("UNKNOWN")))
+    told = [
+        ((c("type") == "SEBI_REGISTRATION") & there("number") & there("holder_name"), "CLAIM_REG_NUMBER_NAME", params(holderName=c("holder_name"), regNo=c("number"), category=category)),
+        ((c("type") == "SEBI_REGISTRATION") & there("number"), "CLAIM_REG_NUMBER", params(regNo=c("number"), category=category)),
+        ((c("type") == "SEBI_REGISTRATION") & there("holder_name"), "CLAIM_REG_NAME", params(holderName=c("holder_name"), category=category)),
+        (c("type") == "SEBI_REGISTRATION", "CLAIM_REG_BARE", params(category=category)),
+        (c("type") == "IDENTITY", "CLAIM_IDENTITY", params(orgName=c("org_name"))),
+        (c("type") == "REGULATOR_ENDORSEMENT", "CLAIM_ENDORSEMENT", params(authority=ref("auth", c("authority")), object=ref("obj", c("object")))),
+        ((c("type") == "GUARANTEED_RETURNS") & there("percent"), "CLAIM_RETURNS_RATE", params(kind=ref("kind", c("kind")), percent=format_number(c("percent")), period=ref("period", c("period")))),
+        (c("type") == "GUARANTEED_RETURNS", "CLAIM_RETURNS", params(kind=ref("kind", c("kind")))),
+        ((c("type") == "PAYMENT_DESTINATION") & there("handle"), "CLAIM_PAYMENT_UPI", params(upi=c("handle"))),
+        ((c("type") == "PAYMENT_DESTINATION") & there("account"), "CLAIM_PAYMENT_BANK", params(account=c("account"))),
+        (c("type") == "PAYMENT_DESTINATION", "CLAIM_PAYMENT", params(method=ref("method", c("method")))),
+        ((c("type") == "APP_INSTALL") & there("host"), "CLAIM_APP_LINK", params(domain=c("host"))),
+        ((c("type") == "APP_INSTALL") & there("app_name"), "CLAIM_APP", params(appName=c("app_name"))),
+        (c("type") == "APP_INSTALL", "CLAIM_APP_GENERIC", params(kind=F.expr("CAST(NULL AS STRING)"))),
+        (c("type") == "SPECIAL_ACCESS", "CLAIM_ACCESS", params(kind=ref("access", c("kind")))),
+    ]
+    code, own = F, F
+    for when, name, values in told:
+        code, own = code.when(when, name), own.when(when, values)
+    return j.select("msg_id", "claim_id", code.alias("code"), own.alias("params"))
+
+
+def rendered(rows: DataFrame, catalog: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """rows (locale, code, params map, ...) with `text`: the template of catalog (locale, code, template) filled.
+
+    Values that refer to the dictionary (locale, key, value) are what it says, dates are days in India, others are
+    cleaned; codes without a template stand for themselves. Both tables are a few hundred rows.
+    """
+    words = dictionary.groupBy("locale").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("words"))
+    j = rows.join(F.broadcast(catalog), ["locale", "code"], "left").join(F.broadcast(words), "locale", "left")
+    day = lambda v: format_day(F.to_utc_timestamp(F.try_to_timestamp(v, F.lit("yyyy-MM-dd")), "Asia/Kolkata"))
+    value = lambda k, v: F.coalesce(dictionary_value(v, F.col("words")), F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), day(v)), text.sanitise_value(v, 160))
+    filled = text.fill_template(F.coalesce("template", "code"), F.transform_values("params", value))
+    return j.select(*rows.columns, tidy(filled).alias("text"))
+
+
+def claim_views(statements: DataFrame, results: DataFrame) -> DataFrame:
+    """Rows (msg_id, claim_id, statement, verdict, reason, evidence, rules) of statements (msg_id, claim_id, text) and
+    results (msg_id, claim_id, verdict, reason, evidence, rules); claims without a result can't be checked."""
+    none = F.array().cast("array<string>")
+    j = statements.join(results, ["msg_id", "claim_id"], "left")
+    return j.select("msg_id", "claim_id", F.col("text").alias("statement"), F.coalesce("verdict", F.lit("CANT_CHECK")).alias("verdict"), F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("evidence", none).alias("evidence"), F.coalesce("rules", none).alias("rules"))
+
+
+def catalog_gaps(catalog: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows (code, problem): templates that one locale lacks, or whose placeholders differ between locales a and b."""
+    names = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\{(\w+)\}"), F.lit(1))))
+    own = lambda x: catalog.where(F.col("locale") == x).select("code", F.col("template").alias(f"in_{x}"))
+    j = own(a).join(own(b), "code", "full")
+    left, right = F.col(f"in_{a}"), F.col(f"in_{b}")
+    problem = F.when(left.isNull(), f"missing in {a}").when(right.isNull(), f"missing in {b}").when(names(left) != names(right), "placeholders differ")
+    return j.select("code", problem.alias("problem")).where("problem IS NOT NULL")

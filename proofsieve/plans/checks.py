@@ -242,3 +242,33 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     f = o.select("msg_id", F.lit("find-1").alias("id"), F.lit("F_X").alias("code"), F.array(F.lit("ev-1")).alias("evidence"), F.array(F.lit("claim-1")).alias("claim_ids"))
     e = o.select("msg_id", F.lit("reg-1").alias("entity_id"), F.lit("INH000000001").alias("key"), F.create_map(F.lit("scheme"), F.lit("SEBI_RA")).alias("attrs"))
     return report.graph(c, r, f, made(spark, sf_dir, GRAPH_EVIDENCE), e)
+
+
+#: Claims of one message for each order, with the entities that they name.
+SAID = "SELECT o_orderkey AS msg_id, o_orderkey % 12 AS k FROM orders"
+STATEMENTS = """CASE k WHEN 0 THEN 'Holder Firm says it is registered as INH000000001 (adviser).' WHEN 1 THEN 'Registered as INH000000001 (?).' WHEN 2 THEN 'Firm says it is registered (?).' WHEN 3 THEN 'Registered (adviser).' WHEN 4 THEN 'Says it is Firm.' WHEN 5 THEN 'CLAIM_ENDORSEMENT' WHEN 6 THEN 'Promises 12.5 % a month.' WHEN 7 THEN 'Asks to pay x@ybl.' WHEN 8 THEN 'Asks to pay to account XXXX1234.' WHEN 9 THEN 'Asks to pay by QR.' WHEN 10 THEN 'Asks to install from a.b.com.' ELSE 'Offers early shares.' END"""
+TEMPLATES = {"CLAIM_REG_NUMBER_NAME": "Holder {holderName} says it is registered as {regNo} ({category}).", "CLAIM_REG_NUMBER": "Registered as {regNo} ({category}).", "CLAIM_REG_NAME": "{holderName} says it is registered ({category}).", "CLAIM_REG_BARE": "Registered ({category}).", "CLAIM_IDENTITY": "Says it is {orgName} .", "CLAIM_RETURNS_RATE": "Promises {percent} % {period}.", "CLAIM_PAYMENT_UPI": "Asks to pay {upi}.", "CLAIM_PAYMENT_BANK": "Asks to pay to account {account}.", "CLAIM_PAYMENT": "Asks to pay by {method}.", "CLAIM_APP_LINK": "Asks to install from {domain}.", "CLAIM_ACCESS": "Offers {kind}."}
+DICTIONARY = {"cat.IA": "adviser", "cat.UNKNOWN": "?", "period.month": "a month", "method.qr": "QR", "access.pre_ipo": "early shares"}
+
+
+@query(f"WITH s AS ({SAID}) SELECT msg_id, 'claim-1' AS claim_id, {STATEMENTS} AS text FROM s")
+def claim_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = made(spark, sf_dir, SAID)
+    k = F.col("k")
+    when = lambda ks, v: F.when(k.isin(*ks), v).cast("string")
+    kinds = ["SEBI_REGISTRATION"] * 4 + ["IDENTITY", "REGULATOR_ENDORSEMENT", "GUARANTEED_RETURNS"] + ["PAYMENT_DESTINATION"] * 3 + ["APP_INSTALL", "SPECIAL_ACCESS"]
+    c = m.select("msg_id", F.lit("claim-1").alias("claim_id"), F.element_at(F.array(*map(F.lit, kinds)), (k + 1).cast("int")).alias("type"), when([0, 1], "reg-1").alias("reg_id"), when([7], "upi-1").alias("upi_id"), when([8], "bank-1").alias("bank_id"), when([10], "url-1").alias("url_id"), when([0, 2], "Firm").alias("holder_name"), when([0, 3], "IA").alias("category"), when([4], "Firm").alias("org_name"), when([5], "SEBI").alias("authority"), when([5], "tip").alias("object"), F.when(k == 6, 12.5).alias("percent"), when([6], "month").alias("period"), F.when(k == 6, "assured").when(k == 11, "pre_ipo").alias("kind"), when([7, 9], "qr").alias("method"), F.lit(None).cast("string").alias("app_name"))
+    row = lambda kind, key, **a: F.struct(F.lit(kind).alias("kind"), F.lit(f"{kind}-1").alias("entity_id"), F.lit(key).alias("key"), F.create_map(*(F.lit(x) for kv in (a or {"none": ""}).items() for x in kv)).alias("attrs"))
+    e = m.select("msg_id", F.explode(F.array(row("reg", "INH000000001"), row("upi", "x@ybl"), row("bank", "b", masked="XXXX1234"), row("url", "u", host="a.b.com"))).alias("e")).select("msg_id", "e.*")
+    told = report.claim_statements(c, e).withColumn("locale", F.lit("en"))
+    catalog = spark.createDataFrame([("en", *kv) for kv in TEMPLATES.items()], "locale string, code string, template string")
+    words = spark.createDataFrame([("en", *kv) for kv in DICTIONARY.items()], "locale string, key string, value string")
+    return report.rendered(told, catalog, words).select("msg_id", "claim_id", "text")
+
+
+CITED = "SELECT l_orderkey AS msg_id, l_linenumber * 100000 + l_partkey AS seq, CASE l_suppkey % 3 WHEN 0 THEN 'CAUTION_VIP_GROUPS' WHEN 1 THEN 'CAUTION_FAKE_INSTITUTIONAL_ACCOUNTS' ELSE 'NO_SUCH_RULE' END AS rule FROM lineitem"
+
+
+@query(f"WITH c AS ({CITED}) SELECT msg_id, min(seq) AS seq, 'rule:' || rule AS key, 'RULE_' || rule AS title, CASE WHEN rule LIKE '%VIP%' THEN 'SEBI' ELSE 'NSE/BSE' END AS authority FROM c WHERE rule <> 'NO_SUCH_RULE' GROUP BY msg_id, rule")
+def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.rule_evidence(made(spark, sf_dir, CITED).withColumn("rules", F.array("rule"))).select("msg_id", "seq", "key", "title", "authority")

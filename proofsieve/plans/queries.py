@@ -60,7 +60,9 @@ def extract_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     flat = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    return messages(spark, sf_dir).select("msg_id", flat(identifiers.phones(t)["e164"]).alias("phones"), flat(identifiers.emails(t)["address"]).alias("emails"), flat(identifiers.upi_ids(t)["value"]).alias("upis"), flat(identifiers.bank_accounts(t)["masked"]).alias("accounts"))
+    m = messages(spark, sf_dir).select("msg_id", "text", identifiers.others(t).alias("found"))
+    found = F.col("found")
+    return m.select("msg_id", flat(identifiers.phones(t)["e164"]).alias("phones"), flat(identifiers.emails(t, found)["address"]).alias("emails"), flat(identifiers.upi_ids(t, found)["value"]).alias("upis"), flat(identifiers.bank_accounts(t, found)["masked"]).alias("accounts"))
 
 
 @query(M + r"""SELECT DISTINCT msg_id, regexp_replace(url, '^(https?://[^/?#]+)$', '\1/') AS href, host, host IN ('bit.ly') AS shortener, regexp_matches(lower(url), '\.apk(?:$|[?#])') AS apk, regexp_full_match(host, '[0-9]{1,3}(\.[0-9]{1,3}){3}') AS ip_host

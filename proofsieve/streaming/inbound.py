@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 
 def each_once(events: DataFrame, key: str, at: str, keep: str = "14 days") -> DataFrame:
@@ -20,6 +24,48 @@ def sessions(events: DataFrame, user: str, at: str, gap: str = "5 seconds", late
     return watermarked.groupBy(user, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+COLLECTED = "key string, start timestamp, closes timestamp, message_ids array<string>, dropped int"
+
+
+def collect_stream(events: DataFrame, gap: float = 5.0, cap: float = 20.0, most: int = 8, late: str = "1 minute") -> DataFrame:
+    """Rows COLLECTED of a stream of messages (key, at, message_id): each window once it has closed.
+
+    A window closes `gap` seconds after its last message, `cap` after its first at the latest, when the watermark passes;
+    it holds `most` messages, further ones are dropped. A key's state is its open window.
+    """
+    wait, longest = pd.Timedelta(seconds=gap), pd.Timedelta(seconds=cap)
+
+    def close(key: tuple, w: tuple) -> pd.DataFrame:
+        start, last, ids, dropped = w
+        return pd.DataFrame({"key": [key[0]], "start": [start], "closes": [min(last + wait, start + longest)], "message_ids": [list(ids)], "dropped": [dropped]})
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = None
+        if state.exists:
+            start, last, ids, dropped = state.get
+            now = (pd.Timestamp(start, unit="us"), pd.Timestamp(last, unit="us"), list(ids), dropped)
+        if state.hasTimedOut:
+            state.remove()
+            yield close(key, now)
+            return
+        for at, message in sorted((r.at, r.message_id) for b in batches for r in b.itertuples()):
+            if now and at >= min(now[1] + wait, now[0] + longest):
+                yield close(key, now)
+                now = None
+            if now is None:
+                now = (at, at, [message], 0)
+            elif len(now[2]) < most:
+                now = (now[0], max(now[1], at), [*now[2], message], now[3])
+            else:
+                now = (now[0], max(now[1], at), now[2], now[3] + 1)
+        state.update((int(now[0].value // 1000), int(now[1].value // 1000), now[2], now[3]))
+        due = int(min(now[1] + wait, now[0] + longest).value // 1_000_000)
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    own = events.select(F.col("key").cast("string"), F.col("at").cast("timestamp"), F.col("message_id").cast("string")).withWatermark("at", late)
+    return own.groupBy("key").applyInPandasWithState(step, COLLECTED, "start long, last long, ids array<string>, dropped int", "append", "EventTimeTimeout")
+
+
 def recent_counts(events: DataFrame, user: str, at: str, seconds: int = 3600) -> DataFrame:
     """events with `recent`: how many of the user's lie within the seconds up to each, itself included."""
     order = F.unix_micros(F.col(at).cast("timestamp"))

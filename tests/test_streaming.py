@@ -3,7 +3,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from proofsieve.operators import adjudicate, registry
+from proofsieve.operators import adjudicate, queue, registry
 from proofsieve.streaming import inbound
 
 T0 = dt.datetime(2026, 10, 4, 10, 0, 0)
@@ -31,6 +31,19 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     assert closed == {r for r in want if r[0] != "z"}  # the last session may still grow
 
 
+def test_windows_of_messages_close_alike_on_streams_and_batches(spark, tmp_path):
+    sec = lambda n: T0 + dt.timedelta(seconds=n)
+    rows = [("a", sec(k * 4), f"a{k}") for k in range(8)] + [("b", sec(0), "b0"), ("b", sec(5), "b1"), ("b", sec(6), "b2")] + [("c", sec(k / 10), f"c{k}") for k in range(10)] + [("z", sec(7200), "z")]
+    schema = "key string, at timestamp, message_id string"
+    path = str(tmp_path / "in")
+    for part in (rows[:5], rows[5:-1], rows[-1:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    want = {("a", sec(0), sec(20), ("a0", "a1", "a2", "a3", "a4"), 0), ("a", sec(20), sec(33), ("a5", "a6", "a7"), 0), ("b", sec(0), sec(5), ("b0",), 0), ("b", sec(5), sec(11), ("b1", "b2"), 0), ("c", sec(0), sec(5.9), tuple(f"c{k}" for k in range(8)), 2)}
+    plain = lambda found: {(r.key, r.start, r.closes, tuple(r.message_ids), r.dropped) for r in found if r.key != "z"}
+    assert plain(queue.collected(spark.createDataFrame(rows, schema)).collect()) == want
+    assert plain(run(spark, path, inbound.collect_stream, schema)) == want
+
+
 def test_queue_and_commands(spark):
     log = spark.createDataFrame([(1, T0, "enqueue"), (1, T0 + dt.timedelta(seconds=1), "start"), (2, T0, "start"), (2, T0 + dt.timedelta(seconds=1), "done"), (3, T0, "start"), (3, T0, "fail")], "job_id long, ts timestamp, event string")
     now = F.lit(T0 + dt.timedelta(seconds=100))
