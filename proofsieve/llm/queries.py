@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from proofsieve.llm import bpe, chat, decontam, ngram, pii, rules, shards, simhash, toxic, wrapper
+from proofsieve.llm import bpe, chat, decontam, negatives, ngram, pii, planes, rules, shards, simhash, toxic, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,13 +57,24 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op12_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.mine(rows.select("vec_id", moved.alias("label"), negatives.quantised(F.col("embedding")).alias("v")), F.col("vec_id") % 100 == 0)
+
+
+def op13_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = planes.stored(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_kneser_ney, op2_simhash_anchors, op3_bpe_lexicon, op4_html_wrappers, op5_quality_rules, op6_label_propagation, op7_role_repair, op8_edit_matching, op9_toxic_cnn, op10_disclosure)
+    own = (op1_kneser_ney, op2_simhash_anchors, op3_bpe_lexicon, op4_html_wrappers, op5_quality_rules, op6_label_propagation, op7_role_repair, op8_edit_matching, op9_toxic_cnn, op10_disclosure, op12_bit_sliced, op13_plane_files)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op12_bit_sliced": OP12_SQL}
 
 
 #: Words, windows and histograms spelt out in SQL; the distances use the same reference.
@@ -98,3 +110,17 @@ judged AS (SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
     n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND by_char <= 0.26 AND by_word <= 0.56 AS kept FROM judged
 """
+
+#: Every product spelt out.
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.k AS anchor, a.vec_id AS anchor_id, b.k, b.vec_id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.q, b.q), z -> coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score
+    FROM v a JOIN v b ON a.k <> b.k WHERE a.vec_id % 100 = 0),
+positive AS (SELECT anchor, anchor_id, k, vec_id AS positive_id, score AS p FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5),
+ranked AS (SELECT t.anchor_id, positive_id, n.vec_id AS negative_id, p AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY t.anchor, t.k ORDER BY n.score DESC, n.vec_id NULLS LAST) AS rank
+    FROM positive t JOIN pairs n ON n.anchor = t.anchor AND NOT n.same AND 30 * p <= 100 * n.score AND 100 * n.score <= 90 * p)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
