@@ -35,9 +35,9 @@ from proofsieve.session import shared_path, ship
 
 MAGIC, MANIFEST = b"planes01", "_manifest.json"
 #: Ids in a block, documents that are indexed together, ids in a file before the next one begins, ids read at once.
-BLOCK, DOCS, FILE, READ = 65_536, 65_536, 1 << 27, 1 << 22
+BLOCK, DOCS, FILE, READ = 65_536, 65_536, 1 << 27, 1 << 20
 #: Bytes of text that are encoded at once, bytes of pieces that a worker remembers, and the longest of them.
-SLICE, REMEMBERED, LONGEST = 4_000_000, 96_000_000, 64
+SLICE, REMEMBERED, LONGEST = 2_000_000, 64_000_000, 64
 #: The id that ends each document.
 END = 0
 
@@ -51,8 +51,8 @@ class Encoder:
     """Ids of texts as the tokenizers library has them.
 
     A byte-level vocabulary never joins across a space that another character than white space follows: its pattern
-    takes such a space as the start of the next token, whatever lies before. Texts are cut there, and pieces that were
-    seen before are not encoded again. Other vocabularies get whole texts.
+    takes such a space as the start of the next token, whatever lies before. Nor does it join a letter and what is none.
+    Texts are cut there, and pieces that were seen before are not encoded again. Other vocabularies get whole texts.
     """
 
     def __init__(self, spec: str):
@@ -61,7 +61,8 @@ class Encoder:
         pre = config.get("pre_tokenizer") or {}
         added = config.get("added_tokens") or []
         plain = not config.get("normalizer") and not config.get("post_processor") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.cuts = plain and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
+        self.cuts = plain and not any(" " in t["content"] or len(t["content"].encode()) > 64 or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
+        self.special = [t["content"].encode() for t in added]
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -82,12 +83,22 @@ class Encoder:
                 self.known[pieces[k]] = ids
         return out
 
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        """Whether a piece may begin at each byte; special tokens stay whole."""
+        out, text = _apart(data), data.tobytes()
+        for token in self.special:
+            at = text.find(token)
+            while at >= 0:
+                out[at + 1 : at + len(token)] = False
+                at = text.find(token, at + 1)
+        return out
+
     def _encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that lie one after the other in data, and how many each has."""
         starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
         begins = np.zeros(len(data) + 1, bool)
         if self.cuts:
-            begins[:-2] = (data[:-1] == 32) & SAFE[data[1:]]
+            begins[:-1] = self._cuts(data)
         begins[starts[starts < ends]] = True
         first = np.flatnonzero(begins)
         offsets = np.append(first, len(data)).astype(np.int64)
@@ -124,9 +135,9 @@ class Encoder:
             at = to
 
     def _long(self, data: np.ndarray) -> np.ndarray:
-        cuts, at = [0], SLICE
+        cuts, at = [0], max(64, SLICE)
         while self.cuts and at < len(data) - 1:
-            near = np.flatnonzero((data[at : at + SLICE][:-1] == 32) & SAFE[data[at : at + SLICE][1:]])
+            near = np.flatnonzero(self._cuts(data[at - 64 : at + SLICE + 64])[64 : SLICE + 64])
             if len(near):
                 cuts.append(at + int(near[0]))
             at = (cuts[-1] if len(near) else at) + SLICE
@@ -140,41 +151,32 @@ def _encoder(spec: str) -> Encoder:
     return Encoder(spec)
 
 
+def _apart(data: np.ndarray) -> np.ndarray:
+    """Whether ordinary text may be cut before each byte."""
+    out = np.zeros(len(data), bool)
+    out[:-1] = (data[:-1] == 32) & SAFE[data[1:]]
+    kind = LETTER[data]
+    ends = kind[:-1] == 1
+    ends[1:] |= (kind[:-2] >= 2) & (data[1:-1] >= 0x80) & (data[1:-1] < 0xC0) & ((kind[:-2] == 3) | (data[1:-1] != 0x97) & (data[1:-1] != 0xB7))
+    out[1:] |= ends & (kind[1:] == 0)
+    return out
+
+
+#: 1 for ASCII letters, 0 for other ASCII, 3 for leads of two-byte characters that are all letters, 2 for the one that
+#: leads U+00D7 and U+00F7 too.
+LETTER = np.array([1 if 65 <= b & ~32 <= 90 else 0 if b < 128 else 2 if b == 0xC3 else 3 if b in (0xC4, 0xC5) else -1 for b in range(256)], np.int8)
+
 #: Bytes that surely begin something else than white space: printable ASCII, and leads of characters none of which is white.
 SAFE = np.array([0x21 <= b <= 0x7E or 0xC3 <= b <= 0xF4 and b not in (0xE1, 0xE2, 0xE3) for b in range(256)])
 
 
-def encoded(docs: DataFrame, vocabulary: str, end: int | None = END) -> DataFrame:
-    """Rows (doc_id, ids) of docs (doc_id, text) in ascending order of doc_id: 32-bit ids, little-endian, as the file
-    `vocabulary` of the tokenizers library has them, and the id `end` after each text.
-
-    A null text is empty; a null doc_id comes first; rows of one doc_id are ordered by a hash of their texts, and equal
-    rows come out as often as they come in. Rows are dealt by ranges of (doc_id, hash, place), so that no id is too
-    frequent for a task. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    with open(vocabulary, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file, whatever the corpus
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value)
-        last = np.array([] if end is None else [end], np.uint32)
-        for batch in batches:
-            ids, held, at = [], 0, 0
-            for x in encoder.encode(batch.column("text")):
-                ids.append(np.concatenate((x, last)).tobytes())
-                held += len(ids[-1])
-                if held > 8 * SLICE:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-                    at, ids, held = at + len(ids), [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def ordered(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) in ascending order of doc_id, dealt by ranges of (doc_id, hash of the text, place), so that no
+    id is too frequent for a task."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ["doc_id", "_hash", "_place"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_place"))
-    return rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "text").mapInArrow(of, "doc_id long, ids binary")
+    return rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "text")
 
 
 # ---- the format
@@ -306,15 +308,22 @@ class File(InputPartition):
 class PlaneWriter(DataSourceArrowWriter):
     """Each task writes files under names of its own; only those of tasks that succeed come into the manifest."""
 
-    def __init__(self, path: str, unit: str, overwrite: bool):
-        self.path, self.unit, self.overwrite = path, unit, overwrite
+    def __init__(self, path: str, unit: str, overwrite: bool, spec: str | None, end: int | None):
+        self.path, self.unit, self.overwrite, self.spec, self.end = path, unit, overwrite, spec, end
+
+    def _ids(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        if self.spec is None:
+            yield from (np.frombuffer(ids.as_buffer() or b"", "<u4") for ids in batch.column("ids"))
+        else:
+            last = np.array([] if self.end is None else [self.end], np.uint32)
+            yield from (np.concatenate((ids, last)) for ids in _encoder(self.spec).encode(batch.column("text")))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         part, files, out = TaskContext.get().partitionId(), [], None
         for batch in iterator:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), self._ids(batch)):
                 out = out or PlaneFile(self.path, f"part-{part:05d}-{uuid.uuid4().hex}.planes", self.unit)
-                out.add(doc_id, np.frombuffer(ids.as_buffer() or b"", "<u4"))
+                out.add(doc_id, ids)
                 if out.n_ids >= FILE:
                     files.append(out.close())
                     out = None
@@ -366,8 +375,9 @@ class PlaneReader(DataSourceReader):
 
 class TokenPlanes(DataSource):
     """spark.read.format("token_planes").load(folder): rows (doc_id, start, n_tokens, ids), in the files' order by start.
-    df.write.format("token_planes").mode("append").save(folder) takes rows (doc_id, ids) in the order of its partitions;
-    option unit is "bit" or "byte"."""
+    df.write.format("token_planes").mode("append").save(folder) takes rows (doc_id, ids) in the order of its partitions,
+    or rows (doc_id, text) with the options vocabulary (a file of the tokenizers library) and end (an id that ends each
+    document); option unit is "bit" or "byte"."""
 
     @classmethod
     def name(cls) -> str:
@@ -380,13 +390,28 @@ class TokenPlanes(DataSource):
         return PlaneReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> PlaneWriter:
-        return PlaneWriter(self.options["path"], self.options.get("unit", "byte"), overwrite)
+        spec = end = None
+        if "vocabulary" in self.options:
+            with open(self.options["vocabulary"], encoding="utf-8") as f:
+                spec, end = f.read(), self.options.get("end")
+        return PlaneWriter(self.options["path"], self.options.get("unit", "byte"), overwrite, spec, None if end is None else int(end))
 
 
-def write(tokens: DataFrame, path: str, unit: str = "byte") -> None:
-    """Writes rows (doc_id, ids) in the order of partitions and rows; an empty table makes a folder without files."""
-    tokens.sparkSession.dataSource.register(TokenPlanes)
-    tokens.write.format("token_planes").option("unit", unit).mode("append").save(path)
+def write(rows: DataFrame, path: str, unit: str = "byte", vocabulary: str | None = None, end: int | None = END) -> None:
+    """Writes rows (doc_id, ids) in the order of partitions and rows, ids being 32-bit numbers, little-endian; or rows
+    (doc_id, text) as the file `vocabulary` of the tokenizers library encodes them, with `end` after each text.
+
+    A null text is empty; an empty table makes a folder without files. Tasks that are run again leave files that the
+    manifest doesn't name.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    spark.dataSource.register(TokenPlanes)
+    to = rows.write.format("token_planes").option("unit", unit).mode("append")
+    if vocabulary is not None:
+        to = to.option("vocabulary", vocabulary)
+        to = to if end is None else to.option("end", end)
+    to.save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -397,7 +422,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored(docs: DataFrame, vocabulary: str, unit: str = "byte") -> DataFrame:
-    """Encodes docs (doc_id, text), writes them to a folder in the shared one, and reads that: rows as read() gives them."""
+    """Encodes docs (doc_id, text), writes them in ascending order of doc_id to a folder in the shared one, and reads that:
+    rows as read() gives them.
+
+    A null text is empty; a null doc_id comes first; rows of one doc_id are ordered by a hash of their texts, and equal
+    rows come out as often as they come in. An empty table gives no rows.
+    """
     path = shared_path(docs.sparkSession, "planes")
-    write(encoded(docs, vocabulary), path, unit)
+    write(ordered(docs), path, unit, vocabulary)
     return read(docs.sparkSession, path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsieve.llm import bpe, chat, decontam, negatives, ngram, pii, planes, rules, shards, simhash, toxic, wrapper
+from proofsieve.llm import bpe, chat, collocations, decontam, negatives, ngram, pii, planes, rules, shards, simhash, toxic, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op11_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
@@ -69,12 +73,12 @@ def op13_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_kneser_ney, op2_simhash_anchors, op3_bpe_lexicon, op4_html_wrappers, op5_quality_rules, op6_label_propagation, op7_role_repair, op8_edit_matching, op9_toxic_cnn, op10_disclosure, op12_bit_sliced, op13_plane_files)
+    own = (op1_kneser_ney, op2_simhash_anchors, op3_bpe_lexicon, op4_html_wrappers, op5_quality_rules, op6_label_propagation, op7_role_repair, op8_edit_matching, op9_toxic_cnn, op10_disclosure, op11_count_min, op12_bit_sliced, op13_plane_files)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op12_bit_sliced": OP12_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op11_count_min": OP11_SQL, "op12_bit_sliced": OP12_SQL}
 
 
 #: Words, windows and histograms spelt out in SQL; the distances use the same reference.
@@ -111,12 +115,30 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND by_char <= 0.26 AND by_word <= 0.56 AS kept FROM judged
 """
 
+#: All phrases counted, without a sketch.
+OP11_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d)),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+    FROM pieces, (VALUES (1), (2), (3), (4), (5)) t(m) WHERE len(ws) >= m) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2),
+cuts AS (SELECT lang, phrase, m, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+rated AS (SELECT cuts.lang, cuts.phrase, cuts.m, cuts.a, k, l.a AS l, r.a AS r, n, ((1000::HUGEINT * cuts.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+    FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y JOIN total ON total.lang = cuts.lang),
+lowest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda w: list_transform(range(1, m - w + 2), lambda i: array_to_string(ws[i:i + w - 1], ' '))))) AS phrase FROM c WHERE m >= 3) GROUP BY ALL),
+kept AS (SELECT lowest.*, row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, encode(lowest.phrase)) AS rank
+    FROM lowest LEFT JOIN around ON around.lang = lowest.lang AND around.phrase = lowest.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM kept WHERE rank <= 2000
+"""
+
 #: Every product spelt out.
 OP12_SQL = """
 WITH v AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
-    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-pairs AS (SELECT a.k AS anchor, a.vec_id AS anchor_id, b.k, b.vec_id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.q, b.q), z -> coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.k AS anchor, a.vec_id AS anchor_id, b.k, b.vec_id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score
     FROM v a JOIN v b ON a.k <> b.k WHERE a.vec_id % 100 = 0),
 positive AS (SELECT anchor, anchor_id, k, vec_id AS positive_id, score AS p FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5),
 ranked AS (SELECT t.anchor_id, positive_id, n.vec_id AS negative_id, p AS positive_score, n.score AS negative_score,

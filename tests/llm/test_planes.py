@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from proofsieve.llm import planes, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "\n\n x", "x\n y", "x\n  y", "a  b", "　 c", " 　c", "é ñ", "it's  we'll", "<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b", "\t \t", "\x1c \x1d x", "汉字 漢", " " * 50 + "x", "1 22  333", "\x85 y", "ÿ ​   z", "x" * 3000]
+ODD = ["word,", "café, café×b Ä÷c é", "a1 é2 ī3", "I'll café's", "x\x80", " ", "  ", "a", " a", "a ", "a  b", "\n\n x", "x\n y", "x\n  y", "a  b", "　 c", " 　c", "é ñ", "it's  we'll", "<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b", "\t \t", "\x1c \x1d x", "汉字 漢", " " * 50 + "x", "1 22  333", "\x85 y", "don't!a", "ÿ", "ÿ ​   z", "x" * 3000]
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,7 @@ def expected(library, text):
 
 def made(seed, n):
     rng = random.Random(seed)
-    bits = [" ", "  ", "\n", "\t", " ", " ", "　", "a", "word", "It's", "é", "ß", "漢", "12", "!", "...", "<|endoftext|>", "🙂", "‍", "\x00", "\x1f", " ", "́"]
+    bits = [" ", "  ", "\n", "\t", " ", " ", "　", "a", "word", "It's", "é", "ß", "×", "÷", "ż", ",", "'s", "b", "漢", "12", "!", "...", "<|endoftext|>", "🙂", "‍", "\x00", "\x1f", " ", "́"]
     return ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(n)]
 
 
@@ -120,6 +120,9 @@ def test_two_writes_are_read_as_one(spark, tmp_path):
     folder = str(tmp_path / "planes")
     docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
     for unit in ("bit", "byte"):
-        planes.write(planes.encoded(docs, PATH).coalesce(1), folder, unit)
+        planes.write(planes.ordered(docs).coalesce(1), folder, unit, PATH)
+    copy = str(tmp_path / "copy")
+    planes.write(planes.read(spark, folder).orderBy("start").select("doc_id", "ids"), copy, "bit")
+    assert [r.start for r in planes.read(spark, copy).orderBy("start").collect()] == [0, 3, 5, 8]
     got = planes.read(spark, folder).withColumn("n", F.octet_length("ids")).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens, r.n) for r in got] == [(1, 0, 3, 12), (2, 3, 2, 8), (1, 5, 3, 12), (2, 8, 2, 8)]
