@@ -33,7 +33,7 @@ ROWS, BYTES_A_CELL, SHARD, RANGE = 2, 40, 1 << 27, 1 << 20
 #: Ranges that a shard's row has at least, if it has the cells.
 RANGES = 32
 #: Bytes of text that are cut into words at once, and cells that a task gathers before it packs them.
-SLICE, HELD = 8_000_000, 24_000_000
+SLICE, HELD = 3_000_000, 8_000_000
 #: Language of texts without one.
 UNKNOWN = "und"
 
@@ -188,22 +188,21 @@ def _parts(text: np.ndarray, langs: tuple, longest: int) -> Iterator[Words]:
 def _packed(cells: np.ndarray, span: int, cap: int) -> Iterator[tuple[int, bytes]]:
     """(range, counts of its cells) for the ranges that have any of the cells; counts end at cap."""
     cells = np.sort(cells)
-    first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-    count = np.minimum(np.diff(np.append(first, len(cells))), cap).astype(np.min_scalar_type(cap))
-    cells = cells[first]
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    ranges = cells // cells.dtype.type(span)
-    bounds = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1])))
-    for a, b in zip(bounds, [*bounds[1:], len(cells)]):
-        k = int(ranges[a])
-        own = (cells[a:b] - cells.dtype.type(k * span)).astype(np.int64)
-        if b - a > span >> 4:
+    first = int(cells[0]) // span
+    edges = np.searchsorted(cells, np.arange(first, int(cells[-1]) // span + 2).astype(cells.dtype) * cells.dtype.type(span))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]), first):
+        if a == b:
+            continue
+        own, count = np.unique((cells[a:b] - cells.dtype.type(k * span)).astype(np.int32), return_counts=True)
+        count = np.minimum(count, cap).astype(np.min_scalar_type(cap))
+        if len(own) > span >> 4:
             whole = np.zeros(span, count.dtype)
-            whole[own] = count[a:b]
+            whole[own] = count
             yield k, b"\1" + squeeze(whole.tobytes())
         else:
             steps = np.diff(own, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-            yield k, b"\0" + squeeze(np.ascontiguousarray(steps).tobytes() + count[a:b].tobytes())
+            yield k, b"\0" + squeeze(np.ascontiguousarray(steps).tobytes() + count.tobytes())
 
 
 def _add(total: np.ndarray, packed: bytes, cap: int) -> None:
@@ -236,9 +235,9 @@ def _sketching(sketch: Sketch, settings: Settings) -> Callable:
                     for row in range(ROWS):
                         held.append(((shard * np.uint64(ROWS) + np.uint64(row)) * np.uint64(sketch.ranges * sketch.span) + sketch.of(hashes, row)).astype(kind))
                         size += len(hashes)
-                if size > HELD:
-                    yield from handed()
-                    held, size = [], 0
+                    if size > HELD:
+                        yield from handed()
+                        held, size = [], 0
         if size:
             yield from handed()
 
