@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofsieve.llm.common import numbered
-from proofsieve.session import checkpointed, ship
+from proofsieve.session import checkpointed, ship, small_side
 
 #: Rows of the sketch, bytes of text for a cell in each, cells of a shard's row at most, and of a range.
 ROWS, BYTES_A_CELL, SHARD, RANGE = 2, 40, 1 << 27, 1 << 20
-#: Ranges that a shard's row has at least, if it has the cells.
-RANGES = 32
-#: Bytes of text that are cut into words at once, and cells that a task gathers before it packs them.
-SLICE, HELD = 3_000_000, 8_000_000
+#: Cells of a row at least, and ranges that a row is cut into at least.
+LEAST, RANGES = 1 << 24, 32
+#: Bytes of text that are cut into words at once, cells that a task gathers before it packs them, rows before it adds them up.
+SLICE, HELD, ROWS_HELD = 3_000_000, 8_000_000, 500_000
 #: Language of texts without one.
 UNKNOWN = "und"
 
@@ -63,7 +63,7 @@ class Sketch:
     @classmethod
     def over(cls, size: int) -> Sketch:
         """For so many bytes of text."""
-        cells = max(8, -(-size // BYTES_A_CELL))
+        cells = max(LEAST, -(-size // BYTES_A_CELL))
         shards = -(-cells // SHARD)
         width = -(-cells // shards)
         span = min(RANGE, -(-width // RANGES))
@@ -279,7 +279,7 @@ def frequent_cells(docs: DataFrame, sketch: Sketch, settings: Settings) -> DataF
 
 
 def _counting(sketch: Sketch, settings: Settings, shard: int, shared) -> Callable:
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             for words in cut(batch.column("text"), batch.column("lang"), settings.longest):
@@ -293,9 +293,29 @@ def _counting(sketch: Sketch, settings: Settings, shard: int, shared) -> Callabl
                         stays &= bits[row][cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1 == 1
                     yield _exact(words, n, ends[stays])
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in found(batches):
+            held.append(part)
+            size += len(part)
+            if size > ROWS_HELD:
+                held = _added(held)
+                size = sum(map(len, held))
+                if size > ROWS_HELD // 2:  # adding up no longer helps much
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from _added(held)
+
     return of
 
 
+def _added(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """Rows of the same phrase added up."""
+    sums = pa.Table.from_batches(parts).group_by(["lang", "words", "phrase"]).aggregate([("f", "sum")])
+    return sums.rename_columns(["lang", "words", "phrase", "f"]).combine_chunks().to_batches()
+
+
 def _exact(words: Words, n: int, ends: np.ndarray) -> pa.RecordBatch:
     """Counts the phrases of n words that end there, telling them apart by language and words, one word after another."""
     same = words.lang[ends].astype(np.int64)
@@ -351,7 +371,7 @@ def scored(counts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     whole = lambda c: f"CAST({c} AS DECIMAL(19, 0))"  # noqa: E731  products of two fit into 38 digits
     score = F.expr(f"({whole('1000 * a')} * {whole('n')}) DIV ({whole('l')} * {whole('r')})")
-    lowest = cuts.join(total, "lang").groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+    lowest = cuts.join(small_side(total), "lang").groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("words") - m + 1), lambda i: _joined(F.col("parts"), i, m))))
     around = phrases.where("words >= 3").select("lang", F.explode(inner).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = lowest.join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * settings.percent))

@@ -78,6 +78,8 @@ def test_small_sketches_lose_nothing(spark, tmp_path, monkeypatch):
     want = brute(rows, 5)
     monkeypatch.setattr(collocations, "HELD", 500)
     monkeypatch.setattr(collocations, "SLICE", 300)
+    monkeypatch.setattr(collocations, "ROWS_HELD", 50)
+    monkeypatch.setattr(collocations, "LEAST", 8)
     for bytes_a_cell, shard in ((40, 1 << 27), (4000, 1 << 27), (2, 1000)):
         monkeypatch.setattr(collocations, "BYTES_A_CELL", bytes_a_cell)
         monkeypatch.setattr(collocations, "SHARD", shard)
@@ -105,7 +107,8 @@ def test_long_texts_in_parts(monkeypatch):
         assert count() == whole
 
 
-def test_sketches_never_say_too_little():
+def test_sketches_never_say_too_little(monkeypatch):
+    monkeypatch.setattr(collocations, "LEAST", 8)
     rng = np.random.default_rng(6)
     sketch = Sketch.over(40_000)
     cells = [rng.integers(0, sketch.cells, n).astype(np.uint32) for n in (5000, 30, 900)]
