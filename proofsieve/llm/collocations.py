@@ -9,7 +9,7 @@ The second pass counts the phrases that survive, by their words. What is frequen
 phrases say as well, and ranked, all by Spark.
 
 The sketch has a cell for some bytes of text, so that it stays sparse whatever the corpus. It is cut into shards by a
-phrase's hash; the second pass reads the texts once for each shard, that is once up to five gigabytes of text.
+phrase's hash; the second pass reads the texts once for each shard, that is once up to three gigabytes of text.
 """
 
 from __future__ import annotations
@@ -29,11 +29,13 @@ from proofsieve.llm.common import numbered
 from proofsieve.session import checkpointed, ship, small_side
 
 #: Rows of the sketch, bytes of text for a cell in each, cells of a shard's row at most, and of a range.
-ROWS, BYTES_A_CELL, SHARD, RANGE = 2, 40, 1 << 27, 1 << 20
+ROWS, BYTES_A_CELL, SHARD, RANGE = 2, 24, 1 << 27, 1 << 20
 #: Cells of a row at least, and ranges that a row is cut into at least.
 LEAST, RANGES = 1 << 24, 32
 #: Bytes of text that are cut into words at once, cells that a task gathers before it packs them, rows before it adds them up.
 SLICE, HELD, ROWS_HELD = 3_000_000, 8_000_000, 500_000
+#: Bytes of text that a task of the second pass reads at most: the more, the fewer rows it hands on for each phrase.
+TASK = 1_000_000_000
 #: Language of texts without one.
 UNKNOWN = "und"
 
@@ -336,8 +338,10 @@ def counted(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("text", "lang")
-    sketch = Sketch.over(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sketch = Sketch.over(size)
     cells = frequent_cells(docs, sketch, settings)
+    docs = docs.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK)))
     out = None
     for shard in range(sketch.shards):
         bits = np.zeros((ROWS, sketch.ranges * sketch.span // 8), np.uint8)  # 32 MB at most
