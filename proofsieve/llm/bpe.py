@@ -17,6 +17,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import islice
 from pathlib import Path
 
@@ -44,8 +45,8 @@ SHORT, NEVER = 48, 1 << 40
 MARKS = frozenset(",.!?;:")
 #: Rows that are in Python at once.
 SLICE = 256
-#: Bytes, as estimated, that a worker's memories of chunks and of words may take each, and the longest that they remember.
-REMEMBERED, LONGEST = 48_000_000, 64
+#: Bytes, as estimated, that a worker's memories of chunks and of their words may take, and the longest that they remember.
+REMEMBERED, WORDS, LONGEST = 72_000_000, 24_000_000, 64
 #: Letters below this one are composed, keep their number in lower case but for one of them, and don't depend on others.
 SIMPLE, NOT_SIMPLE = "\u0250", "\u0130"
 #: Different chunks that a task counts before it hands them on, and words that it hands on at once.
@@ -88,22 +89,32 @@ class Vocabulary:
         names = [tokens.get(i) for i in range(max(tokens, default=-1) + 1)]
         return cls(cut.replace("\\s", SPACES), special, [ids[c] for c in chars], [ids[c + END] for c in chars], ranks, made), names
 
+    @cached_property
+    def of_bytes(self) -> tuple[list[int], list[int]]:
+        """The rank of each pair of bytes within a word, and at its end; NEVER where there is none."""
+        every = [(a, b) for a in range(256) for b in range(256)]
+        return tuple([self.ranks.get(self.inner[a] << 20 | end[b], NEVER) for a, b in every] for end in (self.inner, self.last))
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word: of the pairs that merge, always the one of least rank and then the leftmost."""
-        inner, get = self.inner, self.ranks.get
+        inner, get, made = self.inner, self.ranks.get, self.made
         ids = [inner[b] for b in word[:-1]] + [self.last[b] for b in word[-1:]]
         n = len(ids)
         if n > SHORT:
             return self._merge_long(ids)
-        ranks = [get(ids[k] << 20 | ids[k + 1], NEVER) for k in range(n - 1)]
+        if n < 2:
+            return ids
+        within, at_end = self.of_bytes
+        ranks = [within[a << 8 | b] for a, b in zip(word, word[1:-1])]
+        ranks.append(at_end[word[-2] << 8 | word[-1]])
         while ranks and (rank := min(ranks)) != NEVER:
             k = ranks.index(rank)
-            ids[k : k + 2] = [self.made[rank]]
+            ids[k : k + 2] = [new := made[rank]]
             del ranks[k]
             if k:
-                ranks[k - 1] = get(ids[k - 1] << 20 | ids[k], NEVER)
+                ranks[k - 1] = get(ids[k - 1] << 20 | new, NEVER)
             if k < len(ranks):
-                ranks[k] = get(ids[k] << 20 | ids[k + 1], NEVER)
+                ranks[k] = get(new << 20 | ids[k + 1], NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -352,25 +363,34 @@ class Encoder:
         self.vocabulary, self.cut = vocabulary, Cutter(vocabulary)
         with open(SparkFiles.get(file), "rb") as f:
             self.automaton = Automaton(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-        self.known, self.words = Memory(REMEMBERED), Memory(REMEMBERED)  # of tuples, which the garbage collector passes over
+        self.known, self.words = Memory(REMEMBERED), Memory(WORDS)  # of tuples, which the garbage collector passes over
+
+    def look_up(self, word: bytes) -> tuple[int, ...]:
+        """The ids of a word: those of the lexicon, or else what it merges to."""
+        found = self.automaton.get(word)
+        return tuple(self.vocabulary.merge(word) if found is None else found)
 
     def word(self, word: bytes) -> tuple[int, ...]:
         found = self.words.get(word)  # words stand in several chunks, with other marks around them
         if found is None:
-            found = self.automaton.get(word)
-            found = tuple(self.vocabulary.merge(word) if found is None else found)
+            found = self.look_up(word)
             self.words.put(word, found)
         return found
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         ids = self.known.get(chunk)
-        if ids is None:
-            parts = self.cut(chunk)
-            if len(parts) == 1 and isinstance(parts[0], bytes):
-                ids = self.word(parts[0])
-            else:
-                ids = tuple(i for w in parts for i in ((w,) if isinstance(w, int) else self.word(w)))
-            self.known.put(chunk, ids)
+        if ids is not None:
+            return ids
+        if chunk.isalpha() and (chunk.isascii() or _simple(chunk)):  # letters alone are one word
+            ids = self.look_up(chunk.lower().encode())
+        elif chunk[-1] in MARKS and (head := chunk[:-1]).isalpha() and (head.isascii() or _simple(head)):
+            known = self.known.get(head)  # a mark after letters is a word of its own
+            if known is None:
+                return self.chunk(head) + self.word(chunk[-1].encode())  # rare: only its letters are remembered
+            ids = known + self.word(chunk[-1].encode())
+        else:
+            ids = tuple(i for w in self.cut(chunk) for i in ((w,) if isinstance(w, int) else self.word(w)))
+        self.known.put(chunk, ids)
         return ids
 
     def add(self, text: str | None, out: list[int]) -> None:

@@ -88,6 +88,7 @@ def test_least_count_is_that_of_sorting(spark):
 
 def test_memory_of_a_worker_is_bounded(monkeypatch, spark):
     monkeypatch.setattr(bpe, "REMEMBERED", 5000)
+    monkeypatch.setattr(bpe, "WORDS", 5000)
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     encoder = bpe.Encoder(VOCABULARY, bpe.build_lexicon(docs, PATH, size=1).file)
     for text in (" ".join(f"word{k}" for k in range(500)), "-".join(f"w{k}" for k in range(500)) + "x" * 80):
