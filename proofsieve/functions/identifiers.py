@@ -8,7 +8,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofsieve.functions import domains, spans, text
+from proofsieve.functions import domains, numbering, spans, text
 
 # What is read for a digit; families of numbers, their forms, and what their first letters stand for.
 DIGITISH, DIGITS = "OoDQIl|iSsBZzG", "00001111558226"
@@ -62,8 +62,8 @@ URL = r"(?i)\bhttps?://[^\s<>\"'`)\]}]+"
 BARE = r"(?i)(?<![@\w./-])((?:www\.)?(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24})(/[^\s<>\"'`)\]}]*)?"
 
 NUMBER_FINDER = spans.Finder(NUMBERS, r"(?i)[I1l]N|MF\s?/|ARN", 0)
-#: Numbers that phones are written as: with a country's code, or ten digits of an Indian mobile.
-PHONE_FINDER = spans.Finder((r"\+\d[\d() .-]{6,18}\d", r"(?<![\d+])(?:0|91[ -]?)?[6-9]\d{4}[ -]?\d{5}(?!\d)"), r"\d{4}|\+\d", 0)
+#: Numbers that phones are written as: with a country's code; ten digits of an Indian mobile; an Indian area's code and number.
+PHONE_FINDER = spans.Finder((r"\+\d[\d() .-]{6,18}\d", r"(?<![\d+])(?:0|91[ -]?)?[6-9]\d{4}[ -]?\d{5}(?!\d)", r"(?<![\d+])\(?0[1-8]\d{1,3}\)?[ -]\d{3,4}[ -]?\d{3,4}(?!\d)"), r"\d{3}|\+\d", 0)
 OTHER_FINDER = spans.Finder(
     (
         r"(?<![\w.@-])([a-zA-Z0-9][a-zA-Z0-9._-]{1,255})@([a-zA-Z][a-zA-Z0-9]{1,63})(?![\w@]|\.[a-zA-Z])",
@@ -161,20 +161,22 @@ def confusable_variants(number: Column, most: int = 12) -> Column:
 
 
 def phones(t: Column) -> Column:
-    """Array of structs (raw, e164, indian, start, end), each number once: not those of accounts, handles and addresses."""
+    """Array of structs (raw, e164, country, indian, start, end), each number once: not those of accounts, handles and
+    addresses, nor what no country's numbering plan has."""
 
     def told(m: Column) -> Column:
         raw = spans.piece(t, m["start"], m["end"])
         digits = F.regexp_replace(raw, r"\D", "")
-        number = F.when(m["rule"] == 0, F.concat(F.lit("+"), digits)).otherwise(F.concat(F.lit("+91"), F.right(digits, F.lit(10))))
+        whole = F.when(m["rule"] == 0, digits).otherwise(F.concat(F.lit("91"), F.right(digits, F.lit(10))))
+        number, plan = F.concat(F.lit("+"), whole), numbering.analyse(whole)
         before, at = spans.piece(t, m["start"] - 24, m["start"]), spans.piece(t, m["start"] - 1, m["start"])
         own = ~before.rlike(ACCOUNT_BEFORE) & ~at.rlike(r"[\w.@]") & (spans.piece(t, m["end"], m["end"] + 1) != "@")
-        valid = F.when(m["rule"] == 0, F.length(digits).between(8, 15) & (~number.startswith("+91") | number.rlike(r"^\+91[6-9]\d{9}$"))).otherwise(F.lit(True))
-        return F.struct((own & valid).alias("is"), raw.alias("raw"), number.alias("e164"), number.startswith("+91").alias("indian"), m["start"].alias("start"), m["end"].alias("end"))
+        valid = plan["valid"] & F.when(m["rule"] == 2, F.length(digits) == 11).otherwise(F.lit(True))
+        return F.struct((own & valid).alias("is"), raw.alias("raw"), number.alias("e164"), plan["country"].alias("country"), (plan["country"] == "IN").alias("indian"), m["start"].alias("start"), m["end"].alias("end"))
 
     def apart(ms: Column) -> Column:
-        coded = lambda m: F.exists(ms, lambda c: (c["rule"] == 0) & (m["start"] >= c["start"]) & (m["start"] < c["end"]))
-        return F.filter(ms, lambda m: (m["rule"] == 0) | ~coded(m))
+        sooner = lambda m: F.exists(ms, lambda c: (c["rule"] < m["rule"]) & (m["start"] < c["end"]) & (c["start"] < m["end"]))
+        return F.filter(ms, lambda m: ~sooner(m))
 
     return _told(spans.matches(t, PHONE_FINDER), told, "e164", apart)
 
@@ -338,7 +340,7 @@ def entities(segments: DataFrame) -> DataFrame:
     item = lambda kind, key, raw, attrs, x, read=None: F.struct(F.lit(kind).alias("kind"), key.alias("key"), raw.alias("raw"), attrs.alias("attrs"), (F.lit(False) if read is None else read).alias("read"), x["start"].alias("start"), x["end"].alias("end"))
     found = [
         F.transform(registration_numbers(t), lambda x: item("reg", x["normalized"], x["raw"], put(normalized=x["normalized"], scheme=x["scheme"], format_valid=x["format_valid"]), x, x["reinterpreted"])),
-        F.transform(phones(t), lambda x: item("phone", x["e164"], x["raw"], put(e164=x["e164"], indian=x["indian"]), x)),
+        F.transform(phones(t), lambda x: item("phone", x["e164"], x["raw"], put(e164=x["e164"], country=x["country"], indian=x["indian"]), x)),
         F.transform(upi_ids(t, m), lambda x: item("upi", x["value"], x["value"], put(value=x["value"], psp=x["psp"], category_suffix=x["category_suffix"], mobile_based=x["mobile_based"]), x)),
         F.transform(emails(t, m), lambda x: item("email", x["address"], x["address"], put(address=x["address"], domain=x["domain"], free_mail=x["free_mail"]), x)),
         F.transform(handles(t, m), lambda x: item("handle", x["value"], x["value"], put(platform=x["platform"], value=x["value"]), x)),

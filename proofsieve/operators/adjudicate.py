@@ -19,9 +19,11 @@ def verdict_of(reason: Column) -> Column:
     return F.when(reason.isin(*contradicted), "CONTRADICTED").when(reason.isin(*matches), "MATCHES").when(reason.isin(*missing), "NOT_FOUND").otherwise("CANT_CHECK")
 
 
-def registration_reason(covered: Column, format_valid: Column, clear: Column, available: Column, found: Column, inactive: Column, active: Column, binding: Column, comparison: Column, perpetual: Column) -> Column:
-    """The reason for a registration claim with a number; the first condition that holds decides."""
-    different = F.when((binding == "explicit") & clear, "REG_BELONGS_TO_OTHER").when(binding == "explicit", "REG_NAME_MISMATCH_UNCERTAIN").otherwise("REG_NAME_MISMATCH_INFERRED")
+def registration_reason(covered: Column, format_valid: Column, clear: Column, available: Column, found: Column, inactive: Column, active: Column, binding: Column, comparison: Column, perpetual: Column, claim_clear: Column | None = None) -> Column:
+    """The reason for a registration claim with a number; the first condition that holds decides. clear is the number,
+    claim_clear the claim, as it was read."""
+    read = clear if claim_clear is None else clear & claim_clear
+    different = F.when((binding == "explicit") & read, "REG_BELONGS_TO_OTHER").when(binding == "explicit", "REG_NAME_MISMATCH_UNCERTAIN").otherwise("REG_NAME_MISMATCH_INFERRED")
     return (
         F.when(~covered, "REG_SCHEME_NOT_COVERED")
         .when(~format_valid & ~clear, "REG_UNCLEAR_NUMBER")

@@ -10,8 +10,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from proofsieve.functions import text
+from proofsieve.quota import Quota
 from proofsieve.session import ship
 from proofsieve.streaming.inbound import command
 
@@ -149,6 +151,11 @@ def replace_alerts(entries: DataFrame) -> DataFrame:
     return first_of_each(folded, [F.col("source"), F.col("name_folded")], [F.col("ord")]).orderBy("name", "ord")
 
 
+def latest_received(inbound: DataFrame) -> DataFrame:
+    """One row: when the last of inbound (received_at, ...) came; null if none did."""
+    return inbound.agg(F.max("received_at").alias("received_at"))
+
+
 def investigation_states(log: DataFrame) -> DataFrame:
     """Rows (id, status, stage) of a log (id, seq, event create | stage | complete | fail, stage): stages count while it
     is queued or running, which the first one makes it; the first end counts."""
@@ -192,10 +199,11 @@ def collected(events: DataFrame, gap: float = 5.0, cap: float = 20.0, most: int
     in one task in their order, which holds one window at a time.
     """
     ship(events.sparkSession)
+    events = events.select("key", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "message_id")
     own = Window.partitionBy("key").orderBy("at", "message_id")
-    apart = F.coalesce(F.unix_micros("at") - F.lag(F.unix_micros("at")).over(own) >= int(gap * 1e6), F.lit(True))
+    apart = F.coalesce(F.col("at") - F.lag("at").over(own) >= int(gap * 1e6), F.lit(True))
     runs = events.select("key", "at", "message_id", F.sum(F.when(apart, 1).otherwise(0)).over(own).alias("run"))
-    dealt = runs.repartition("key", "run").sortWithinPartitions("key", "run", "at", "message_id").select("key", "run", F.unix_micros("at").alias("at"), "message_id")
+    dealt = runs.repartition("key", "run").sortWithinPartitions("key", "run", "at", "message_id").select("key", "run", "at", "message_id")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None  # key, run, start, last, messages, dropped
@@ -229,9 +237,31 @@ def collected(events: DataFrame, gap: float = 5.0, cap: float = 20.0, most: int
 
 
 def admitted(collected: DataFrame, most: int = 15, seconds: int = 3600) -> DataFrame:
-    """collected (key, closes, ...) with `admitted`: whether fewer than `most` of the key's were in the time before."""
-    back = Window.partitionBy("key").orderBy(F.unix_micros("closes")).rangeBetween(-seconds * 1_000_000, -1)
-    return collected.withColumn("admitted", F.count("*").over(back) < most)
+    """collected (key, closes, ...) with `admitted`: whether fewer than `most` of the key's were admitted in the time before.
+
+    Refused ones don't count, so that each key is folded in order. After a pause of `seconds` a key starts anew; what lies
+    between pauses is in one task, which holds `most` times.
+    """
+    ship(collected.sparkSession)
+    at = F.unix_micros(F.col("closes").cast("timestamp"))
+    rows = collected.select("*", at.alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    own = Window.partitionBy("key").orderBy("_at", "_row")
+    fresh = F.coalesce(F.col("_at") - F.lag("_at").over(own) >= seconds * 1_000_000, F.lit(True))
+    runs = rows.withColumn("_run", F.sum(F.when(fresh, 1).otherwise(0)).over(own))
+    dealt = runs.repartition("key", "_run").sortWithinPartitions("key", "_run", "_at", "_row")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, quota = None, Quota(most, seconds)
+        for batch in batches:
+            out = []
+            for key, run, time in zip(*(batch.column(c).to_pylist() for c in ("key", "_run", "_at"))):
+                if (key, run) != now:
+                    now, quota = (key, run), Quota(most, seconds)
+                out.append(quota(time))
+            kept = [n for n in batch.schema.names if n not in ("_at", "_row", "_run")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(out, pa.bool_())], [*kept, "admitted"])
+
+    return dealt.mapInArrow(folded, StructType([*collected.schema, StructField("admitted", BooleanType())]))
 
 
 def shapes(messages: DataFrame, most: int = 12) -> DataFrame:

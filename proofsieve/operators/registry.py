@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofsieve.functions import identifiers, text
-from proofsieve.session import small_side
+from proofsieve.session import checkpointed, ship, small_side
 
 
 def latest_per_scope(snapshots: DataFrame) -> DataFrame:
@@ -62,34 +64,78 @@ def variant_hits(numbers: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def trigrams(c: Column) -> Column:
-    padded = F.concat(F.lit("  "), c, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
+    """The trigrams of a folded text's words, each once: a word has two blanks before it and one behind."""
+    words = F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
+
+
+def ordered_trigrams(text_: str) -> list[str]:
+    """The trigrams of a folded text's words, in their order."""
+    return [w[i : i + 3] for word in regex.findall(r"[\p{L}\p{N}]+", text_) for w in [f"  {word} "] for i in range(len(w) - 2)]
+
+
+def extent_similarity(wanted: list[str], given: list[str]) -> float:
+    """The greatest similarity of a set of trigrams and a contiguous extent of others: what they share of what either has.
+
+    The best extent begins and ends with a trigram that is wanted. From each such end, extents grow to the left.
+    """
+    own = set(wanted)
+    hits = [k for k, g in enumerate(given) if g in own]
+    best = 0.0
+    for n, end in enumerate(hits):
+        seen: set[str] = set()
+        shared, at = 0, end
+        for start in reversed(hits[: n + 1]):
+            while at >= start:
+                if given[at] not in seen:
+                    seen.add(given[at])
+                    shared += given[at] in own
+                at -= 1
+            best = max(best, shared / (len(own) + len(seen) - shared))
+            if len(own) / max(len(own), len(seen)) <= best:  # longer extents hold too much else
+                break
+    return best
+
+
+def word_similarity(query: Column, name: Column) -> Column:
+    """How like a folded query is to the best stretch of a folded name, by trigrams: 0 to 1."""
+    ship(SparkSession.getActiveSession())
+
+    @F.pandas_udf("double")
+    def of(queries: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([None if q is None or n is None else extent_similarity(ordered_trigrams(q), ordered_trigrams(n)) for q, n in zip(queries, names)], dtype="float64")
+
+    return of(query, name)
 
 
 def search_names(queries: DataFrame, registry: DataFrame, least: float = 0.6, top: int = 5) -> DataFrame:
     """Rows (query, registration_no, similarity, place): the `top` names of registry (registration_no, name) like each query.
 
-    Both are folded and compared by trigrams; similarity is the share of the query's that the name has, at least `least`,
-    or one if the name holds the query. Pairs come from the query's rarest trigrams, as many as a match can't do without,
-    so that no match is lost and common ones pair nothing; what is joined are names that differ, by a number for each.
-    Queries of less than three letters find nothing.
+    Queries in Devanagari are put into Latin letters, both are folded. A name is found if its word similarity is `least`
+    or more, or if it holds the query, and ordered by that similarity, then by number. Pairs come from the query's rarest
+    trigrams, as many as a match can't do without, so that no match is lost and common ones pair nothing; what is joined
+    are names that differ, by a number for each. Queries of less than three letters find nothing.
     """
     folded = registry.select("registration_no", text.fold_for_match(F.col("name")).alias("name"))
-    names = folded.select("name").distinct().withColumn("id", F.xxhash64("name"))
+    names = checkpointed(folded.select("name").distinct().withColumn("id", F.xxhash64("name")))
     grams = names.select("id", F.explode(trigrams(F.col("name"))).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("of"))
-    asked = queries.select(text.fold_for_match(F.col("query")).alias("query")).where(F.length("query") >= 3).distinct().withColumn("wanted", trigrams(F.col("query")))
+    latin = queries.select(F.col("query").alias("asked"), text.fold_for_match(text.name_to_latin(F.col("query"))).alias("query")).where(F.length("query") >= 3).distinct()
+    latin = checkpointed(latin)
+    asked = latin.select("query", trigrams(F.col("query")).alias("wanted")).distinct().where(F.size("wanted") > 0)
     each = asked.select("query", F.size("wanted").alias("size"), F.explode("wanted").alias("gram")).join(counts, "gram", "left")
     rare = F.row_number().over(Window.partitionBy("query").orderBy(F.coalesce("of", F.lit(0)), "gram"))
     need = F.col("size") - F.ceil(F.col("size") * least) + 1
-    # A name that holds the query lacks two trigrams at its start and one at its end at most.
-    probes = each.withColumn("n", rare).where(F.col("n") <= F.greatest(need, F.lit(4))).select("query", "gram")
-    pairs = probes.join(grams, "gram").select("query", "id").distinct()
-    pairs = pairs.join(asked, "query").join(names.select("id", "name", trigrams(F.col("name")).alias("grams")), "id")
-    share = F.when(F.contains("name", "query"), 1.0).otherwise(F.size(F.array_intersect("wanted", "grams")) / F.size("wanted"))
-    like = pairs.select("query", "name", share.alias("similarity")).where(F.col("similarity") >= least)
+    # A name that holds the query may split its first and last words: it lacks five trigrams at most.
+    probes = each.withColumn("n", rare).where(F.col("n") <= F.greatest(need, F.lit(6))).select("query", "gram")
+    pairs = probes.join(grams, "gram").select("query", "id").distinct().join(names, "id")
+    # Words too short for a trigram of their own inside another word are found by the text itself.
+    rated = pairs.select("query", "name", word_similarity(F.col("query"), F.col("name")).alias("similarity"))
+    like = rated.where((F.col("similarity") >= least) | F.contains("name", "query"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "registration_no"))
-    return like.join(folded, "name").select("query", "registration_no", "similarity").withColumn("place", place).where(F.col("place") <= top)
+    found = like.join(folded, "name").select("query", "registration_no", "similarity").distinct().withColumn("place", place).where(F.col("place") <= top)
+    return found.join(latin, "query").select(F.col("asked").alias("query"), "registration_no", "similarity", "place")
 
 
 def match_alerts(names: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsieve.functions import text
-from proofsieve.operators.adjudicate import registers_param
+from proofsieve.operators import citations
 from proofsieve.operators.claims import first_by
 
 # Findings that behaviour raises, with severity and rules; official places and numbers.
@@ -35,21 +35,23 @@ MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sept Oct Nov Dec".split()
 def keyed(rows: DataFrame, prefix: str) -> DataFrame:
     """The first of rows (msg_id, seq, key, ...) with each key, numbered in their order: id is prefix-n."""
     first = first_by(rows, ["msg_id", "key"], ["seq"])
-    n = F.row_number().over(Window.partitionBy("msg_id").orderBy("seq"))
+    n = F.row_number().over(Window.partitionBy("msg_id").orderBy("seq", "key"))  # keys tell rows of one place apart
     return first.withColumn("id", F.concat(F.lit(f"{prefix}-"), n.cast("string")))
 
 
 def merge_bindings(bindings: DataFrame) -> DataFrame:
     """bindings (msg_id, record_evidence_id, claimed_name, claim_id, seq, ...): one for each record and name, with the
-    claims of all in their order."""
+    claims of all in their order and all else from the first."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("seq", "claim_id"))), lambda x: x["claim_id"])
-    return bindings.groupBy("msg_id", "record_evidence_id", "claimed_name").agg(F.array_distinct(ids).alias("claim_ids"), F.min("seq").alias("seq"))
+    keys = ["msg_id", "record_evidence_id", "claimed_name"]
+    other = [c for c in bindings.columns if c not in (*keys, "claim_id", "seq")]
+    return bindings.groupBy(*keys).agg(F.array_distinct(ids).alias("claim_ids"), F.min("seq").alias("seq"), *(F.min_by(c, "seq").alias(c) for c in other))
 
 
 def ordered_findings(findings: DataFrame) -> DataFrame:
     """findings (msg_id, seq, severity, ...) with their place: high ones first, those of one severity in their order."""
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
-    return findings.withColumn("place", F.row_number().over(Window.partitionBy("msg_id").orderBy(rank, "seq")))
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy("msg_id").orderBy(rank, "seq", "key")))
 
 
 def pattern_findings(patterns: DataFrame, claims: DataFrame, personal: DataFrame) -> DataFrame:
@@ -176,12 +178,12 @@ def recovery_steps(facts: DataFrame) -> DataFrame:
 
 
 def official_contacts(bindings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Rows (msg_id, contact): of bindings (msg_id, seq, record_evidence_id) the first whose evidence (msg_id, id,
-    telephone, email) has a phone or a mailbox; of lists the first of each."""
+    """Rows (msg_id, contact, official_name): of bindings (msg_id, seq, record_evidence_id, official_name) the first whose
+    evidence (msg_id, id, telephone, email) has a phone or a mailbox; of lists the first of each."""
     first = lambda c: F.trim(F.split_part(F.coalesce(F.col(c), F.lit("")), F.lit(","), F.lit(1)))
     joined = bindings.join(evidence.select("msg_id", F.col("id").alias("record_evidence_id"), "telephone", "email"), ["msg_id", "record_evidence_id"])
     contact = F.concat_ws(" / ", F.nullif(first("telephone"), F.lit("")), F.nullif(first("email"), F.lit("")))
-    return first_by(joined.select("msg_id", "seq", contact.alias("contact")).where("contact <> ''"), ["msg_id"], ["seq"]).select("msg_id", "contact")
+    return first_by(joined.select("msg_id", "seq", contact.alias("contact"), "official_name").where("contact <> ''"), ["msg_id"], ["seq"]).select("msg_id", "contact", "official_name")
 
 
 def narrative_facts(findings: DataFrame, steps: DataFrame) -> DataFrame:
@@ -280,37 +282,14 @@ def hmac_base64url(key: bytes, value: Column) -> Column:
     return F.translate(F.base64(F.unhex(F.sha2(F.concat(pad(0x5C), inner), 256))), "+/=", "-_")
 
 
-# The rules that results cite, with the authority and what of it says so.
-RULES = {
-    "RA_IA_NO_ASSURED_RETURNS": ("SEBI", "HO/38/12/11(1)2026-MIRSD-POD/I/4360/2026"),
-    "BROKER_NO_GUARANTEED_RETURN_SCHEMES": ("SEBI", "SEBI/LAD-NRO/GN/2026/291"),
-    "ASSURED_RETURN_SCHEMES_PROHIBITED": ("SEBI", "PR No. 22/2025"),
-    "RA_IA_NO_ACCURACY_CLAIMS": ("SEBI", "HO/38/12/11(1)2026-MIRSD-POD/I/4360/2026"),
-    "REGISTRATION_DETAILS_IN_COMMUNICATIONS": ("SEBI", "HO/38/12/11(1)2026-MIRSD-POD/I/4360/2026"),
-    "SEBI_DOES_NOT_APPROVE_SECURITIES": ("SEBI", "Schedule VI, Part A — General Risk statement"),
-    "EXCHANGES_SEBI_DO_NOT_ENDORSE": ("SEBI", "SEBI/HO/MIRSD/MIRSD-PoD/P/CIR/2025/90"),
-    "VALIDATED_UPI_FOR_INTERMEDIARIES": ("SEBI", "SEBI/HO/DEPA-II/DEPA-II_SRG/P/CIR/2025/86"),
-    "RA_IA_NEVER_ASK_OTP": ("SEBI", "HO/38/12/11(1)2026-MIRSD-POD/I/4360/2026"),
-    "RA_IA_NO_CLIENT_FUNDS": ("SEBI", "HO/38/12/11(2)2026-MIRSD-POD/I/4300/2026"),
-    "FPI_ROUTE_NOT_FOR_RESIDENTS": ("SEBI", "PR No. 53/2025"),
-    "CAUTION_SOCIAL_MEDIA_LURES": ("SEBI", "PR No. 22/2025"),
-    "CAUTION_VIP_GROUPS": ("SEBI", "PR No. 27/2025"),
-    "CAUTION_FAKE_INSTITUTIONAL_ACCOUNTS": ("NSE/BSE", "Joint release, NSE/BSE"),
-    "SEBI_EMAIL_DOMAIN": ("SEBI", "PR No. 60/2025"),
-}
-
-
-def rules(spark: SparkSession) -> DataFrame:
-    """The dimension of rules (rule_id, authority, reference)."""
-    return spark.createDataFrame([(k, *v) for k, v in RULES.items()], "rule_id string, authority string, reference string")
-
-
 def rule_evidence(results: DataFrame) -> DataFrame:
-    """Evidence rows (msg_id, seq, key, kind, title, authority, reference) of the rules that results (msg_id, seq, rules)
-    cite, each once for a message; rules that are not known are left out."""
-    cited = results.select("msg_id", "seq", F.posexplode("rules").alias("k", "rule_id")).join(F.broadcast(rules(results.sparkSession)), "rule_id")  # fifteen rows
+    """Evidence rows (msg_id, seq, key, kind, title, authority, reference, fields map, url, as_of) of the rules that results
+    (msg_id, seq, rules) cite, each once for a message; rules that are not known are left out."""
+    known = citations.rules(results.sparkSession)  # fifteen rows
+    cited = results.select("msg_id", "seq", F.posexplode("rules").alias("k", "rule_id")).join(F.broadcast(known), "rule_id")
     first = first_by(cited, ["msg_id", "rule_id"], ["seq", "k"])
-    return first.select("msg_id", "seq", F.concat(F.lit("rule:"), "rule_id").alias("key"), F.lit("rule").alias("kind"), F.concat(F.lit("RULE_"), "rule_id").alias("title"), "authority", "reference")
+    primary = F.get("citations", F.lit(0))
+    return first.select("msg_id", "seq", F.concat(F.lit("rule:"), "rule_id").alias("key"), F.lit("rule").alias("kind"), F.concat(F.lit("RULE_"), "rule_id").alias("title"), "authority", primary["reference"].alias("reference"), citations.citation_fields(F.col("citations")).alias("fields"), primary["url"].alias("url"), F.col("verified_on").alias("as_of"))
 
 
 def params(**values: Column) -> Column:
@@ -322,17 +301,11 @@ def ref(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"@{kind}."), value)
 
 
-def record_evidence(records: DataFrame) -> DataFrame:
-    """records with evidence rows (key, kind, title, fields map): what a register says about a number."""
+def record_fields() -> Column:
+    """What a report shows of a record, whose columns are named as in the register."""
     joined = lambda c, by: F.nullif(F.array_join(c, by), F.lit(""))
     span = F.concat_ws(" – ", F.coalesce(F.col("valid_from").cast("string"), F.lit("?")), F.coalesce(F.col("valid_to").cast("string"), F.lit("Perpetual")))
-    fields = params(name=joined("names", " / "), trade_name=joined("trade_names", " / "), registration_no=F.col("registration_no"), category=F.col("category"), validity=span, email=joined("emails", ", "), telephone=joined("phones", ", "), address=F.col("address"), contact_person=F.col("contact_person"), exchange=joined("exchanges", ", "))
-    return records.select("registration_no", F.concat(F.lit("sebi:"), "registration_no").alias("key"), F.lit("registry_record").alias("kind"), F.lit("EV_SEBI_RECORD").alias("title"), fields.alias("fields"))
-
-
-def absence_evidence(searches: DataFrame) -> DataFrame:
-    """Evidence rows of searches (query, searched array, as_of, mode) that found nothing."""
-    return searches.select("query", F.concat(F.lit("sebi-absent:"), "query").alias("key"), F.lit("registry_absence").alias("kind"), F.lit("EV_SEBI_ABSENT").alias("title"), params(searched=registers_param(F.col("searched")), as_on=F.col("as_of"), mode=F.col("mode")).alias("fields"))
+    return params(name=joined("names", " / "), trade_name=joined("trade_names", " / "), registration_no=F.col("registration_no"), category=F.col("category_label"), validity=span, email=joined("emails", ", "), telephone=joined("phones", ", "), address=F.col("address"), contact_person=F.col("contact_person"), exchange=joined("exchanges", ", "))
 
 
 def shown_fields(fields: Column, labels: Column) -> Column:
@@ -371,8 +344,9 @@ def claim_statements(claims: DataFrame, entities: DataFrame) -> DataFrame:
     return j.select("msg_id", "claim_id", code.alias("code"), own.alias("params"))
 
 
-def rendered(rows: DataFrame, catalog: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """rows (locale, code, params map, ...) with `text`: the template of catalog (locale, code, template) filled.
+def rendered(rows: DataFrame, catalog: DataFrame, dictionary: DataFrame, most: int = 160) -> DataFrame:
+    """rows (locale, code, params map, ...) with `text`: the template of catalog (locale, code, template) filled, each value
+    with `most` characters.
 
     Values that refer to the dictionary (locale, key, value) are what it says, dates are days in India, others are
     cleaned; codes without a template stand for themselves. Both tables are a few hundred rows.
@@ -380,7 +354,7 @@ def rendered(rows: DataFrame, catalog: DataFrame, dictionary: DataFrame) -> Data
     words = dictionary.groupBy("locale").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("words"))
     j = rows.join(F.broadcast(catalog), ["locale", "code"], "left").join(F.broadcast(words), "locale", "left")
     day = lambda v: format_day(F.to_utc_timestamp(F.try_to_timestamp(v, F.lit("yyyy-MM-dd")), "Asia/Kolkata"))
-    value = lambda k, v: F.coalesce(dictionary_value(v, F.col("words")), F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), day(v)), text.sanitise_value(v, 160))
+    value = lambda k, v: F.coalesce(dictionary_value(v, F.col("words")), F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), day(v)), text.sanitise_value(v, most))
     filled = text.fill_template(F.coalesce("template", "code"), F.transform_values("params", value))
     return j.select(*rows.columns, tidy(filled).alias("text"))
 

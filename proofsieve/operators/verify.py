@@ -145,14 +145,24 @@ def name_comparisons(claimed: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def rank_by_name(candidates: DataFrame) -> DataFrame:
-    """candidates (query, place, names, trade_names, contact_person, ...) that are the same or similar, the same first."""
+    """candidates (query, place, names, trade_names, contact_person, ...) that are the same or similar, the same first,
+    with `result` and `rank`."""
     rec = F.struct(*(F.col(c) for c in ("names", "trade_names", "contact_person")))
     ids = candidates.select("query", "place", F.col("query").alias("name"), F.posexplode(name_variants(rec)).alias("k", "official"))
     same = text.compare_tokens(text.name_tokens(F.col("name")), text.name_tokens(F.col("official")))
     rank = F.create_map(*(F.lit(x) for pair in RANKS.items() for x in pair))
     best = ids.select("query", "place", rank[same].alias("rank")).groupBy("query", "place").agg(F.max("rank").alias("rank")).where("rank >= 2")
     n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rank"), "place"))
-    return candidates.join(best, ["query", "place"]).withColumn("rank", n)
+    result = F.when(F.col("rank") == RANKS["same"], "same").otherwise("similar")
+    return candidates.join(best, ["query", "place"]).withColumns({"result": result, "rank": n})
+
+
+def compared(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows (name, record_id, result): how names of pairs (name, record_id) compare with records (record_id, names,
+    trade_names, contact_person), each pair once however many messages have it."""
+    asked = pairs.select("name", "record_id").where("name IS NOT NULL").distinct().select(F.struct("name", "record_id").alias("id"), F.col("record_id").alias("number"), "name")
+    known = records.join(asked.select(F.col("number").alias("record_id")).distinct(), "record_id", "left_semi").withColumn("registration_no", F.col("record_id"))
+    return name_comparisons(asked, known).select("id.name", "id.record_id", "result")
 
 
 def search_text(record: Column) -> Column:

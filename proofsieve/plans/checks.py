@@ -12,7 +12,7 @@ from proofsieve.plans.base import NOW, flat, made, now, query, table
 from proofsieve.plans.queries import MESSAGES
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = made(spark, sf_dir, MESSAGES)
     none = F.lit(None).cast("array<string>")
     return m.select("msg_id", F.lit(0).alias("seq"), "text", F.lit("text").alias("origin"), F.lit("good").alias("quality"), none.alias("unclear"))
@@ -20,12 +20,12 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def message_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims.build(claims.read(_segments(spark, sf_dir)))
+    return claims.build(claims.read(segments(spark, sf_dir)))
 
 
 @query()
 def message_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims.behaviours(claims.read(_segments(spark, sf_dir)))
+    return claims.behaviours(claims.read(segments(spark, sf_dir)))
 
 
 #: Entities of messages: one table row gives a phone, a mailbox or a link.
@@ -159,8 +159,8 @@ def claimed_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 FINDINGS = "SELECT l_orderkey AS msg_id, l_linenumber * 100000 + l_partkey AS seq, 'k' || CAST(l_suppkey % 4 AS STRING) AS key, CASE WHEN l_suppkey % 4 = 0 THEN 'info' WHEN l_suppkey % 4 = 1 THEN 'high' WHEN l_suppkey % 4 = 2 THEN 'low' ELSE 'medium' END AS severity, 'text ' || CAST(l_suppkey % 4 AS STRING) AS text FROM lineitem"
 
 
-@query(f"""WITH f AS ({FINDINGS}), k AS (SELECT msg_id, key, severity, min(seq) AS seq FROM f GROUP BY ALL), i AS (SELECT *, 'find-' || CAST(row_number() OVER (PARTITION BY msg_id ORDER BY seq) AS STRING) AS id FROM k)
- SELECT msg_id, key, id, severity, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY list_position(['high', 'medium', 'low', 'info'], severity), seq) AS INT) AS place FROM i""")
+@query(f"""WITH f AS ({FINDINGS}), k AS (SELECT msg_id, key, severity, min(seq) AS seq FROM f GROUP BY ALL), i AS (SELECT *, 'find-' || CAST(row_number() OVER (PARTITION BY msg_id ORDER BY seq, key) AS STRING) AS id FROM k)
+ SELECT msg_id, key, id, severity, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY list_position(['high', 'medium', 'low', 'info'], severity), seq, key) AS INT) AS place FROM i""")
 def findings_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = made(spark, sf_dir, FINDINGS).groupBy("msg_id", "key", "severity").agg(F.min("seq").alias("seq"))
     return report.ordered_findings(report.keyed(rows, "find")).select("msg_id", "key", "id", "severity", "place")

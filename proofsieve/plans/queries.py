@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofsieve.functions import identifiers, phrases, text
+from proofsieve.functions import identifiers, numbering, phrases, text
 from proofsieve.operators import adjudicate, registry
 from proofsieve.plans.base import NOW, QUERIES, SQL, made, now, query, table
 from proofsieve.streaming import inbound
@@ -52,11 +52,11 @@ def extract_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("msg_id", F.inline(identifiers.registration_numbers(F.col("text")))).select("msg_id", "normalized", "scheme", "format_valid", "reinterpreted")
 
 
-@query(M + r"""SELECT msg_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(list_filter(regexp_extract_all(text, '(?:^|[^\w.@])(\+[0-9][0-9() .-]{6,18}[0-9])', 1), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 8 AND 15 AND (x[1:3] <> '+91' OR regexp_matches(regexp_replace(x, '[^0-9]', '', 'g'), '^91[6-9][0-9]{9}$'))), lambda x: '+' || regexp_replace(x, '[^0-9]', '', 'g')),
+@query(M + r"""SELECT msg_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(list_filter(regexp_extract_all(text, '(?:^|[^\w.@])(\+[0-9][0-9() .-]{6,18}[0-9])', 1), lambda x: regexp_full_match(regexp_replace(x, '[^0-9]', '', 'g'), 'PLAN')), lambda x: '+' || regexp_replace(x, '[^0-9]', '', 'g')),
    list_transform(regexp_extract_all(regexp_replace(text, '\+[0-9][0-9() .-]{6,18}[0-9]', ' ', 'g'), '(?:^|[^\w.@+])((?:0|91[ -]?)?[6-9][0-9]{4}[ -]?[0-9]{5})(?:[^0-9@]|$)', 1), lambda x: '+91' || right(regexp_replace(x, '[^0-9]', '', 'g'), 10))))), ',') AS phones,
  array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_.-])([A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})(?:[^A-Za-z0-9_-]|$)', 1), lambda x: lower(x)))), ',') AS emails,
  array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_.@-])([A-Za-z0-9][A-Za-z0-9._-]{1,255}@(?:ybl|validhdfc))(?:[^A-Za-z0-9_.@]|$)', 1), lambda x: lower(x)))), ',') AS upis,
- array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(text, '(?i)(?:a/c|acc(?:ount)?\.?|acct)\s*(?:no\.?|number|num|#)?\s*[:-]?\s*([0-9][0-9\s-]{7,20}[0-9])', 1), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 9 AND 18), lambda d: 'XXXX' || right(d, 4)))), ',') AS accounts FROM m""")
+ array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(text, '(?i)(?:a/c|acc(?:ount)?\.?|acct)\s*(?:no\.?|number|num|#)?\s*[:-]?\s*([0-9][0-9\s-]{7,20}[0-9])', 1), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 9 AND 18), lambda d: 'XXXX' || right(d, 4)))), ',') AS accounts FROM m""".replace("PLAN", numbering.pattern()))
 def extract_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     flat = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
@@ -135,11 +135,14 @@ def number_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.variant_hits(numbers, known).withColumn("hits", F.array_join("hits", ","))
 
 
-GRAMS = "list_distinct(list_transform(range(1, length('  ' || lower({c}) || ' ') - 1), lambda i: substring('  ' || lower({c}) || ' ', i, 3)))"
+#: Trigrams of words in their order, two blanks before each word and one behind.
+GRAMS = "flatten(list_transform(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))"
 
 
-@query(f"""WITH q AS (SELECT DISTINCT lower(replace(s_name, 'Supplier', 'Suplier')) AS query FROM supplier), n AS (SELECT s_suppkey, {NUMBER}, s_name AS name FROM supplier),
- p AS (SELECT query, registration_no, len(list_intersect({GRAMS.format(c='query')}, {GRAMS.format(c='name')})) / len({GRAMS.format(c='query')}) AS similarity FROM q, n),
+@query(f"""WITH q AS (SELECT DISTINCT replace(s_name, 'Supplier', 'Suplier') AS query FROM supplier), n AS (SELECT s_suppkey, {NUMBER}, s_name AS name FROM supplier),
+ g AS (SELECT query, registration_no, list_distinct({GRAMS.format(c='query')}) AS a, {GRAMS.format(c='name')} AS b FROM q, n),
+ e AS (SELECT query, registration_no, len(a) AS n, a, b[i:k] AS x FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM g), LATERAL (SELECT unnest(range(i, len(b) + 1)) AS k)),
+ p AS (SELECT query, registration_no, max(len(list_intersect(a, x)) / (n + len(list_distinct(x)) - len(list_intersect(a, x)))) AS similarity FROM e GROUP BY ALL),
  k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, registration_no) AS place FROM p WHERE similarity >= 0.6)
  SELECT query, registration_no, similarity, CAST(place AS INT) AS place FROM k WHERE place <= 5""")
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:

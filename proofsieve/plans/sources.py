@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofsieve.plans.base import flat, made, query, table
-from proofsieve.sources import messages, registers
+from proofsieve.session import shared_path
+from proofsieve.sources import messages, registers, snapshots
 
 MONTH = "CASE s_suppkey % 3 WHEN 0 THEN 'Feb' WHEN 1 THEN 'October' ELSE 'Sept.' END"
 DAY = "CAST(1 + s_suppkey % 28 AS STRING)"
@@ -104,3 +105,21 @@ def unread_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("msg_id"), F.array(*(F.struct(F.lit(k).alias("kind"), (F.lit(t) if t else none).alias("text"), none.alias("url"), (F.col("event_type") if k == "image" else none).alias("blob_ref")) for k, t in (("text", "x"), ("text", " "), ("text", "y"), ("image", None)))).alias("parts"))
     readings = spark.createDataFrame([("click", "read  click", "good", None)], "blob_ref string, text string, quality string, reason string")
     return messages.segments(rows, readings)[1].select("msg_id", "seq", "reason")
+
+
+LOAD = "SELECT 'register' AS source, c_mktsegment AS category, CAST(c_custkey AS STRING) AS registration_no, {name} AS name FROM customer WHERE {kept}"
+LOADS = [LOAD.format(name="c_name", kept="c_acctbal > 2000"), LOAD.format(name="CASE WHEN c_nationkey < 5 THEN upper(c_name) ELSE c_name END", kept="c_acctbal < 8000 AND c_mktsegment <> 'BUILDING'")]
+
+
+@query(f"""WITH a AS ({LOADS[0]}), b AS ({LOADS[1]})
+ SELECT category, b.registration_no, b.name, CASE WHEN a.registration_no IS NULL THEN 'second' ELSE 'first' END AS first_seen, 'second' AS last_seen FROM b LEFT JOIN a USING (category, registration_no)
+ UNION ALL SELECT category, registration_no, name, 'first', 'first' FROM a WHERE category NOT IN (SELECT category FROM b)""")
+def replaced_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table on disk after two loads, and after the second one once more."""
+    table_ = shared_path(spark, "register")
+    at = lambda day: F.to_timestamp(F.lit(f"2026-10-0{day} 12:00:00"))
+    loads = [made(spark, sf_dir, sql) for sql in LOADS]
+    for name, new, day in (("first", loads[0], 1), ("second", loads[1], 2), ("second", loads[1], 3)):
+        snapshots.replace(table_, new, name, at(day))
+    told = lambda c: F.when(F.col(c) == at(1), "first").when(F.col(c) == at(2), "second")
+    return snapshots.entries(spark, table_, loads[0].schema).select("category", "registration_no", "name", told("first_seen_at").alias("first_seen"), told("last_seen_at").alias("last_seen"))

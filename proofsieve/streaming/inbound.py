@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from proofsieve.quota import Quota
+from proofsieve.session import ship
 
 
 def each_once(events: DataFrame, key: str, at: str, keep: str = "14 days") -> DataFrame:
@@ -66,6 +70,71 @@ def collect_stream(events: DataFrame, gap: float = 5.0, cap: float = 20.0, most:
     return own.groupBy("key").applyInPandasWithState(step, COLLECTED, "start long, last long, ids array<string>, dropped int", "append", "EventTimeTimeout")
 
 
+class Collector(StatefulProcessor):
+    """Collects a key's messages into windows, as collect_stream() does, and admits windows by a quota.
+
+    State is the open window and the times of what was admitted; a timer closes the window when the watermark passes.
+    """
+
+    def __init__(self, gap: float, cap: float, most: int, quota: int, seconds: int):
+        self.gap, self.cap, self.most, self.quota, self.seconds = int(gap * 1e6), int(cap * 1e6), most, quota, seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start long, last long, ids array<string>, dropped int")
+        self.admitted = handle.getListState("admitted", "at long")
+
+    def due(self, w: tuple) -> int:
+        return min(w[1] + self.gap, w[0] + self.cap)
+
+    def closed(self, key: tuple, w: tuple, quota: Quota) -> tuple:
+        at = self.due(w)
+        return key[0], pd.Timestamp(w[0], unit="us"), pd.Timestamp(at, unit="us"), list(w[2]), w[3], quota(at)
+
+    def rows(self, out: list[tuple], quota: Quota) -> Iterator[pd.DataFrame]:
+        if out:
+            self.admitted.put([(at,) for at in quota.times])
+            yield pd.DataFrame(out, columns=["key", "start", "closes", "message_ids", "dropped", "admitted"])
+
+    def known(self) -> Quota:
+        return Quota(self.quota, self.seconds, [at for (at,) in self.admitted.get()])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        w = tuple(self.window.get()) if self.window.exists() else None
+        quota, out = self.known(), []
+        for at, message in sorted((r.at.value // 1000, r.message_id) for b in rows for r in b.itertuples()):
+            if w and at >= self.due(w):
+                out.append(self.closed(key, w, quota))
+                w = None
+            if w is None:
+                w = (at, at, [message], 0)
+            else:
+                room = len(w[2]) < self.most
+                w = (w[0], max(w[1], at), [*w[2], message] if room else w[2], w[3] + (not room))
+        self.window.update(w)
+        self.handle.registerTimer(-(-self.due(w) // 1000))
+        yield from self.rows(out, quota)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        w = tuple(self.window.get()) if self.window.exists() else None
+        if w and self.due(w) <= expiredTimerInfo.getExpiryTimeInMs() * 1000:  # else the window has grown, and has a later timer
+            quota = self.known()
+            out = [self.closed(key, w, quota)]
+            self.window.clear()
+            yield from self.rows(out, quota)
+
+    def close(self) -> None:
+        pass
+
+
+def admit_stream(events: DataFrame, gap: float = 5.0, cap: float = 20.0, most: int = 8, quota: int = 15, seconds: int = 3600, late: str = "1 minute") -> DataFrame:
+    """Rows COLLECTED, and `admitted`, of a stream of messages (key, at, message_id): each window once it has closed, and
+    whether fewer than `quota` of the key's were admitted in the seconds before. Needs the RocksDB state store."""
+    ship(events.sparkSession)
+    own = events.select(F.col("key").cast("string"), F.col("at").cast("timestamp"), F.col("message_id").cast("string")).withWatermark("at", late)
+    return own.groupBy("key").transformWithStateInPandas(Collector(gap, cap, most, quota, seconds), COLLECTED + ", admitted boolean", "Append", "EventTime")
+
+
 def recent_counts(events: DataFrame, user: str, at: str, seconds: int = 3600) -> DataFrame:
     """events with `recent`: how many of the user's lie within the seconds up to each, itself included."""
     order = F.unix_micros(F.col(at).cast("timestamp"))

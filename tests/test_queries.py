@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="module")
 def oracle():
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents conversations embeddings pages benchmark labels".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
 
@@ -32,3 +32,9 @@ def test_query_matches_sql(spark, oracle, name):
     at = [want.columns.index(c) for c in columns]
     got = sorted((tuple(plain(x) for x in r) for r in df.select(columns).collect()), key=str)
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
+def test_query_without_sql_runs(spark, name):
+    df = QUERIES[name](spark, SF)
+    assert len(df.columns) == len(set(df.columns)) and df.count() > 0

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -68,3 +69,50 @@ def test_decision_tables(spark):
     bare = lambda *a: adjudicate.bare_registration_reason(*map(c, a))
     row = spark.range(1).select(bare(True, False, 0, False), bare(True, True, 1, True), bare(True, True, 1, False), bare(True, True, 2, True), bare(True, True, 0, True), bare(False, True, 0, True)).first()
     assert list(row) == ["REG_SOURCE_UNAVAILABLE_NAME", "REG_NAME_FOUND", "REG_EXPIRED", "REG_NAME_AMBIGUOUS", "REG_NAME_NOT_FOUND", "REG_NO_DETAILS"]
+
+
+def brute_admitted(times, most, seconds):
+    kept, out = [], []
+    for at in times:
+        ok = sum(at - seconds < k for k in kept) < most
+        if ok:
+            kept.append(at)
+        out.append(ok)
+    return out
+
+
+def test_refused_windows_do_not_count(spark):
+    rng = random.Random(4)
+    times = {k: sorted(rng.sample(range(40_000), 60)) for k in "abc"} | {"busy": [*range(0, 12_000, 60)]}
+    rows = [(k, T0 + dt.timedelta(seconds=s), [f"{k}{s}"]) for k, own in times.items() for s in own]
+    df = spark.createDataFrame(rows, "key string, closes timestamp, message_ids array<string>")
+    got = {}
+    for r in queue.admitted(df, most=5, seconds=3600).collect():
+        got.setdefault(r.key, {})[int((r.closes - T0).total_seconds())] = r.admitted
+    for k, own in times.items():
+        assert [got[k][s] for s in own] == brute_admitted(own, 5, 3600)
+    assert got["busy"][0] and not got["busy"][1800] and got["busy"][3600]  # admitted again after an hour
+    assert queue.admitted(df.limit(0)).count() == 0
+
+
+def test_admission_on_streams_and_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(5)
+    rows = sorted((k, T0 + dt.timedelta(seconds=s), f"{k}{s}") for k in "ab" for s in rng.sample(range(600), 60))
+    rows = sorted(rows, key=lambda r: r[1])
+    schema = "key string, at timestamp, message_id string"
+    path = str(tmp_path / "in")
+    parts = [rows[:40], rows[40:90], rows[90:], [("z", T0 + dt.timedelta(hours=3), "z")], [("z", T0 + dt.timedelta(hours=6), "z2")]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.1)
+    plain = lambda found: {(r.key, r.start, r.closes, tuple(r.message_ids), r.dropped, r.admitted) for r in found if r.key != "z"}
+    want = plain(queue.admitted(queue.collected(spark.createDataFrame(rows, schema)), most=4, seconds=120).collect())
+    stream = lambda s: inbound.admit_stream(s, quota=4, seconds=120)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = stream(source).writeStream.format("memory").queryName("admitted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    q.awaitTermination(180)
+    assert plain(spark.table("admitted").collect()) == want and {r[5] for r in want} == {True, False}
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    days = spark.createDataFrame([(T0,), (T0 + dt.timedelta(days=1),)], "received_at timestamp")
+    assert queue.latest_received(days).first().received_at == T0 + dt.timedelta(days=1) and queue.latest_received(days.limit(0)).first().received_at is None
