@@ -88,12 +88,12 @@ class Search:
     """Finds items in texts."""
 
     def __init__(self, items: list[Item], rate: float) -> None:
-        self.items = {item: (text, int((len(text) - 2) * rate)) for item, text in items}
+        self.items = [(item, text, int((len(text) - 2) * rate)) for item, text in items]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for item, (text, budget) in self.items.items():
+        for own, (_, text, budget) in enumerate(self.items):  # by place: an id may have several texts
             cuts = [len(text) * k // (budget + 1) for k in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:]):
-                pieces[text[a:b]].append((item, a))
+                pieces[text[a:b]].append((own, a))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in pieces.items():
             self.automaton.add_word(piece, (len(piece), owners))
@@ -106,18 +106,18 @@ class Search:
             return []
         windows: dict[int, list[list[int]]] = defaultdict(list)
         for last, (n, owners) in self.automaton.iter(text):
-            for item, offset in owners:
-                pattern, budget = self.items[item]
+            for own, offset in owners:
+                _, pattern, budget = self.items[own]
                 start = last + 1 - n - offset - budget
                 end = start + len(pattern) + 2 * budget
-                spans = windows[item]
+                spans = windows[own]
                 if spans and start <= spans[-1][1]:
                     spans[-1][0], spans[-1][1] = min(start, spans[-1][0]), max(end, spans[-1][1])
                 else:
                     spans.append([start, end])
         found = []
-        for item, spans in windows.items():
-            pattern, budget = self.items[item]
+        for own, spans in windows.items():
+            item, pattern, budget = self.items[own]
             for start, end in spans:
                 start = max(0, start)
                 found += [(item, n, start + a, start + b) for n, a, b in places(pattern, text[start:end], budget)]
@@ -139,12 +139,20 @@ def blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
             yield sorted((i, t) for t, i in items.items())
 
 
+def members(benchmark: DataFrame) -> DataFrame:
+    """Rows (item_id, reported): the id that leaks() reports for each text of benchmark (item_id, text); repeated rows once."""
+    ship(benchmark.sparkSession)
+    as_compared = F.pandas_udf(lambda texts: texts.map(plain), "string")
+    own = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), as_compared("text").alias("plain")).where("plain <> ''").distinct()
+    return own.join(own.groupBy("plain").agg(F.min("item_id").alias("reported")), "plain").select("item_id", "reported").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """Rows (doc_id, item_id, edits, start, end): the places of items of benchmark (item_id, text) in docs (doc_id, text).
 
     start and end are code points of the plain text, see plain(). Items without letters and digits and null ids or
-    texts are not searched for; of equal items the least item_id is reported, for item_id repeated with different texts
-    the last in order of its texts; null and empty documents have no places; repeated rows are searched one by one.
+    texts are not searched for; of equal items the least item_id is reported, see members(); an item_id with several texts
+    is searched for by each; null and empty documents have no places; repeated rows are searched one by one.
     Items of any length are searched for: those of less than 1 / rate characters without edits, single words too.
     """
     ship(docs.sparkSession)

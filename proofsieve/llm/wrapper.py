@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from proofsieve.session import checkpointed, ship
 
+#: What stands in a tag behind its name: quotes hold a value only after an equals sign, elsewhere they are letters like others.
+INSIDE = r"(?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?|[^>=])*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|svg|iframe)\b{INSIDE}(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({INSIDE})(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)

@@ -68,3 +68,14 @@ def test_all_places_are_found():
     many = search(decontam.plain(" ".join([item] * 200)))
     assert len(many) == 200 and not any(n for _, n, *_ in many)
     assert [(n, a, b) for _, n, a, b in decontam.Search([(1, " aa ")], 0.06)(" aa aa ")] == [(0, 0, 4), (0, 3, 7)]
+
+
+def test_ids_with_several_texts_and_texts_with_several_ids(spark):
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "of", "the", "in", "zeta", "eta", "theta"]
+    a, b, c = (" ".join(rng.choices(words, k=20)) for _ in range(3))
+    bench = spark.createDataFrame([(1, a), (1, b), (2, c), (3, c.upper()), (1, a), (None, a), (4, "-")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"x {a} y"), (11, f"x {b} y"), (12, f"{c}."), (13, "nothing")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in decontam.leaks(docs, bench).collect()) == [(10, 1, 0), (11, 1, 0), (12, 2, 0)]
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [13]
+    assert sorted(map(tuple, decontam.members(bench).collect())) == [(1, 1), (2, 2), (3, 2)]

@@ -167,3 +167,20 @@ def test_wrappers_match_all_their_pages():
         pages = [made(0) for _ in range(rng.randint(1, 5))]
         found = reduce(wrapper.align, map(entry, pages))
         assert all(matches(found[2], wrapper.parse(p)) for p in pages), pages
+
+
+def test_quotes_hold_values_only_after_an_equals_sign():
+    texts = lambda page: [t.strip() for t in flat(wrapper.parse(page)) if t.strip()]
+
+    def flat(nodes):
+        for n in nodes:
+            if isinstance(n, str):
+                yield n
+            else:
+                yield from flat(n[1])
+
+    assert texts('<p class="a"">Hello "world" again</p><p>two</p>') == ['Hello "world" again', "two"]
+    assert texts("<p don't>It's fine</p><p>Tom's</p>") == ["It's fine", "Tom's"]
+    assert texts("<p a=b\"c>d</p><p title='x>y' id = \"1>2\">e</p><p a= >f</p>") == ["d", "e", "f"]
+    assert texts('<p a="never closed>x</p>') == ["x"] and texts("<p") == [] and texts('<script a="</script>">x</script>y') == ["y"]
+    assert texts("<p " + 'a="' * 50_000) == []
