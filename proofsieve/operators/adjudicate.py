@@ -127,22 +127,12 @@ def claimed_category(claims: DataFrame) -> DataFrame:
     return claims.groupBy("msg_id").agg(F.coalesce(F.min_by(own, F.when(own.isNotNull(), F.col("seq_no"))), F.lit("UNKNOWN")).alias("category"))
 
 
-def stale_caveats(fixture: Column, stale: Column, as_of: Column) -> Column:
-    """Array of caveats on what a source says: that it is made up for tests, or old."""
-    return F.array_compact(F.array(F.when(fixture, "CAVEAT_FIXTURE"), F.when(stale, F.concat_ws(":", F.lit("CAVEAT_SNAPSHOT_STALE"), as_of.cast("string")))))
-
-
 def registers_param(searched: Column, every: int = 12) -> Column:
     """How a report names the registers that were searched: all of them, a list of references, or nothing."""
     own = F.array_distinct(searched)
     return F.when(F.size(own) == every, "@word.all_registers").when(F.size(own) > 0, F.concat(F.lit("@@"), F.array_join(F.transform(own, lambda c: F.concat(F.lit("cat."), c)), ",")))
 
 
-def ordered_results(results: DataFrame, claims: DataFrame) -> DataFrame:
-    """results (msg_id, claim_id, ...) with their place in the order of claims (msg_id, claim_id, seq_no)."""
-    return results.join(claims.select("msg_id", "claim_id", F.col("seq_no").alias("place")), ["msg_id", "claim_id"])
-
-
 def age_in_days(since: Column, now: Column) -> Column:
     """Whole days of elapsed time, which are not calendar days."""
     return F.floor((F.unix_micros(now) - F.unix_micros(since)) / 86_400_000_000)

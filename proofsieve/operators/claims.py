@@ -49,6 +49,11 @@ def quote_legibility(origin: Column, quality: Column, unclear: Column, quoted: C
     return F.when(origin.isin("text", "url"), "clear").when((origin == "audio") | quality.isin("poor", "unreadable") | held, "uncertain").otherwise("clear")
 
 
+def shared(seq: str, start: str, end: str) -> Column:
+    """Whether a row's place (seq, start, end) and another one in columns of these names overlap."""
+    return spans.overlaps(F.struct("seq", "start", "end"), F.struct(F.col(seq).alias("seq"), F.col(start).alias("start"), F.col(end).alias("end")))
+
+
 def worst(a: Column, b: Column) -> Column:
     return F.when((a == "uncertain") | (b == "uncertain"), "uncertain").otherwise("clear")
 
@@ -166,7 +171,7 @@ def registration_claims(r: Read, orgs: DataFrame) -> DataFrame:
     near = checkpointed(near.withColumn("near", F.lit(True)))
     held = spans.locate_quote(F.col("holder"), F.array(F.struct(F.lit(0).alias("seq"), F.col("said").alias("text")))).isNotNull()
     within = regs.select("msg_id", F.col("entity_id").alias("reg_id"), F.col("seq").alias("rs"), F.col("start").alias("ra"), F.col("end").alias("re"))
-    inside = told.where("reg_id IS NOT NULL").join(within, ["msg_id", "reg_id"]).where("seq = rs AND ra < end AND start < re").select("msg_id", "ord", F.lit(True).alias("inside")).distinct()
+    inside = told.where("reg_id IS NOT NULL").join(within, ["msg_id", "reg_id"]).where(shared("rs", "ra", "re")).select("msg_id", "ord", F.lit(True).alias("inside")).distinct()
     told = told.withColumn("held", held).join(inside, ["msg_id", "ord"], "left").join(near.withColumnRenamed("name", "holder"), ["msg_id", "reg_id", "holder"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     explicit = F.col("reg_id").isNotNull() & ((yes("held") & yes("inside")) | yes("near"))
@@ -201,12 +206,12 @@ def endorsement_claims(r: Read) -> DataFrame:
     hits = r.hits.where("kind = 'ENDORSEMENT'")
     at = hits.select("msg_id", "seq", F.col("start").alias("ha"), F.col("end").alias("hb")).distinct()
     told = r.items.where("item = 'endorsement' AND object <> 'entity_registration'")
-    backed = told.join(at, ["msg_id", "seq"]).where("ha < end AND start < hb").select("msg_id", "ord", F.lit(True).alias("backed")).distinct()
+    backed = told.join(at, ["msg_id", "seq"]).where(shared("seq", "ha", "hb")).select("msg_id", "ord", F.lit(True).alias("backed")).distinct()
     told = told.join(backed, ["msg_id", "ord"], "left").where(F.col("backed") | F.col("said").rlike(APPROVAL))
     told = checkpointed(told)
     model = _claims(told.withColumn("order", order(0, "ord")).withColumn("quote", F.col("said")).withColumn("origin", F.when(F.col("backed"), "model+pattern").otherwise("model")), "REGULATOR_ENDORSEMENT", 2, authority=F.col("authority"), object=F.col("object"))
     kept = told.select("msg_id", "seq", F.col("start").alias("ma"), F.col("end").alias("mb"))
-    covered = hits.join(kept, ["msg_id", "seq"]).where("ma < end AND start < mb").select("msg_id", "seq", "n").distinct()
+    covered = hits.join(kept, ["msg_id", "seq"]).where(shared("seq", "ma", "mb")).select("msg_id", "seq", "n").distinct()
     own = hits.where("object IS NOT NULL AND object <> 'entity_registration'").join(covered, ["msg_id", "seq", "n"], "left_anti")
     return model.unionByName(_claims(own.select("*", order(1, "seq", "n").alias("order"), F.lit("pattern").alias("origin")), "REGULATOR_ENDORSEMENT", 2, authority=F.col("authority"), object=F.col("object")))
 
@@ -219,7 +224,7 @@ def return_claims(r: Read) -> DataFrame:
     promises = r.hits.where("kind = 'GUARANTEE'")
     told = r.items.where("item = 'return' AND kind <> 'high_unqualified'")
     at = promises.select("msg_id", "seq", F.col("start").alias("ha"), F.col("end").alias("hb")).distinct()
-    backed = told.join(at, ["msg_id", "seq"]).where("ha < end AND start < hb").select("msg_id", "ord", F.lit(True).alias("backed")).distinct()
+    backed = told.join(at, ["msg_id", "seq"]).where(shared("seq", "ha", "hb")).select("msg_id", "ord", F.lit(True).alias("backed")).distinct()
     written = F.regexp_replace(F.regexp_replace(F.col("percent").cast("string"), r"\.0$", ""), r"\.", r"\\.")
     literal = F.regexp_like(F.col("said"), F.concat(F.lit(r"(?<![\d.])"), written, F.lit(r"\s?%")))
     told = told.join(backed, ["msg_id", "ord"], "left").join(context, "msg_id").join(rates, ["msg_id", "seq", "line"], "left").withColumn("own", F.coalesce(literal, F.lit(False)))

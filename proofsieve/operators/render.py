@@ -242,6 +242,25 @@ def recovery(asked: DataFrame, inv: Investigation, locale: str, url: str | None
     return asked.select("msg_id").distinct().join(lines, "msg_id", "left").select("msg_id", F.when(F.col("lines").isNull(), speak.frame("WA_PAID_NO_REPORT")).otherwise(body).alias("body"))
 
 
+# ---- narratives
+
+
+def narratives(inv: Investigation, locale: str, written: DataFrame) -> DataFrame:
+    """Rows (msg_id, narrative, problems): a few sentences for each message. A model's (written: msg_id, text) count if they only
+    restate what the report says; else, and where there are none, the report's own."""
+    c = F.col
+    t = texts(inv, Speaker(inv.results.sparkSession, locale))
+    own = report.narrative_facts(t.findings, t.steps)
+    claims = gathered(t.claims, "seq_no", "claims", F.concat("statement", F.lit(" → "), "label", F.lit(": "), "why"))
+    none = F.array().cast("array<string>")
+    x = t.heads.select("msg_id", c("headline_text").alias("headline")).join(own, "msg_id", "left").join(claims, "msg_id", "left").join(written.select("msg_id", c("text").alias("told")), "msg_id", "left")
+    x = x.select("msg_id", "headline", "told", *(F.coalesce(n, none).alias(n) for n in ("claims", "warnings", "steps")))
+    facts_ = F.concat_ws(" ", "headline", F.array_join("claims", " "), F.array_join("warnings", " "), F.array_join("steps", " "))
+    x = x.withColumn("problems", F.when(c("told").isNotNull(), report.narrative_problems(c("told"), facts_, F.lit(locale))))
+    plain = report.template_narrative(c("headline"), c("claims"), c("warnings"), c("steps"))
+    return x.select("msg_id", F.when(F.size("problems") == 0, c("told")).otherwise(plain).alias("narrative"), F.coalesce("problems", none).alias("problems"))
+
+
 # ---- texts to keep
 
 

@@ -10,6 +10,7 @@ from proofsieve.functions import domains, text
 from proofsieve.operators import adjudicate, claims, report, verify
 from proofsieve.plans.base import NOW, flat, made, now, query, table
 from proofsieve.plans.queries import MESSAGES
+from proofsieve.sources import messages
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,3 +273,44 @@ CITED = "SELECT l_orderkey AS msg_id, l_linenumber * 100000 + l_partkey AS seq,
 @query(f"WITH c AS ({CITED}) SELECT msg_id, min(seq) AS seq, 'rule:' || rule AS key, 'RULE_' || rule AS title, CASE WHEN rule LIKE '%VIP%' THEN 'SEBI' ELSE 'NSE/BSE' END AS authority FROM c WHERE rule <> 'NO_SUCH_RULE' GROUP BY msg_id, rule")
 def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.rule_evidence(made(spark, sf_dir, CITED).withColumn("rules", F.array("rule"))).select("msg_id", "seq", "key", "title", "authority")
+
+
+LIVE = "SELECT c_mktsegment AS category, c_nationkey AS registration_no, c_custkey AS ord, c_name AS name, 'p' || CAST(c_custkey % 5 AS STRING) AS phone, CAST(c_acctbal AS STRING) AS note FROM customer"
+
+
+@query(f"""WITH r AS ({LIVE}), p AS (SELECT category, registration_no, phone, min(ord) AS ord FROM r GROUP BY ALL)
+ SELECT category, registration_no, string_agg(name, '|' ORDER BY ord) AS names, (SELECT string_agg(phone, '|' ORDER BY p.ord) FROM p WHERE p.category = r.category AND p.registration_no = r.registration_no) AS phones, arg_min(note, ord) AS note FROM r GROUP BY category, registration_no""")
+def live_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a live register answers, one record for each number."""
+    rows = made(spark, sf_dir, LIVE)
+    merged = verify.merge_live(rows.select("category", "registration_no", "ord", F.array("name").alias("names"), F.array("phone").alias("phones"), "note"))
+    return merged.select("category", "registration_no", flat(F.col("names")).alias("names"), flat(F.col("phones")).alias("phones"), "note")
+
+
+PROBES = "SELECT l_returnflag AS task, l_linestatus || CAST(l_linenumber AS STRING) AS model, CAST(sum(l_quantity) AS BIGINT) AS hits, count(*) * 50 AS total, CAST(max(l_partkey) AS BIGINT) AS ms FROM lineitem GROUP BY l_returnflag, l_linestatus || CAST(l_linenumber AS STRING)"
+
+
+@query(f"WITH p AS ({PROBES}) SELECT task, model, hits / total AS score FROM p QUALIFY row_number() OVER (PARTITION BY task ORDER BY hits / total DESC, ms, model) = 1")
+def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model that does each task best."""
+    line = table(spark, sf_dir, "lineitem")
+    probes = line.groupBy(F.col("l_returnflag").alias("task"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("model")).agg(F.sum("l_quantity").cast("long").alias("hits"), (F.count("*") * 50).alias("total"), F.max("l_partkey").cast("long").alias("ms"))
+    return report.best_models(probes)
+
+
+KEY = b"a key of this deployment"
+INNER, OUTER = (bytes(b ^ x for b in KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+
+
+@query(f"SELECT c_custkey AS id, translate(to_base64(unhex(sha256(unhex('{OUTER}' || sha256(unhex('{INNER}' || hex(encode(c_name)))))))), '+/=', '-_') AS token FROM customer")
+def signed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed digest of each name, as addresses carry it."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), report.hmac_base64url(KEY, F.col("c_name")).alias("token"))
+
+
+@query("""SELECT doc_id AS msg_id, text IS NOT NULL AND length(text) BETWEEN 1 AND LIMIT AND doc_id % 14 BETWEEN 1 AND 12 AS valid FROM documents""".replace("LIMIT", str(messages.TEXT_CHARS)))
+def message_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether messages of some parts, each the document's text, are within the interface's bounds."""
+    none = F.lit(None).cast("string")
+    part = F.struct(F.lit("text").alias("kind"), "text", none.alias("url"), none.alias("blob_ref"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), messages.valid_parts(F.array_repeat(part, (F.col("doc_id") % 14).cast("int"))).alias("valid"))

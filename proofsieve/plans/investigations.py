@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofsieve.functions import catalog
-from proofsieve.operators import claims, investigate, render, report
+from proofsieve.operators import answers, claims, investigate, render, report, verify
 from proofsieve.plans.base import made, now, query
 from proofsieve.plans.checks import segments
 from proofsieve.plans.queries import MESSAGES, REGISTRY
@@ -36,7 +36,8 @@ def sources(spark: SparkSession, sf_dir: str) -> investigate.Sources:
     domains = made(spark, sf_dir, DOMAINS).withColumn("rdap_url", text(None))
     day, loaded = dt.date(2026, 10, 3), dt.datetime(2026, 10, 4, 2, 0)
     access = [(name, True, "snapshot", day, loaded, False, False) for name in (investigate.REGISTER, investigate.ALERTS, investigate.AGES)]
-    return investigate.Sources(registry, inactive, alerts, domains, registry.select("category").distinct(), spark.createDataFrame(access, ACCESS))
+    covered = verify.covered_categories(registry.select(F.col("category").alias("scope")), False, ())
+    return investigate.Sources(registry, inactive, alerts, domains, covered, spark.createDataFrame(access, ACCESS))
 
 
 def items(segments: DataFrame) -> DataFrame:
@@ -130,3 +131,29 @@ def evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv = investigation(spark, sf_dir)
     told = render.summary(inv, "en", now())
     return told.select("msg_id", (F.col("summary").contains(F.concat(F.lit("Number: "), F.col("msg_id").cast("string"))) & F.col("summary").endswith(catalog.FRAME["UI_DISCLAIMER"][0])).alias("told"))
+
+
+#: What a model writes about a message: some that restate the report, some that don't.
+WRITTEN = "SELECT doc_id AS msg_id, doc_id % 3 AS k, CASE doc_id % 3 WHEN 0 THEN 'This message was checked against the registers and rules, see below.' WHEN 1 THEN 'Call 98' || CAST(doc_id AS STRING) || '77 to hear more about this message and its sender.' ELSE 'This is surely a scam, and nobody should trust the one who sent it.' END AS text FROM documents"
+
+
+@query(f"""WITH w AS ({WRITTEN}) SELECT msg_id, CASE k WHEN 0 THEN text END AS told, CASE k WHEN 0 THEN '' WHEN 1 THEN 'unknown_number:98' || CAST(msg_id AS STRING) || '77' ELSE 'banned_term' END AS problems FROM w""")
+def guarded_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model has written of each message, if it may be told; else the report's own sentences stand in its place."""
+    written = made(spark, sf_dir, WRITTEN)
+    told = render.narratives(investigation(spark, sf_dir), "en", written.select("msg_id", "text"))
+    return told.join(written, "msg_id").select("msg_id", F.when(F.col("narrative") == F.col("text"), F.col("text")).alias("told"), F.array_join("problems", "|").alias("problems"))
+
+
+#: Answers of a model, in prose and fences as they come; some name a category that there isn't.
+ANSWERS = """SELECT doc_id AS msg_id, CASE WHEN doc_id % 7 = 0 THEN 'I cannot read this.' ELSE 'Here: {"investmentRelated": true, "registrationClaims": [{"regulator": "SEBI", "category": "' || CASE WHEN doc_id % 5 = 0 THEN 'guru' ELSE 'stock_broker' END || '", "number": "INZ' || lpad(CAST(doc_id AS STRING), 9, '0') || '", "holderName": null, "quote": "' || source || '"}]} Thanks.' END AS answer FROM documents"""
+
+
+@query("""SELECT doc_id AS msg_id, 'stock_broker' AS category, 'INZ' || lpad(CAST(doc_id AS STRING), 9, '0') AS number, source AS quote, NULL AS issue FROM documents WHERE doc_id % 7 > 0 AND doc_id % 5 > 0
+ UNION ALL SELECT doc_id, NULL, NULL, NULL, CASE WHEN doc_id % 7 = 0 THEN 'no JSON object' ELSE 'registrationClaims.0.category' END FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0""")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a model's answers, and what is wrong with those that can't be used."""
+    items_, wrong = answers.items_of(made(spark, sf_dir, ANSWERS))
+    none = F.lit(None).cast("string")
+    told = wrong.select("msg_id", none.alias("category"), none.alias("number"), none.alias("quote"), F.split_part(F.get("issues", F.lit(0)), F.lit(":"), F.lit(1)).alias("issue"))
+    return items_.select("msg_id", "category", "number", "quote", none.alias("issue")).unionByName(told)

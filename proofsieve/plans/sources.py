@@ -3,12 +3,12 @@ tables by SQL that either engine reads; what should come out is told by the tabl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofsieve.plans.base import flat, made, query, table
 from proofsieve.session import shared_path
-from proofsieve.sources import messages, registers, snapshots
+from proofsieve.sources import messages, registers, snapshots, workbooks
 
 MONTH = "CASE s_suppkey % 3 WHEN 0 THEN 'Feb' WHEN 1 THEN 'October' ELSE 'Sept.' END"
 DAY = "CAST(1 + s_suppkey % 28 AS STRING)"
@@ -123,3 +123,16 @@ def replaced_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         snapshots.replace(table_, new, name, at(day))
     told = lambda c: F.when(F.col(c) == at(1), "first").when(F.col(c) == at(2), "second")
     return snapshots.entries(spark, table_, loads[0].schema).select("category", "registration_no", "name", told("first_seen_at").alias("first_seen"), told("last_seen_at").alias("last_seen"))
+
+
+@query(f"SELECT s_nationkey AS sheet, s_name AS name, CAST(s_suppkey AS STRING) AS registration_no, {CITY} AS city, 'Corr' AS corr_city, CAST('2026-10-03' AS DATE) AS as_of FROM supplier")
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports written as binary workbooks, one for each nation, and read back."""
+    data = made(spark, sf_dir, f"SELECT s_nationkey AS book, s_suppkey, array(s_name, CAST(s_suppkey AS STRING), {CITY}, 'Corr') AS values FROM supplier")
+    place = F.row_number().over(Window.partitionBy("book").orderBy("s_suppkey"))
+    head = F.array(*(F.struct(F.lit(k).alias("row"), F.array(*map(F.lit, v)).alias("values")) for k, v in enumerate((["Advisers as on Oct 03, 2026"], ["", "", "", "Correspondence Address"], ["Name", "Registration No.", "City", "City"]))))
+    cells = data.select("book", (place + 2).alias("row"), "values").unionByName(data.select("book").distinct().select("book", F.inline(head)))
+    read = workbooks.read_contents(workbooks.workbooks(cells.withColumn("sheet", F.lit("Sheet1"))).select(F.col("book").alias("path"), "content"))
+    titles, rows = registers.rows_of_sheets(read.select(F.col("path").cast("int").alias("sheet"), "row", "values"))
+    f = F.col("fields")
+    return rows.join(F.broadcast(titles), "sheet").select("sheet", f["name"].alias("name"), f["registration_no"].alias("registration_no"), f["city"].alias("city"), f["corr_city"].alias("corr_city"), "as_of")  # a title for each nation

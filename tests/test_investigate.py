@@ -343,3 +343,13 @@ def test_recovery_and_summary(found, spark):
     assert "   Source: Entry of the register: INH000099991 (research analyst) (as of 3 Oct 2026) — https://register.example/listing" in lines
     assert "- The registry of domains [ok]" in lines and lines[-1] == catalog.FRAME["UI_DISCLAIMER"][0]
     assert "- There is nothing to look up here." in told[ID["reminder"]]
+
+
+def test_narratives_only_restate(found, spark):
+    inv, *_ = found
+    written = [(ID["impersonation"], "The number INH000099991 exists, but the register gives it to ABC RESEARCH PRIVATE LIMITED."), (ID["legitimate"], "ABC Research is safe to trust, call 9999999999 or write to x@y.zz today."), (ID["bare"], "short")]
+    got = {r.msg_id: (r.narrative, list(r.problems)) for r in render.narratives(inv, "en", spark.createDataFrame(written, "msg_id long, text string")).collect()}
+    assert len(got) == len(TEXTS) and got[ID["impersonation"]] == (written[0][1], [])
+    own, problems = got[ID["legitimate"]]
+    assert own.startswith("What could be looked up agrees") and set(problems) == {"banned_term", "unknown_number:9999999999", "unknown_identifier:x@y.zz"} and got[ID["bare"]][1] == ["length"]
+    assert got[ID["reminder"]] == ("There is nothing to look up here. If you have paid, see what to do.", [])
