@@ -141,28 +141,29 @@ def search_names(queries: DataFrame, registry: DataFrame, least: float = 0.6, to
 def match_alerts(names: DataFrame, alerts: DataFrame) -> DataFrame:
     """Rows (msg_id, name, alert): names (msg_id, name) that are an alert's name, or hold it as whole words.
 
-    Names are folded, and all but letters and digits are blanks. Every run of words of a name is a key, so that phrases
-    are found by an equi-join; alerts of one word of less than eight letters match whole names only.
+    Names are folded, and all but letters and digits are blanks. Every run of words of a name, up to as many as an alert
+    has, is a key, so that phrases are found by an equi-join; alerts of one word of less than eight letters match whole
+    names only.
     """
     plain = lambda c: F.trim(F.regexp_replace(text.fold_for_match(c), r"[^\p{L}\p{N}]+", " "))
     folded = names.select("msg_id", "name", plain(F.col("name")).alias("plain")).select("msg_id", "name", F.filter(F.split("plain", " "), lambda w: w != "").alias("words"))
+    own = checkpointed(alerts.select(F.col("name").alias("alert"), plain(F.col("name")).alias("phrase")))
+    longest = own.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1  # one number
     n = F.size("words")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.struct(F.array_join(F.slice("words", i, k), " ").alias("phrase"), (k == n).alias("whole")))))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(longest))), lambda k: F.struct(F.array_join(F.slice("words", i, k), " ").alias("phrase"), (k == n).alias("whole")))))
     phrases = folded.where(n > 0).select("msg_id", "name", F.explode(spans).alias("s")).select("msg_id", "name", "s.phrase", "s.whole")
-    own = alerts.select(F.col("name").alias("alert"), plain(F.col("name")).alias("phrase"))
     found = phrases.join(small_side(own), "phrase")
     return found.where(F.col("whole") | (F.size(F.split("phrase", " ")) >= 2) | (F.length("phrase") >= 8)).select("msg_id", "name", "alert").distinct()
 
 
 def source_runs(lookups: DataFrame) -> DataFrame:
     """One row for each (msg_id, source) of lookups (ord, status, mode, ms, as_of, stale, fixture)."""
-    in_order = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ord", c))))
     return lookups.groupBy("msg_id", "source").agg(
         F.when(F.bool_or(F.col("status") == "ok"), "ok").otherwise("unavailable").alias("status"),
         F.count("*").alias("queries"),
         F.max("ms").alias("latency_ms"),
         F.when(F.bool_or(F.col("mode") == "live"), "live").otherwise("snapshot").alias("mode"),
-        F.get(in_order("as_of"), F.lit(0))["as_of"].alias("as_of"),
+        F.min_by("as_of", F.when(F.col("as_of").isNotNull(), F.struct("ord", "as_of"))).alias("as_of"),
         F.bool_and("stale").alias("stale"),
         F.bool_or("fixture").alias("fixture"),
     )

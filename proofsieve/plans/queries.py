@@ -124,15 +124,18 @@ def registration_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SWAPS = "CASE substring(normalized, i, 1) " + " ".join(f"WHEN '{d}' THEN {[*alts]}" for d, alts in identifiers.SWAPS.items()) + " END"
 
 
-@query(f"""WITH r AS ({REGISTRY}), q AS (SELECT s_suppkey AS msg_id, 'INH' || lpad(CAST(s_suppkey * 37 + 80 AS STRING), 9, '0') AS normalized FROM supplier),
+#: Registered numbers, whose first digit has been misread.
+MISREAD = f"SELECT s_suppkey AS msg_id, left(registration_no, 3) || '8' || right(registration_no, 8) AS normalized FROM (SELECT s_suppkey, {NUMBER} FROM supplier)"
+
+
+@query(f"""WITH r AS ({REGISTRY}), q AS ({MISREAD}),
  p AS (SELECT q.*, i, unnest({SWAPS}) AS d, generate_subscripts({SWAPS}, 1) AS k FROM q, (SELECT unnest(range(4, 13)) AS i)),
  v AS (SELECT msg_id, normalized, substring(normalized, 1, i - 1) || d || substring(normalized, i + 1) AS variant FROM p QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY i, k) <= 12)
- SELECT msg_id, normalized, string_agg(DISTINCT variant, ',' ORDER BY variant) AS hits FROM v JOIN (SELECT DISTINCT 'INH8' || right(registration_no, 8) AS registration_no FROM r UNION SELECT registration_no FROM r) ON variant = registration_no WHERE normalized NOT IN (SELECT registration_no FROM r) GROUP BY ALL""")
+ SELECT msg_id, normalized, string_agg(DISTINCT variant, ',' ORDER BY variant) AS hits FROM v JOIN (SELECT DISTINCT registration_no FROM r) ON variant = registration_no WHERE normalized NOT IN (SELECT registration_no FROM r) GROUP BY ALL""")
 def number_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbers = made(spark, sf_dir, "SELECT s_suppkey AS msg_id, 'INH' || lpad(CAST(s_suppkey * 37 + 80 AS STRING), 9, '0') AS normalized FROM supplier")
-    known = made(spark, sf_dir, REGISTRY).select("registration_no")
-    known = known.unionByName(known.select(F.concat(F.lit("INH8"), F.right("registration_no", F.lit(8))).alias("registration_no")))
-    return registry.variant_hits(numbers, known).withColumn("hits", F.array_join("hits", ","))
+    own = made(spark, sf_dir, f"SELECT s_suppkey AS msg_id, {NUMBER} FROM supplier")
+    misread = own.select("msg_id", F.concat(F.left("registration_no", F.lit(3)), F.lit("8"), F.right("registration_no", F.lit(8))).alias("normalized"))
+    return registry.variant_hits(misread, made(spark, sf_dir, REGISTRY)).withColumn("hits", F.array_join("hits", ","))
 
 
 #: Trigrams of words in their order, two blanks before each word and one behind.

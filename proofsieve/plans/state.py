@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,11 +85,21 @@ def patched_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.patched(made(spark, sf_dir, SESSIONS), p.withColumn("set", named), ["locale", "pending"], now())
 
 
-@query(f"WITH s AS ({SESSIONS}), j AS ({JOBS}) SELECT 'sessions' AS kind, count(*) FILTER (WHERE expires_at <= {NOW}) AS removed FROM s UNION ALL SELECT 'jobs', count(*) FILTER (WHERE status IN ('done', 'failed') AND updated_at < {NOW} - INTERVAL 7 DAYS) FROM j UNION ALL SELECT 'inbound', count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 14 DAYS) FROM events")
+#: Tables that are swept, by kind: what of each expires when.
+KEPT = {"investigations": f"SELECT o_orderkey AS id, {NOW} + INTERVAL 1 DAY * (o_custkey % 9 - 4) AS expires_at FROM orders", "blobs": f"SELECT p_partkey AS id, {NOW} + INTERVAL 1 MINUTE * (p_size - 25) AS expires_at FROM part", "cache": f"SELECT l_partkey AS id, {NOW} + INTERVAL 1 HOUR * (l_linenumber - 3) AS expires_at FROM lineitem"}
+
+
+@query(f"WITH s AS ({SESSIONS}), j AS ({JOBS}) SELECT 'sessions' AS kind, count(*) FILTER (WHERE expires_at <= {NOW}) AS removed FROM s UNION ALL SELECT 'jobs', count(*) FILTER (WHERE status IN ('done', 'failed') AND updated_at < {NOW} - INTERVAL 7 DAYS) FROM j UNION ALL SELECT 'inbound', count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 14 DAYS) FROM events" + "".join(f" UNION ALL SELECT '{kind}', count(*) FILTER (WHERE expires_at <= {NOW}) FROM ({sql})" for kind, sql in KEPT.items()))
 def swept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     inbound = table(spark, sf_dir, "events").withColumnRenamed("ts", "received_at")
     found = [queue.swept(made(spark, sf_dir, SESSIONS), now(), "sessions"), queue.swept(jobs(spark, sf_dir), now(), "jobs"), queue.swept(inbound, F.expr("TIMESTAMP '2024-01-20 00:00:00'"), "inbound")]
-    return found[0][1].unionByName(found[1][1]).unionByName(found[2][1])
+    found += [queue.swept(made(spark, sf_dir, sql), now(), kind) for kind, sql in KEPT.items()]
+    return reduce(DataFrame.unionByName, (removed for _, removed in found))
+
+
+@query("SELECT max(ts) AS received_at FROM events")
+def latest_received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.latest_received(table(spark, sf_dir, "events").withColumnRenamed("ts", "received_at"))
 
 
 @query(f"WITH s AS ({SESSIONS}) SELECT key, locale FROM s WHERE expires_at > {NOW}")
@@ -150,7 +162,14 @@ def message_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.routes(made(spark, sf_dir, INBOUND), sessions)
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS STRING)) AS n FROM events),
+ w AS (SELECT key, n, ts AS start, ts AS last, true AS opens, event_id FROM e WHERE n = 1 UNION ALL
+  SELECT e.key, e.n, CASE WHEN e.ts >= least(w.last + INTERVAL 1 HOUR, w.start + INTERVAL 4 HOUR) THEN e.ts ELSE w.start END, e.ts, e.ts >= least(w.last + INTERVAL 1 HOUR, w.start + INTERVAL 4 HOUR), e.event_id FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1),
+ g AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY key ORDER BY n) AS run FROM w), c AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY n) AS place FROM g),
+ x AS (SELECT key, run, min(start) AS start, least(max(last) + INTERVAL 1 HOUR, min(start) + INTERVAL 4 HOUR) AS closes, string_agg(CAST(event_id AS STRING), '|' ORDER BY n) FILTER (WHERE place <= 8) AS message_ids, CAST(count(*) FILTER (WHERE place > 8) AS INT) AS dropped FROM c GROUP BY key, run),
+ a AS (SELECT key, run, true AS admitted, [closes] AS kept FROM x WHERE run = 1 UNION ALL
+  SELECT x.key, x.run, len(list_filter(a.kept, lambda k: k > x.closes - INTERVAL 1 DAY)) < 2, CASE WHEN len(list_filter(a.kept, lambda k: k > x.closes - INTERVAL 1 DAY)) < 2 THEN list_append(list_filter(a.kept, lambda k: k > x.closes - INTERVAL 1 DAY), x.closes) ELSE a.kept END FROM a JOIN x ON x.key = a.key AND x.run = a.run + 1)
+ SELECT CAST(x.key AS STRING) AS key, start, closes, message_ids, dropped, admitted FROM x JOIN a ON x.key = a.key AND x.run = a.run""")
 def collected_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = made(spark, sf_dir, "SELECT user_id AS key, ts AS at, event_id AS message_id FROM events")
     return queue.admitted(queue.collected(events, gap=3600, cap=14_400), most=2, seconds=86_400).withColumn("message_ids", flat(F.col("message_ids")))

@@ -18,7 +18,8 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; one of our own only where the session names none."""
+    """The cluster's folder for checkpoints; one of our own only where the session names none: beside the warehouse, if that is
+    in a store that all machines see, or of this machine, if there is no other."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -29,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
         if sc.master.startswith("local[") or sc.master == "local":
             own = tempfile.mkdtemp(prefix="proofsieve-")
         else:
-            own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if "://" not in warehouse or warehouse.startswith("file:"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster see")
+            own = warehouse.rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get()
 
