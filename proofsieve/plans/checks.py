@@ -19,14 +19,10 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("msg_id", F.lit(0).alias("seq"), "text", F.lit("text").alias("origin"), F.lit("good").alias("quality"), none.alias("unclear"))
 
 
-@query()
-def message_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims.build(claims.read(segments(spark, sf_dir)))
-
-
-@query()
+@query(f"""WITH m AS ({MESSAGES}) SELECT msg_id, kind, 'pattern' AS origin FROM (SELECT msg_id, 'URGENCY' AS kind FROM m WHERE regexp_matches(text, 'Hurry, limited seats') UNION ALL SELECT msg_id, 'SECRECY' FROM m WHERE regexp_matches(text, 'Keep this secret')
+ UNION ALL SELECT msg_id, 'REMOTE_ACCESS_OR_OTP' FROM m WHERE regexp_matches(text, 'share OTP') UNION ALL SELECT msg_id, 'PERSONAL_ACCOUNT_PAYMENT' FROM m WHERE regexp_matches(text, '[^0-9][6-9][0-9]{{9}}@ybl'))""")
 def message_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims.behaviours(claims.read(segments(spark, sf_dir)))
+    return claims.behaviours(claims.read(segments(spark, sf_dir))).select("msg_id", "kind", "origin")
 
 
 #: Entities of messages: one table row gives a phone, a mailbox or a link.

@@ -157,3 +157,20 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     told = wrong.select("msg_id", none.alias("category"), none.alias("number"), none.alias("quote"), F.split_part(F.get("issues", F.lit(0)), F.lit(":"), F.lit(1)).alias("issue"))
     return items_.select("msg_id", "category", "number", "quote", none.alias("issue")).unionByName(told)
+
+
+#: Messages of all kinds of claims: those in one language speak of approval and of a group as well.
+ALL_KINDS = f"SELECT msg_id, m.text || CASE WHEN lang = 'fr' THEN chr(10) || 'SEBI approved tips for you. Enter our VIP group now' ELSE '' END AS text FROM ({MESSAGES}) m JOIN documents ON msg_id = doc_id"
+
+
+@query(READ + f""", a AS ({ALL_KINDS}), of_number AS (SELECT n.msg_id, CASE WHEN i > 1 THEN 'pattern' WHEN regexp_matches(text, 'SEBI registered') THEN 'model+pattern' ELSE 'model' END AS origin FROM n JOIN a ON a.msg_id = n.msg_id)
+ SELECT msg_id, 'SEBI_REGISTRATION' AS type, origin FROM of_number UNION ALL SELECT msg_id, 'IDENTITY', 'model' FROM a WHERE regexp_matches(text, 'registered by Supplier|Mail Desk[0-9]')
+ UNION ALL SELECT msg_id, 'GUARANTEED_RETURNS', 'pattern' FROM a WHERE regexp_matches(text, 'Guaranteed returns 10%|Risk-free|zero loss') UNION ALL SELECT msg_id, 'PAYMENT_DESTINATION', 'pattern' FROM (SELECT msg_id, unnest(list_distinct({HANDLES})) AS upi FROM a)
+ UNION ALL SELECT msg_id, 'APP_INSTALL', 'pattern' FROM a WHERE regexp_matches(text, 'http[^ ]+\.apk') UNION ALL SELECT msg_id, unnest(['REGULATOR_ENDORSEMENT', 'SPECIAL_ACCESS']), 'pattern' FROM a WHERE text LIKE '%SEBI approved tips%VIP group%'""")
+def message_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of all seven types, from patterns and from what a model has read."""
+    own = segments(spark, sf_dir)
+    langs = made(spark, sf_dir, "SELECT doc_id AS msg_id, lang FROM documents")
+    more = F.when(F.col("lang") == "fr", "\nSEBI approved tips for you. Enter our VIP group now").otherwise("")
+    own = own.join(langs, "msg_id").withColumn("text", F.concat("text", more)).drop("lang")
+    return claims.build(claims.read(own, items(own))).select("msg_id", "type", "origin")
