@@ -273,7 +273,7 @@ def summary(inv: Investigation, locale: str, made: Column, url: str | None = Non
     frame = speak.frame
     line = lambda rows, n, title, order, text: rows.select("msg_id", F.lit(n).alias("section"), F.lit(title).alias("title"), order.cast("struct<a:long,b:long>").alias("ord"), text.alias("line"))
     at = lambda a, b: F.struct((F.lit(a) if isinstance(a, int) else c(a)).cast("long").alias("a"), (F.lit(b) if isinstance(b, int) else c(b)).cast("long").alias("b"))
-    dated = lambda when: F.coalesce(F.concat(F.lit(" ("), F.replace(F.lit(frame("UI_AS_OF")), F.lit("{date}"), report.format_day(F.to_utc_timestamp(when.cast("timestamp"), "Asia/Kolkata"))), F.lit(")")), F.lit(""))
+    dated = lambda when: F.when(when.isNull(), "").otherwise(F.concat(F.lit(" ("), F.replace(F.lit(frame("UI_AS_OF")), F.lit("{date}"), report.format_day(F.to_utc_timestamp(when.cast("timestamp"), "Asia/Kolkata"))), F.lit(")")))
     cited = t.claims.select("msg_id", "seq_no", F.posexplode("evidence").alias("k", "id"))
     titles = speak(inv.evidence.withColumn("code", c("title")), "told").select("msg_id", "id", "told", "as_of", "url")
     cited = cited.join(titles, ["msg_id", "id"]).withColumn("k", c("k") + 3)

@@ -14,6 +14,8 @@ from proofsieve.operators import answers, claims, investigate, render, report, v
 from proofsieve.plans.base import made, now, query
 from proofsieve.plans.checks import segments
 from proofsieve.plans.queries import MESSAGES, REGISTRY
+from proofsieve.session import shared_path
+from proofsieve.sources import reports
 from proofsieve.sources.fixtures import ACCESS
 
 GONE = "SELECT 'INP' || lpad(CAST(s_suppkey + 100 AS STRING), 9, '0') AS registration_no, s_name AS name, 'Portfolio Manager' AS category_label, 'Cancelled' AS status FROM supplier"
@@ -174,3 +176,12 @@ def message_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.when(F.col("lang") == "fr", "\nSEBI approved tips for you. Enter our VIP group now").otherwise("")
     own = own.join(langs, "msg_id").withColumn("text", F.concat("text", more)).drop("lang")
     return claims.build(claims.read(own, items(own))).select("msg_id", "type", "origin")
+
+
+@query("SELECT doc_id AS msg_id, 'second' AS batch, true AS told FROM documents")
+def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of all messages after two batches were stored, read from disk."""
+    views, path = render.views(investigation(spark, sf_dir), "en"), shared_path(spark, "reports")
+    for batch in ("first", "second"):
+        reports.store(path, views, batch)
+    return reports.load(spark, path).select("msg_id", "batch", F.get_json_object("report", "$.headline_code").startswith("H_").alias("told"))

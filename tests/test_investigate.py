@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from proofsieve.functions import catalog
 from proofsieve.operators import adjudicate, claims, investigate, render, report
+from proofsieve.sources import reports
 from proofsieve.sources.fixtures import fixture_sources
 
 NOW = "TIMESTAMP '2026-10-04 04:30:00'"
@@ -353,3 +354,23 @@ def test_narratives_only_restate(found, spark):
     own, problems = got[ID["legitimate"]]
     assert own.startswith("What could be looked up agrees") and set(problems) == {"banned_term", "unknown_number:9999999999", "unknown_identifier:x@y.zz"} and got[ID["bare"]][1] == ["length"]
     assert got[ID["reminder"]] == ("There is nothing to look up here. If you have paid, see what to do.", [])
+
+
+def test_reports_are_kept_if_they_are_whole(found, spark, tmp_path):
+    inv, *_ = found
+    views = render.views(inv, "en")
+    path = str(tmp_path / "reports")
+    assert reports.load(spark, path).count() == 0
+    assert tuple(reports.store(path, views, "b1").first()) == ("b1", len(TEXTS), 0)
+    own = F.col("msg_id") == ID["impersonation"]
+    broken = views.withColumn("headline_code", F.when(own, "H_OTHER").otherwise(F.col("headline_code")))
+    broken = broken.withColumn("claims", F.when(own, F.transform("claims", lambda c: c.withField("verdict", F.lit("MAYBE")))).otherwise(F.col("claims")))
+    done = reports.store(path, broken, "b2").first()
+    assert (done.stored, done.rejected) == (len(TEXTS) - 1, 1)
+    wrong = spark.read.parquet(reports.rejected(path)).collect()
+    assert [r.msg_id for r in wrong] == [ID["impersonation"]] and wrong[0].problems[:2] == ["headline: unknown", "claims.claim-1: no verdict"]
+    last = {r.msg_id: r for r in reports.load(spark, path).collect()}
+    assert len(last) == len(TEXTS) and last[ID["impersonation"]].batch == "b1" and last[ID["bare"]].batch == "b2"
+    assert reports.store(path, views, "b2").first().stored == len(TEXTS)  # the batch once more
+    again = {r.msg_id: r for r in reports.load(spark, path).collect()}
+    assert again[ID["impersonation"]].batch == "b2" and json.loads(again[ID["bare"]].report) == json.loads(last[ID["bare"]].report)
