@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import lru_cache
+
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,18 +73,21 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
-def ordered_trigrams(text_: str) -> list[str]:
-    """The trigrams of a folded text's words, in their order."""
-    return [w[i : i + 3] for word in regex.findall(r"[\p{L}\p{N}]+", text_) for w in [f"  {word} "] for i in range(len(w) - 2)]
+@lru_cache(maxsize=50_000)
+def ordered_trigrams(text_: str) -> tuple[str, ...]:
+    """The trigrams of a folded text's words, in their order; a worker remembers those of names that come again."""
+    return tuple(w[i : i + 3] for word in regex.findall(r"[\p{L}\p{N}]+", text_) for w in [f"  {word} "] for i in range(len(w) - 2))
 
 
-def extent_similarity(wanted: list[str], given: list[str]) -> float:
+def extent_similarity(wanted: Sequence[str], given: Sequence[str]) -> float:
     """The greatest similarity of a set of trigrams and a contiguous extent of others: what they share of what either has.
 
     The best extent begins and ends with a trigram that is wanted. From each such end, extents grow to the left.
     """
-    own = set(wanted)
+    own = frozenset(wanted)
     hits = [k for k, g in enumerate(given) if g in own]
+    if hits and hits[-1] - hits[0] + 1 == len(own) == len(hits) and len(set(given[hits[0] : hits[-1] + 1])) == len(own):
+        return 1.0
     best = 0.0
     for n, end in enumerate(hits):
         seen: set[str] = set()

@@ -168,7 +168,7 @@ ALL_KINDS = f"SELECT msg_id, m.text || CASE WHEN lang = 'fr' THEN chr(10) || 'SE
 @query(READ + f""", a AS ({ALL_KINDS}), of_number AS (SELECT n.msg_id, CASE WHEN i > 1 THEN 'pattern' WHEN regexp_matches(text, 'SEBI registered') THEN 'model+pattern' ELSE 'model' END AS origin FROM n JOIN a ON a.msg_id = n.msg_id)
  SELECT msg_id, 'SEBI_REGISTRATION' AS type, origin FROM of_number UNION ALL SELECT msg_id, 'IDENTITY', 'model' FROM a WHERE regexp_matches(text, 'registered by Supplier|Mail Desk[0-9]')
  UNION ALL SELECT msg_id, 'GUARANTEED_RETURNS', 'pattern' FROM a WHERE regexp_matches(text, 'Guaranteed returns 10%|Risk-free|zero loss') UNION ALL SELECT msg_id, 'PAYMENT_DESTINATION', 'pattern' FROM (SELECT msg_id, unnest(list_distinct({HANDLES})) AS upi FROM a)
- UNION ALL SELECT msg_id, 'APP_INSTALL', 'pattern' FROM a WHERE regexp_matches(text, 'http[^ ]+\.apk') UNION ALL SELECT msg_id, unnest(['REGULATOR_ENDORSEMENT', 'SPECIAL_ACCESS']), 'pattern' FROM a WHERE text LIKE '%SEBI approved tips%VIP group%'""")
+ UNION ALL SELECT msg_id, 'APP_INSTALL', 'pattern' FROM a WHERE regexp_matches(text, 'http[^ ]+\\.apk') UNION ALL SELECT msg_id, unnest(['REGULATOR_ENDORSEMENT', 'SPECIAL_ACCESS']), 'pattern' FROM a WHERE text LIKE '%SEBI approved tips%VIP group%'""")
 def message_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of all seven types, from patterns and from what a model has read."""
     own = segments(spark, sf_dir)
@@ -185,3 +185,28 @@ def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in ("first", "second"):
         reports.store(path, views, batch)
     return reports.load(spark, path).select("msg_id", "batch", F.get_json_object("report", "$.headline_code").startswith("H_").alias("told"))
+
+
+@query(READ + f""", linked AS (SELECT msg_id FROM n UNION ALL SELECT msg_id FROM (SELECT msg_id, unnest(list_distinct({HANDLES})) AS upi FROM m) UNION ALL SELECT msg_id FROM m WHERE regexp_matches(text, '(?i)http[^ ]+\\.apk')),
+ absent AS (SELECT msg_id FROM told WHERE reason IN ('REG_NOT_IN_REGISTER', 'REG_UNCLEAR_NUMBER'))
+ SELECT msg_id, 'mentions' AS kind, count(*) AS edges FROM linked GROUP BY msg_id UNION ALL SELECT msg_id, 'absent_in', count(*) FROM absent GROUP BY msg_id""")
+def investigation_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many edges to identifiers, and from searches that found nothing to registrations, the graph of each message has."""
+    inv = investigation(spark, sf_dir)
+    evidence = inv.evidence.select("msg_id", "id", "kind", "title", "source")
+    findings = inv.findings.select("msg_id", "id", "code", "evidence", "claim_ids")
+    edges = report.graph(inv.claims, inv.results, findings, evidence, inv.entities)[1]
+    registrations = inv.claims.where("type = 'SEBI_REGISTRATION'").select("msg_id", F.col("claim_id").alias("target"))
+    absent = edges.where("kind = 'absent_in'").join(registrations, ["msg_id", "target"], "left_semi")
+    return edges.where("kind = 'mentions'").unionByName(absent).groupBy("msg_id", "kind").agg(F.count("*").alias("edges"))
+
+
+@query(READ + f""", told_numbers AS (SELECT msg_id, number, holder, CASE WHEN i > 1 THEN 'kind not said' ELSE CASE number[3] WHEN 'H' THEN 'research analyst' WHEN 'A' THEN 'investment adviser' WHEN 'Z' THEN 'stock broker' ELSE 'portfolio manager' END END AS category FROM (SELECT n.msg_id, i, CASE WHEN i = 1 THEN holder END AS holder, upper(raw[1:3]) || translate(regexp_replace(raw[4:], '[ \\t:.\\-]', '', 'g'), 'OoDQIl|iSsBZzG', '00001111558226') AS number FROM n))
+ SELECT msg_id, coalesce(holder, 'Whoever sent this') || ' holds SEBI registration ' || number || ' (' || category || ').' AS statement FROM told_numbers UNION ALL SELECT msg_id, 'Money is to go to ' || upi || '.' FROM (SELECT msg_id, unnest(list_distinct(list_transform({HANDLES}, lambda x: lower(x)))) AS upi FROM m)
+ UNION ALL SELECT msg_id, 'An app is to be installed from ' || regexp_extract(text, 'http://([0-9.]+)/app', 1) || '.' FROM m WHERE regexp_matches(text, '(?i)http[^ ]+\\.apk')""")
+def message_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What claims about numbers, payments and apps say, in words."""
+    inv = investigation(spark, sf_dir)
+    speak = render.Speaker(spark, "en")
+    told = speak(report.claim_statements(inv.claims, inv.entities)).join(inv.claims.select("msg_id", "claim_id", "type"), ["msg_id", "claim_id"])
+    return told.where("type IN ('SEBI_REGISTRATION', 'PAYMENT_DESTINATION', 'APP_INSTALL')").select("msg_id", F.col("text").alias("statement"))
