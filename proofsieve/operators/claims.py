@@ -70,13 +70,16 @@ def read(segments: DataFrame, items: DataFrame | None = None) -> Read:
     """
     spark = segments.sparkSession
     items = spark.createDataFrame([], ITEM) if items is None else items
+    # Texts are few bytes and much work: they are dealt by message once, for what reads them and for all groups of messages.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segments = checkpointed(segments.repartition(parts, "msg_id"))
     entities = checkpointed(identifiers.entities(segments))
     t = F.col("text")
     rows = segments.select("msg_id", "seq", "text", "origin", "quality", "unclear", F.posexplode(phrases.phrases(t)).alias("n", "p"))
     line = spans.line_of(t, F.col("p.start"))
     hits = checkpointed(rows.select("msg_id", "seq", "n", "p.*", line.alias("line"), quote_legibility(F.col("origin"), F.col("quality"), F.col("unclear"), spans.piece(t, F.col("p.start"), F.col("p.end"))).alias("legibility")))
     own = segments.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("segments"))
-    placed = items.join(own, "msg_id").select(*items.columns, "segments", spans.locate_quote(F.col("quote"), F.col("segments")).alias("span"), spans.locate_quote(F.col("name"), F.col("segments")).alias("at"))
+    placed = items.join(own, "msg_id").repartition(parts, "msg_id", "item", "ord").select(*items.columns, "segments", spans.locate_quote(F.col("quote"), F.col("segments")).alias("span"), spans.locate_quote(F.col("name"), F.col("segments")).alias("at"))
     placed = checkpointed(placed)
     spoken = segments.select("msg_id", "seq", "text", "origin", "quality", "unclear")
     there = placed.where("span IS NOT NULL").drop("segments").withColumn("seq", F.col("span.seq")).join(spoken, ["msg_id", "seq"])

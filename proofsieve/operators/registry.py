@@ -136,7 +136,7 @@ def search_names(queries: DataFrame, registry: DataFrame, least: float = 0.6, to
     # A name that holds the query may split its first and last words: it lacks five trigrams at most.
     probes = each.withColumn("n", rare).where(F.col("n") <= F.greatest(need, F.lit(6))).select("query", "gram")
     pairs = probes.join(grams, "gram").select("query", "id").distinct().join(names, "id")
-    # Words too short for a trigram of their own inside another word are found by the text itself.
+    pairs = pairs.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query", "id")  # short rows, but much work for each
     rated = pairs.select("query", "name", word_similarity(F.col("query"), F.col("name")).alias("similarity"))
     like = rated.where((F.col("similarity") >= least) | F.contains("name", "query"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "registration_no"))

@@ -45,7 +45,7 @@ def sources(spark: SparkSession, sf_dir: str) -> investigate.Sources:
 def items(segments: DataFrame) -> DataFrame:
     """What a model says of messages that name a firm: its registration, and that it sends what it says of itself."""
     t = F.col("text")
-    named = segments.select("msg_id", F.regexp_extract(t, HOLDER, 1).alias("name"), F.regexp_extract(t, NUMBER, 1).alias("number"), F.regexp_extract(t, r"([^\n]*Sup+lier#[0-9]{9}[^\n]*)", 1).alias("line")).where("name <> ''")
+    named = segments.select("msg_id", F.regexp_extract(t, HOLDER, 1).alias("name"), F.regexp_extract(t, NUMBER, 1).alias("number"), F.get(F.filter(F.split(t, "\n"), lambda row: row.rlike(HOLDER)), F.lit(0)).alias("line")).where("name <> ''")
     category = F.create_map(*(F.lit(x) for kv in {"H": "research_analyst", "A": "investment_adviser", "Z": "stock_broker", "P": "portfolio_manager"}.items() for x in kv))[F.substring("number", 3, 1)]
     own = {"quote": F.col("line"), "name": F.col("name")}
     columns = lambda kind, n, **more: [(own | more | {"item": F.lit(kind), "ord": F.lit(n), "msg_id": F.col("msg_id")}).get(f, F.lit(None)).cast(k).alias(f) for f, k in (c.split() for c in claims.ITEM.split(", "))]
