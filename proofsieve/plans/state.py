@@ -12,8 +12,8 @@ from proofsieve.plans.base import NOW, flat, made, now, query, table
 
 JOBS = f"SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN 'collect' ELSE 'send' END AS kind, 'p' || CAST(o_orderkey AS STRING) AS payload, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'running' END AS status, CAST(o_orderdate AS TIMESTAMP) AS run_at, CAST(o_custkey % 4 AS INT) AS attempts, 3 AS max_attempts, CASE WHEN o_orderstatus = 'P' THEN {NOW} - INTERVAL 1 MINUTE * (o_orderkey % 20) END AS locked_at, CASE WHEN o_orderstatus <> 'F' THEN 'k' || CAST(o_orderkey AS STRING) END AS dedupe_key, CAST(NULL AS STRING) AS last_error, CAST(o_orderdate AS TIMESTAMP) AS updated_at FROM orders"
 ASKED = "SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_linenumber = 7 THEN NULL ELSE 'k' || CAST(l_orderkey + l_linenumber AS STRING) END AS dedupe_key, 'n' || CAST(l_orderkey AS STRING) AS payload, CAST(l_shipdate AS TIMESTAMP) AS run_at, l_orderkey AS o, l_linenumber AS line, l_partkey AS part FROM lineitem"
-#: Lines may come twice with one number; what asks for a job is the first part of each.
-ONE_LINE = f"a AS (SELECT * FROM ({ASKED}) QUALIFY row_number() OVER (PARTITION BY o, line ORDER BY part) = 1)"
+#: Lines may come twice with one number, also of one part; what asks for a job is the first part of each, on its first day.
+ONE_LINE = f"a AS (SELECT * FROM ({ASKED}) QUALIFY row_number() OVER (PARTITION BY o, line ORDER BY part, run_at) = 1)"
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.first_of_each(made(spark, sf_dir, ASKED), [F.col("o"), F.col("line")], [F.col("part")]).drop("o", "line", "part")
+    return queue.first_of_each(made(spark, sf_dir, ASKED), [F.col("o"), F.col("line")], [F.col("part"), F.col("run_at")]).drop("o", "line", "part")
 
 
 @query(f"""WITH j AS ({JOBS}), {ONE_LINE} SELECT seq, dedupe_key FROM a WHERE dedupe_key IS NULL UNION ALL
