@@ -133,15 +133,19 @@ def phone_key(raw: Column) -> Column:
 
 def name_comparisons(claimed: DataFrame, records: DataFrame) -> DataFrame:
     """Rows (id, result, matched): how names of claimed (id, number, name) compare with records (registration_no, names,
-    trade_names, contact_person) of their number: the best over all variants, of equally good ones the first."""
+    trade_names, contact_person) of their number: the best over all variants, of equally good ones the first. Names that
+    several claim of a number are compared once."""
     rec = F.struct(*(F.col(c) for c in ("names", "trade_names", "contact_person")))
     known = records.select(F.col("registration_no").alias("number"), F.posexplode(name_variants(rec)).alias("k", "official"))
-    tried = claimed.join(known, "number", "left")
+    asked = claimed.select("number", "name").distinct()
+    tried = asked.join(known, "number", "left")
     same = text.compare_tokens(text.name_tokens(F.coalesce("name", F.lit(""))), text.name_tokens(F.coalesce("official", F.lit(""))))
     rank = F.create_map(*(F.lit(x) for pair in RANKS.items() for x in pair))
-    rated = tried.select("id", "k", "official", same.alias("result")).withColumn("rank", rank[F.col("result")])
-    best = rated.groupBy("id").agg(F.max_by(F.struct("result", "official"), F.struct("rank", -F.coalesce("k", F.lit(0)))).alias("b"))
-    return best.select("id", F.col("b.result"), F.when(F.col("b.result") != "inconclusive", F.col("b.official")).alias("matched"))
+    rated = tried.select("number", "name", "k", "official", same.alias("result")).withColumn("rank", rank[F.col("result")])
+    best = lambda rows, *keys: rows.groupBy(*keys).agg(F.max_by(F.struct("result", "official", "rank", "k"), F.struct("rank", -F.coalesce("k", F.lit(0)))).alias("b"))
+    each = best(rated, F.col("number").alias("of_number"), F.col("name").alias("of_name")).select("of_number", "of_name", "b.*")
+    told = best(claimed.join(each, F.col("number").eqNullSafe(F.col("of_number")) & F.col("name").eqNullSafe(F.col("of_name"))), "id")
+    return told.select("id", F.col("b.result"), F.when(F.col("b.result") != "inconclusive", F.col("b.official")).alias("matched"))
 
 
 def rank_by_name(candidates: DataFrame) -> DataFrame:
