@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofsieve.functions import text
+from proofsieve.functions import spans, text
 
 #: Characters of a text, parts of a message and media of a form that are taken at most, by the interface's definition.
 TEXT_CHARS, PARTS, MEDIA = 20_000, 12, 10
@@ -67,8 +67,8 @@ def user_key(sender: Column) -> Column:
 def form_messages(forms: DataFrame) -> DataFrame:
     """Rows like webhook_messages() of forms (body, received_at): bodies of posted forms, names and values encoded."""
     decode = lambda c: F.url_decode(c)
-    pairs = F.transform(F.split("body", "&"), lambda p: F.struct(decode(F.split_part(p, F.lit("="), F.lit(1))).alias("key"), decode(F.split_part(p, F.lit("="), F.lit(2))).alias("value")))
-    last = F.filter(pairs, lambda x, i: F.forall(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] != x["key"]))
+    decoded = F.transform(F.split("body", "&"), lambda p: F.struct(decode(F.split_part(p, F.lit("="), F.lit(1))).alias("key"), decode(F.split_part(p, F.lit("="), F.lit(2))).alias("value")))
+    last = spans.let(decoded, lambda pairs: F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(pairs["key"], i + 2, F.size(pairs)), x["key"])))
     f = forms.select(F.map_from_entries(last).alias("f"), "received_at")
     field = lambda name: F.col("f")[name]
     n = F.least(F.coalesce(F.expr("try_cast(f['NumMedia'] AS INT)"), F.lit(0)), F.lit(MEDIA))
