@@ -79,10 +79,11 @@ def read(segments: DataFrame, items: DataFrame | None = None) -> Read:
     line = spans.line_of(t, F.col("p.start"))
     hits = checkpointed(rows.select("msg_id", "seq", "n", "p.*", line.alias("line"), quote_legibility(F.col("origin"), F.col("quality"), F.col("unclear"), spans.piece(t, F.col("p.start"), F.col("p.end"))).alias("legibility")))
     own = segments.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("segments"))
-    placed = items.join(own, "msg_id").repartition(parts, "msg_id", "item", "ord").select(*items.columns, "segments", spans.locate_quote(F.col("quote"), F.col("segments")).alias("span"), spans.locate_quote(F.col("name"), F.col("segments")).alias("at"))
+    placed = items.join(own, "msg_id").repartition(parts, "msg_id").select(*items.columns, spans.locate_quotes(F.array("quote", "name"), F.col("segments")).alias("places"))
+    placed = placed.select(*items.columns, F.col("places")[0].alias("span"), F.col("places")[1].alias("at"))
     placed = checkpointed(placed)
     spoken = segments.select("msg_id", "seq", "text", "origin", "quality", "unclear")
-    there = placed.where("span IS NOT NULL").drop("segments").withColumn("seq", F.col("span.seq")).join(spoken, ["msg_id", "seq"])
+    there = placed.where("span IS NOT NULL").withColumn("seq", F.col("span.seq")).join(spoken, ["msg_id", "seq"])
     said = spans.piece(t, F.col("span.start"), F.col("span.end"))
     there = there.select(*items.columns, "seq", F.col("span.start"), F.col("span.end"), F.col("at").isNotNull().alias("named"), said.alias("said"), spans.line_of(t, F.col("span.start")).alias("line"), quote_legibility(F.col("origin"), F.col("quality"), F.col("unclear"), said).alias("legibility"))
     discarded = placed.where("span IS NULL").groupBy("msg_id").agg(F.count("*").alias("n"))
@@ -165,8 +166,11 @@ def registration_claims(r: Read, orgs: DataFrame) -> DataFrame:
     known = first.select("msg_id", "key", F.col("entity_id").alias("id"), "legible")
     told = told.join(known.select("msg_id", F.col("key").alias("given"), F.struct("id", "legible").alias("g")), ["msg_id", "given"], "left").join(known.select("msg_id", F.col("key").alias("quoted"), F.struct("id", "legible").alias("q")), ["msg_id", "quoted"], "left")
     told = told.withColumn("reg", F.when(F.col("number").isNotNull(), F.coalesce("g", "q")))
-    texts = r.segments.groupBy("msg_id").agg(F.collect_list(F.struct(text.alnum_only(F.col("text")).alias("alnum"))).alias("plain"))
-    told = told.join(texts, "msg_id").withColumn("occurs", spans.identifier_occurs(F.coalesce("number", F.lit("")), F.col("plain")))
+    # Only numbers that no pattern has found are looked for in the letters and digits of whole texts.
+    told = checkpointed(told)
+    unseen = told.where("number IS NOT NULL AND reg IS NULL").select("msg_id").distinct()
+    texts = r.segments.join(unseen, "msg_id", "left_semi").groupBy("msg_id").agg(F.collect_list(F.struct(text.alnum_only(F.col("text")).alias("alnum"))).alias("plain"))
+    told = told.join(texts, "msg_id", "left").withColumn("occurs", spans.identifier_occurs(F.coalesce("number", F.lit("")), F.col("plain")))
     told = told.where("number IS NULL OR reg IS NOT NULL OR occurs").drop("plain")
     holder = F.when(F.col("named"), clipped(F.col("name"), 160))
     told = checkpointed(told.withColumn("holder", holder).withColumn("reg_id", F.col("reg.id")))

@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from proofsieve.functions import spans
 from proofsieve.operators import answers, verify
 from proofsieve.plans import QUERIES
 from proofsieve.sources import messages
@@ -42,3 +43,10 @@ def test_names_of_a_number_are_compared_once(spark):
     assert "Deduplicate" in told._jdf.queryExecution().analyzed().toString() or "Distinct" in told._jdf.queryExecution().analyzed().toString()
     got = {r.id: (r.result, r.matched) for r in told.collect()}
     assert len(got) == 60 and all(v == (("same", "Alpha Capital (Proprietor: Beta Trust)") if k % 3 and not k % 2 else ("inconclusive", None)) or v[0] == "same" for k, v in got.items())
+
+
+def test_several_quotes_are_located_like_one(spark):
+    df = spark.createDataFrame([(["never said", "b c", None], [(0, "a b"), (1, "x b c d")]), (["q"], None)], "quotes array<string>, segments array<struct<seq int, text string>>")
+    each = df.select(spans.locate_quotes(F.col("quotes"), F.col("segments")).alias("x")).collect()
+    one = df.select(spans.locate_quote(F.get("quotes", F.lit(1)), F.col("segments")).alias("x")).first().x
+    assert [x and (x.seq, x.start, x.end) for x in each[0].x] == [None, (1, 2, 5), None] and each[1].x == [None] and (one.seq, one.start, one.end) == (1, 2, 5)
