@@ -97,10 +97,14 @@ def _told(found: Column, told: Callable[[Column], Column], key: str, keep: Calla
 
 def trim_at_ninth(body: Column) -> Column:
     """A number's body up to the group that makes nine characters, if groups do so exactly."""
-    groups = F.filter(F.split(body, r"[ \t-]+"), lambda g: g != "")
-    sizes = lambda k: F.aggregate(F.slice(groups, F.lit(1), k), F.lit(0), lambda a, g: a + F.length(g))
-    full = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(groups) - 1, F.lit(1))), lambda k: sizes(k) == 9), F.lit(0))
-    return F.when(full.isNotNull() & (full < F.size(groups)), F.array_join(F.slice(groups, F.lit(1), full), " ")).otherwise(body)
+
+
+    def of(groups: Column) -> Column:
+        sizes = lambda k: F.aggregate(F.slice(groups, F.lit(1), k), F.lit(0), lambda a, g: a + F.length(g))
+        full = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(groups) - 1, F.lit(1))), lambda k: sizes(k) == 9), F.lit(0))
+        return spans.let(full, lambda n: F.when(n.isNotNull() & (n < F.size(groups)), F.array_join(F.slice(groups, F.lit(1), n), " ")).otherwise(body))
+
+    return spans.let(F.filter(F.split(body, r"[ \t-]+"), lambda g: g != ""), of)
 
 
 def read_digits(body: Column) -> Column:
@@ -110,11 +114,16 @@ def read_digits(body: Column) -> Column:
 
 def scheme_of(number: Column) -> Column:
     """Struct (scheme, format_valid) of a normalised number."""
-    scheme = None
-    for name, (_, form) in FORMATS.items():
-        scheme = F.when(number.rlike(form), name) if scheme is None else scheme.when(number.rlike(form), name)
-    other = F.coalesce(dimension(PREFIXES)[F.substring(number, 1, 3)], F.when(number.startswith("ARN"), "AMFI_ARN").otherwise("SEBI_OTHER"))
-    return F.struct(F.coalesce(scheme, other).alias("scheme"), scheme.isNotNull().alias("format_valid"))
+
+
+    def of(n: Column) -> Column:
+        known = None
+        for name, (_, form) in FORMATS.items():
+            known = F.when(n.rlike(form), name) if known is None else known.when(n.rlike(form), name)
+        other = F.coalesce(dimension(PREFIXES)[F.substring(n, 1, 3)], F.when(n.startswith("ARN"), "AMFI_ARN").otherwise("SEBI_OTHER"))
+        return spans.let(known, lambda scheme: F.struct(F.coalesce(scheme, other).alias("scheme"), scheme.isNotNull().alias("format_valid")))
+
+    return spans.let(number, of)
 
 
 def shape_of(scheme: Column) -> Column:
@@ -128,26 +137,31 @@ def registration_numbers(t: Column) -> Column:
         g = lambda k: F.coalesce(F.get(m["groups"], F.lit(k)), F.lit(""))
         letters = m["rule"] == 0
         prefix = F.concat(F.lit("IN"), F.upper(F.substring(g(0), 3, 1)))
-        body = trim_at_ninth(g(2))
-        digits = read_digits(body)
-        number = (
-            F.when(letters, F.concat(prefix, digits))
-            .when(m["rule"] == 1, F.concat(F.lit("IN-DP-"), F.when(g(0) != "", F.concat(F.upper(g(0)), F.lit("-"))).otherwise(""), g(1), F.lit("-"), g(2)))
-            .when(m["rule"] == 2, F.concat(F.lit("MF/"), g(0), F.lit("/"), g(1), F.lit("/"), g(2)))
-            .when(m["rule"] == 3, F.concat(F.lit("IN/AIF"), g(0), F.lit("/"), g(1), F.lit("-"), g(2), F.lit("/"), g(3)))
-            .otherwise(F.concat(F.lit("ARN-"), g(0)))
-        )
-        plain = F.regexp_replace(body, r"[ \t\-]", "")
-        raw = F.trim(F.when(letters, F.concat(g(0), g(1), body)).otherwise(spans.piece(t, m["start"], m["end"])))
-        # Sums in rupees and country tags, bankers to an issue, and legacy numbers with letters in them are no numbers.
-        sum_ = prefix.isin("INR", "IND") & ((g(1) != "") | ~g(2).rlike("^[0Oo]"))
-        other = (prefix == "INB") & g(2).rlike("^[Il|i]")
-        legacy = prefix.isin("INE", "INF", "INB") & g(2).rlike(r"[^0-9\s-]")
-        read = F.when(letters, (plain != digits) | ~g(0).startswith("IN")).otherwise(F.lit(False))
-        scheme = scheme_of(number)
-        valid = F.when(letters, scheme["format_valid"]).otherwise(F.lit(True))
-        kind = F.when(letters, scheme["scheme"]).otherwise(F.element_at(F.array(*map(F.lit, ("SEBI_DP", "SEBI_MF", "SEBI_AIF", "AMFI_ARN"))), F.greatest(m["rule"], F.lit(1))))
-        return F.struct(F.when(letters, ~(sum_ | other | legacy)).otherwise(F.lit(True)).alias("is"), raw.alias("raw"), number.alias("normalized"), kind.alias("scheme"), valid.alias("format_valid"), read.alias("reinterpreted"), m["start"].alias("start"), (m["start"] + F.length(raw)).alias("end"))
+
+        def of_body(a: Column) -> Column:
+            number = (
+                F.when(letters, F.concat(prefix, a["digits"]))
+                .when(m["rule"] == 1, F.concat(F.lit("IN-DP-"), F.when(g(0) != "", F.concat(F.upper(g(0)), F.lit("-"))).otherwise(""), g(1), F.lit("-"), g(2)))
+                .when(m["rule"] == 2, F.concat(F.lit("MF/"), g(0), F.lit("/"), g(1), F.lit("/"), g(2)))
+                .when(m["rule"] == 3, F.concat(F.lit("IN/AIF"), g(0), F.lit("/"), g(1), F.lit("-"), g(2), F.lit("/"), g(3)))
+                .otherwise(F.concat(F.lit("ARN-"), g(0)))
+            )
+            raw = F.trim(F.when(letters, F.concat(g(0), g(1), a["body"])).otherwise(spans.piece(t, m["start"], m["end"])))
+            plain = F.regexp_replace(a["body"], r"[ \t\-]", "")
+            read = F.when(letters, (plain != a["digits"]) | ~g(0).startswith("IN")).otherwise(F.lit(False))
+            return F.struct(number.alias("number"), raw.alias("raw"), read.alias("read"), scheme_of(number).alias("of"))
+
+        def of_number(a: Column) -> Column:
+            # Sums in rupees and country tags, bankers to an issue, and legacy numbers with letters in them are no numbers.
+            sum_ = prefix.isin("INR", "IND") & ((g(1) != "") | ~g(2).rlike("^[0Oo]"))
+            other = (prefix == "INB") & g(2).rlike("^[Il|i]")
+            legacy = prefix.isin("INE", "INF", "INB") & g(2).rlike(r"[^0-9\s-]")
+            valid = F.when(letters, a["of"]["format_valid"]).otherwise(F.lit(True))
+            kind = F.when(letters, a["of"]["scheme"]).otherwise(F.element_at(F.array(*map(F.lit, ("SEBI_DP", "SEBI_MF", "SEBI_AIF", "AMFI_ARN"))), F.greatest(m["rule"], F.lit(1))))
+            return F.struct(F.when(letters, ~(sum_ | other | legacy)).otherwise(F.lit(True)).alias("is"), a["raw"].alias("raw"), a["number"].alias("normalized"), kind.alias("scheme"), valid.alias("format_valid"), a["read"].alias("reinterpreted"), m["start"].alias("start"), (m["start"] + F.length(a["raw"])).alias("end"))
+
+        digits = spans.let(trim_at_ninth(g(2)), lambda body: F.struct(body.alias("body"), read_digits(body).alias("digits")))
+        return spans.let(spans.let(digits, of_body), of_number)
 
     return _told(spans.matches(t, NUMBER_FINDER), told, "normalized")
 
@@ -165,14 +179,18 @@ def phones(t: Column) -> Column:
     addresses, nor what no country's numbering plan has."""
 
     def told(m: Column) -> Column:
-        raw = spans.piece(t, m["start"], m["end"])
-        digits = F.regexp_replace(raw, r"\D", "")
-        whole = F.when(m["rule"] == 0, digits).otherwise(F.concat(F.lit("91"), F.right(digits, F.lit(10))))
-        number, plan = F.concat(F.lit("+"), whole), numbering.analyse(whole)
+        def of(a: Column) -> Column:
+            whole = F.when(m["rule"] == 0, a["digits"]).otherwise(F.concat(F.lit("91"), F.right(a["digits"], F.lit(10))))
+            return spans.let(whole, lambda w: F.struct(a["raw"].alias("raw"), a["digits"].alias("digits"), F.concat(F.lit("+"), w).alias("number"), numbering.analyse(w).alias("plan")))
+
+        return spans.let(spans.let(spans.let(spans.piece(t, m["start"], m["end"]), lambda raw: F.struct(raw.alias("raw"), F.regexp_replace(raw, r"\D", "").alias("digits"))), of), lambda a: counted(m, a))
+
+    def counted(m: Column, a: Column) -> Column:
+        plan = a["plan"]
         before, at = spans.piece(t, m["start"] - 24, m["start"]), spans.piece(t, m["start"] - 1, m["start"])
         own = ~before.rlike(ACCOUNT_BEFORE) & ~at.rlike(r"[\w.@]") & (spans.piece(t, m["end"], m["end"] + 1) != "@")
-        valid = plan["valid"] & F.when(m["rule"] == 2, F.length(digits) == 11).otherwise(F.lit(True))
-        return F.struct((own & valid).alias("is"), raw.alias("raw"), number.alias("e164"), plan["country"].alias("country"), (plan["country"] == "IN").alias("indian"), m["start"].alias("start"), m["end"].alias("end"))
+        valid = plan["valid"] & F.when(m["rule"] == 2, F.length(a["digits"]) == 11).otherwise(F.lit(True))
+        return F.struct((own & valid).alias("is"), a["raw"].alias("raw"), a["number"].alias("e164"), plan["country"].alias("country"), (plan["country"] == "IN").alias("indian"), m["start"].alias("start"), m["end"].alias("end"))
 
     def apart(ms: Column) -> Column:
         sooner = lambda m: F.exists(ms, lambda c: (c["rule"] < m["rule"]) & (m["start"] < c["end"]) & (c["start"] < m["end"]))
@@ -183,10 +201,14 @@ def phones(t: Column) -> Column:
 
 def analyse_upi(v: Column) -> Column:
     """Struct (value, username, psp, category_suffix, mobile_based); the suffix is there for validated handles only."""
-    low = F.lower(v)
-    user = F.split_part(low, F.lit("@"), F.lit(1))
-    suffix = F.regexp_extract(low, r"^[a-z0-9._-]+\.([a-z]{2,6})@valid[a-z]+$", 1)
-    return F.struct(low.alias("value"), user.alias("username"), F.split_part(low, F.lit("@"), F.lit(2)).alias("psp"), F.nullif(suffix, F.lit("")).alias("category_suffix"), user.rlike(r"^(\+?91)?[6-9]\d{9}(-\d)?$").alias("mobile_based"))
+
+
+    def of(low: Column) -> Column:
+        user = F.split_part(low, F.lit("@"), F.lit(1))
+        suffix = F.regexp_extract(low, r"^[a-z0-9._-]+\.([a-z]{2,6})@valid[a-z]+$", 1)
+        return F.struct(low.alias("value"), user.alias("username"), F.split_part(low, F.lit("@"), F.lit(2)).alias("psp"), F.nullif(suffix, F.lit("")).alias("category_suffix"), user.rlike(r"^(\+?91)?[6-9]\d{9}(-\d)?$").alias("mobile_based"))
+
+    return spans.let(F.lower(v), of)
 
 
 def others(t: Column) -> Column:
@@ -203,9 +225,11 @@ def upi_ids(t: Column, found: Column | None = None) -> Column:
     or of any if the text speaks of paying."""
 
     def told(m: Column) -> Column:
-        u = analyse_upi(spans.piece(t, m["start"], m["end"]))
-        known = u["psp"].isin(SERVICES) | u["psp"].startswith("valid") | u["psp"].startswith("ok") | t.rlike(PAYING)
-        return u.withField("start", m["start"]).withField("end", m["end"]).withField("is", known)
+        def of(u: Column) -> Column:
+            known = u["psp"].isin(SERVICES) | u["psp"].startswith("valid") | u["psp"].startswith("ok") | t.rlike(PAYING)
+            return F.struct(*(u[k].alias(k) for k in ("value", "username", "psp", "category_suffix", "mobile_based")), m["start"].alias("start"), m["end"].alias("end"), known.alias("is"))
+
+        return spans.let(analyse_upi(spans.piece(t, m["start"], m["end"])), of)
 
     return _told(_found(t, found, 0), told, "value")
 
@@ -214,9 +238,11 @@ def emails(t: Column, found: Column | None = None) -> Column:
     """Array of structs (address, domain, free_mail, start, end), each once; domains whose suffix is one are left to emails_of()."""
 
     def told(m: Column) -> Column:
-        address = F.lower(spans.piece(t, m["start"], m["end"]))
-        domain = F.split_part(address, F.lit("@"), F.lit(2))
-        return F.struct(address.alias("address"), domain.alias("domain"), domain.isin(FREE_MAIL).alias("free_mail"), m["start"].alias("start"), m["end"].alias("end"), F.lit(True).alias("is"))
+        def of(address: Column) -> Column:
+            domain = F.split_part(address, F.lit("@"), F.lit(2))
+            return F.struct(address.alias("address"), domain.alias("domain"), domain.isin(FREE_MAIL).alias("free_mail"), m["start"].alias("start"), m["end"].alias("end"), F.lit(True).alias("is"))
+
+        return spans.let(F.lower(spans.piece(t, m["start"], m["end"])), of)
 
     return _told(_found(t, found, 1), told, "address")
 
@@ -249,24 +275,28 @@ def bank_accounts(t: Column, found: Column | None = None) -> Column:
 
 def analyse_url(raw: Column) -> Column:
     """Struct (href, host, path, apk, ip_host, app_store, app_store_id, invite) of an address, with or without a scheme."""
-    own = F.regexp_replace(raw, r"[.,;:!?]+$", "")
-    full = F.when(own.rlike("(?i)^https?://"), own).otherwise(F.concat(F.lit("https://"), own))
-    scheme = F.lower(F.regexp_extract(full, r"^([A-Za-z]+)://", 1))
-    host = F.lower(F.regexp_extract(full, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    rest = F.regexp_extract(full, r"^[A-Za-z]+://[^/?#]+(.*)$", 1)
-    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    short = F.regexp_replace(host, r"^www\.", "")
-    store = F.when(short == "play.google.com", "play").when(short == "apps.apple.com", "apple")
-    store_id = F.when(store == "play", F.regexp_extract(path, r"[?&]id=([^&#]+)", 1)).when(store == "apple", F.regexp_extract(path, r"/id(\d+)", 1))
-    return F.struct(F.concat(scheme, F.lit("://"), host, path).alias("href"), short.alias("host"), path.alias("path"), F.lower(path).rlike(r"\.apk(\?|#|$)").alias("apk"), short.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$").alias("ip_host"), store.alias("app_store"), F.nullif(store_id, F.lit("")).alias("app_store_id"), dimension(INVITES)[short].alias("invite"))
+
+    def parts(full: Column) -> Column:
+        host = F.lower(F.regexp_extract(full, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+        path = spans.let(F.regexp_extract(full, r"^[A-Za-z]+://[^/?#]+(.*)$", 1), lambda rest: F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+        return F.struct(F.lower(F.regexp_extract(full, r"^([A-Za-z]+)://", 1)).alias("scheme"), host.alias("host"), path.alias("path"))
+
+    def told(a: Column) -> Column:
+        path, short = a["path"], F.regexp_replace(a["host"], r"^www\.", "")
+        store = F.when(short == "play.google.com", "play").when(short == "apps.apple.com", "apple")
+        store_id = F.when(store == "play", F.regexp_extract(path, r"[?&]id=([^&#]+)", 1)).when(store == "apple", F.regexp_extract(path, r"/id(\d+)", 1))
+        return F.struct(F.concat(a["scheme"], F.lit("://"), a["host"], path).alias("href"), short.alias("host"), path.alias("path"), F.lower(path).rlike(r"\.apk(\?|#|$)").alias("apk"), short.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$").alias("ip_host"), store.alias("app_store"), F.nullif(store_id, F.lit("")).alias("app_store_id"), dimension(INVITES)[short].alias("invite"))
+
+    full = spans.let(F.regexp_replace(raw, r"[.,;:!?]+$", ""), lambda own: F.when(own.rlike("(?i)^https?://"), own).otherwise(F.concat(F.lit("https://"), own)))
+    return spans.let(spans.let(full, parts), told)
 
 
 def url_candidates(t: Column) -> Column:
     """Array of structs (url struct, raw, bare, start, end): addresses with a scheme, and names outside them that may be one."""
 
     def told(m: Column) -> Column:
-        raw = F.regexp_replace(spans.piece(t, m["start"], m["end"]), r"[.,;:!?]+$", "")
-        return F.struct(analyse_url(raw).alias("url"), raw.alias("raw"), (m["rule"] == 1).alias("bare"), m["start"].alias("start"), (m["start"] + F.length(raw)).alias("end"))
+        of = lambda raw: F.struct(analyse_url(raw).alias("url"), raw.alias("raw"), (m["rule"] == 1).alias("bare"), m["start"].alias("start"), (m["start"] + F.length(raw)).alias("end"))
+        return spans.let(F.regexp_replace(spans.piece(t, m["start"], m["end"]), r"[.,;:!?]+$", ""), of)
 
     # Abbreviations and sums look like names, too: "Rs.500", "e.g."; one host has a single letter.
     name = lambda m: spans.piece(t, m["start"], m["end"])

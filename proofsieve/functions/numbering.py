@@ -37,8 +37,15 @@ def pattern() -> str:
 def analyse(digits: Column) -> Column:
     """Struct (code, country, valid) of a number's digits, country's code first: codes are told by their longest prefix,
     numbers are valid if they have as many digits as the country's plan says, and begin as its numbers do."""
-    known = F.create_map(*(x for code, (country, low, high) in PLAN.items() for x in (F.lit(code), F.struct(F.lit(code).alias("code"), F.lit(country).alias("country"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(BEGINS.get(code, "[0-9]")).alias("begins")))))
-    own = F.coalesce(*(known[F.substring(digits, 1, n)] for n in (3, 2, 1)))
-    rest = F.length(digits) - F.length(own["code"])
-    begins = F.regexp_like(digits, F.concat(F.lit("^"), own["code"], own["begins"]))
-    return F.struct(own["code"].alias("code"), own["country"].alias("country"), F.coalesce(rest.between(own["low"], own["high"]) & begins, F.lit(False)).alias("valid"))
+    each = (f"'{code}', named_struct('code', '{code}', 'country', '{country}', 'low', {low}, 'high', {high}, 'begins', '{BEGINS.get(code, '[0-9]')}')" for code, (country, low, high) in PLAN.items())
+    known = F.expr(f"map({', '.join(each)})")
+
+    def told(own: Column) -> Column:
+        rest = F.length(digits) - F.length(own["code"])
+        begins = F.regexp_like(digits, F.concat(F.lit("^"), own["code"], own["begins"]))
+        return F.struct(own["code"].alias("code"), own["country"].alias("country"), F.coalesce(rest.between(own["low"], own["high"]) & begins, F.lit(False)).alias("valid"))
+
+    # The plan stands in the expression once, and so does what is found in it.
+    prefixes = F.transform(F.array(*map(F.lit, (3, 2, 1))), lambda n: known[F.substring(digits, F.lit(1), n)])
+    own = F.get(F.filter(prefixes, lambda x: x.isNotNull()), F.lit(0))
+    return F.get(F.transform(F.array(own), told), F.lit(0))

@@ -164,10 +164,11 @@ def phrases(text: Column) -> Column:
     """
     facts = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(attr).cast("string").alias("attr"), F.lit(neg).alias("negatable")) for kind, attr, neg, _ in RULES))
 
-    def told(m: Column) -> Column:
-        rule = F.element_at(facts, m["rule"] + 1)
+    def told(x: Column) -> Column:
+        return spans.let(spans.line_around(text, x["m"]["start"], x["m"]["end"]), lambda line: on_line(x["m"], x["rule"], line))
+
+    def on_line(m: Column, rule: Column, line: Column) -> Column:
         start, end = m["start"], m["end"]
-        line = spans.line_around(text, start, end)
         is_ = lambda kind: rule["kind"] == kind
         who = F.lower(F.get(m["groups"], F.lit(0)))
         authority = F.when(who.startswith("se") | (who == "सेबी"), "SEBI").when(who == "nse", "NSE").when(who == "bse", "BSE").when(who.isin("rbi", "आरबीआई"), "RBI").otherwise("GOVT")
@@ -183,8 +184,9 @@ def phrases(text: Column) -> Column:
             line.alias("quote"),
         )
 
-    holds = lambda m: ~(F.element_at(facts, m["rule"] + 1)["negatable"] & is_negated(text, m["start"], m["end"]))
-    return spans.let(spans.matches(text, FINDER), lambda ms: F.filter(F.transform(F.filter(ms, holds), told), lambda p: F.coalesce(p["percent"] > 0, F.lit(True))))
+    ruled = lambda m: F.struct(m.alias("m"), F.element_at(facts, m["rule"] + 1).alias("rule"))
+    holds = lambda x: ~(x["rule"]["negatable"] & is_negated(text, x["m"]["start"], x["m"]["end"]))
+    return spans.let(spans.matches(text, FINDER), lambda ms: F.filter(F.transform(F.filter(F.transform(ms, ruled), holds), told), lambda p: F.coalesce(p["percent"] > 0, F.lit(True))))
 
 
 #: Times of a period in a year.

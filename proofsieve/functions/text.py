@@ -104,7 +104,8 @@ def name_tokens(c: Column) -> Column:
     """Struct of a name's distinctive and generic words, each once, in their order."""
     folded = F.regexp_replace(fold_for_match(name_to_latin(c)), "&", " and ")
     words = F.array_distinct(F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(LEGAL_FORMS)))
-    return F.struct(F.filter(words, lambda w: ~w.isin(GENERIC_WORDS)).alias("distinctive"), F.filter(words, lambda w: w.isin(GENERIC_WORDS)).alias("generic"))
+    told = lambda ws: F.struct(F.filter(ws, lambda w: ~w.isin(GENERIC_WORDS)).alias("distinctive"), F.filter(ws, lambda w: w.isin(GENERIC_WORDS)).alias("generic"))
+    return F.get(F.transform(F.array(words), told), F.lit(0))  # words are read once for both
 
 
 def jaro_winkler(a: str, b: str) -> float:

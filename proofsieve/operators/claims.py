@@ -27,10 +27,12 @@ FIELDS = "category string, reg_id string, holder_name string, holder_binding str
 
 @dataclass
 class Read:
-    """What a batch of messages has: segments, entities and phrases as tables, and a model's items that are grounded."""
+    """What a batch of messages has: segments, entities, entities at each of their places and phrases as tables, and a
+    model's items that are grounded."""
 
     segments: DataFrame
     entities: DataFrame
+    places: DataFrame
     hits: DataFrame
     items: DataFrame
     discarded: DataFrame
@@ -74,6 +76,7 @@ def read(segments: DataFrame, items: DataFrame | None = None) -> Read:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     segments = checkpointed(segments.repartition(parts, "msg_id"))
     entities = checkpointed(identifiers.entities(segments))
+    places = checkpointed(placed_entities(segments, entities))
     t = F.col("text")
     rows = segments.select("msg_id", "seq", "text", "origin", "quality", "unclear", F.posexplode(phrases.phrases(t)).alias("n", "p"))
     line = spans.line_of(t, F.col("p.start"))
@@ -87,7 +90,7 @@ def read(segments: DataFrame, items: DataFrame | None = None) -> Read:
     said = spans.piece(t, F.col("span.start"), F.col("span.end"))
     there = there.select(*items.columns, "seq", F.col("span.start"), F.col("span.end"), F.col("at").isNotNull().alias("named"), said.alias("said"), spans.line_of(t, F.col("span.start")).alias("line"), quote_legibility(F.col("origin"), F.col("quality"), F.col("unclear"), said).alias("legibility"))
     discarded = placed.where("span IS NULL").groupBy("msg_id").agg(F.count("*").alias("n"))
-    return Read(segments, entities, hits, checkpointed(there), discarded)
+    return Read(segments, entities, places, hits, checkpointed(there), discarded)
 
 
 def organizations(r: Read) -> DataFrame:
@@ -121,19 +124,35 @@ def apps(r: Read) -> DataFrame:
     return r.items.where((F.col("item") == "app") & F.col("named")).select("msg_id", F.concat(F.lit("app-"), n.cast("string")).alias("app_id"), clipped(F.col("name"), 80).alias("name"))
 
 
-def spans_of(r: Read, kind: str) -> DataFrame:
-    """Rows (msg_id, entity_id, key, attrs, legible, n, seq, start, end, line): an entity of a kind at each of its spans."""
-    own = r.entities.where(F.col("kind") == kind).select("msg_id", "entity_id", "key", "attrs", F.col("legibility").alias("legible"), F.posexplode("spans").alias("k", "s")).select("*", "s.*").drop("s")
+#: Kinds of entities whose lines claims ask for.
+PLACED = ("reg", "upi", "bank", "url")
+
+
+def placed_entities(segments: DataFrame, entities: DataFrame) -> DataFrame:
+    """Rows (msg_id, kind, entity_id, key, attrs, legible, n, k, seq, start, end, line, line_text): entities of the kinds
+    PLACED at each of their spans, with the lines that they stand on. Texts are read once for all kinds."""
+    own = entities.where(F.col("kind").isin(*PLACED)).select("msg_id", "kind", "entity_id", "key", "attrs", F.col("legibility").alias("legible"), F.posexplode("spans").alias("k", "s")).select("*", "s.*").drop("s")
     number = F.regexp_extract("entity_id", r"(\d+)$", 1).cast("int")
-    joined = own.join(r.segments.select("msg_id", "seq", "text"), ["msg_id", "seq"])
-    return joined.select("msg_id", "entity_id", "key", "attrs", "legible", number.alias("n"), "k", "seq", "start", "end", spans.line_of(F.col("text"), F.col("start")).alias("line"), spans.line_text(F.col("text"), F.col("start")).alias("line_text"))
+    joined = own.join(segments.select("msg_id", "seq", "text"), ["msg_id", "seq"])
+    located = joined.select("msg_id", "kind", "entity_id", "key", "attrs", "legible", number.alias("n"), "k", "seq", "start", "end", "text", spans.line_of(F.col("text"), F.col("start")).alias("line"))
+    return located.withColumn("line_text", F.trim(F.get(F.split("text", "\n"), F.col("line")))).drop("text")
+
+
+def spans_of(r: Read, kind: str) -> DataFrame:
+    """Rows (msg_id, entity_id, key, attrs, legible, n, k, seq, start, end, line, line_text): an entity of one of the kinds
+    PLACED at each of its spans."""
+    return r.places.where(F.col("kind") == kind).drop("kind")
 
 
 def adjacent(r: Read, names: DataFrame) -> DataFrame:
     """Rows (msg_id, reg_id, name): numbers that stand by a name of names (msg_id, name): on its line or the next, or with
     up to two short lines between that each speak of registration."""
     regs = spans_of(r, "reg").select("msg_id", F.col("entity_id").alias("reg_id"), "seq", F.col("line").alias("reg_line"))
-    each = r.segments.join(regs.select("msg_id", "seq").distinct(), ["msg_id", "seq"], "left_semi").select("msg_id", "seq", F.explode(spans.lines(F.col("text"))).alias("l")).select("msg_id", "seq", "l.line", F.col("l.text").alias("words"))
+    # Lines farther than three from any number have no part in what is told: names are located on those near one only.
+    around = regs.groupBy("msg_id", "seq").agg(F.collect_set("reg_line").alias("around"))
+    numbered = F.transform(F.split("text", "\n"), lambda words, line: F.struct(line.alias("line"), words.alias("words")))
+    near = F.filter(numbered, lambda x: F.exists("around", lambda n: F.abs(x["line"] - n) <= 3))
+    each = r.segments.join(around, ["msg_id", "seq"]).select("msg_id", "seq", F.explode(near).alias("l")).select("msg_id", "seq", "l.line", "l.words")
     each = checkpointed(each)
     asked = names.select("msg_id", "name").distinct()
     found = each.join(asked, "msg_id").withColumn("at", spans.locate_quote(F.col("name"), F.array(F.struct(F.lit(0).alias("seq"), F.col("words").alias("text"))))).where("at IS NOT NULL").select("msg_id", "seq", "name", "line")
@@ -158,7 +177,7 @@ def order(a, b, c=0) -> Column:
 
 def registration_claims(r: Read, orgs: DataFrame) -> DataFrame:
     """Claims to be registered: what a model read, each number that it left, else the first mention of registration."""
-    regs = checkpointed(spans_of(r, "reg"))
+    regs = spans_of(r, "reg")
     first = regs.where("k = 0")
     told = r.items.where((F.col("item") == "registration") & F.col("regulator").isin("SEBI", "AMFI"))
     number = lambda c: F.get(identifiers.registration_numbers(c), F.lit(0))["normalized"]
@@ -252,7 +271,7 @@ def return_claims(r: Read) -> DataFrame:
 
 def payment_claims(r: Read) -> DataFrame:
     """Where money is to go: a model's requests with the handle they name or that stands on their line, and other handles."""
-    upis, banks = checkpointed(spans_of(r, "upi")), spans_of(r, "bank")
+    upis, banks = spans_of(r, "upi"), spans_of(r, "bank")
     told = r.items.where("item = 'payment'")
     named = upis.where("k = 0").select("msg_id", F.col("key").alias("destination"), F.col("entity_id").alias("by_name"))
     on_line = lambda e, name: first_by(e, ["msg_id", "seq", "line"], ["n"]).select("msg_id", "seq", "line", F.col("entity_id").alias(name))
@@ -265,7 +284,7 @@ def payment_claims(r: Read) -> DataFrame:
 
 def app_claims(r: Read) -> DataFrame:
     """Apps to install: a model's, else one by the first link to a package, or by the first wording."""
-    urls = checkpointed(spans_of(r, "url"))
+    urls = spans_of(r, "url")
     facts = lambda e: e.select("msg_id", F.col("entity_id").alias("url_id"), F.coalesce(F.col("attrs")["apk"] == "true", F.lit(False)).alias("apk"), F.col("attrs")["app_store"].alias("store"))
     on_line = first_by(urls, ["msg_id", "seq", "line"], ["n"]).select("msg_id", "seq", "line", F.col("entity_id").alias("line_url"))
     told = r.items.where("item = 'app'").select("*", identifiers.analyse_url(F.coalesce("link", F.lit("")))["href"].alias("href"))

@@ -139,7 +139,8 @@ def name_comparisons(claimed: DataFrame, records: DataFrame) -> DataFrame:
     known = records.select(F.col("registration_no").alias("number"), F.posexplode(name_variants(rec)).alias("k", "official"))
     asked = claimed.select("number", "name").distinct()
     tried = asked.join(known, "number", "left")
-    same = text.compare_tokens(text.name_tokens(F.coalesce("name", F.lit(""))), text.name_tokens(F.coalesce("official", F.lit(""))))
+    tried = tried.withColumns({"mine": text.name_tokens(F.coalesce("name", F.lit(""))), "theirs": text.name_tokens(F.coalesce("official", F.lit("")))})
+    same = text.compare_tokens(F.col("mine"), F.col("theirs"))
     rank = F.create_map(*(F.lit(x) for pair in RANKS.items() for x in pair))
     rated = tried.select("number", "name", "k", "official", same.alias("result")).withColumn("rank", rank[F.col("result")])
     best = lambda rows, *keys: rows.groupBy(*keys).agg(F.max_by(F.struct("result", "official", "rank", "k"), F.struct("rank", -F.coalesce("k", F.lit(0)))).alias("b"))
@@ -153,9 +154,10 @@ def rank_by_name(candidates: DataFrame) -> DataFrame:
     with `result` and `rank`."""
     rec = F.struct(*(F.col(c) for c in ("names", "trade_names", "contact_person")))
     ids = candidates.select("query", "place", F.col("query").alias("name"), F.posexplode(name_variants(rec)).alias("k", "official"))
-    same = text.compare_tokens(text.name_tokens(F.col("name")), text.name_tokens(F.col("official")))
+    ids = ids.withColumns({"mine": text.name_tokens(F.col("name")), "theirs": text.name_tokens(F.col("official"))})
+    ids = ids.select("query", "place", text.compare_tokens(F.col("mine"), F.col("theirs")).alias("result"))
     rank = F.create_map(*(F.lit(x) for pair in RANKS.items() for x in pair))
-    best = ids.select("query", "place", rank[same].alias("rank")).groupBy("query", "place").agg(F.max("rank").alias("rank")).where("rank >= 2")
+    best = ids.select("query", "place", rank[F.col("result")].alias("rank")).groupBy("query", "place").agg(F.max("rank").alias("rank")).where("rank >= 2")
     n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rank"), "place"))
     result = F.when(F.col("rank") == RANKS["same"], "same").otherwise("similar")
     return candidates.join(best, ["query", "place"]).withColumns({"result": result, "rank": n})
