@@ -54,7 +54,7 @@ def split_host(host: str | None, rules: dict[str, bool]) -> tuple[str, str, bool
 
 def domain_parts(host: Column) -> Column:
     """Struct (domain, label, known) of the registrable domain of a host, or null."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()
     ship(spark)
     rules = spark.sparkContext.broadcast(suffix_rules())  # some thousand rules
 

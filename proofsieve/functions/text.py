@@ -34,8 +34,7 @@ def fold_lookalikes(c: Column) -> Column:
 
 
 def _shipped() -> None:
-    if (spark := SparkSession.getActiveSession()) is not None:
-        ship(spark)
+    ship(SparkSession.active())
 
 
 def _normal(form: str):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsieve.functions import identifiers, phrases, spans, text
-from proofsieve.session import checkpointed
+from proofsieve.session import checkpointed, together
 
 #: item is sender, organization, person, registration, endorsement, return, payment, app, access or pressure.
 ITEM = "msg_id long, item string, ord int, quote string, name string, role string, title string, regulator string, number string, category string, authority string, object string, kind string, percent double, period string, product string, method string, destination string, link string"
@@ -75,12 +75,26 @@ def read(segments: DataFrame, items: DataFrame | None = None) -> Read:
     # Texts are few bytes and much work: they are dealt by message once, for what reads them and for all groups of messages.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     segments = checkpointed(segments.repartition(parts, "msg_id"))
-    entities = checkpointed(identifiers.entities(segments))
-    places = checkpointed(placed_entities(segments, entities))
+
+    def entities_and_places() -> tuple[DataFrame, DataFrame]:
+        entities = checkpointed(identifiers.entities(segments))
+        return entities, checkpointed(placed_entities(segments, entities))
+
+    (entities, places), hits, (there, discarded) = together(spark, entities_and_places, lambda: _phrases(segments), lambda: _grounded(segments, items, parts))
+    return Read(segments, entities, places, hits, there, discarded)
+
+
+def _phrases(segments: DataFrame) -> DataFrame:
+    """Rows (msg_id, seq, n, phrase, line, legibility) of the phrases of segments."""
     t = F.col("text")
     rows = segments.select("msg_id", "seq", "text", "origin", "quality", "unclear", F.posexplode(phrases.phrases(t)).alias("n", "p"))
     line = spans.line_of(t, F.col("p.start"))
-    hits = checkpointed(rows.select("msg_id", "seq", "n", "p.*", line.alias("line"), quote_legibility(F.col("origin"), F.col("quality"), F.col("unclear"), spans.piece(t, F.col("p.start"), F.col("p.end"))).alias("legibility")))
+    return checkpointed(rows.select("msg_id", "seq", "n", "p.*", line.alias("line"), quote_legibility(F.col("origin"), F.col("quality"), F.col("unclear"), spans.piece(t, F.col("p.start"), F.col("p.end"))).alias("legibility")))
+
+
+def _grounded(segments: DataFrame, items: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """A model's items whose quotes segments have, where they have them, and how many others there are by message."""
+    t = F.col("text")
     own = segments.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("segments"))
     placed = items.join(own, "msg_id").repartition(parts, "msg_id").select(*items.columns, spans.locate_quotes(F.array("quote", "name"), F.col("segments")).alias("places"))
     placed = placed.select(*items.columns, F.col("places")[0].alias("span"), F.col("places")[1].alias("at"))
@@ -90,7 +104,7 @@ def read(segments: DataFrame, items: DataFrame | None = None) -> Read:
     said = spans.piece(t, F.col("span.start"), F.col("span.end"))
     there = there.select(*items.columns, "seq", F.col("span.start"), F.col("span.end"), F.col("at").isNotNull().alias("named"), said.alias("said"), spans.line_of(t, F.col("span.start")).alias("line"), quote_legibility(F.col("origin"), F.col("quality"), F.col("unclear"), said).alias("legibility"))
     discarded = placed.where("span IS NULL").groupBy("msg_id").agg(F.count("*").alias("n"))
-    return Read(segments, entities, places, hits, checkpointed(there), discarded)
+    return checkpointed(there), discarded
 
 
 def organizations(r: Read) -> DataFrame:
@@ -328,13 +342,19 @@ def behaviours(r: Read) -> DataFrame:
     return each.select("msg_id", F.concat(F.lit("pattern-"), n.cast("string")).alias("pattern_id"), "kind", clipped(F.col("quote"), 240).alias("quote"), "seq", "start", "end", "origin")
 
 
-def build(r: Read) -> DataFrame:
-    """All claims of what was read: rows (msg_id, claim_id, seq_no, type, quote, seq, start, end, origin, legibility, FIELDS),
+def build(r: Read, orgs: DataFrame | None = None) -> DataFrame:
+    """All claims of what was read, with its organizations() if they are there already: rows (msg_id, claim_id, seq_no, type, quote, seq, start, end, origin, legibility, FIELDS),
     numbered in the order of their types, a model's before those of patterns."""
-    orgs = checkpointed(organizations(r))
-    registered = checkpointed(registration_claims(r, orgs))
-    every = registered
-    for more in (identity_claims(r, orgs, registered), endorsement_claims(r), return_claims(r), payment_claims(r), app_claims(r), access_claims(r)):
+    orgs = checkpointed(organizations(r)) if orgs is None else orgs
+
+    def of_sender() -> DataFrame:
+        registered = checkpointed(registration_claims(r, orgs))
+        return registered.unionByName(identity_claims(r, orgs, registered))
+
+    others = (endorsement_claims, return_claims, payment_claims, app_claims, access_claims)
+    # Each kind is a table of its own, so that their plans stay small and are made at the same time.
+    every, *rest = together(r.segments.sparkSession, lambda: checkpointed(of_sender()), *(lambda f=f: checkpointed(f(r)) for f in others))
+    for more in rest:
         every = every.unionByName(more)
     n = F.row_number().over(Window.partitionBy("msg_id").orderBy("group", "a", "b", "c"))
     names = [c.split()[0] for c in FIELDS.split(", ")]

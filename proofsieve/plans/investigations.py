@@ -14,7 +14,7 @@ from proofsieve.operators import answers, claims, investigate, render, report, v
 from proofsieve.plans.base import made, now, query
 from proofsieve.plans.checks import segments
 from proofsieve.plans.queries import MESSAGES, REGISTRY
-from proofsieve.session import shared_path
+from proofsieve.session import checkpointed, shared_path
 from proofsieve.sources import reports
 from proofsieve.sources.fixtures import ACCESS
 
@@ -45,18 +45,19 @@ def sources(spark: SparkSession, sf_dir: str) -> investigate.Sources:
 def items(segments: DataFrame) -> DataFrame:
     """What a model says of messages that name a firm: its registration, and that it sends what it says of itself."""
     t = F.col("text")
-    named = segments.select("msg_id", F.regexp_extract(t, HOLDER, 1).alias("name"), F.regexp_extract(t, NUMBER, 1).alias("number"), F.get(F.filter(F.split(t, "\n"), lambda row: row.rlike(HOLDER)), F.lit(0)).alias("line")).where("name <> ''")
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = segments.repartition(parts, "msg_id").select("msg_id", F.regexp_extract(t, HOLDER, 1).alias("name"), F.regexp_extract(t, NUMBER, 1).alias("number"), F.get(F.filter(F.split(t, "\n"), lambda row: row.rlike(HOLDER)), F.lit(0)).alias("line")).where("name <> ''")
     category = F.create_map(*(F.lit(x) for kv in {"H": "research_analyst", "A": "investment_adviser", "Z": "stock_broker", "P": "portfolio_manager"}.items() for x in kv))[F.substring("number", 3, 1)]
     own = {"quote": F.col("line"), "name": F.col("name")}
-    columns = lambda kind, n, **more: [(own | more | {"item": F.lit(kind), "ord": F.lit(n), "msg_id": F.col("msg_id")}).get(f, F.lit(None)).cast(k).alias(f) for f, k in (c.split() for c in claims.ITEM.split(", "))]
-    told = named.select(*columns("registration", 0, regulator=F.lit("SEBI"), category=category, number=F.col("number")))
-    sends = named.where(F.col("line").contains("registered by")).select(*columns("sender", 0))
-    return told.unionByName(sends)
+    row = lambda kind, n, **more: F.struct(*[(own | more | {"item": F.lit(kind), "ord": F.lit(n), "msg_id": F.col("msg_id")}).get(f, F.lit(None)).cast(k).alias(f) for f, k in (c.split() for c in claims.ITEM.split(", "))])
+    told = row("registration", 0, regulator=F.lit("SEBI"), category=category, number=F.col("number"))
+    sends = F.when(F.col("line").contains("registered by"), row("sender", 0))
+    return checkpointed(named.select(F.inline(F.array_compact(F.array(told, sends)))))  # texts are read once for all who ask
 
 
 @lru_cache(maxsize=1)
 def _investigation(app: str, sf_dir: str) -> investigate.Investigation:
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()
     own = segments(spark, sf_dir)
     told = items(own)
     alone = own.join(told.select("msg_id").distinct(), "msg_id", "left_anti").select("msg_id")

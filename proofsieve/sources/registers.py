@@ -185,7 +185,7 @@ def cards_of(page: str) -> tuple[int, list[dict[str, str]]]:
 
 def cards(page: Column) -> Column:
     """Struct (total, cards array<map>) of a listing page."""
-    ship(SparkSession.getActiveSession())
+    ship(SparkSession.active())
 
     @F.pandas_udf("total int, cards array<map<string,string>>")
     def parsed(pages: pd.Series) -> pd.DataFrame:

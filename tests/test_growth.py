@@ -50,3 +50,22 @@ def test_several_quotes_are_located_like_one(spark):
     each = df.select(spans.locate_quotes(F.col("quotes"), F.col("segments")).alias("x")).collect()
     one = df.select(spans.locate_quote(F.get("quotes", F.lit(1)), F.col("segments")).alias("x")).first().x
     assert [x and (x.seq, x.start, x.end) for x in each[0].x] == [None, (1, 2, 5), None] and each[1].x == [None] and (one.seq, one.start, one.end) == (1, 2, 5)
+
+
+def test_locating_reads_only_what_is_around_a_quote(monkeypatch):
+    text = "one two " * 3000 + "registered by by Zeta Capital 77, call " + "three é39 " * 3000
+    at, read, keep = text.index("by Zeta"), [], spans.tokens
+    monkeypatch.setattr(spans, "tokens", lambda t: read.append(len(t)) or keep(t))
+    assert spans.locate("by Zeta Capital", text) == (at - 3, at + 15)  # the first of the windows that have all words
+    assert spans.locate("by Omega Capital", text) is None
+    assert max(read) < 2000
+
+
+def test_jobs_of_one_call_run_together(spark):
+    from threading import Barrier
+
+    from proofsieve.session import together
+
+    met = Barrier(3, timeout=20)
+    found = together(spark, *(lambda n=n: (met.wait(), spark.range(n).where(spans.identifier_occurs(F.lit("abcd"), F.array(F.struct(F.lit("xabcd").alias("alnum"))))).count())[1] for n in range(3)))
+    assert found == [0, 1, 2]
