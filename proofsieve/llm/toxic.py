@@ -2,8 +2,9 @@
 
 A word's embedding is the mean of hashed embeddings: its own and those of its runs of four to six letters, so that words
 are known by their stems. Filters one, two and three words wide pass over the whole text, the strongest answer of each
-filter counts, and a logistic layer weighs them. A bounded sample of labelled documents trains embeddings, filters and
-weights by Adam; embeddings start from how unevenly labels hold each bucket. For scoring, a worker keeps the answers of
+filter counts, and a logistic layer weighs them. Labelled documents are dealt into shards; a task for each trains
+embeddings, filters and weights by Adam, and the models are averaged; embeddings start from how unevenly labels hold each
+bucket. For scoring, a worker keeps the answers of
 the words it has met to each word of every filter, so that a convolution is a sum of rows. Thresholds for each language
 are calibrated on labelled documents that training didn't see; they are not part of the score.
 """
@@ -34,9 +35,8 @@ STEP, ODD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled documents that training takes at most, and sample_chars: characters that these have at most
-    together; of more a share is taken, by the hashes of their ids, and of those taken the whole texts. The sample has
-    at least one document, however long that is, if there are any."""
+    """sample: labelled documents that a shard of training has at most, about, and sample_chars: characters that these have
+    together; of more there are as many shards as they fill. All whole texts are in one of them."""
 
     buckets: int = 1 << 17
     size: int = 8
@@ -119,9 +119,9 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
         # What each word of each filter answers to, side by side.
-        self.flat = np.concatenate([F_[k] for F_ in model.W for k in range(len(F_))], 1)
+        self.filters = [F_[k] for F_ in model.W for k in range(len(F_))]
         self.words = Words(len(model.E))
-        self.rows = np.zeros((1024, self.flat.shape[1]), np.float32)
+        self.rows = [np.zeros((1024, x.shape[1]), np.float32) for x in self.filters]
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self.words.known) > REMEMBERED:
@@ -129,9 +129,12 @@ class Scorer:
         before = len(self.words.known) + 1
         ids, (flat, n) = self.words(words)
         need = before + len(n)
-        if need > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]), np.float32)])
-        self.rows[before:need] = means(self.model.E, flat, n) @ self.flat
+        if need > (had := len(self.rows[0])):
+            self.rows = [np.concatenate([x, np.zeros((max(need, 2 * had) - had, x.shape[1]), np.float32)]) for x in self.rows]
+        if len(n):
+            new = means(self.model.E, flat, n)
+            for x, f in zip(self.rows, self.filters):
+                x[before:need] = new @ f
         return ids
 
     def pooled(self, words: list[str]) -> np.ndarray:
@@ -143,11 +146,11 @@ class Scorer:
             n = max(1, min(PART, len(words) - a))
             ids = np.concatenate([self._numbers(some), np.zeros(n + beyond - len(some), np.int32)])
             at = 0
-            for j, (w, c) in enumerate(zip(WIDTHS, self.model.C)):
-                answer = np.zeros((n, len(c)), np.float32)
-                for k in range(w):
-                    answer += self.rows[ids[k : k + n], at : at + len(c)]
-                    at += len(c)
+            for j, w in enumerate(WIDTHS):
+                answer = self.rows[at].take(ids[:n], 0)
+                for k in range(1, w):
+                    answer += self.rows[at + k].take(ids[k : k + n], 0)
+                at += w
                 best[j] = np.maximum(best[j], answer.max(0))
         return np.maximum(np.concatenate([b + c for b, c in zip(best, self.model.C)]), 0)
 
@@ -173,6 +176,11 @@ def pieces(lengths: list[int], most: int) -> Iterator[list[tuple[int, int, int]]
 
 def fit(texts: list[str | None], labels: np.ndarray, settings: Settings = Settings()) -> Model:
     """A model of texts with labels 0 or 1; without both labels it scores the share of label 1."""
+    return fitted(texts, labels, settings)[0]
+
+
+def fitted(texts: list[str | None], labels: np.ndarray, settings: Settings) -> tuple[Model, np.ndarray]:
+    """The model that fit() makes, and how many texts have each bucket."""
     s, rng = settings, np.random.default_rng(settings.seed)
     y = np.asarray(labels, np.float32)
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
@@ -265,7 +273,7 @@ def fit(texts: list[str | None], labels: np.ndarray, settings: Settings = Settin
                     m[at_] = 0.9 * m[at_] + 0.1 * grad
                     r[at_] = 0.99 * r[at_] + 0.01 * grad * grad
                     p_[at_] -= rate * (m[at_] / (1 - 0.9**step)) / (np.sqrt(r[at_] / (1 - 0.99**step)) + 1e-7)
-    return Model(E, W, C, V, float(B[0]))
+    return Model(E, W, C, V, float(B[0])), seen.sum(0)
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -280,7 +288,8 @@ def known_labels(labels: DataFrame, folds: tuple[int, ...]) -> DataFrame:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...], settings: Settings) -> list[tuple[str, str | None, int]]:
-    """(lang, text, label) of labelled docs (doc_id, lang, text) of these folds: settings.sample documents at most.
+    """(lang, text, label) of labelled docs (doc_id, lang, text) of these folds: settings.sample documents at most, for a
+    look at them; train() takes all.
 
     Of several rows with an id the shortest text counts, of equally short ones that with the smallest hash.
     """
@@ -301,6 +310,67 @@ def sampled(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...], settings
     return [*zip(*(table.column(k).to_pylist() for k in (1, 2, 3)))]
 
 
+def labelled(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...]) -> DataFrame:
+    """Rows (doc_id, lang, text, toxic) of all docs (doc_id, lang, text) that have a label of these folds.
+
+    Of several rows with an id the shortest text counts, of equally short ones that with the smallest hash.
+    """
+    own = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").join(small_side(known_labels(labels, folds)), "doc_id")
+    one = F.min(F.struct(F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.xxhash64("text").alias("hash"), "text", "lang", "toxic")).alias("r")
+    return own.groupBy("doc_id").agg(one).select("doc_id", "r.lang", "r.text", "r.toxic")
+
+
+def rows_of(model: Model, seen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, weights, rows) of a model of n texts: embeddings of buckets that texts have, weighted by how many do, and
+    behind all buckets the other parameters."""
+    size = model.E.shape[1]
+    rest = np.concatenate([x.ravel() for x in (*model.W, *model.C, model.V, np.array([model.bias]))]).astype(np.float64)
+    rest = np.pad(rest, (0, -len(rest) % size)).reshape(-1, size)
+    at = np.flatnonzero(seen)
+    numbers = np.concatenate([at, len(model.E) + np.arange(len(rest))])
+    return numbers, np.concatenate([seen[at], np.full(len(rest), float(n))]), np.concatenate([model.E[at].astype(np.float64), rest])
+
+
+def averaged(base: Model, numbers: np.ndarray, rows: np.ndarray) -> Model:
+    """A model of rows of these numbers, see rows_of(); other buckets are those of base."""
+    E = base.E.copy()
+    own = numbers < len(E)
+    E[numbers[own]] = rows[own]
+    flat = rows[~own][np.argsort(numbers[~own])].ravel().astype(np.float32)
+    out, at = [], 0
+    for x in (*base.W, *base.C, base.V):
+        out.append(flat[at : at + x.size].reshape(x.shape))
+        at += x.size
+    n = len(base.W)
+    return Model(E, out[:n], out[n : 2 * n], out[-1], float(flat[at]))
+
+
+def fit_all(own: DataFrame, settings: Settings) -> Model:
+    """A model of all labelled documents own (doc_id, text, toxic): the average of models of its shards, in which a bucket
+    counts by the documents that have it."""
+    base = fit([], np.zeros(0), settings)  # where all shards begin
+    n, chars, true = own.agg(F.count("*"), F.sum(F.length("text")), F.sum("toxic")).first()
+    if not n:
+        return base
+    share = float(np.clip(true / n, 1e-3, 1 - 1e-3))
+    base.E[:, 0] = np.clip(np.log(share / (true + 1)) - np.log((1 - share) / (n - true + 1)), -3, 3)  # as in fit(), of buckets that no text has
+    shards = int(max(1, -(-n // max(1, settings.sample)), -(-(chars or 0) // max(1, settings.sample_chars))))
+    ship(own.sparkSession)
+    names = [f"v{k}" for k in range(settings.size)]
+
+    def of_shard(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        model, seen = fitted(table.column("text").to_pylist(), np.array(table.column("toxic").to_pylist()), settings)
+        numbers, weights, rows = rows_of(model, seen, table.num_rows)
+        return pa.table([pa.array(numbers, pa.int64()), pa.array(weights, pa.float64()), *(pa.array(rows[:, k], pa.float64()) for k in range(settings.size))], ["number", "weight", *names])
+
+    dealt = own.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    each = dealt.groupBy("shard").applyInArrow(of_shard, "number long, weight double, " + ", ".join(f"{v} double" for v in names))
+    mean = each.groupBy("number").agg(*((F.sum(F.col("weight") * F.col(v)) / F.sum("weight")).alias(v) for v in names))
+    table = mean.toArrow()  # its size depends on the settings alone
+    return averaged(base, table.column("number").to_numpy(), np.stack([table.column(v).to_numpy() for v in names], 1))
+
+
 def best_cut(scores: np.ndarray, labels: np.ndarray, weight: float = 1.0) -> float | None:
     """The score from which on calling label 1 has the best F score; null without both labels."""
     order = np.argsort(-scores, kind="stable")
@@ -314,6 +384,18 @@ def best_cut(scores: np.ndarray, labels: np.ndarray, weight: float = 1.0) -> flo
     return float((s[k] + (s[k + 1] if k + 1 < len(s) else s[k])) / 2)
 
 
+def best_cut_of(low: np.ndarray, high: np.ndarray, n: np.ndarray, true: np.ndarray, weight: float = 1.0) -> float | None:
+    """The score from which on calling label 1 has the best F score; null without both labels. Scores come in groups, each
+    with its lowest and highest, how many it has, and how many of these have label 1."""
+    order = np.argsort(-low, kind="stable")
+    low, high, n, true = low[order], high[order], n[order], true[order]
+    if not 0 < true.sum() < n.sum():
+        return None
+    f = (1 + weight**2) * np.cumsum(true) / (np.cumsum(n) + weight**2 * true.sum())
+    k = int(np.argmax(f))
+    return float((low[k] + (high[k + 1] if k + 1 < len(low) else low[k])) / 2)
+
+
 def logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
@@ -322,25 +404,31 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), c
     """A model of docs (doc_id, lang, text) with labels (doc_id, toxic), and a threshold for each language.
 
     Fold 0 trains it. Fold 2 calibrates: the bias is set so that `cut` is the best threshold over all languages, and
-    each language with both labels gets its own. Either takes settings.sample labelled documents at most.
+    each language with both labels gets its own. Either takes all labelled documents.
     """
-    own = sampled(docs, labels, (0,), settings)
-    model = fit([x for _, x, _ in own], np.array([y for _, _, y in own]), settings)
-    del own
-    held = sampled(docs, labels, (2,), settings)
-    score = Scorer(model)
-    s, y = np.array([score(x) for _, x, _ in held]), np.array([t for _, _, t in held])
-    best = best_cut(s, y) if len(y) else None
+    model = fit_all(checkpointed(labelled(docs, labels, (0,))), settings)
+    held = checkpointed(labelled(docs, labels, (2,)))
+    # Scores whose logits agree to three places are one group: there are 28,000 at most in a language.
+    p = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))  # scores may be 0 or 1
+    group = F.round(F.log(p / (1 - p)), 3).alias("group")
+    told = scores(held, model).join(held.select("doc_id", "toxic"), "doc_id").groupBy("lang", group)
+    table = told.agg(F.min("score"), F.max("score"), F.count("*"), F.sum("toxic")).drop("group").toArrow()
+    langs = np.array(table.column(0).to_pylist(), object)
+    counted = [table.column(k).to_numpy().astype(np.float64) for k in range(1, 5)]
+    within = lambda p: min(max(p, 1e-6), 1 - 1e-6)
+    every: dict[float, list[float]] = {}  # a group of all languages
+    for low, high, n, true in zip(*counted):
+        g = every.setdefault(round(logit(within(low)), 3), [low, high, 0, 0])
+        g[:] = min(g[0], low), max(g[1], high), g[2] + n, g[3] + true
+    best = best_cut_of(*np.array([*every.values()]).T) if every else None
     if best is None:
         return model, {}
-    shift = logit(cut) - logit(min(max(best, 1e-6), 1 - 1e-6))
+    shift = logit(cut) - logit(within(best))
     model.bias += shift
-    s = np.array([score(x) for _, x, _ in held])
     found = {}
-    for lang in sorted({x for x, _, _ in held}):
-        here = np.array([x == lang for x, _, _ in held])
-        if (limit := best_cut(s[here], y[here])) is not None:
-            found[lang] = limit
+    for lang in sorted(set(langs)):
+        if (limit := best_cut_of(*(x[langs == lang] for x in counted))) is not None:
+            found[lang] = float(1 / (1 + np.exp(-logit(within(limit)) - shift)))
     return model, found
 
 

@@ -54,7 +54,7 @@ def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
     shared_dir(spark)
     ship(spark)
     with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

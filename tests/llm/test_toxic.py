@@ -107,3 +107,23 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert all(again[d] == r.score for d, r in by.items())
     assert toxic.classify(docs.limit(0), known).count() == 0
     assert toxic.classify(docs, known.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_training_takes_all_labelled_documents_in_shards(spark):
+    texts = {i: "good " * 5 + f"own{chr(97 + i % 26)}{chr(97 + i // 26)}" + " vile" * (i % 2) for i in range(90)}
+    docs = spark.createDataFrame([(i, "en", t) for i, t in texts.items()], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    own = toxic.labelled(docs, labels, (0,))
+    folds = [i for i in texts if zlib.crc32(str(i).encode()) % 3 == 0]
+    assert sorted(r.doc_id for r in own.collect()) == folds
+    whole = toxic.fit([texts[i] for i in folds], np.array(folds) % 2, toxic.Settings(buckets=5000))
+    one = toxic.fit_all(own, toxic.Settings(buckets=5000))
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip((whole.E, *whole.W, *whole.C, whole.V), (one.E, *one.W, *one.C, one.V)))
+    settings = toxic.Settings(buckets=5000, sample=10)
+    shards = toxic.fit_all(own, settings)
+    used = np.unique(toxic.parts_of([w for i in folds for w in toxic.words_of(texts[i])], 5000)[0])
+    told = np.flatnonzero(np.abs(shards.E[:, 0] - np.median(shards.E[:, 0])) > 1e-6)
+    assert {*used, 0} >= {*told} and len(told) > 0.8 * len(used)  # also of what ten documents alone would lack
+    model, limits = toxic.train(docs, labels, settings)
+    score = toxic.Scorer(model)
+    assert 0 < limits["en"] < 1 and min(score(t) for i, t in texts.items() if i % 2) > max(score(t) for i, t in texts.items() if i % 2 == 0)
