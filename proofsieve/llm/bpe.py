@@ -18,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import islice
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
@@ -46,7 +46,7 @@ MARKS = frozenset(",.!?;:")
 #: Rows that are in Python at once.
 SLICE = 256
 #: Bytes, as estimated, that a worker's memories of chunks and of their words may take, and the longest that they remember.
-REMEMBERED, WORDS, LONGEST = 72_000_000, 24_000_000, 64
+REMEMBERED, WORDS, LONGEST = 200_000_000, 24_000_000, 64
 #: Letters below this one are composed, keep their number in lower case but for one of them, and don't depend on others.
 SIMPLE, NOT_SIMPLE = "\u0250", "\u0130"
 #: Different chunks that a task counts before it hands them on, and words that it hands on at once.
@@ -395,9 +395,13 @@ class Encoder:
 
     def add(self, text: str | None, out: list[int]) -> None:
         """Appends the text's ids to out."""
-        get, extend = self.known.young.get, out.extend
-        for c in chunks(text):
-            extend(get(c) or self.chunk(c))
+        each = chunks(text)
+        found = [*map(self.known.young.get, each)]
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self.chunk(each[k])
+        out.extend(chain.from_iterable(found))
 
 
 _own: dict[str, Encoder] = {}

@@ -98,3 +98,10 @@ def test_memory_of_a_worker_is_bounded(monkeypatch, spark):
         for memory in (encoder.known, encoder.words):
             assert memory.held <= 2500 and len(memory.young) + len(memory.old) <= 25
     assert encoder.word(b"word499") == encoder.word(b"word499") == tuple(VOCABULARY.merge(b"word499"))
+
+
+def test_chunks_of_a_task_stay_remembered():
+    memory = bpe.Memory(bpe.REMEMBERED)
+    for k in range(320_000):  # different ones of 12 MB of text, more than a task's
+        memory.put(f"chunk{k}", (1, 2, 3, 4))
+    assert memory.get("chunk0") == (1, 2, 3, 4)
