@@ -37,7 +37,7 @@ MAGIC, MANIFEST = b"planes01", "_manifest.json"
 #: Ids in a block, documents that are indexed together, ids in a file before the next one begins, ids read at once.
 BLOCK, DOCS, FILE, READ = 65_536, 65_536, 1 << 27, 1 << 20
 #: Bytes of text that are encoded at once, bytes of pieces that a worker remembers, and the longest of them.
-SLICE, REMEMBERED, LONGEST = 2_000_000, 64_000_000, 64
+SLICE, REMEMBERED, LONGEST = 2_000_000, 192_000_000, 64
 #: The id that ends each document.
 END = 0
 
@@ -67,22 +67,31 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # what was remembered before known was begun
         self.size = 0
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of different pieces."""
         out = list(map(self.known.get, pieces))
-        new = [k for k, ids in enumerate(out) if ids is None]
+        new = []
+        if self.size > REMEMBERED // 2:
+            self.old, self.known, self.size = self.known, {}, 0
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            if (ids := self.old.get(pieces[k])) is None:
+                new.append(k)
+            else:
+                out[k] = self._keep(pieces[k], ids)
         got = self.tokenizer.encode_batch_fast([pieces[k].decode("utf-8", "replace") for k in new], add_special_tokens=False)
-        if self.size > REMEMBERED:
-            self.known, self.size = {}, 0
         for k, e in zip(new, got):
-            out[k] = ids = array("I", e.ids).tobytes()
-            if len(pieces[k]) <= LONGEST:
-                self.size += 180 + len(pieces[k]) + len(ids)
-                self.known[pieces[k]] = ids
+            out[k] = self._keep(pieces[k], array("I", e.ids).tobytes())
         return out
 
+    def _keep(self, piece: bytes, ids: bytes) -> bytes:
+        if len(piece) <= LONGEST:
+            self.size += 180 + len(piece) + len(ids)
+            self.known[piece] = ids
+        return ids
+
     def _cuts(self, data: np.ndarray) -> np.ndarray:
         """Whether a piece may begin at each byte; special tokens stay whole."""
         out, text = _apart(data), data.tobytes()

@@ -126,3 +126,20 @@ def test_two_writes_are_read_as_one(spark, tmp_path):
     assert [r.start for r in planes.read(spark, copy).orderBy("start").collect()] == [0, 3, 5, 8]
     got = planes.read(spark, folder).withColumn("n", F.octet_length("ids")).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens, r.n) for r in got] == [(1, 0, 3, 12), (2, 3, 2, 8), (1, 5, 3, 12), (2, 8, 2, 8)]
+
+
+def test_pieces_that_are_asked_for_stay_remembered(library, monkeypatch):
+    monkeypatch.setattr(planes, "REMEMBERED", 40_000)
+    encoder = planes.Encoder(open(PATH, encoding="utf-8").read())
+    asked, original = [], encoder.tokenizer
+
+    class Asked:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return original.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Asked()
+    for k in range(300):
+        text = f"often this {k:05}word"
+        assert [x.tolist() for x in encoder.encode(pa.array([text]))] == [expected(library, text)]
+    assert len(encoder.known) < 200 and asked.count(" this") == 1
