@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -139,23 +140,50 @@ class Scorer:
 
     def pooled(self, words: list[str]) -> np.ndarray:
         """The strongest answer of every filter, at least zero."""
-        best = [np.full(len(c), -np.inf, np.float32) for c in self.model.C]
+        return self.pooled_all([words])[0]
+
+    def pooled_all(self, texts: list[list[str]]) -> np.ndarray:
+        """The same for many texts, which are numbered and held together."""
+        best = np.full((len(texts), sum(map(len, self.model.C))), -np.inf, np.float32)
         beyond = max(WIDTHS) - 1
-        for a in range(0, max(1, len(words)), PART):
-            some = words[a : a + PART + beyond]
-            n = max(1, min(PART, len(words) - a))
-            ids = np.concatenate([self._numbers(some), np.zeros(n + beyond - len(some), np.int32)])
-            at = 0
-            for j, w in enumerate(WIDTHS):
-                answer = self.rows[at].take(ids[:n], 0)
+        for group in pieces([max(1, len(t)) for t in texts], PART):
+            # Behind each stretch are the words that its last places look at, or none.
+            near = [texts[i][a : b + beyond] for i, a, b in group]
+            numbers = self._numbers([*chain.from_iterable(near)])
+            sizes = np.array([b - a for _, a, b in group])
+            ends = np.cumsum(sizes + beyond)
+            starts = ends - sizes - beyond
+            given = np.fromiter(map(len, near), np.int64, len(near))
+            ids = np.zeros(ends[-1] + beyond, np.int32)
+            ids[np.repeat(starts - (np.cumsum(given) - given), given) + np.arange(len(numbers))] = numbers
+            bounds = np.stack([starts, starts + sizes], 1).ravel()
+            own = [i for i, _, _ in group]
+            at = column = 0
+            for w, c in zip(WIDTHS, self.model.C):
+                answer = self.rows[at].take(ids[: ends[-1]], 0)
                 for k in range(1, w):
-                    answer += self.rows[at + k].take(ids[k : k + n], 0)
+                    answer += self.rows[at + k].take(ids[k : k + ends[-1]], 0)
                 at += w
-                best[j] = np.maximum(best[j], answer.max(0))
-        return np.maximum(np.concatenate([b + c for b, c in zip(best, self.model.C)]), 0)
+                top = np.maximum.reduceat(answer, bounds, axis=0)[::2]  # what lies between stretches is left out
+                part = best[:, column : column + len(c)]
+                part[own] = np.maximum(part[own], top)  # a text is in a group once
+                column += len(c)
+        return np.maximum(best + np.concatenate(self.model.C), 0)
 
     def __call__(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.pooled(words_of(text)) @ self.model.V + self.model.bias, -30, 30))))
+        return next(self.of_all([text]))
+
+    def of_all(self, texts: list[str | None]) -> Iterator[float]:
+        """The score of each text; their words are held for about PART at once."""
+        held: list[list[str]] = []
+        n = 0
+        for k, text in enumerate(texts, 1):
+            held.append(words_of(text))
+            n += len(held[-1])
+            if n >= PART or k == len(texts):
+                for z in self.pooled_all(held):
+                    yield float(1 / (1 + np.exp(-np.clip(z @ self.model.V + self.model.bias, -30, 30))))
+                held, n = [], 0
 
 
 def pieces(lengths: list[int], most: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -442,7 +470,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                out = [score(text) for text in part.column(2).to_pylist()]
+                out = [*score.of_all(part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], ["doc_id", "lang", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

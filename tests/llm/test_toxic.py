@@ -127,3 +127,17 @@ def test_training_takes_all_labelled_documents_in_shards(spark):
     model, limits = toxic.train(docs, labels, settings)
     score = toxic.Scorer(model)
     assert 0 < limits["en"] < 1 and min(score(t) for i, t in texts.items() if i % 2) > max(score(t) for i, t in texts.items() if i % 2 == 0)
+
+
+def test_texts_are_scored_together_as_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    vocabulary = ["good", "bad", "awful", "lovely", "é", "भारत", "x"]
+    texts = [None, "", " 1 2 "] + [" ".join(rng.choice(vocabulary, rng.integers(0, 40))) for _ in range(60)]
+    model = toxic.fit(texts, np.arange(len(texts)) % 2)
+    alone = [toxic.Scorer(model)(t) for t in texts]
+    for part in (1, 3, 17, 50_000):
+        monkeypatch.setattr(toxic, "PART", part)
+        calls = []
+        monkeypatch.setattr(toxic, "parts_of", lambda *x, f=toxic.parts_of, c=calls: c.append(1) or f(*x))
+        assert np.allclose([*toxic.Scorer(model).of_all(texts)], alone, atol=1e-5)
+    assert len(calls) == 1  # words of all texts are looked up together
