@@ -31,6 +31,31 @@ def test_word_similarity_is_the_best_of_all_extents():
         assert abs(registry.extent_similarity(trigrams(q), trigrams(n)) - brute_similarity(q, n)) < 1e-12
 
 
+def test_similarity_is_exact_from_a_floor_on():
+    rng = random.Random(4)
+    syllables = ["ba", "na", "ab", "a ", "000", "12", "b", " n"]
+    for _ in range(1500):
+        q, n = (registry.ordered_trigrams("".join(rng.choice(syllables) for _ in range(rng.randrange(1, k)))) for k in (7, 14))
+        exact, floor = registry.extent_similarity(q, n), rng.random()
+        assert not q or registry.extent_similarity(q, n, exact) == exact
+        told = registry.extent_similarity(q, n, floor)
+        assert told == exact if exact >= floor else told < floor
+
+
+def test_names_that_share_all_but_digits_are_held_against_few(spark, monkeypatch):
+    register = spark.range(20_000).select(F.format_string("N%06d", "id").alias("registration_no"), F.format_string("Supplier#%09d", "id").alias("name"))
+    asked, seen = spark.range(300).select(F.format_string("Suplier#%09d", F.col("id") * 61 + 1000).alias("query")), spark.sparkContext.accumulator(0)
+    counting = F.udf(lambda x: (seen.add(1), x)[1], "double").asNondeterministic()
+    for kind in ("word_similarity", "similarity_from"):
+        monkeypatch.setattr(registry, kind, lambda *own, rated=getattr(registry, kind): counting(rated(*own)))
+    found = registry.search_names(asked, register).collect()
+    assert len(found) == 1500 and seen.value < 300 * 400  # of 20,000
+    for n in (1000, 9357, 18202):
+        query = f"suplier#{n:09d}"
+        every = sorted((-registry.extent_similarity(registry.ordered_trigrams(query), registry.ordered_trigrams(f"supplier#{k:09d}")), f"N{k:06d}") for k in range(20_000))
+        assert [(-r.similarity, r.registration_no) for r in sorted(found, key=lambda r: r.place) if r.query.lower() == query] == every[:5]
+
+
 def test_search_finds_what_each_pair_says(spark):
     rng = random.Random(2)
     parts = ["sharma", "sharm", "wealth", "weal", "alpha", "alph", "one", "on", "capital", "cap", "x"]
