@@ -262,9 +262,14 @@ def chat_messages(parts: DataFrame, most: int = 1500) -> DataFrame:
     return parts.groupBy("msg_id").agg(F.min_by(bodies, order).alias("bodies"))
 
 
+def as_json(rows: DataFrame) -> Column:
+    """All columns of rows but msg_id as JSON text."""
+    return F.to_json(F.struct(*(c for c in rows.columns if c != "msg_id")))
+
+
 def report_json(rows: DataFrame) -> DataFrame:
     """Rows (msg_id, report): all other columns of rows as JSON text."""
-    return rows.select("msg_id", F.to_json(F.struct(*(c for c in rows.columns if c != "msg_id"))).alias("report"))
+    return rows.select("msg_id", as_json(rows).alias("report"))
 
 
 def best_models(probes: DataFrame) -> DataFrame:

@@ -116,9 +116,10 @@ def message_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = render.views(inv, "en")
     claimed = inv.claims.groupBy("msg_id").agg(F.count("*").alias("n"))
     full = F.forall(F.coalesce("claims", F.array().cast(told.schema["claims"].dataType)), lambda c: (c["statement"] != "") & (c["explanation"] != "") & c["verdict"].isNotNull())
-    as_json = report.report_json(told).select("msg_id", F.get_json_object("report", "$.headline_code").alias("headline"))
-    checked = told.join(claimed, "msg_id", "left").select("msg_id", (full & (F.coalesce(F.size("claims"), F.lit(0)) == F.coalesce("n", F.lit(0)))).alias("full"))
-    return checked.join(as_json, "msg_id").select("msg_id", (F.col("full") & F.col("headline").startswith("H_")).alias("complete"))
+    headline = F.get_json_object(report.as_json(told), "$.headline_code")
+    told = told.select("msg_id", full.alias("full"), F.coalesce(F.size("claims"), F.lit(0)).alias("size"), headline.alias("headline"))  # views are made once
+    every = told.join(claimed, "msg_id", "left")
+    return every.select("msg_id", (F.col("full") & (F.col("size") == F.coalesce("n", F.lit(0))) & F.col("headline").startswith("H_")).alias("complete"))
 
 
 @query("SELECT doc_id AS msg_id, true AS fits FROM documents")
@@ -182,7 +183,7 @@ def message_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS msg_id, 'second' AS batch, true AS told FROM documents")
 def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reports of all messages after two batches were stored, read from disk."""
-    views, path = render.views(investigation(spark, sf_dir), "en"), shared_path(spark, "reports")
+    views, path = checkpointed(render.views(investigation(spark, sf_dir), "en")), shared_path(spark, "reports")
     for batch in ("first", "second"):
         reports.store(path, views, batch)
     return reports.load(spark, path).select("msg_id", "batch", F.get_json_object("report", "$.headline_code").startswith("H_").alias("told"))

@@ -54,8 +54,7 @@ def rejected(path: str) -> str:
 
 def store(path: str, views: DataFrame, batch: str) -> DataFrame:
     """Writes a batch of views; returns one row (batch, stored, rejected)."""
-    as_json = report.report_json(views)
-    judged = checkpointed(views.select("msg_id", problems(views).alias("problems")).join(as_json, "msg_id").withColumn("batch", F.lit(batch)))
+    judged = checkpointed(views.select("msg_id", problems(views).alias("problems"), report.as_json(views).alias("report"), F.lit(batch).alias("batch")))
     put = lambda rows, to: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(to)
     put(judged.where(F.size("problems") == 0).select("msg_id", "report", "batch"), path)
     put(judged.where(F.size("problems") > 0), rejected(path))

@@ -374,3 +374,13 @@ def test_reports_are_kept_if_they_are_whole(found, spark, tmp_path):
     assert reports.store(path, views, "b2").first().stored == len(TEXTS)  # the batch once more
     again = {r.msg_id: r for r in reports.load(spark, path).collect()}
     assert again[ID["impersonation"]].batch == "b2" and json.loads(again[ID["bare"]].report) == json.loads(last[ID["bare"]].report)
+
+
+def test_parts_of_reports_are_made_once(found, spark, tmp_path):
+    inv, *_ = found
+    t = render.texts(inv, render.Speaker(spark, "en"))
+    assert not any("Join" in part._jdf.queryExecution().toString() for part in (t.claims, t.findings, t.unchecked, t.steps, t.heads))
+    seen = spark.sparkContext.accumulator(0)
+    counting = F.udf(lambda x: (seen.add(1), x)[1]).asNondeterministic()
+    reports.store(str(tmp_path / "reports"), render.views(inv, "en").withColumn("headline", counting("headline")), "b1")
+    assert seen.value == len(TEXTS)
