@@ -259,10 +259,12 @@ def endorsement_claims(r: Read) -> DataFrame:
 def return_claims(r: Read) -> DataFrame:
     """Promises of returns, one for each: a model's, then lines with a rate, then the first without."""
     t = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "\n")
-    context = r.segments.groupBy("msg_id").agg(t.alias("all")).select("msg_id", phrases.product_context(F.col("all")).alias("context"))
     rates = first_by(r.hits.where("kind = 'RETURN_RATE'"), ["msg_id", "seq", "line"], ["n"]).select("msg_id", "seq", "line", F.col("percent").alias("line_percent"), F.col("attr").alias("line_period"))
     promises = r.hits.where("kind = 'GUARANTEE'")
     told = r.items.where("item = 'return' AND kind <> 'high_unqualified'")
+    # Whole texts are read for what they speak of only where something is promised.
+    asked = promises.select("msg_id").unionByName(told.select("msg_id")).distinct()
+    context = r.segments.join(asked, "msg_id", "left_semi").groupBy("msg_id").agg(t.alias("all")).select("msg_id", phrases.product_context(F.col("all")).alias("context"))
     at = promises.select("msg_id", "seq", F.col("start").alias("ha"), F.col("end").alias("hb")).distinct()
     backed = told.join(at, ["msg_id", "seq"]).where(shared("seq", "ha", "hb")).select("msg_id", "ord", F.lit(True).alias("backed")).distinct()
     written = F.regexp_replace(F.regexp_replace(F.col("percent").cast("string"), r"\.0$", ""), r"\.", r"\\.")

@@ -105,3 +105,13 @@ def test_bindings_and_what_the_model_adds(found):
     assert got[4] == {"type": "APP_INSTALL", "origin": "model", "app_name": "Beta Two", "sideload": True}
     assert [(p.name, p.title) for p in claims.persons(r).collect()] == [("Beta", "Head")] and [a.name for a in claims.apps(r).collect()] == ["Beta Two"]
     assert brief(built[7][0]) == {"type": "GUARANTEED_RETURNS", "origin": "model+pattern", "kind": "guaranteed", "product_context": "deposit"}  # the rate isn't in the quote
+
+
+def test_texts_without_promises_are_not_read_for_what_they_speak_of(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, "guaranteed returns", "text", "good", None), (2, 0, "a quiet day, trading as ever", "text", "good", None)]
+    r = claims.read(spark.createDataFrame(rows, "msg_id long, seq int, text string, origin string, quality string, unclear array<string>"))
+    only_promises = F.udf(lambda t: "market" if "guaranteed" in t else 1 // 0)
+    monkeypatch.setattr(claims.phrases, "product_context", only_promises)
+    assert [(c.msg_id, c.product_context) for c in claims.return_claims(r).collect()] == [(1, "market")]
